@@ -160,9 +160,12 @@ def notifications(user: Column | str) -> Column:
 
 def schedule_columns(df: DataFrame) -> DataFrame:
     """Adds ``mode`` (schedule/create/fail) and ``cron`` (NULL when unscheduled)."""
+    # The raw cron is its own column: later expressions reference it by name, so the
+    # parse is evaluated once per row and generated code stays small.
+    staged = df.withColumn("_cron_raw", schedule_to_cron("Date_n_time_for_1st_schedule", "Frequency_of_sync"))
     mode = schedule_mode("Frequency_of_sync", "Date_n_time_for_1st_schedule")
-    cron = schedule_to_cron("Date_n_time_for_1st_schedule", "Frequency_of_sync")
-    return df.withColumn("mode", mode).withColumn(
+    cron = F.col("_cron_raw")
+    return staged.withColumn("mode", mode).withColumn(
         "cron", F.when((F.col("mode") == "schedule") & (cron != NOT_SUPPORTED), cron)
     ).withColumn(
         "_unscheduled_reason",
