@@ -281,11 +281,24 @@ def migration_status_counts(spark, sf_dir):
 # --- S: files, streams and tables -------------------------------------------------------
 
 
-def _landing(spark, sf_dir) -> str:
+_LANDINGS: dict[tuple[str, str], str] = {}
+
+
+def _landing(spark, sf_dir, fresh: bool = False) -> str:
+    """A landing folder holding the order rows as named CSV/spreadsheet files.
+
+    Staged once per session and input folder for the queries that only read it;
+    ``fresh=True`` (queries that move files) always stages a new one.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if not fresh and key in _LANDINGS:
+        return _LANDINGS[key]
     d = scratch_path(spark, "landing")
     files.write_named_files(
         derived.sheet_rows(spark, sf_dir), "file_name", d, "csv", {"header": "true"}
     ).count()
+    if not fresh:
+        _LANDINGS[key] = d
     return d
 
 
@@ -304,7 +317,7 @@ def s2(spark, sf_dir):
 
 @register("S3_archive_processed")
 def s3(spark, sf_dir):
-    d = _landing(spark, sf_dir)
+    d = _landing(spark, sf_dir, fresh=True)
     stamp = F.lit("2024-01-31 15:04:05").cast("timestamp_ntz")
     plan = files.archive_plan(files.list_input_files(spark, d), stamp)
     from ..session import cut_lineage
