@@ -1,18 +1,26 @@
 """Apply a change feed (insert / update / delete) to a base table by key.
 
-Batch: newest change per key (an aggregate, so hot keys reduce map-side), then a
-full outer join with the base. Replaying the same changes gives the same result.
-The streaming form (``streaming.cdc``) runs this per micro-batch.
+Batch: newest change per key (an aggregate, so hot keys reduce map-side), then
+merged into the base. Two physical plans, same result:
+
+* change feed provably small (row count checked): the newest changes are broadcast;
+  the base is joined in place with no shuffle, and inserts are found with a
+  broadcast semi join on the base keys -- the base is read once and never shuffled;
+* otherwise: a full outer join, both sides shuffled on the key.
+
+Replaying the same changes gives the same result. The streaming form
+(``streaming.ingest.cdc_stream``) runs this per micro-batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPS = ("I", "U", "D")
+DEFAULT_BROADCAST_CHANGES = 1_000_000
 
 
 def latest_changes(changes: DataFrame, keys: Sequence[str], seq_col: str = "seq", op_col: str = "op") -> DataFrame:
@@ -26,28 +34,51 @@ def latest_changes(changes: DataFrame, keys: Sequence[str], seq_col: str = "seq"
     )
 
 
+def _checked_op(op_col: str) -> Column:
+    return F.when(F.col(op_col).isin(*OPS), F.col(op_col)).otherwise(
+        F.raise_error(F.concat(F.lit("unknown change op: "), F.coalesce(F.col(op_col), F.lit("NULL"))))
+    )
+
+
 def cdc_apply(
-    base: DataFrame, changes: DataFrame, keys: Sequence[str], seq_col: str = "seq", op_col: str = "op"
+    base: DataFrame,
+    changes: DataFrame,
+    keys: Sequence[str],
+    seq_col: str = "seq",
+    op_col: str = "op",
+    broadcast_rows: int | None = DEFAULT_BROADCAST_CHANGES,
 ) -> DataFrame:
     """Base rows after the newest change per key: ``D`` removes the key, ``I``/``U``
     replace (or add) the row with the change's values, keys without a change stay.
-    Unknown ops fail the job. Output columns are the base columns."""
+    Unknown ops fail the job. Output columns are the base columns.
+
+    ``broadcast_rows``: the change feed is broadcast when it has at most this many
+    rows (checked with a bounded count); ``None`` always uses the shuffle plan.
+    """
     keys = list(keys)
     cols = [c for c in base.columns if c not in keys]
     latest = latest_changes(changes.select(*keys, seq_col, op_col, *cols), keys, seq_col, op_col)
-    checked = latest.withColumn(
-        op_col,
-        F.when(F.col(op_col).isin(*OPS), F.col(op_col)).otherwise(
-            F.raise_error(F.concat(F.lit("unknown change op: "), F.coalesce(F.col(op_col), F.lit("NULL"))))
-        ),
-    )
-    ch = checked.select(
-        *keys, F.col(op_col).alias("_op"), *[F.col(c).alias(f"_new_{c}") for c in cols]
-    )
+    ch = latest.select(*keys, _checked_op(op_col).alias("_op"), *[F.col(c).alias(f"_new_{c}") for c in cols])
+    take_new = F.col("_op").isin("I", "U")
+    merged = [F.when(take_new, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in cols]
+
+    small = broadcast_rows is not None and changes.limit(broadcast_rows + 1).count() <= broadcast_rows
+    if small:
+        bch = F.broadcast(ch)
+        kept = (
+            base.join(bch, keys, "left")
+            .where(F.coalesce(F.col("_op"), F.lit("")) != "D")
+            .select(*keys, *merged)
+        )
+        present = base.select(*keys).join(F.broadcast(ch.select(*keys)), keys, "left_semi").distinct()
+        inserted = (
+            ch.where(take_new)
+            .join(F.broadcast(present), keys, "left_anti")
+            .select(*keys, *[F.col(f"_new_{c}").alias(c) for c in cols])
+        )
+        return kept.unionByName(inserted)
+
     b = base.withColumn("_in_base", F.lit(True))
     j = b.join(ch, keys, "full_outer")
-    take_new = F.col("_op").isin("I", "U")
     out = j.where(F.coalesce(F.col("_op"), F.lit("")) != "D").where(F.col("_in_base") | take_new)
-    return out.select(
-        *keys, *[F.when(take_new, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in cols]
-    )
+    return out.select(*keys, *merged)

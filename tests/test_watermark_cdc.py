@@ -67,3 +67,14 @@ def test_cdc_apply_and_replay(spark):
     bad = spark.createDataFrame([(1, 1, "X", "z")], "k long, seq long, op string, v string")
     with pytest.raises(Exception, match="unknown change op"):
         cdc.cdc_apply(base, bad, ["k"]).collect()
+
+
+def test_cdc_plans_agree_and_small_feed_does_not_shuffle_base(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    feed = derived.change_feed(spark, SF)
+    small = cdc.cdc_apply(orders, feed, ["o_orderkey"])
+    shuffled = cdc.cdc_apply(orders, feed, ["o_orderkey"], broadcast_rows=None)
+    assert small.exceptAll(shuffled).count() == 0 and shuffled.exceptAll(small).count() == 0
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
