@@ -166,6 +166,21 @@ def _norm(c: str) -> str:
     return f"CASE WHEN trim({c}) <> '' AND lower({c}) <> 'nan' THEN {c} END AS {c}"
 
 
+X5_SQL = f"""WITH ch AS (SELECT {_sel(d.CHANGE_EXPRS)} FROM (SELECT *, unnest([1, 2]) AS k FROM orders)),
+        l AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC, op DESC,
+               o_custkey DESC, o_orderstatus DESC, o_totalprice DESC, o_orderdate DESC, o_orderpriority DESC) AS rn FROM ch)
+              WHERE rn = 1)
+        SELECT coalesce(b.o_orderkey, l.o_orderkey) AS o_orderkey,
+          CASE WHEN l.op IN ('I', 'U') THEN l.o_custkey ELSE b.o_custkey END AS o_custkey,
+          CASE WHEN l.op IN ('I', 'U') THEN l.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus,
+          CASE WHEN l.op IN ('I', 'U') THEN l.o_totalprice ELSE b.o_totalprice END AS o_totalprice,
+          CASE WHEN l.op IN ('I', 'U') THEN l.o_orderdate ELSE b.o_orderdate END AS o_orderdate,
+          CASE WHEN l.op IN ('I', 'U') THEN l.o_orderpriority ELSE b.o_orderpriority END AS o_orderpriority
+        FROM orders b FULL OUTER JOIN l ON b.o_orderkey = l.o_orderkey
+        WHERE coalesce(l.op, '') <> 'D' AND (b.o_orderkey IS NOT NULL OR l.op IN ('I', 'U'))"""
+
+CLUSTERS = f"(SELECT {_sel(d.CLUSTER_EXPRS)} FROM supplier)"
+
 ORACLE: dict[str, str] = {
     "P1_clean_columns": """SELECT o_orderkey AS OrderKey, o_custkey AS CustomerKey, o_orderstatus AS OrderStatus,
         o_totalprice AS TotalPrice, o_orderdate AS OrderDate, o_orderpriority AS OrderPriority FROM orders""",
@@ -209,6 +224,12 @@ ORACLE: dict[str, str] = {
                      arg_max(job_id, page_id * 1000000 + pos) AS job_id_last FROM {LISTING} GROUP BY job_name)
         SELECT w.job_name, b.job_id, b.job_id_last, CASE WHEN b.job_id IS NOT NULL THEN 'found' ELSE 'not found' END AS status
         FROM w LEFT JOIN b ON w.job_name = b.job_name""",
+    "J4_cluster_lookup": f"""WITH l AS (SELECT cluster_name, cluster_id,
+          page_id * 1000000 + row_number() OVER (PARTITION BY page_id ORDER BY s_suppkey) AS ord FROM {CLUSTERS}),
+        b AS (SELECT cluster_name, arg_max(cluster_id, ord) AS cluster_id FROM l GROUP BY cluster_name),
+        w AS (SELECT {d.WANTED_CLUSTER_EXPR} AS cluster_name FROM nation)
+        SELECT w.cluster_name, b.cluster_id, CASE WHEN b.cluster_id IS NOT NULL THEN 'found' ELSE 'not found' END AS status
+        FROM w LEFT JOIN b ON w.cluster_name = b.cluster_name""",
     "J5_dry_run_check": f"""WITH inv AS (SELECT DISTINCT lower(catalog) AS c, lower(schema) AS s, lower("table") AS t FROM {INVENTORY}),
         c AS (SELECT *, coalesce({nan_null('Uc_table_name')}, {TABLE_PART}) AS dest_table FROM {CONTROL})
         SELECT Hive_table_name, CASE
@@ -277,6 +298,15 @@ ORACLE: dict[str, str] = {
         SELECT o_orderpriority, period, total, prev_total, CAST(total - prev_total AS DECIMAL(38,2)) AS diff,
           CAST(CAST(total - prev_total AS DECIMAL(38,2)) AS DOUBLE) * CAST(100.0 AS DOUBLE)
             / nullif(CAST(prev_total AS DOUBLE), CAST(0.0 AS DOUBLE)) AS pct_change FROM b""",
+    "X2_snapshot_differential": f"""WITH cur AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS cur_total
+          FROM ({X5_SQL}) GROUP BY o_custkey),
+        prv AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS prev_total
+          FROM orders GROUP BY o_custkey)
+        SELECT coalesce(cur.o_custkey, prv.o_custkey) AS o_custkey, cur_total, prev_total,
+          CASE WHEN prev_total IS NULL THEN 'new' WHEN cur_total IS NULL THEN 'gone'
+               WHEN cur_total <> prev_total THEN 'changed' ELSE 'same' END AS status,
+          CAST(coalesce(cur_total, 0) - coalesce(prev_total, 0) AS DECIMAL(38,2)) AS diff
+        FROM cur FULL OUTER JOIN prv ON cur.o_custkey = prv.o_custkey""",
     "X3_silver_aggregation": f"""SELECT l_returnflag, l_linestatus, count(*) AS n_rows,
         CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_qty,
         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_price
@@ -286,18 +316,7 @@ ORACLE: dict[str, str] = {
         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_price,
         CAST(grouping(l_returnflag, l_linestatus) AS INTEGER) AS level_id
         FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
-    "X5_cdc_apply": f"""WITH ch AS (SELECT {_sel(d.CHANGE_EXPRS)} FROM (SELECT *, unnest([1, 2]) AS k FROM orders)),
-        l AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC, op DESC,
-               o_custkey DESC, o_orderstatus DESC, o_totalprice DESC, o_orderdate DESC, o_orderpriority DESC) AS rn FROM ch)
-              WHERE rn = 1)
-        SELECT coalesce(b.o_orderkey, l.o_orderkey) AS o_orderkey,
-          CASE WHEN l.op IN ('I', 'U') THEN l.o_custkey ELSE b.o_custkey END AS o_custkey,
-          CASE WHEN l.op IN ('I', 'U') THEN l.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus,
-          CASE WHEN l.op IN ('I', 'U') THEN l.o_totalprice ELSE b.o_totalprice END AS o_totalprice,
-          CASE WHEN l.op IN ('I', 'U') THEN l.o_orderdate ELSE b.o_orderdate END AS o_orderdate,
-          CASE WHEN l.op IN ('I', 'U') THEN l.o_orderpriority ELSE b.o_orderpriority END AS o_orderpriority
-        FROM orders b FULL OUTER JOIN l ON b.o_orderkey = l.o_orderkey
-        WHERE coalesce(l.op, '') <> 'D' AND (b.o_orderkey IS NOT NULL OR l.op IN ('I', 'U'))""",
+    "X5_cdc_apply": X5_SQL,
     "X6_gold_report": f"""SELECT r_name, CAST(year(o_orderdate) AS INTEGER) AS order_year, count(*) AS n_lines,
         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DECIMAL(38,4)) AS net_revenue
         FROM {NEWEST_LINES} li JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

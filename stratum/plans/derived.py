@@ -107,6 +107,16 @@ STATUS_UPDATE_EXPRS = [
     ),
 ]
 
+# Clusters: one per supplier, pages of 50 per listing document; names repeat.
+CLUSTER_EXPRS = [
+    ("page_id", "CAST(floor(s_suppkey / 50) AS BIGINT)"),
+    ("s_suppkey", "s_suppkey"),
+    ("cluster_name", f"'cluster-' || {_k('s_suppkey % 17')}"),
+    ("cluster_id", f"'c' || {_k('s_suppkey')}"),
+    ("state", "CASE s_nationkey % 3 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'TERMINATED' ELSE 'PENDING' END"),
+]
+WANTED_CLUSTER_EXPR = f"'cluster-' || {_k('n_nationkey')}"
+
 # --- customer-derived ------------------------------------------------------------------
 
 USER_ID_EXPR = (
@@ -208,6 +218,23 @@ def job_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.to_json(F.struct("jobs")).alias("listing"))
 
 
+def cluster_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters as REST listing documents: ``page_id, listing`` (JSON
+    ``{"clusters": [...]}``) in supplier-key order."""
+    c = _select(load(spark, sf_dir, "supplier"), CLUSTER_EXPRS)
+    item = F.struct("s_suppkey", "cluster_name", "cluster_id", "state")
+    ordered = F.transform(
+        F.array_sort(F.collect_list(item)),
+        lambda x: F.struct(x["cluster_name"].alias("cluster_name"), x["cluster_id"].alias("cluster_id"), x["state"].alias("state")),
+    )
+    pages = c.groupBy("page_id").agg(ordered.alias("clusters"))
+    return pages.select("page_id", F.to_json(F.struct("clusters")).alias("listing"))
+
+
+def wanted_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").select(F.expr(WANTED_CLUSTER_EXPR).alias("cluster_name"))
+
+
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")
     return _select(part, INVENTORY_SOURCE_EXPRS).unionByName(_select(part, INVENTORY_DEST_EXPRS))

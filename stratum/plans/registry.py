@@ -138,6 +138,16 @@ def j4(spark, sf_dir):
     return out.select("job_name", "job_id", "job_id_last", "status")
 
 
+@register("J4_cluster_lookup")
+def j4c(spark, sf_dir):
+    """Cluster form: a dict keyed by name, so the last duplicate in listing order wins."""
+    listing = lookup.explode_clusters(derived.cluster_listings(spark, sf_dir), keep=("page_id",))
+    out = lookup.lookup_by_name(
+        derived.wanted_clusters(spark, sf_dir), listing, "cluster_name", "cluster_id", ("page_id", "pos")
+    )
+    return out.select("cluster_name", F.col("cluster_id_last").alias("cluster_id"), "status")
+
+
 @register("J5_dry_run_check")
 def j5(spark, sf_dir):
     out = control.dry_run_check(derived.control(spark, sf_dir), derived.inventory(spark, sf_dir))
@@ -391,6 +401,14 @@ def x2(spark, sf_dir):
     return layers.period_differential(o, "o_orderpriority", "o_orderdate", "o_totalprice")
 
 
+@register("X2_snapshot_differential")
+def x2s(spark, sf_dir):
+    """Snapshot form: customer totals after the change feed vs before it."""
+    before = load(spark, sf_dir, "orders")
+    after = cdc.cdc_apply(before, derived.change_feed(spark, sf_dir), ["o_orderkey"])
+    return layers.snapshot_differential(after, before, "o_custkey", "o_totalprice")
+
+
 @register("X3_silver_aggregation")
 def x3(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
