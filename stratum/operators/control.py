@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cron import NOT_SUPPORTED, schedule_mode, schedule_to_cron
 from ..functions.names import null_if_nan, schema_part, table_part
+from ..schemas import SYNC_LOG
 
 # Fixed values used in plan rows and log rows.
 SYNC_JOB_PREFIX = "CDC_UC"
@@ -242,3 +243,14 @@ def sync_log_rows(plan: DataFrame, log_time: Column | None = None) -> DataFrame:
         "log_message",
         (log_time if log_time is not None else F.current_timestamp()).cast("timestamp").alias("log_time"),
     )
+
+
+def append_sync_log(rows: DataFrame, table: str) -> None:
+    """Append sync-log rows (``sync_log_rows`` output) to a catalog table, creating
+    it on first use."""
+    spark = rows.sparkSession
+    shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SYNC_LOG.fields])
+    if spark.catalog.tableExists(table):
+        shaped.write.insertInto(table)
+    else:
+        shaped.write.mode("append").saveAsTable(table)

@@ -26,3 +26,16 @@ def read_control(spark: SparkSession, path: str, fmt: str = "csv", header: bool
     if fmt == "csv":
         reader = reader.option("header", header)
     return normalise_missing(reader.format(fmt).load(path))
+
+
+def control_from_pandas(spark: SparkSession, pdf) -> DataFrame:
+    """A pandas control sheet as a DataFrame with the declared schema.
+
+    Missing columns become NULL; pandas NaN (which Spark would otherwise turn into the
+    text ``nan``) and blank text become NULL.
+    """
+    import pandas as pd
+
+    frame = pdf.reindex(columns=[f.name for f in CONTROL.fields])
+    frame = frame.astype(object).where(pd.notna(frame), None)
+    return normalise_missing(spark.createDataFrame(frame, schema=CONTROL))

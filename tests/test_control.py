@@ -126,3 +126,26 @@ def test_dry_run_statuses(spark):
         "bronze.d": "DEST_SCHEMA_MISSING",
         "bronze.gone": "SOURCE_MISSING",
     }
+
+
+def test_control_from_pandas_and_sync_log_append(spark, tmpdir_path):
+    import uuid
+
+    import numpy as np
+    import pandas as pd
+
+    from stratum.sources.control import control_from_pandas
+
+    pdf = pd.DataFrame(
+        {"Hive_table_name": ["bronze.a", "bronze.b"], "Uc_table_type": [np.nan, "EXTERNAL"], "Sync_required": ["", "yes"]}
+    )
+    c = control_from_pandas(spark, pdf)
+    got = {r.Hive_table_name: r for r in c.collect()}
+    assert got["bronze.a"].Uc_table_type is None and got["bronze.a"].Sync_required is None
+    assert got["bronze.b"].Uc_table_type == "EXTERNAL" and c.columns == CONTROL_COLUMNS
+    plan = control.sync_plan(control.managed_worklist(c), spark.createDataFrame([], "job_name string, job_id long"))
+    table = "sync_log_" + uuid.uuid4().hex[:8]
+    control.append_sync_log(control.sync_log_rows(plan), table)
+    control.append_sync_log(control.sync_log_rows(plan), table)
+    assert spark.table(table).count() == 2 * plan.count()
+    assert spark.table(table).where("log_time IS NULL").count() == 0

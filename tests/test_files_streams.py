@@ -105,3 +105,20 @@ def test_cdc_stream_commits_versions(spark, tmpdir_path):
     v = tables.latest_version(spark, base_path)
     cdc_stream(spark.readStream.schema(schema).parquet(f"{feed}/*"), base_path, ["k"], ckpt).awaitTermination()
     assert tables.latest_version(spark, base_path) == v  # nothing new, nothing committed
+
+
+def test_stream_result_equals_batch_result(spark, tmpdir_path):
+    from stratum.operators.layers import bronze_columns
+
+    landing, sink, ckpt = (f"{tmpdir_path}/{x}" for x in ("landing", "sink", "ckpt"))
+    touch(f"{landing}/LPT - 2023 06 30.csv", "Order Key,Total Price\n1,10.5\n2,20.0\n")
+    touch(f"{landing}/2023-07_bcg.csv", "Order Key,Total Price\n3,30.0\n")
+    file_arrival_ingest(spark, landing, SHEET, sink, ckpt).awaitTermination()
+    cols = ["OrderKey", "TotalPrice", "source_file", "customer", "as_of_date"]
+    streamed = spark.read.schema(
+        "OrderKey long, TotalPrice double, source_file string, customer string, as_of_date string"
+    ).parquet(sink).select(*cols)
+    batch = bronze_columns(
+        spark.read.schema(SHEET).option("header", True).option("pathGlobFilter", "*.csv").csv(landing)
+    ).select(*cols)
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))

@@ -120,3 +120,20 @@ def test_clean_columns_collisions(spark):
     assert clean_columns(df, on_collision="suffix").columns == ["ab", "ab_2"]
     with pytest.raises(ValueError):
         clean_columns(spark.createDataFrame([(1,)], ["$$"]))
+
+
+def test_clean_columns_property(spark):
+    import re
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=30, deadline=None)
+    @given(st.lists(st.text(min_size=1, max_size=8).filter(lambda s: re.sub(r"[^\w]", "", s)), min_size=1, max_size=5))
+    def check(names_):
+        df = spark.createDataFrame([tuple(range(len(names_)))], [f"c{i}" for i in range(len(names_))]).toDF(*names_)
+        out = clean_columns(df, on_collision="suffix").columns
+        assert all(re.fullmatch(r"\w+", n) for n in out)
+        assert len({n.lower() for n in out}) == len(out)
+
+    check()
