@@ -82,3 +82,14 @@ def cdc_apply(
     j = b.join(ch, keys, "full_outer")
     out = j.where(F.coalesce(F.col("_op"), F.lit("")) != "D").where(F.col("_in_base") | take_new)
     return out.select(*keys, *merged)
+
+
+def read_cdc_table(
+    spark, base_path: str, keys: Sequence[str], seq_col: str = "seq", op_col: str = "op", fmt: str = "parquet"
+) -> DataFrame:
+    """Merge-on-read: the latest full snapshot under ``base_path`` with every committed
+    change delta after it applied (newest change per key wins)."""
+    from ..sources.tables import read_with_deltas
+
+    full, deltas = read_with_deltas(spark, base_path, fmt)
+    return full if deltas is None else cdc_apply(full, deltas, keys, seq_col, op_col)

@@ -180,8 +180,27 @@ def find_dated_tables(
 # --- versioned snapshots --------------------------------------------------------------
 
 
+COMMITS_SCHEMA = "version long, kind string, commit_id string"
+DELTA_PARTITION = "delta_version"
+
+
+def _commit(spark: SparkSession, base: str, version: int, kind: str) -> None:
+    spark.createDataFrame([(version, kind, uuid.uuid4().hex)], COMMITS_SCHEMA).write.mode("append").parquet(
+        f"{base}/_commits"
+    )
+
+
+def _commits(spark: SparkSession, base: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(COMMITS_SCHEMA).parquet(f"{base}/_commits")
+    except Exception as exc:  # no commit yet
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+            return None
+        raise
+
+
 def commit_snapshot(df: DataFrame, base: str, version: int | None = None, fmt: str = "parquet") -> int:
-    """Write ``df`` as a new version under ``base`` and record it as committed.
+    """Write ``df`` as a full version under ``base`` and record it as committed.
 
     Data goes to ``<base>/v=<n>`` (overwrite, so a retried write of the same version
     replaces partial output); then ``n`` is appended to ``<base>/_commits``. Readers
@@ -192,30 +211,57 @@ def commit_snapshot(df: DataFrame, base: str, version: int | None = None, fmt: s
         last = latest_version(spark, base)
         version = 0 if last is None else last + 1
     df.write.mode("overwrite").format(fmt).save(f"{base}/v={version}")
-    spark.createDataFrame([(version, uuid.uuid4().hex)], "version long, commit_id string").write.mode(
-        "append"
-    ).parquet(f"{base}/_commits")
+    _commit(spark, base, version, "full")
     return version
 
 
-def latest_version(spark: SparkSession, base: str) -> int | None:
-    try:
-        row = spark.read.parquet(f"{base}/_commits").agg(F.max("version").alias("v")).first()
-    except Exception as exc:  # no commit yet
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
+def commit_delta(df: DataFrame, base: str, version: int, fmt: str = "parquet") -> int:
+    """Record ``df`` (rows of changes) as delta version ``n``: written to
+    ``<base>/_deltas/delta_version=<n>`` (overwrite: a retry replaces partial output), then committed.
+    The cost is the size of the changes, whatever the size of the table."""
+    df.write.mode("overwrite").format(fmt).save(f"{base}/_deltas/{DELTA_PARTITION}={version}")
+    _commit(df.sparkSession, base, version, "delta")
+    return version
+
+
+def latest_version(spark: SparkSession, base: str, kind: str | None = None) -> int | None:
+    """Highest committed version (of any kind, or of the given ``kind``)."""
+    commits = _commits(spark, base)
+    if commits is None:
+        return None
+    if kind is not None:
+        commits = commits.where(F.col("kind") == kind)
+    row = commits.agg(F.max("version").alias("v")).first()
     return None if row is None else row["v"]
 
 
 def read_snapshot(spark: SparkSession, base: str, fmt: str = "parquet", version: int | None = None) -> DataFrame:
-    """The latest committed version (or the given one)."""
-    v = latest_version(spark, base) if version is None else version
+    """The latest committed full version (or the given one)."""
+    v = latest_version(spark, base, "full") if version is None else version
     if v is None:
         raise FileNotFoundError(f"no committed snapshot under {base}")
     return spark.read.format(fmt).load(f"{base}/v={v}")
 
 
+def read_with_deltas(spark: SparkSession, base: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame | None]:
+    """(latest full version, committed deltas after it or ``None``) -- the two inputs a
+    merge-on-read reader combines. Deltas are pruned by their version partition."""
+    full_v = latest_version(spark, base, "full")
+    if full_v is None:
+        raise FileNotFoundError(f"no committed snapshot under {base}")
+    last = latest_version(spark, base)
+    full = spark.read.format(fmt).load(f"{base}/v={full_v}")
+    if last == full_v:
+        return full, None
+    deltas = (
+        spark.read.format(fmt)
+        .load(f"{base}/_deltas")
+        .where((F.col(DELTA_PARTITION) > full_v) & (F.col(DELTA_PARTITION) <= last))
+        .drop(DELTA_PARTITION)
+    )
+    return full, deltas
+
+
 def stamp_now() -> Column:
     """Current time as a zoneless timestamp."""
     return F.current_timestamp().cast("timestamp_ntz")

@@ -5,9 +5,9 @@
   by running ``availableNow`` triggers from the scheduler. With ``archive_dir`` the
   source archives read files (S3, stream form). Spark archives the files of batch
   *n* while planning a later batch, so the last batch's files stay until the next run.
-* ``cdc_stream``: a change feed applied per micro-batch (X5) and committed as a
-  snapshot version keyed by the batch id, so a retried batch rewrites the same
-  version instead of applying twice.
+* ``cdc_stream``: a change feed committed per micro-batch as a delta keyed by the batch
+  id (merge-on-read, periodic compaction), so a batch costs the size of its changes
+  and a retried batch rewrites the same delta instead of applying twice.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.names import DEFAULT_ROUTES
-from ..operators.cdc import cdc_apply
+from ..operators.cdc import read_cdc_table
 from ..operators.layers import bronze_columns
-from ..sources.tables import commit_snapshot, latest_version, read_snapshot
+from ..sources.tables import commit_delta, commit_snapshot, latest_version
 
 
 def landing_stream(
@@ -76,10 +76,16 @@ def cdc_stream(
     seq_col: str = "seq",
     op_col: str = "op",
     fmt: str = "parquet",
+    compact_every: int = 20,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """X5, stream form: each micro-batch of changes is applied to the latest committed
-    snapshot under ``base_path`` and committed as version ``batch_id + 1``."""
+    """X5, stream form (merge-on-read): each micro-batch of changes is committed as
+    delta version ``batch_id + 1`` -- its cost is the size of the batch, not of the
+    table. Every ``compact_every`` versions the table is compacted: the full snapshot
+    plus the deltas are merged (``cdc_apply``) and committed as a new full version.
+    ``operators.cdc.read_cdc_table`` reads the current state. A retried batch rewrites
+    the same delta directory; an already committed batch is skipped.
+    """
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -87,8 +93,10 @@ def cdc_stream(
         last = latest_version(spark, base_path)
         if last is not None and last >= version:
             return  # already committed by an earlier attempt
-        base = read_snapshot(spark, base_path, fmt)
-        commit_snapshot(cdc_apply(base, batch, keys, seq_col, op_col), base_path, version, fmt)
+        commit_delta(batch, base_path, version, fmt)
+        if compact_every and version % compact_every == 0:
+            merged = read_cdc_table(spark, base_path, keys, seq_col, op_col, fmt)
+            commit_snapshot(merged, base_path, version, fmt)
 
     writer = changes.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -93,18 +93,26 @@ def test_file_arrival_ingest_exactly_once_and_archive(spark, tmpdir_path):
     assert os.path.exists(f"{landing}/ignored.txt")
 
 
-def test_cdc_stream_commits_versions(spark, tmpdir_path):
+def test_cdc_stream_merge_on_read_and_compaction(spark, tmpdir_path):
+    from stratum.operators.cdc import read_cdc_table
+
     base_path, feed, ckpt = (f"{tmpdir_path}/{x}" for x in ("base", "feed", "ckpt"))
     tables.commit_snapshot(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), base_path, 0)
     schema = "k long, seq long, op string, v string"
-    spark.createDataFrame([(1, 1, "U", "a1"), (3, 1, "I", "c")], schema).write.parquet(f"{feed}/b1")
-    changes = spark.readStream.schema(schema).parquet(f"{feed}/*")
-    cdc_stream(changes, base_path, ["k"], ckpt).awaitTermination()
-    got = sorted(map(tuple, tables.read_snapshot(spark, base_path).collect()))
-    assert got == [(1, "a1"), (2, "b"), (3, "c")]
+    spark.createDataFrame([(1, 1, "U", "a1"), (3, 1, "I", "c")], schema).coalesce(1).write.parquet(f"{feed}/b1")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{feed}/*")
+    cdc_stream(stream(), base_path, ["k"], ckpt, compact_every=2).awaitTermination()
+    assert tables.latest_version(spark, base_path, "full") == 0  # only a delta so far
+    assert sorted(map(tuple, read_cdc_table(spark, base_path, ["k"]).collect())) == [(1, "a1"), (2, "b"), (3, "c")]
     v = tables.latest_version(spark, base_path)
-    cdc_stream(spark.readStream.schema(schema).parquet(f"{feed}/*"), base_path, ["k"], ckpt).awaitTermination()
+    cdc_stream(stream(), base_path, ["k"], ckpt, compact_every=2).awaitTermination()
     assert tables.latest_version(spark, base_path) == v  # nothing new, nothing committed
+    spark.createDataFrame([(2, 5, "D", None), (1, 0, "U", "old")], schema).coalesce(1).write.parquet(f"{feed}/b2")
+    cdc_stream(stream(), base_path, ["k"], ckpt, compact_every=2).awaitTermination()
+    assert tables.latest_version(spark, base_path, "full") == 2  # compacted at version 2
+    want = [(1, "a1"), (3, "c")]  # key 1 keeps its newer change (seq 1 > seq 0)
+    assert sorted(map(tuple, tables.read_snapshot(spark, base_path).collect())) == want
+    assert sorted(map(tuple, read_cdc_table(spark, base_path, ["k"]).collect())) == want
 
 
 def test_stream_result_equals_batch_result(spark, tmpdir_path):
