@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import environment_bucket, storage_root
 from ..schemas import CLUSTERS_LISTING, JOBS_LISTING
-from .joins import contains_any
+from .joins import bounded_broadcast, contains_any
+
+MAX_CATALOG_ROWS = 1_000_000
 
 
 # --- J1 -------------------------------------------------------------------------------
@@ -30,6 +32,9 @@ def resolve_catalog(
     Matching is ``lower(customer) == client`` (the client itself is not lowered, as in
     the reference) and ``lower(environment) == env``. Several catalog rows for one key:
     the smallest ``catalogName`` wins. No row: NULL.
+
+    The catalog side is one row per (customer, environment); it is broadcast when its
+    row count is proven small, otherwise the join shuffles.
     """
     cat = (
         catalog_names.select(
@@ -38,6 +43,7 @@ def resolve_catalog(
         .groupBy("_cust", "_env")
         .agg(F.min("catalogName").alias("catalogName"))
     )
+    cat = bounded_broadcast(cat, MAX_CATALOG_ROWS)
     out = requests.join(
         cat, (F.col(client_col) == F.col("_cust")) & (F.col(env_col) == F.col("_env")), "left"
     )

@@ -92,6 +92,11 @@ def catalog_inventory(spark: SparkSession, catalogs: Sequence[str] | None = None
     return spark.createDataFrame(rows, "catalog string, schema string, table string")
 
 
+def catalog_schemas(inventory: DataFrame) -> DataFrame:
+    """C3, map form: ``catalog, schemas`` (sorted distinct schema names per catalog)."""
+    return inventory.groupBy("catalog").agg(F.sort_array(F.collect_set("schema")).alias("schemas"))
+
+
 def tables_exist(
     requests: DataFrame, inventory: DataFrame, catalog: str = "catalog", schema: str = "schema", table: str = "table"
 ) -> DataFrame:

@@ -20,6 +20,7 @@ def test_resolve_catalog(spark):
         "client string, cluster_name string",
     )
     out = lookup.resolve_catalog(lookup.environment_from_cluster(req), cat)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     got = {(r.client, r.cluster_name): r.catalogName for r in out.collect()}
     assert got == {
         ("acme", "job-qa-1"): "cat_a",  # qa shares dev; tie broken by the smallest name

@@ -71,3 +71,13 @@ def test_commit_snapshot_versions(spark, tmpdir_path):
     tables.commit_snapshot(spark.range(7), base, version=1)  # a retried write of version 1
     assert tables.read_snapshot(spark, base).count() == 7
     assert tables.read_snapshot(spark, base, version=0).count() == 3
+
+
+def test_catalog_inventory_and_schemas(spark):
+    inv = tables.catalog_inventory(spark, ["spark_catalog"])
+    assert set(inv.columns) == {"catalog", "schema", "table"}
+    demo = spark.createDataFrame(
+        [("c1", "b", "t1"), ("c1", "a", "t2"), ("c1", "a", "t3"), ("c2", "x", "t")], "catalog string, schema string, table string"
+    )
+    got = {r.catalog: r.schemas for r in tables.catalog_schemas(demo).collect()}
+    assert got == {"c1": ["a", "b"], "c2": ["x"]}
