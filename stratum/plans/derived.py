@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.columns import clean_name
 from ..session import load
 
 
@@ -175,6 +177,28 @@ SHEET_COLUMNS = [
     ("o_orderpriority", "Order-Priority"),
 ]
 
+# The landing sheet as read: header names as they arrive, with declared types.
+SHEET_SCHEMA = T.StructType(
+    [
+        T.StructField("Order Key", T.LongType()),
+        T.StructField("Customer#Key", T.LongType()),
+        T.StructField("Order Status", T.StringType()),
+        T.StructField("Total Price ($)", T.DoubleType()),
+        T.StructField("Order Date", T.TimestampNTZType()),
+        T.StructField("Order-Priority", T.StringType()),
+    ]
+)
+# Bronze rows: cleaned sheet names plus the source-file columns added on ingest.
+BRONZE_SCHEMA = T.StructType(
+    [T.StructField(clean_name(f.name), f.dataType) for f in SHEET_SCHEMA.fields]
+    + [
+        T.StructField("source_file", T.StringType()),
+        T.StructField("customer", T.StringType()),
+        T.StructField("ingestion_timestamp", T.TimestampNTZType()),
+        T.StructField("as_of_date", T.StringType()),
+    ]
+)
+
 EXT_EXPR = (
     "CASE o_orderpriority WHEN '1-URGENT' THEN '.csv' WHEN '2-HIGH' THEN '.csv' WHEN '3-MEDIUM' THEN '.xlsx' "
     "WHEN '4-NOT SPECIFIED' THEN '.XLS' ELSE '.txt' END"

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import cron, names
 from ..functions.columns import clean_columns
 from ..operators import cdc, control, layers, lookup, watermark
-from ..session import load, scratch_path
+from ..session import cut_lineage, load, scratch_path
 from ..sources import files, tables
 from ..sources.control import read_control
+from ..streaming.ingest import file_arrival_ingest
 from . import derived
+from .derived import BRONZE_SCHEMA, SHEET_SCHEMA
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Builder] = {}
@@ -330,8 +332,6 @@ def s3(spark, sf_dir):
     d = _landing(spark, sf_dir, fresh=True)
     stamp = F.lit("2024-01-31 15:04:05").cast("timestamp_ntz")
     plan = files.archive_plan(files.list_input_files(spark, d), stamp)
-    from ..session import cut_lineage
-
     cut_lineage(files.apply_moves(plan))
     left = files.list_input_files(spark, d).select("file_name", F.lit("landing").alias("place"))
     backed = spark.read.format("binaryFile").load(f"{d}/backup").select(
@@ -343,8 +343,6 @@ def s3(spark, sf_dir):
 
 @register("S4_file_arrival_ingest")
 def s4(spark, sf_dir):
-    from ..streaming.ingest import file_arrival_ingest
-
     d = _landing(spark, sf_dir)
     sink = scratch_path(spark, "bronze")
     q = file_arrival_ingest(
@@ -445,39 +443,3 @@ def x6(spark, sf_dir):
         load(spark, sf_dir, "nation"),
         load(spark, sf_dir, "region"),
     )
-
-
-def _sheet_schema():
-    from pyspark.sql import types as T
-
-    return T.StructType(
-        [
-            T.StructField("Order Key", T.LongType()),
-            T.StructField("Customer#Key", T.LongType()),
-            T.StructField("Order Status", T.StringType()),
-            T.StructField("Total Price ($)", T.DoubleType()),
-            T.StructField("Order Date", T.TimestampNTZType()),
-            T.StructField("Order-Priority", T.StringType()),
-        ]
-    )
-
-
-SHEET_SCHEMA = _sheet_schema()
-
-
-def _bronze_schema():
-    from pyspark.sql import types as T
-
-    from ..functions.columns import clean_name
-
-    fields = [T.StructField(clean_name(f.name), f.dataType) for f in SHEET_SCHEMA.fields]
-    fields += [
-        T.StructField("source_file", T.StringType()),
-        T.StructField("customer", T.StringType()),
-        T.StructField("ingestion_timestamp", T.TimestampNTZType()),
-        T.StructField("as_of_date", T.StringType()),
-    ]
-    return T.StructType(fields)
-
-
-BRONZE_SCHEMA = _bronze_schema()

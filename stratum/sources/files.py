@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import INPUT_EXTENSIONS, backup_name, decode_file_name, file_extension
+from ..session import cut_lineage
 
 LISTING_SCHEMA = "path string, file_name string, length long, modificationTime timestamp"
 MOVE_SCHEMA = "src string, dst string, status string"
@@ -145,7 +146,4 @@ def write_named_files(
     plan = parts.where(dir_value != "").select(
         F.col("path").alias("src"), F.concat(F.lit(base + "/"), decode_file_name(dir_value)).alias("dst")
     )
-    report = apply_moves(plan)
-    from ..session import cut_lineage
-
-    return cut_lineage(report)
+    return cut_lineage(apply_moves(plan))
