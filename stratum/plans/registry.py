@@ -335,7 +335,7 @@ def s3(spark, sf_dir):
     cut_lineage(files.apply_moves(plan))
     left = files.list_input_files(spark, d).select("file_name", F.lit("landing").alias("place"))
     backed = spark.read.format("binaryFile").load(f"{d}/backup").select(
-        names.decode_file_name(F.element_at(F.split("path", "/"), -1)).alias("file_name"),
+        files.base_name("path").alias("file_name"),
         F.lit("backup").alias("place"),
     )
     return left.unionByName(backed)

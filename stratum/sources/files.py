@@ -43,12 +43,13 @@ def list_input_files(
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return spark.createDataFrame([], LISTING_SCHEMA)
         raise
-    return listing.select(
-        "path",
-        decode_file_name(F.element_at(F.split("path", "/"), -1)).alias("file_name"),
-        "length",
-        "modificationTime",
-    )
+    return listing.select("path", base_name("path").alias("file_name"), "length", "modificationTime")
+
+
+def base_name(path: Column | str) -> Column:
+    """Last segment of a listed path (``binaryFile`` paths are not URL-encoded,
+    unlike ``_metadata.file_name``)."""
+    return F.element_at(F.split(path, "/"), -1)
 
 
 def first_input_file(listing: DataFrame) -> DataFrame:
@@ -83,16 +84,15 @@ def archive_plan(
 
 
 def _fs_path(uri: str):
-    """A pyarrow filesystem and path for a Hadoop-style URI."""
-    from urllib.parse import unquote
-
+    """A pyarrow filesystem and path for a Hadoop-style path as Spark lists it (raw,
+    not URL-encoded)."""
     from pyarrow import fs as pafs
 
     if uri.startswith("file:") or uri.startswith("/"):
         path = uri[len("file:"):] if uri.startswith("file:") else uri
         while path.startswith("//"):
             path = path[1:]
-        return pafs.LocalFileSystem(), unquote(path)
+        return pafs.LocalFileSystem(), path
     if uri.startswith("s3a://") or uri.startswith("s3n://"):
         uri = "s3://" + uri.split("://", 1)[1]
     return pafs.FileSystem.from_uri(uri)
@@ -142,6 +142,7 @@ def write_named_files(
         writer = writer.option(k, v)
     writer.save(staging)
     parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(staging).select("path")
+    # partition directory values carry Spark's %XX escapes; decoding them gives the name
     dir_value = F.regexp_extract("path", f"/{name_col}=([^/]*)/[^/]*$", 1)
     plan = parts.where(dir_value != "").select(
         F.col("path").alias("src"), F.concat(F.lit(base + "/"), decode_file_name(dir_value)).alias("dst")

@@ -130,3 +130,22 @@ def test_stream_result_equals_batch_result(spark, tmpdir_path):
         spark.read.schema(SHEET).option("header", True).option("pathGlobFilter", "*.csv").csv(landing)
     ).select(*cols)
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_names_with_percent_and_plus_round_trip(spark, tmpdir_path):
+    name = "x%41 y+z.csv"
+    touch(f"{tmpdir_path}/{name}", "Order Key,Total Price\n1,1.0\n")
+    listing = files.list_input_files(spark, tmpdir_path)
+    assert [r.file_name for r in listing.collect()] == [name]
+    rows = spark.read.schema(SHEET).option("header", True).csv(tmpdir_path)
+    from stratum.functions.names import source_file_name
+
+    assert rows.select(source_file_name()).first()[0] == name  # _metadata.file_name is URL-encoded
+    stamp = F.lit("2023-06-30 13:05:00").cast("timestamp_ntz")
+    moved = files.apply_moves(files.archive_plan(listing, stamp)).collect()
+    assert [r.status for r in moved] == ["moved"]
+    assert os.listdir(f"{tmpdir_path}/backup") == ["x%41 y+z_2023_06_30-01_05_00_PM.csv"]
+    out = f"{tmpdir_path}/named"
+    df = spark.createDataFrame([(1, "a%41:b+c d.csv")], "v long, f string")
+    files.write_named_files(df, "f", out, "csv", {"header": "true"}).collect()
+    assert [n for n in os.listdir(out) if not n.startswith("_")] == ["a%41:b+c d.csv"]
