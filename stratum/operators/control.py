@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.cron import NOT_SUPPORTED, schedule_mode, schedule_to_cron
 from ..functions.names import null_if_nan, schema_part, table_part
 from ..schemas import SYNC_LOG
+from .joins import bounded_broadcast
 
 # Fixed values used in plan rows and log rows.
 SYNC_JOB_PREFIX = "CDC_UC"
@@ -73,6 +74,7 @@ def managed_worklist(control: DataFrame) -> DataFrame:
 
 # --- J5 -------------------------------------------------------------------------------
 
+MAX_INVENTORY_ROWS = 2_000_000
 DRY_RUN_STATUSES = ("SOURCE_MISSING", "DEST_SCHEMA_MISSING", "DEST_EXISTS", "NOT_EXTERNAL", "OK")
 
 
@@ -91,9 +93,12 @@ def dry_run_check(control: DataFrame, inventory: DataFrame, source_catalog: str
     inv = inventory.select(
         F.lower("catalog").alias("_c"), F.lower("schema").alias("_s"), F.lower("table").alias("_t")
     ).distinct()
+    # A catalog listing is metadata-sized: broadcast it (row count proven first) so the
+    # control table is joined three times without being shuffled.
+    inv = bounded_broadcast(inv, MAX_INVENTORY_ROWS)
     src = inv.withColumn("_src", F.lit(True))
     dst = inv.withColumn("_dst", F.lit(True))
-    schemas = inv.select("_c", "_s").distinct().withColumn("_sch", F.lit(True))
+    schemas = bounded_broadcast(inv.select("_c", "_s").distinct(), MAX_INVENTORY_ROWS).withColumn("_sch", F.lit(True))
     base = control.withColumn("_row_dest_table", destination_table())
     joined = (
         base.join(

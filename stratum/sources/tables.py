@@ -10,9 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import contains_any
+from ..operators.joins import bounded_broadcast, contains_any
 from ..schemas import RUN_LOG, RUN_LOG_DDL
 
+MAX_INVENTORY_ROWS = 2_000_000
+
 # --- C1, S10 --------------------------------------------------------------------------
 
 
@@ -105,6 +107,7 @@ def tables_exist(
     inv = inventory.select(
         F.lower("catalog").alias("_c"), F.lower("schema").alias("_s"), F.lower("table").alias("_t")
     ).distinct().withColumn("_hit", F.lit(True))
+    inv = bounded_broadcast(inv, MAX_INVENTORY_ROWS)
     cond = (
         (F.lower(F.col(catalog)) == F.col("_c"))
         & (F.lower(F.col(schema)) == F.col("_s"))
