@@ -75,6 +75,7 @@ def managed_worklist(control: DataFrame) -> DataFrame:
 # --- J5 -------------------------------------------------------------------------------
 
 MAX_INVENTORY_ROWS = 2_000_000
+MAX_KNOWN_JOBS = 2_000_000
 DRY_RUN_STATUSES = ("SOURCE_MISSING", "DEST_SCHEMA_MISSING", "DEST_EXISTS", "NOT_EXTERNAL", "OK")
 
 
@@ -194,6 +195,7 @@ def sync_plan(managed: DataFrame, known_jobs: DataFrame, user: str = "pipeline-o
     ``Sync_required`` must equal ``yes`` exactly.
     """
     jobs = known_jobs.select(F.col("job_name").alias("_known_name"), F.col("job_id").alias("_known_id"))
+    jobs = bounded_broadcast(jobs, MAX_KNOWN_JOBS)  # a job listing is metadata-sized
     planned = schedule_columns(managed.withColumn("job_name", sync_job_name()))
     joined = planned.join(jobs, planned["job_name"] == jobs["_known_name"], "left")
     wanted = F.coalesce(F.col("Sync_required") == "yes", F.lit(False))

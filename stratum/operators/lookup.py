@@ -16,6 +16,7 @@ from ..schemas import CLUSTERS_LISTING, JOBS_LISTING
 from .joins import bounded_broadcast, contains_any
 
 MAX_CATALOG_ROWS = 1_000_000
+MAX_LISTING_ROWS = 2_000_000
 
 
 # --- J1 -------------------------------------------------------------------------------
@@ -157,7 +158,7 @@ def lookup_by_name(
         F.min_by(value_col, order).alias(value_col), F.max_by(value_col, order).alias(f"{value_col}_last")
     )
     listing_empty = listing.isEmpty()
-    out = wanted.join(both, name_col, "left")
+    out = wanted.join(bounded_broadcast(both, MAX_LISTING_ROWS), name_col, "left")
     status = (
         F.lit("empty")
         if listing_empty
