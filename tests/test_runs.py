@@ -71,3 +71,32 @@ def test_run_incremental_load_is_once_per_as_of_date(spark, tmpdir_path):
     assert spark.table(log_table).count() == 3  # one row per loaded file
     wm = tables.read_snapshot(spark, etl).collect()
     assert [(r.tableName, r.lastExtractDateTime) for r in wm] == [("orders", t2)]
+
+
+def test_run_layer_stages_in_order(spark, tmpdir_path):
+    from stratum.plans.stages import BronzeSource, LayerSpec, run_layer_stages
+    from stratum.sources import files
+
+    land_a, land_b = f"{tmpdir_path}/land_a", f"{tmpdir_path}/land_b"
+    rows = derived.sheet_rows(spark, SF)
+    files.write_named_files(rows.where("file_name LIKE '%bcg%'"), "file_name", land_a, "csv", {"header": "true"}).count()
+    files.write_named_files(rows.where("file_name LIKE 'LPT%'"), "file_name", land_b, "csv", {"header": "true"}).count()
+    log_table = "run_log_" + uuid.uuid4().hex[:8]
+    tables.create_run_log(spark, log_table, location=f"{tmpdir_path}/run_log")
+    spec = LayerSpec(
+        key="OrderPriority", ts_col="OrderDate", measure="TotalPrice", business_keys=["OrderKey"],
+        group_cols=["customer", "OrderStatus"], measures={"total": "TotalPrice"},
+    )
+    res = run_layer_stages(
+        spark,
+        [BronzeSource("a", land_a, derived.SHEET_SCHEMA), BronzeSource("b", land_b, derived.SHEET_SCHEMA)],
+        spec, f"{tmpdir_path}/out", log_table, now=dt.datetime(2024, 2, 1, 8, 0, 0),
+    )
+    want = derived.file_names(spark, SF).where("file_name LIKE '%.csv'").count()
+    assert res.loaded_rows["a"] + res.loaded_rows["b"] == want
+    assert res.archived == derived.file_names(spark, SF).where(
+        "file_name LIKE '%.csv'").select("file_name").distinct().count()
+    silver = tables.read_snapshot(spark, f"{tmpdir_path}/out/silver")
+    assert silver.agg({"n_rows": "sum"}).first()[0] == want
+    detail = tables.read_snapshot(spark, f"{tmpdir_path}/out/detail")
+    assert detail.where("level_id = 3").first().n_rows == want
