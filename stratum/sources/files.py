@@ -9,16 +9,22 @@ idempotent: a retried task finds the file already at its destination.
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import INPUT_EXTENSIONS, backup_name, decode_file_name, file_extension
 from ..session import cut_lineage
 
+# The move functions run in Python workers; ship them by value so executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LISTING_SCHEMA = "path string, file_name string, length long, modificationTime timestamp"
 MOVE_SCHEMA = "src string, dst string, status string"
 
