@@ -35,6 +35,7 @@ def contains_any(
     hay_col: str,
     keys: Sequence[str] = (),
     out_col: str = "matched",
+    max_broadcast_needles: int = 1_000_000,
 ) -> DataFrame:
     """Distinct ``(keys..., needle)`` rows with ``out_col`` = needle occurs in some
     haystack text with the same ``keys``.
@@ -46,13 +47,18 @@ def contains_any(
     """
     keys = list(keys)
     n = needles.select(*keys, F.col(needle_col).alias("_needle")).where(F.col("_needle").isNotNull()).distinct()
-    # The set of needle lengths shapes the plan; it is bounded by the longest needle.
-    lengths = [
-        r[0]
-        for r in n.select(F.length("_needle").alias("k")).distinct().limit(MAX_NEEDLE_LENGTHS + 1).collect()
-    ]
-    if len(lengths) > MAX_NEEDLE_LENGTHS:
+    # The set of needle lengths shapes the plan (bounded by the longest needle); the same
+    # small job counts the needles, which decides the join strategy below.
+    stats = (
+        n.groupBy(F.length("_needle").alias("k"))
+        .agg(F.count(F.lit(1)).alias("c"))
+        .limit(MAX_NEEDLE_LENGTHS + 1)
+        .collect()
+    )
+    if len(stats) > MAX_NEEDLE_LENGTHS:
         raise ValueError(f"more than {MAX_NEEDLE_LENGTHS} distinct needle lengths")
+    lengths = [r["k"] for r in stats]
+    n_needles = sum(r["c"] for r in stats)
     hay = haystack.select(*keys, F.col(hay_col).alias("_hay")).where(F.col("_hay").isNotNull()).distinct()
 
     def substrings_of_length(k: int):
@@ -69,8 +75,16 @@ def contains_any(
         if lengths
         else F.array().cast("array<string>")
     )
-    subs = hay.select(*keys, F.explode(grams).alias("_needle")).distinct().withColumn("_hit", F.lit(True))
+    subs = hay.select(*keys, F.explode(grams).alias("_needle"))
+    on = keys + ["_needle"]
+    if n_needles <= max_broadcast_needles:
+        # needles provably small: drop non-matching substrings inside each map task
+        # (broadcast semi join), so only matches are shuffled for the dedupe
+        hits = subs.join(F.broadcast(n), on, "left_semi").distinct()
+    else:
+        # many needles: dedupe substrings map-side first, then a shuffled semi join
+        hits = subs.distinct().join(n, on, "left_semi")
     return (
-        n.join(subs, keys + ["_needle"], "left")
+        n.join(hits.withColumn("_hit", F.lit(True)), on, "left")
         .select(*keys, F.col("_needle").alias(needle_col), F.coalesce("_hit", F.lit(False)).alias(out_col))
     )

@@ -70,9 +70,10 @@ def test_validate_storage(spark):
 def test_contains_any_equals_brute_force(spark, needles, hay):
     n = spark.createDataFrame([(x,) for x in needles], "needle string")
     h = spark.createDataFrame([(x,) for x in hay], "text string")
-    got = {r.needle: r.matched for r in contains_any(n, "needle", h, "text").collect()}
     want = {x: any(x in t for t in hay) for x in needles}
-    assert got == want
+    for bound in (1_000_000, 0):  # broadcast path and shuffle path
+        got = {r.needle: r.matched for r in contains_any(n, "needle", h, "text", max_broadcast_needles=bound).collect()}
+        assert got == want
 
 
 def test_explode_listing_and_lookup(spark):
