@@ -68,8 +68,10 @@ def schedule_to_cron(time_text: Column | str, frequency: Column | str, canonical
 def schedule_mode(frequency: Column | str, time_text: Column | str) -> Column:
     """``schedule``, ``create`` or ``fail`` for a (frequency, time) pair.
 
-    Reads the reference test ``(f or t) != None and (f.lower() or t.lower()) != 'nan'``
-    with Python truthiness: empty text is falsy, and ``None.lower()`` fails.
+    * neither a non-blank frequency nor any time -> ``create``;
+    * a time but no frequency at all -> ``fail`` (the frequency cannot be read);
+    * otherwise the frequency, or the time when the frequency is blank, decides:
+      ``nan`` (any case) -> ``create``, anything else -> ``schedule``.
     """
     f, t = _c(frequency), _c(time_text)
     f_truthy = f.isNotNull() & (f != "")

@@ -1,6 +1,5 @@
 """The Spark expressions against a plain-Python model on a grid of inputs."""
 
-import datetime as dt
 import itertools
 import re
 
@@ -15,44 +14,38 @@ TIMES = [
 FREQS = ["Daily", "weekly", "MONTHLY", "hourly", "yearly", None, "nan", "", "DAILY "]
 
 
-def model_cron(text, frequency):
-    """What the reference computes, read as a specification (None = no cron)."""
-    freq = str(frequency).lower()
-    probe = str(text)
-    prefix = None
-    if "," in probe:
-        pieces = text.split(",")
-        prefix, clock = pieces[0].strip(), pieces[1].strip()
-    elif " " in probe:
-        pieces = re.sub(r"\s{2,}", " ", text).split(" ")
-        prefix, clock = pieces[0].strip(), pieces[1].strip()
-    else:
-        clock = text
-    try:
-        t = dt.datetime.strptime(clock, "%H:%M:%S")
-    except (TypeError, ValueError):
-        return None
-    fields = f"{t.second} {t.minute} {t.hour}"
-    if freq == "daily":
-        return fields + " * * ? "
-    if freq in ("monthly", "weekly") and prefix is None:
-        return None
-    if freq == "monthly":
-        return f"{fields} {prefix} * ? "
-    if freq == "weekly":
-        return f"{fields}  ? * {prefix[:3]}"
-    if freq == "hourly":
-        return f"{t.second} {t.minute} * * *  ? "
-    return "not yet supported"
+# Spec of the cron text: s, m, h are integers without zeros.
+TEMPLATES = {
+    "daily": "{s} {m} {h} * * ? ",
+    "monthly": "{s} {m} {h} {p} * ? ",
+    "weekly": "{s} {m} {h}  ? * {p3}",
+    "hourly": "{s} {m} * * *  ? ",
+}
+CLOCK = re.compile(r"([01]?[0-9]|2[0-3]):([0-5]?[0-9]):([0-5]?[0-9])")
 
 
-def model_mode(f, t):
-    try:
-        if (f or t) is not None and (f.lower() or t.lower()) != "nan":
-            return "schedule"
-        return "create"
-    except AttributeError:
-        return "fail"
+def spec_cron(text, frequency):
+    """Expected cron text for one input pair, from the written spec (None = no cron)."""
+    if text is None:
+        return None
+    if "," in text:
+        head, _, rest = text.partition(",")
+        prefix, clock = head.strip(), rest.partition(",")[0].strip()
+    elif " " in text:
+        words = re.sub(r"\s{2,}", " ", text).split(" ")
+        prefix, clock = words[0].strip(), words[1].strip()
+    else:
+        prefix, clock = None, text
+    hit = CLOCK.fullmatch(clock)
+    if hit is None:
+        return None  # a bad time wins over any frequency
+    h, m, s = (int(g) for g in hit.groups())
+    template = TEMPLATES.get("none" if frequency is None else frequency.lower())
+    if template is None:
+        return "not yet supported"
+    if "{p" in template and prefix is None:
+        return None
+    return template.format(s=s, m=m, h=h, p=prefix, p3=(prefix or "")[:3])
 
 
 def test_cron_matches_model_on_grid(spark):
@@ -60,14 +53,21 @@ def test_cron_matches_model_on_grid(spark):
     df = spark.createDataFrame(grid, "t string, f string")
     got = df.select("t", "f", schedule_to_cron("t", "f").alias("cron")).collect()
     for r in got:
-        assert r.cron == model_cron(r.t, r.f), (r.t, r.f, r.cron)
+        assert r.cron == spec_cron(r.t, r.f), (r.t, r.f, r.cron)
 
 
-def test_cron_examples():
-    assert model_cron("16:00:00", "Daily") == "0 0 16 * * ? "
-    assert model_cron("22, 11:52:38", "monthly") == "38 52 11 22 * ? "
-    assert model_cron("Tuesday 11:52:38", "weekly") == "38 52 11  ? * Tue"
-    assert model_cron("0:30:0", "hourly") == "0 30 * * *  ? "
+def test_cron_examples(spark):
+    examples = [
+        ("16:00:00", "Daily", "0 0 16 * * ? "),
+        ("22, 11:52:38", "monthly", "38 52 11 22 * ? "),
+        ("Tuesday 11:52:38", "weekly", "38 52 11  ? * Tue"),
+        ("0:30:0", "hourly", "0 30 * * *  ? "),
+        ("07:08:60", "daily", None),
+        ("16:00:00", "weekly", None),
+    ]
+    df = spark.createDataFrame(examples, "t string, f string, want string")
+    for r in df.select(schedule_to_cron("t", "f").alias("got"), "want").collect():
+        assert r.got == r.want
 
 
 def test_cron_canonical(spark):
@@ -76,9 +76,25 @@ def test_cron_canonical(spark):
     assert got == ["38 52 11 ? * Tue", "not yet supported"]
 
 
+# SURVEY R4 case table: (frequency, time) -> mode.
+MODE_CASES = [
+    ("Daily", "16:00:00", "schedule"),
+    ("Daily", None, "schedule"),
+    ("Daily", "nan", "schedule"),
+    (None, None, "create"),
+    (None, "16:00:00", "fail"),
+    (None, "", "fail"),
+    ("nan", "16:00:00", "create"),
+    ("NaN", None, "create"),
+    ("", "nan", "create"),
+    ("", "NaN", "create"),
+    ("", None, "create"),
+    ("", "", "schedule"),
+    ("", "16:00:00", "schedule"),
+]
+
+
 def test_schedule_mode_case_table(spark):
-    values = ["Daily", "nan", "", None, "16:00:00", "NaN"]
-    grid = list(itertools.product(values, values))
-    df = spark.createDataFrame(grid, "f string, t string")
-    for r in df.select("f", "t", schedule_mode("f", "t").alias("m")).collect():
-        assert r.m == model_mode(r.f, r.t), (r.f, r.t, r.m)
+    df = spark.createDataFrame(MODE_CASES, "f string, t string, want string")
+    for r in df.select("f", "t", "want", schedule_mode("f", "t").alias("m")).collect():
+        assert r.m == r.want, (r.f, r.t, r.m)
