@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import cron, names
 from ..functions.columns import clean_columns
 from ..operators import cdc, control, layers, lookup, watermark
-from ..session import cut_lineage, load, scratch_path
+from ..session import load, scratch_path
 from ..sources import files, tables
 from ..sources.control import read_control
 from ..streaming.ingest import file_arrival_ingest
@@ -296,7 +296,7 @@ def migration_status_counts(spark, sf_dir):
 _LANDINGS: dict[tuple[str, str], str] = {}
 
 
-def _landing(spark, sf_dir, fresh: bool = False) -> str:
+def stage_landing(spark, sf_dir, fresh: bool = False) -> str:
     """A landing folder holding the order rows as named CSV/spreadsheet files.
 
     Staged once per session and input folder for the queries that only read it;
@@ -306,9 +306,7 @@ def _landing(spark, sf_dir, fresh: bool = False) -> str:
     if not fresh and key in _LANDINGS:
         return _LANDINGS[key]
     d = scratch_path(spark, "landing")
-    files.write_named_files(
-        derived.sheet_rows(spark, sf_dir), "file_name", d, "csv", {"header": "true"}
-    ).count()
+    files.write_named_files(derived.sheet_rows(spark, sf_dir), "file_name", d, "csv", {"header": "true"})
     if not fresh:
         _LANDINGS[key] = d
     return d
@@ -316,23 +314,22 @@ def _landing(spark, sf_dir, fresh: bool = False) -> str:
 
 @register("S1_list_input_files")
 def s1(spark, sf_dir):
-    listing = files.list_input_files(spark, _landing(spark, sf_dir))
+    listing = files.list_input_files(spark, stage_landing(spark, sf_dir))
     return listing.select("file_name")
 
 
 @register("S2_file_exists")
 def s2(spark, sf_dir):
-    listing = files.list_input_files(spark, _landing(spark, sf_dir))
+    listing = files.list_input_files(spark, stage_landing(spark, sf_dir))
     wanted = derived.file_names(spark, sf_dir).select("file_name").distinct()
     return files.files_present(wanted, listing).select("file_name", "present")
 
 
 @register("S3_archive_processed")
 def s3(spark, sf_dir):
-    d = _landing(spark, sf_dir, fresh=True)
+    d = stage_landing(spark, sf_dir, fresh=True)
     stamp = F.lit("2024-01-31 15:04:05").cast("timestamp_ntz")
-    plan = files.archive_plan(files.list_input_files(spark, d), stamp)
-    cut_lineage(files.apply_moves(plan))
+    files.run_moves(files.archive_plan(files.list_input_files(spark, d), stamp))
     left = files.list_input_files(spark, d).select("file_name", F.lit("landing").alias("place"))
     backed = spark.read.format("binaryFile").load(f"{d}/backup").select(
         files.base_name("path").alias("file_name"),
@@ -343,7 +340,7 @@ def s3(spark, sf_dir):
 
 @register("S4_file_arrival_ingest")
 def s4(spark, sf_dir):
-    d = _landing(spark, sf_dir)
+    d = stage_landing(spark, sf_dir)
     sink = scratch_path(spark, "bronze")
     q = file_arrival_ingest(
         spark, d, SHEET_SCHEMA, sink, scratch_path(spark, "ckpt-ingest"), partition_by=("as_of_date",)
@@ -384,7 +381,7 @@ def s10(spark, sf_dir):
 
 @register("X1_bronze_ingest")
 def x1(spark, sf_dir):
-    d = _landing(spark, sf_dir)
+    d = stage_landing(spark, sf_dir)
     raw = spark.read.schema(SHEET_SCHEMA).option("header", True).option("pathGlobFilter", "*.csv").csv(d)
     bronze = layers.bronze_columns(raw)
     return bronze.select(

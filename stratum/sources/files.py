@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import INPUT_EXTENSIONS, backup_name, decode_file_name, file_extension
-from ..session import cut_lineage
 
 # The move functions run in Python workers; ship them by value so executors need no
 # installed copy of this package.
@@ -130,15 +129,21 @@ def apply_moves(plan: DataFrame) -> DataFrame:
     return plan.select("src", "dst").mapInPandas(_move_batches, MOVE_SCHEMA)
 
 
+def run_moves(plan: DataFrame) -> dict[str, int]:
+    """Execute a move plan once and return the count per status (at most three rows
+    reach the driver)."""
+    return {r["status"]: r["n"] for r in apply_moves(plan).groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def write_named_files(
     df: DataFrame, name_col: str, directory: str, fmt: str = "csv", options: dict | None = None
-) -> DataFrame:
+) -> dict[str, int]:
     """Write the rows of ``df`` as one file per value of ``name_col``, named by it,
     directly in ``directory`` (like files arriving in a landing folder).
 
     Spark writes the data (one task per name, partitioned output in a staging
     folder whose name starts with ``_`` so readers skip it); the part files are then
-    renamed on the executors. Returns the move report.
+    renamed on the executors. Returns the count of files per move status.
     """
     spark = df.sparkSession
     base = directory.rstrip("/")
@@ -153,4 +158,4 @@ def write_named_files(
     plan = parts.where(dir_value != "").select(
         F.col("path").alias("src"), F.concat(F.lit(base + "/"), decode_file_name(dir_value)).alias("dst")
     )
-    return cut_lineage(apply_moves(plan))
+    return run_moves(plan)

@@ -79,8 +79,8 @@ def test_run_layer_stages_in_order(spark, tmpdir_path):
 
     land_a, land_b = f"{tmpdir_path}/land_a", f"{tmpdir_path}/land_b"
     rows = derived.sheet_rows(spark, SF)
-    files.write_named_files(rows.where("file_name LIKE '%bcg%'"), "file_name", land_a, "csv", {"header": "true"}).count()
-    files.write_named_files(rows.where("file_name LIKE 'LPT%'"), "file_name", land_b, "csv", {"header": "true"}).count()
+    files.write_named_files(rows.where("file_name LIKE '%bcg%'"), "file_name", land_a, "csv", {"header": "true"})
+    files.write_named_files(rows.where("file_name LIKE 'LPT%'"), "file_name", land_b, "csv", {"header": "true"})
     log_table = "run_log_" + uuid.uuid4().hex[:8]
     tables.create_run_log(spark, log_table, location=f"{tmpdir_path}/run_log")
     spec = LayerSpec(
