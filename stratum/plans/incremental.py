@@ -5,8 +5,8 @@
     batch form of C6/C7) -> append to bronze, partitioned by customer and as-of date
     -> run-log rows (S10) -> watermark upsert (A2, U1) -> archive read files (S3)
 
-The "already loaded" test reads only partition values of the bronze table (a
-metadata-only aggregate), and the watermark is one row per table.
+The "already loaded" test selects only the partition columns of the bronze table
+(no data column is read), and the watermark is one row per table.
 """
 
 from __future__ import annotations
