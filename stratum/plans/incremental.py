@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.names import DEFAULT_ROUTES
+from ..functions.names import DEFAULT_ROUTES, decode_file_name
 from ..operators.joins import bounded_broadcast
 from ..operators.layers import bronze_columns
 from ..operators.watermark import upsert_watermark
@@ -29,6 +29,7 @@ from ..sources.tables import append_run_log, commit_snapshot, latest_version, re
 from ..schemas import ETL_LOG
 
 BRONZE_PARTITIONS = ("customer", "as_of_date")
+HIVE_NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
 @dataclass
@@ -40,14 +41,28 @@ class LoadRun:
 
 
 def loaded_dates(spark: SparkSession, bronze_path: str) -> DataFrame:
-    """Distinct (customer, as-of date) already in bronze; empty when bronze is new."""
+    """Distinct (customer, as-of date) already in bronze, read from the data file paths
+    (exact partition text, no type inference, no data read); empty when bronze is new."""
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in BRONZE_PARTITIONS))
     try:
-        return spark.read.parquet(bronze_path).select(*BRONZE_PARTITIONS).distinct()
+        paths = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.parquet")
+            .load(bronze_path)
+            .select("path")
+        )
     except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return spark.createDataFrame([], "customer string, as_of_date string")
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            return empty
         raise
 
+    def part(col: str):
+        raw = F.regexp_extract("path", f"/{col}=([^/]*)/", 1)
+        return F.when(raw != HIVE_NULL_PARTITION, decode_file_name(raw)).alias(col)
+
+    return paths.select(*[part(c) for c in BRONZE_PARTITIONS]).distinct()
+
 
 def run_incremental_load(
     spark: SparkSession,
@@ -71,7 +86,8 @@ def run_incremental_load(
         "as_of_date", F.coalesce(F.col("as_of_date"), F.lit("unknown"))
     )
     done = bounded_broadcast(loaded_dates(spark, bronze_path), 1_000_000)
-    new_rows = rows.join(done, list(BRONZE_PARTITIONS), "left_anti")
+    same = [rows[c].eqNullSafe(done[c]) for c in BRONZE_PARTITIONS]
+    new_rows = rows.join(done, same, "left_anti")
     new_rows = cut_lineage(new_rows)  # computed once: written, counted and logged
     new_rows.write.mode("append").partitionBy(*BRONZE_PARTITIONS).parquet(bronze_path)
 

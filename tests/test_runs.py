@@ -100,3 +100,15 @@ def test_run_layer_stages_in_order(spark, tmpdir_path):
     assert silver.agg({"n_rows": "sum"}).first()[0] == want
     detail = tables.read_snapshot(spark, f"{tmpdir_path}/out/detail")
     assert detail.where("level_id = 3").first().n_rows == want
+
+
+def test_incremental_load_numeric_dates_and_unrouted_files(spark, tmpdir_path):
+    landing, bronze, etl = (f"{tmpdir_path}/{x}" for x in ("landing", "bronze", "etl"))
+    log_table = "run_log_" + uuid.uuid4().hex[:8]
+    tables.create_run_log(spark, log_table, location=f"{tmpdir_path}/run_log")
+    touch(f"{landing}/LPT - 2023 06 30.csv", "Order Key,Total Price\n1,10.5\n")
+    touch(f"{landing}/other-0001.csv", "Order Key,Total Price\n2,20.0\n")  # no routing token
+    first = run_incremental_load(spark, landing, SHEET, bronze, "orders", etl, log_table, archive=False)
+    assert first.loaded_rows == 2
+    again = run_incremental_load(spark, landing, SHEET, bronze, "orders", etl, log_table, archive=False)
+    assert again.loaded_rows == 0  # numeric as-of text and NULL customer are both recognised
