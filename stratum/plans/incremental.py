@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.names import DEFAULT_ROUTES, decode_file_name
 from ..operators.joins import bounded_broadcast
@@ -64,6 +64,16 @@ def loaded_dates(spark: SparkSession, bronze_path: str) -> DataFrame:
     return paths.select(*[part(c) for c in BRONZE_PARTITIONS]).distinct()
 
 
+def read_bronze(spark: SparkSession, bronze_path: str) -> DataFrame:
+    """The bronze table with its partition columns as their exact text (Spark would
+    otherwise infer e.g. ``20230630`` as an int)."""
+    inferred = spark.read.parquet(bronze_path).schema
+    fixed = StructType(
+        [StructField(f.name, StringType()) if f.name in BRONZE_PARTITIONS else f for f in inferred.fields]
+    )
+    return spark.read.schema(fixed).parquet(bronze_path)
+
+
 def run_incremental_load(
     spark: SparkSession,
     landing: str,

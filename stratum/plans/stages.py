@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from ..operators.layers import detail_rollup, period_differential, silver_aggregation
 from ..sources import files
 from ..sources.tables import commit_snapshot
-from .incremental import run_incremental_load
+from .incremental import read_bronze, run_incremental_load
 
 
 @dataclass
@@ -81,7 +81,7 @@ def run_layer_stages(
 
     bronze = None
     for src in sources:
-        part = spark.read.parquet(f"{root}/bronze/{src.name}")
+        part = read_bronze(spark, f"{root}/bronze/{src.name}")
         bronze = part if bronze is None else bronze.unionByName(part, allowMissingColumns=True)
     measures = spec.measures or {"total": spec.measure}
     versions = {

@@ -66,8 +66,12 @@ def test_run_incremental_load_is_once_per_as_of_date(spark, tmpdir_path):
     t2 = dt.datetime(2024, 1, 2, 15, 30, 0)
     run2 = run_incremental_load(spark, landing, SHEET, bronze, "orders", etl, log_table, now=t2)
     assert run2.loaded_rows == 1
-    b = spark.read.parquet(bronze)
+    from stratum.plans.incremental import read_bronze
+
+    b = read_bronze(spark, bronze)
     assert sorted(r.OrderKey for r in b.collect()) == [1, 2, 3, 4]
+    assert dict(b.dtypes)["as_of_date"] == "string"
+    assert sorted({r.as_of_date for r in b.collect()}) == ["2023-07", "20230630", "20230930"]
     assert spark.table(log_table).count() == 3  # one row per loaded file
     wm = tables.read_snapshot(spark, etl).collect()
     assert [(r.tableName, r.lastExtractDateTime) for r in wm] == [("orders", t2)]
