@@ -28,22 +28,23 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
-def contains_any(
+def matching_needles(
     needles: DataFrame,
     needle_col: str,
     haystack: DataFrame,
     hay_col: str,
     keys: Sequence[str] = (),
-    out_col: str = "matched",
     max_broadcast_needles: int = 1_000_000,
 ) -> DataFrame:
-    """Distinct ``(keys..., needle)`` rows with ``out_col`` = needle occurs in some
-    haystack text with the same ``keys``.
+    """Distinct ``(keys..., needle)`` rows whose needle occurs as a substring of some
+    haystack text with the same ``keys`` (NULL needles never match; an empty needle
+    matches when any text exists for its keys).
 
     Exact: every haystack text emits its substrings of each length that some needle
-    has; matching is then plain equality, deduplicated before the join, so the join
-    emits at most one row per needle and no candidate pairs. NULL needles are not
-    matched; an empty needle matches when any haystack text exists for its keys.
+    has, and matching is equality -- no candidate pairs, no nested-loop join. When the
+    needle set is provably small it is broadcast and non-matching substrings are
+    dropped inside each map task, so only matches are shuffled; otherwise substrings
+    are deduplicated map-side and semi-joined with a shuffle.
     """
     keys = list(keys)
     n = needles.select(*keys, F.col(needle_col).alias("_needle")).where(F.col("_needle").isNotNull()).distinct()
@@ -78,13 +79,26 @@ def contains_any(
     subs = hay.select(*keys, F.explode(grams).alias("_needle"))
     on = keys + ["_needle"]
     if n_needles <= max_broadcast_needles:
-        # needles provably small: drop non-matching substrings inside each map task
-        # (broadcast semi join), so only matches are shuffled for the dedupe
         hits = subs.join(F.broadcast(n), on, "left_semi").distinct()
     else:
-        # many needles: dedupe substrings map-side first, then a shuffled semi join
         hits = subs.distinct().join(n, on, "left_semi")
-    return (
-        n.join(hits.withColumn("_hit", F.lit(True)), on, "left")
-        .select(*keys, F.col("_needle").alias(needle_col), F.coalesce("_hit", F.lit(False)).alias(out_col))
+    return hits.withColumnRenamed("_needle", needle_col)
+
+
+def contains_any(
+    needles: DataFrame,
+    needle_col: str,
+    haystack: DataFrame,
+    hay_col: str,
+    keys: Sequence[str] = (),
+    out_col: str = "matched",
+    max_broadcast_needles: int = 1_000_000,
+) -> DataFrame:
+    """Every distinct ``(keys..., needle)`` with ``out_col`` = it occurs in some haystack
+    text with the same keys (see ``matching_needles``)."""
+    keys = list(keys)
+    n = needles.select(*keys, needle_col).where(F.col(needle_col).isNotNull()).distinct()
+    hits = matching_needles(n, needle_col, haystack, hay_col, keys, max_broadcast_needles)
+    return n.join(hits.withColumn("_hit", F.lit(True)), keys + [needle_col], "left").select(
+        *keys, needle_col, F.coalesce("_hit", F.lit(False)).alias(out_col)
     )

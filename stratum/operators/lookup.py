@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import environment_bucket, storage_root
 from ..schemas import CLUSTERS_LISTING, JOBS_LISTING
-from .joins import bounded_broadcast, contains_any
+from .joins import bounded_broadcast, matching_needles
 
 MAX_CATALOG_ROWS = 1_000_000
 MAX_LISTING_ROWS = 2_000_000
@@ -84,11 +84,7 @@ def validate_storage(
             .withColumn("_hit", F.lit(True))
         )
     else:
-        roots = (
-            contains_any(req, "_probe", locations, url_col)
-            .where("matched")
-            .select("_probe", F.lit(True).alias("_hit"))
-        )
+        roots = matching_needles(req, "_probe", locations, url_col).withColumn("_hit", F.lit(True))
     return (
         req.join(roots, "_probe", "left")
         .withColumn("valid", F.coalesce("_hit", F.lit(False)))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import bounded_broadcast, contains_any
+from ..operators.joins import bounded_broadcast, matching_needles
 from ..schemas import RUN_LOG, RUN_LOG_DDL
 
 MAX_INVENTORY_ROWS = 2_000_000
@@ -175,12 +175,12 @@ def find_dated_tables(
         ),
     )
     kinds = table_kinds(listing.select(name_col).distinct(), name_col, rules).withColumnRenamed("kind", "_kind")
-    hits = contains_any(
+    hits = matching_needles(
         req.select("_kind", F.col(as_of_col).alias("_as_of")), "_as_of", kinds, "_name", keys=["_kind"]
-    )
+    ).withColumn("_hit", F.lit(True))
     return (
         req.join(hits, (req["_kind"] == hits["_kind"]) & (req[as_of_col] == hits["_as_of"]), "left")
-        .withColumn("found", F.coalesce(F.col("matched"), F.lit(False)))
+        .withColumn("found", F.coalesce(F.col("_hit"), F.lit(False)))
         .select(*requests.columns, "found")
     )
 
