@@ -72,10 +72,23 @@ def as_of_date(file_name: Column | str, layout: Column | str) -> Column:
 AS_OF_FORMATS = ("yyyyMMdd", "yyyy-MM-dd", "yyyy-MM", "yyyy_MM", "yyyyMM")
 
 
+def _shape(fmt: str) -> str:
+    """A regex every text that ``fmt`` can parse matches: each run of pattern letters
+    becomes a run of digits (optionally signed), other characters stay literal."""
+    import re
+
+    body = re.sub(r"[A-Za-z]+", "[0-9]+", re.escape(fmt).replace("\\-", "-"))
+    return f"^[+-]?{body}$"
+
+
 def as_of_to_date(text: Column | str, formats: Sequence[str] = AS_OF_FORMATS) -> Column:
-    """The as-of text parsed to a DATE with the first format that fits, else NULL."""
+    """The as-of text parsed to a DATE with the first format that fits, else NULL.
+
+    Each format is only tried on text of its shape: a failed parse is costly (the
+    parser fails by exception), and a text of another shape cannot parse anyway.
+    """
     t = _c(text)
-    return F.coalesce(*[F.try_to_date(t, fmt) for fmt in formats])
+    return F.coalesce(*[F.when(t.rlike(_shape(fmt)), F.try_to_date(t, fmt)) for fmt in formats])
 
 
 # --- P3 -------------------------------------------------------------------------------
