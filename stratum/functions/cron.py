@@ -48,9 +48,8 @@ def schedule_to_cron(time_text: Column | str, frequency: Column | str, canonical
     """
     prefix, clock = split_schedule(time_text)
     parses = clock.rlike(TIME_PATTERN)
-    h = F.regexp_extract(clock, TIME_PATTERN, 1).cast("int")
-    m = F.regexp_extract(clock, TIME_PATTERN, 2).cast("int")
-    s = F.regexp_extract(clock, TIME_PATTERN, 3).cast("int")
+    # once the pattern matched, the three fields are exactly the ':'-separated parts
+    h, m, s = (F.split_part(clock, F.lit(":"), F.lit(i)).cast("int") for i in (1, 2, 3))
     freq = F.lower(_c(frequency))
     cron = (
         F.when(freq == "daily", F.format_string("%d %d %d * * ? ", s, m, h))
