@@ -1,6 +1,5 @@
 """S1-S4, S6, the named-file writer and the streaming forms."""
 
-import datetime as dt
 import os
 
 from pyspark.sql import functions as F

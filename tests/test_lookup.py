@@ -4,7 +4,6 @@ import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from stratum.operators import lookup
 from stratum.operators.joins import bounded_broadcast, contains_any
