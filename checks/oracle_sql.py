@@ -298,6 +298,14 @@ ORACLE: dict[str, str] = {
         SELECT o_orderpriority, period, total, prev_total, CAST(total - prev_total AS DECIMAL(38,2)) AS diff,
           CAST(CAST(total - prev_total AS DECIMAL(38,2)) AS DOUBLE) * CAST(100.0 AS DOUBLE)
             / nullif(CAST(prev_total AS DOUBLE), CAST(0.0 AS DOUBLE)) AS pct_change FROM b""",
+    "X2_month_over_month": """WITH cur AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
+          CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM orders GROUP BY 1, 2),
+        prv AS (SELECT o_custkey, CAST(period + INTERVAL 1 MONTH AS DATE) AS period, total AS prev_total FROM cur)
+        SELECT coalesce(cur.o_custkey, prv.o_custkey) AS o_custkey, coalesce(cur.period, prv.period) AS period,
+          total, prev_total, CAST(coalesce(total, 0) - coalesce(prev_total, 0) AS DECIMAL(38,2)) AS diff,
+          CASE WHEN prev_total IS NULL THEN 'new' WHEN total IS NULL THEN 'gone'
+               WHEN total <> prev_total THEN 'changed' ELSE 'same' END AS status
+        FROM cur FULL OUTER JOIN prv ON cur.o_custkey = prv.o_custkey AND cur.period = prv.period""",
     "X2_snapshot_differential": f"""WITH cur AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS cur_total
           FROM ({X5_SQL}) GROUP BY o_custkey),
         prv AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS prev_total

@@ -4,7 +4,9 @@ The reference names these stages but does not contain their bodies; the semantic
 here are ours (see README). All are plain DataFrame plans:
 
 * X1 ``bronze_columns``: source-file columns (name, customer, as-of date) + clean names
-* X2 ``period_differential``: per key and period, total vs previous period
+* X2 ``period_differential``: per key and period, total vs previous period present;
+  ``month_over_month``: against the calendar-previous month, with new / gone keys;
+  ``snapshot_differential``: two as-of snapshots compared per key
 * X3 ``newest_per_key`` + ``group_totals``: latest row per business key, then totals
 * X4 ``detail_rollup``: totals with sub-totals (``rollup`` + ``grouping_id``)
 * X6 ``gold_report``: reporting view over the silver rows joined to the dimensions
@@ -94,6 +96,28 @@ def period_differential(
     return out.withColumn("diff", F.col("diff").cast("decimal(38,2)")).withColumn("pct_change", pct)
 
 
+def month_over_month(df: DataFrame, key: str, ts_col: str, measure: str) -> DataFrame:
+    """X2, calendar form: each key and month against the key's calendar-previous month.
+
+    ``status``: ``new`` (no row the month before), ``gone`` (a row the month before, none
+    now -- emitted for the month after the key's last month), ``changed`` or ``same``;
+    ``diff`` treats a missing side as zero. No window: the month totals are joined with
+    themselves shifted by one month (a full outer join on key and month).
+    """
+    month = F.trunc(F.col(ts_col).cast("date"), "month")
+    cur = df.groupBy(F.col(key).alias(key), month.alias("period")).agg(money_sum(measure, "total"))
+    prev = cur.select(key, F.add_months("period", 1).alias("period"), F.col("total").alias("prev_total"))
+    j = cur.join(prev, [key, "period"], "full_outer")
+    status = (
+        F.when(F.col("prev_total").isNull(), F.lit("new"))
+        .when(F.col("total").isNull(), F.lit("gone"))
+        .when(F.col("total") != F.col("prev_total"), F.lit("changed"))
+        .otherwise(F.lit("same"))
+    )
+    diff = (F.coalesce("total", F.lit(0)) - F.coalesce("prev_total", F.lit(0))).cast("decimal(38,2)")
+    return j.select(key, "period", "total", "prev_total", diff.alias("diff"), status.alias("status"))
+
+
 def snapshot_differential(
     current: DataFrame, previous: DataFrame, key: str, measure: str
 ) -> DataFrame:

@@ -396,6 +396,13 @@ def x2(spark, sf_dir):
     return layers.period_differential(o, "o_orderpriority", "o_orderdate", "o_totalprice")
 
 
+@register("X2_month_over_month")
+def x2m(spark, sf_dir):
+    """Calendar form: customer totals month over month, with new and gone customers."""
+    o = load(spark, sf_dir, "orders")
+    return layers.month_over_month(o, "o_custkey", "o_orderdate", "o_totalprice")
+
+
 @register("X2_snapshot_differential")
 def x2s(spark, sf_dir):
     """Snapshot form: customer totals after the change feed vs before it."""

@@ -58,3 +58,14 @@ def test_gold_report(spark):
     region = spark.createDataFrame([(0, "EAST"), (1, "WEST")], "r_regionkey int, r_name string")
     got = [(r.r_name, r.order_year, r.n_lines, r.net_revenue) for r in layers.gold_report(lines, orders, customer, nation, region).collect()]
     assert got == [("EAST", 2020, 2, D("140.0000")), ("WEST", 2021, 1, D("5.0000"))]
+
+
+def test_month_over_month_new_gone(spark):
+    rows = [("a", T(2024, 1, 5), 10.0), ("a", T(2024, 2, 5), 10.0), ("a", T(2024, 4, 1), 3.0), ("b", T(2024, 2, 9), 2.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    got = {(r.k, r.period.month): (r.status, r.diff) for r in layers.month_over_month(df, "k", "ts", "v").collect()}
+    assert got == {
+        ("a", 1): ("new", D("10.00")), ("a", 2): ("same", D("0.00")), ("a", 3): ("gone", D("-10.00")),
+        ("a", 4): ("new", D("3.00")), ("a", 5): ("gone", D("-3.00")),
+        ("b", 2): ("new", D("2.00")), ("b", 3): ("gone", D("-2.00")),
+    }
