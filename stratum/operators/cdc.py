@@ -3,7 +3,7 @@
 Batch: newest change per key (an aggregate, so hot keys reduce map-side), then
 merged into the base. Two physical plans, same result:
 
-* change feed provably small (row count checked): the newest changes are broadcast;
+* change feed provably small (rows and bytes measured): the newest changes are broadcast;
   the base is joined in place with no shuffle, and inserts are found with a
   broadcast semi join on the base keys -- the base is read once and never shuffled;
 * otherwise: a full outer join, both sides shuffled on the key.
@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import fits_broadcast
+
 OPS = ("I", "U", "D")
 DEFAULT_BROADCAST_CHANGES = 1_000_000
 
@@ -53,7 +55,8 @@ def cdc_apply(
     Unknown ops fail the job. Output columns are the base columns.
 
     ``broadcast_rows``: the change feed is broadcast when it has at most this many
-    rows (checked with a bounded count); ``None`` always uses the shuffle plan.
+    rows and at most 64 MB (both measured by one bounded job); ``None`` always uses the
+    shuffle plan.
     """
     keys = list(keys)
     cols = [c for c in base.columns if c not in keys]
@@ -62,7 +65,7 @@ def cdc_apply(
     take_new = F.col("_op").isin("I", "U")
     merged = [F.when(take_new, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in cols]
 
-    small = broadcast_rows is not None and changes.limit(broadcast_rows + 1).count() <= broadcast_rows
+    small = broadcast_rows is not None and fits_broadcast(changes, broadcast_rows)
     if small:
         bch = F.broadcast(ch)
         kept = (

@@ -11,21 +11,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BROADCAST_ROWS = 100_000
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_NEEDLE_LENGTHS = 512
 
+# Bytes per value of fixed-width types (as laid out in Spark's rows).
+_FIXED_WIDTH = {
+    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4, T.FloatType: 4,
+    T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16,
+}
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` provably has <= ``max_rows`` rows, else ``df``.
 
-    The check runs ``limit(max_rows + 1).count()``, which stops reading as soon as
-    the bound is exceeded.
+def _value_bytes(field: T.StructField) -> Column:
+    """Bytes of one value: fixed width, or the measured length of variable data."""
+    for cls, width in _FIXED_WIDTH.items():
+        if isinstance(field.dataType, cls):
+            return F.lit(width)
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(8)
+    return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + F.lit(8)
+
+
+def bounded_broadcast(
+    df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES
+) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` provably has at most ``max_rows`` rows and at most
+    ``max_bytes`` of data, else ``df`` (a shuffle join; AQE may still pick a broadcast
+    from measured sizes at runtime).
+
+    One small job reads at most ``max_rows + 1`` rows and sums the actual byte length of
+    every value (fixed widths, measured lengths for strings and nested values), so both
+    bounds are measured, not estimated.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
+
+
+def fits_broadcast(
+    df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES
+) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` of data (measured
+    by one job that reads at most ``max_rows + 1`` rows)."""
+    width = sum((_value_bytes(f) for f in df.schema.fields), F.lit(0))
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
 def matching_needles(
@@ -50,9 +83,10 @@ def matching_needles(
     n = needles.select(*keys, F.col(needle_col).alias("_needle")).where(F.col("_needle").isNotNull()).distinct()
     # The set of needle lengths shapes the plan (bounded by the longest needle); the same
     # small job counts the needles, which decides the join strategy below.
+    key_bytes = sum((_value_bytes(f) for f in n.schema.fields), F.lit(0))
     stats = (
         n.groupBy(F.length("_needle").alias("k"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias("c"), F.sum(key_bytes).alias("b"))
         .limit(MAX_NEEDLE_LENGTHS + 1)
         .collect()
     )
@@ -60,6 +94,7 @@ def matching_needles(
         raise ValueError(f"more than {MAX_NEEDLE_LENGTHS} distinct needle lengths")
     lengths = [r["k"] for r in stats]
     n_needles = sum(r["c"] for r in stats)
+    needle_bytes = sum(r["b"] or 0 for r in stats)
     hay = haystack.select(*keys, F.col(hay_col).alias("_hay")).where(F.col("_hay").isNotNull()).distinct()
 
     def substrings_of_length(k: int):
@@ -78,7 +113,7 @@ def matching_needles(
     )
     subs = hay.select(*keys, F.explode(grams).alias("_needle"))
     on = keys + ["_needle"]
-    if n_needles <= max_broadcast_needles:
+    if n_needles <= max_broadcast_needles and needle_bytes <= DEFAULT_BROADCAST_BYTES:
         hits = subs.join(F.broadcast(n), on, "left_semi").distinct()
     else:
         hits = subs.distinct().join(n, on, "left_semi")

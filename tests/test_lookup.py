@@ -36,6 +36,9 @@ def test_bounded_broadcast_uses_broadcast_join_for_small_side(spark):
     plan = big.join(bounded_broadcast(small, 100), "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert bounded_broadcast(big, 100) is big
+    wide = spark.range(10).selectExpr("id AS k", "repeat('x', 1000) AS s")  # ~10 KB of strings
+    assert bounded_broadcast(wide, 100, max_bytes=5_000) is wide  # row bound holds, byte bound does not
+    assert bounded_broadcast(wide, 100, max_bytes=50_000) is not wide
 
 
 def test_validate_storage(spark):
