@@ -302,7 +302,7 @@ def stage_landing(spark, sf_dir, fresh: bool = False) -> str:
     Staged once per session and input folder for the queries that only read it;
     ``fresh=True`` (queries that move files) always stages a new one.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.conf.get("spark.app.id", ""), sf_dir)
     if not fresh and key in _LANDINGS:
         return _LANDINGS[key]
     d = scratch_path(spark, "landing")
