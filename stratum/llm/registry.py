@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratum.llm.bpe import op3_byte_bpe
 from stratum.llm.fingerprints import op1_document_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op3_byte_bpe": op3_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {}
