@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratum.llm.bpe import op3_byte_bpe
+from stratum.llm.chat_format import OP8_SQL, op8_chat_formatting
 from stratum.llm.fingerprints import op1_document_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_byte_bpe": op3_byte_bpe,
+    "op8_chat_formatting": op8_chat_formatting,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_chat_formatting": OP8_SQL,
+}
