@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm.common import table
+from stratum.llm.common import arrow_map, table
 
 WIDE = 256
 CACHE = 400_000
@@ -268,7 +268,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return arrow_map(docs.select("doc_id", "text"), run, SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def decode_documents(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -281,7 +281,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str) -> DataFr
             texts = [own.decode(np.array(x.as_py() or [], np.int64)).decode("utf-8", "replace") for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import stratum
 from stratum.session import load, scratch_path
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,6 +33,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once a Spark context, through Spark's own file
+    distribution; they need not have it installed. Module state (vocabularies, caches) then
+    lives as long as a Python worker."""
+    sc = spark.sparkContext
+    if getattr(sc, "_stratum_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(stratum.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="stratum-ship-"), "stratum.zip")  # read by the driver alone
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    sc._stratum_shipped = True
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
