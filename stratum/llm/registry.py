@@ -11,6 +11,7 @@ from stratum.llm.chat_format import OP8_SQL, op8_chat_formatting
 from stratum.llm.fingerprints import op1_document_fingerprints
 from stratum.llm.html_text import op4_html_extraction
 from stratum.llm.ngram_join import op2_ngram_jaccard
+from stratum.llm.zip_warc import OP10_SQL, op10_zip_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
@@ -18,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_html_extraction": op4_html_extraction,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_zip_warc": op10_zip_warc,
 }
 
 ORACLE: dict[str, str] = {
     "op8_chat_formatting": OP8_SQL,
+    "op10_zip_warc": OP10_SQL,
 }
