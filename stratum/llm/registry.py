@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratum.llm.bpe import op3_byte_bpe
 from stratum.llm.chat_format import OP8_SQL, op8_chat_formatting
+from stratum.llm.decision_list import op5_quality_rules
 from stratum.llm.fingerprints import op1_document_fingerprints
 from stratum.llm.html_text import op4_html_extraction
 from stratum.llm.ngram_join import op2_ngram_jaccard
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_html_extraction": op4_html_extraction,
+    "op5_quality_rules": op5_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_zip_warc": op10_zip_warc,
 }
