@@ -11,7 +11,9 @@ from stratum.llm.chat_format import OP8_SQL, op8_chat_formatting
 from stratum.llm.decision_list import op5_quality_rules
 from stratum.llm.fingerprints import op1_document_fingerprints
 from stratum.llm.html_text import op4_html_extraction
+from stratum.llm.lang_id import op6_language_id
 from stratum.llm.ngram_join import op2_ngram_jaccard
+from stratum.llm.ordinal_quality import op7_quality_classifier
 from stratum.llm.zip_warc import OP10_SQL, op10_zip_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_zip_warc": op10_zip_warc,
 }

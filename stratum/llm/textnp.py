@@ -79,10 +79,15 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_CODE[raw] * _powers(_BASE, len(raw)), out=sums[1:])
+    return sums
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; ``sums``: its :func:`prefix_sums`, if at hand."""
+    sums = prefix_sums(raw) if sums is None else sums
     inverse = _powers(pow(_BASE, -1, 1 << 64), len(raw) + 1)
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
