@@ -41,11 +41,11 @@ from stratum.llm.textnp import BLANK_SEPARATED, WORD_BYTES, blocks, mix, prefix_
 BITS = 18
 SAMPLE = 12_000
 LEAST = 5
-CHI_SQUARE = 30.0
+CHI_SQUARE = 60.0
 ROUNDS = 250
 RATE = 0.1
 DECAY = 2e-4
-CLEAN_RECALL = 0.998
+CLEAN_RECALL = 0.98
 TOP_GRADE = 2
 PREFIXES = (3, 4, 5)
 _UPPER = np.zeros(256, bool)

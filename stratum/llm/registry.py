@@ -12,6 +12,7 @@ from stratum.llm.decision_list import op5_quality_rules
 from stratum.llm.fingerprints import op1_document_fingerprints
 from stratum.llm.html_text import op4_html_extraction
 from stratum.llm.lang_id import op6_language_id
+from stratum.llm.mixture import OP9_SQL, op9_mixture
 from stratum.llm.ngram_join import op2_ngram_jaccard
 from stratum.llm.ordinal_quality import op7_quality_classifier
 from stratum.llm.zip_warc import OP10_SQL, op10_zip_warc
@@ -25,10 +26,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_mixture": op9_mixture,
     "op10_zip_warc": op10_zip_warc,
 }
 
 ORACLE: dict[str, str] = {
     "op8_chat_formatting": OP8_SQL,
+    "op9_mixture": OP9_SQL,
     "op10_zip_warc": OP10_SQL,
 }
