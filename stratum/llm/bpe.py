@@ -264,7 +264,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
                 columns = [part.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out]), pa.array([x[2] for x in out])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([x[3] for x in out], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(x[0] for x in out)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[3] for x in out]))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
