@@ -68,6 +68,8 @@ NAMES = {
     "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "share", "sharing", "social", "related",
     "recommended", "toolbar", "skip", "hidden",
 }
+#: Whole classes of an ``article`` that is none.
+NOT_ARTICLES = {"comment", "comments", "related", "ad", "advert", "advertisement", "promo", "sponsored", "teaser"}
 START_POINTS = {
     "article": 10, "main": 8, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "body": 0, "ul": -3, "ol": -3,
     "dl": -3, "li": -3, "form": -3, "th": -5,
@@ -81,7 +83,7 @@ def _attributes(text: str) -> dict[str, str]:
 def _is_left_out(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in LEFT_OUT or (tag == "header" and not in_article):
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    if not attributes.strip() or tag in ("html", "body"):
         return False
     found = _attributes(attributes)
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("aria-modal") == "true":
@@ -90,6 +92,8 @@ def _is_left_out(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
+    if tag in ("article", "main"):  # their classes often tell what the page has besides
+        return not NOT_ARTICLES.isdisjoint(found.get("class", "").lower().split())
     spoken = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found.get("class", "") + " " + found.get("id", ""))
     return not NAMES.isdisjoint(_WORD.findall(spoken.lower()))
 
@@ -246,7 +250,8 @@ def main_text(html: str | None) -> str:
                 if tree.tag[k] in ("p", "pre", "blockquote"):
                     good = density < 0.25 and (total[k] >= 80 or tree.tag[best] not in ("article", "main"))
                 else:
-                    good = touched[k] and density < 0.25 and score[k] >= max(10.0, 0.2 * score[best])
+                    earned = score[k] - START_POINTS.get(tree.tag[k], 0)
+                    good = touched[k] and density < 0.25 and earned >= max(5.0, 0.2 * score[best])
                 if good:
                     keep.add(k)
     inside = [False] * n
