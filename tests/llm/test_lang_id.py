@@ -1,0 +1,57 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from stratum.llm import lang_id as li
+from stratum.session import load
+from tests.conftest import SF_ORACLE
+from tests.llm.helpers import DOCUMENTS, awkward_rows, documents
+
+
+def test_letters_and_gaps():
+    code, offsets = li.letters(["Ab, c!", "", "\n1É"])
+    parts = [code[a + li.ORDER - 1 : b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)]
+    assert parts == [[97, 98, 0, 99, 0], [], [0xE9]] or parts == [[97, 98, 0, 99, 0], [], [0xE9, 0]]
+
+
+def test_probabilities_sum_to_one():
+    texts = {"a": ["the cat and the hat", "a cat sat on the mat"], "b": ["el gato y el sombrero", "un gato"]}
+    counts = {k: li.train(v) for k, v in texts.items()}
+    model = li.merge(counts)
+    li.fill(model, [t for v in texts.values() for t in v])
+    assert not any(np.isnan(t.rows).any() for t in model.grams)
+    for j, (name, own) in enumerate(texts.items()):
+        alphabet = sorted({int(c) for t in own for c in li.letters([t])[0]} | {0})
+        for context in ("the ", "cat ", "zzzz", "gato"):
+            codes = [0 if c == " " else ord(c) for c in context]
+            p = [np.exp(model.log_p(np.array([*codes, c], np.uint32), np.array([4])))[0, j] for c in alphabet]
+            assert 0.9 < sum(p) <= 1.0 + 1e-5, (name, context)  # the rest is for unseen characters
+
+
+def test_held_out_accuracy(spark):
+    docs = load(spark, SF_ORACLE, "documents")
+    model = li.fit(docs.filter(~li.held_out()))
+    rows = li.identify(docs, model, ["doc_id", "lang"]).filter(li.held_out()).collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+    assert all(0 <= r.score <= 1 for r in rows) and np.mean([r.rejected for r in rows]) < 0.02
+
+
+def test_awkward_rows_and_no_labels(spark):
+    docs = documents(spark)
+    model = li.fit(docs)
+    rows = li.identify(docs, model).collect()
+    assert len(rows) == len(awkward_rows())
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[4].lang_pred == by_id[5].lang_pred == "und" and by_id[4].score == 0 and by_id[4].rejected
+    assert by_id[1].lang_pred == by_id[2].lang_pred == "en"
+    none = li.fit(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in li.identify(docs, none).collect()} == {"und"}
+    empty = spark.createDataFrame([], DOCUMENTS)
+    assert li.identify(empty, li.fit(empty)).collect() == []
+
+
+def test_noise_is_rejected(spark):
+    docs = load(spark, SF_ORACLE, "documents")
+    model = li.fit(docs)
+    rng = np.random.default_rng(1)
+    noise = ["".join(rng.choice(list("qxzjkvwbcdfghp"), 40)) + " " + "".join(rng.choice(list("qxzjkvw"), 300)) for _ in range(5)]
+    assert model.predict(noise)[3].all()
