@@ -20,10 +20,13 @@ aggregation by digest, so a large group of copies meets in no task.
 Files are reached through ``pyarrow.fs`` by the URI of the shared folder (``file``, ``hdfs``
 and the stores pyarrow knows).
 
+Each page becomes a compressed response record before the one shuffle that its bytes take,
+so the shuffle moves what the archive will hold.
+
 Defined cases: NULL html is an empty payload; an empty table gives no archive and no rows;
-of rows that repeat a ``page_id`` with the same payload one is the response and the others
-revisit it, NULL ``page_id`` last; a NULL url is written as an empty target; other columns
-are not read.
+rows that repeat the smallest ``page_id`` of a payload are responses, each of them, and a
+NULL ``page_id`` is larger than any other; a NULL url is written as an empty target; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -38,13 +41,15 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm.common import arrow_map, materialize, shuffle_partitions, table
+from stratum.llm.textnp import blocks
 from stratum.session import scratch_path
 
 LEAST_BYTES = 100
+GZIP_LEVEL = 4
 ARCHIVE_BYTES = 256 << 20
 MEMBER_BYTES = 64 << 20
 SLICE_BYTES = 8 << 20
@@ -135,7 +140,8 @@ class ZipDirectory:
         tail_at = max(0, size - (22 + _FULL16))
         tail = self.read(tail_at, size - tail_at)
         at = tail.rfind(_EOCD)
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] > len(tail):
+        # the mark can also stand in the comment; the record's comment ends with the file
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
             at = tail.rfind(_EOCD, 0, at)
         if at < 0:
             raise ValueError("not a ZIP file: no end of central directory")
@@ -220,23 +226,28 @@ def _one_line(text: str | None) -> str:
     return (text or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def _page_record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """A response record, or a revisit record if there is no payload."""
     # the date is fixed: equal inputs give equal records
     headers = [
-        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Type", "revisit" if payload is None else "response"),
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
         ("WARC-Target-URI", _one_line(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("Content-Type", "application/http; msgtype=response"),
     ]
-    if revisit:
+    if payload is None:
         headers += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", f"<urn:page:{'' if refers_to is None else refers_to}>"),
+            ("WARC-Refers-To", f"<urn:page:{refers_to}>"),
         ]
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    return warc_record(headers, http if revisit else http + payload)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    return warc_record(headers, http + (payload or b""))
+
+
+def _packed(record: bytes) -> bytes:
+    return gzip.compress(record, GZIP_LEVEL, mtime=0)
 
 
 MANIFEST = "archive string, bytes long, records long"
@@ -248,7 +259,7 @@ class _ArchiveWriter:
         self.zip: StoredZipWriter | None = None
         self.done: list[tuple[str, int, int]] = []
 
-    def add(self, record: bytes) -> None:
+    def add(self, packed: bytes) -> None:
         if self.zip is None:
             fs, path = filesystem(self.folder)
             fs.create_dir(path, recursive=True)
@@ -260,7 +271,6 @@ class _ArchiveWriter:
             self.zip.end()
             self.number += 1
             self.zip.begin(self._member())
-        packed = gzip.compress(record, 1, mtime=0)
         begin = self.zip.write(packed)
         self.index.append(json.dumps({"member": self._member(), "offset": begin, "length": len(packed)}))
         if self.zip.at >= self.archive_bytes:
@@ -282,52 +292,72 @@ class _ArchiveWriter:
         self.zip = None
 
 
-def mark_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``page_id, url, html, digest, revisit, refers_to`` of each row. Only digests that
-    occur twice or more are joined back, by page, to slim rows."""
+def find_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """``page_id, digest, refers_to`` of the pages whose payload a smaller ``page_id`` has."""
     slim = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     slim = slim.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= least_bytes)
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = slim.select("page_id", "digest").join(first, "digest")
-    # one row a page and digest; of a page's own repeats one stays the response
-    copies = copies.groupBy("page_id", "digest", "first").agg(F.count("*").alias("repeats"))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    same = rows.alias("r").join(
-        copies.alias("c"),
-        F.col("r.page_id").eqNullSafe(F.col("c.page_id")) & (F.col("r.digest") == F.col("c.digest")),
-        "left",
-    )
-    nth = F.row_number().over(Window.partitionBy("r.page_id", "r.digest").orderBy("r.url"))
-    return same.withColumn("nth", F.when(F.col("repeats") > 1, nth).otherwise(1)).select(
-        "r.page_id",
-        "r.url",
-        "r.html",
-        "r.digest",
-        (F.col("repeats").isNotNull() & (~F.col("r.page_id").eqNullSafe(F.col("first")) | (F.col("nth") > 1))).alias("revisit"),
-        F.col("first").alias("refers_to"),
-    )
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 AND refers_to IS NOT NULL")
+    copies = slim.select("page_id", "digest").join(first.drop("n"), "digest")
+    return copies.filter("page_id IS NULL OR page_id <> refers_to").distinct()
+
+
+def packed_responses(pages: DataFrame) -> DataFrame:
+    """``page_id, url, size, digest, packed``: each page as a compressed response record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "html"):
+                out = []
+                for page_id, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                    payload = (html or "").encode()
+                    digest = hashlib.sha256(payload).hexdigest()
+                    out.append((len(payload), digest, _packed(_page_record(page_id, url, payload, len(payload), digest, None))))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("page_id"),
+                        part.column("url"),
+                        pa.array([x[0] for x in out], pa.int64()),
+                        pa.array([x[1] for x in out], pa.string()),
+                        pa.array([x[2] for x in out], pa.binary()),
+                    ],
+                    ["page_id", "url", "size", "digest", "packed"],
+                )
+
+    return arrow_map(pages.select("page_id", "url", "html"), run, "page_id long, url string, size long, digest string, packed binary")
 
 
 def write_archives(
-    marked: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, member_bytes: int = MEMBER_BYTES, zip64: bool = False
+    pages: DataFrame,
+    folder: str,
+    least_bytes: int = LEAST_BYTES,
+    archive_bytes: int = ARCHIVE_BYTES,
+    member_bytes: int = MEMBER_BYTES,
+    zip64: bool = False,
 ) -> DataFrame:
-    """Writes the rows of :func:`mark_revisits` and returns the ``MANIFEST`` of the archives
-    as a table in the shared folder."""
+    """Writes a record for each row ``page_id, url, html`` and returns the ``MANIFEST`` of the
+    archives as a table in the shared folder."""
+    revisits = find_revisits(pages, least_bytes).alias("v")
+    marked = packed_responses(pages).alias("r").join(
+        revisits, F.col("r.page_id").eqNullSafe(F.col("v.page_id")) & (F.col("r.digest") == F.col("v.digest")), "left"
+    )
+    # a revisit record is made of the other columns
+    body = F.when(F.col("refers_to").isNull(), F.col("packed")).alias("packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _ArchiveWriter(folder, archive_bytes, member_bytes, zip64)
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")]
+            columns = [batch.column(c) for c in ("page_id", "url", "size", "digest", "refers_to", "packed")]
             for k in range(batch.num_rows):
-                page_id, url, html, digest, refers_to, revisit = (c[k].as_py() for c in columns)
-                out.add(_page_record(page_id, url, html.encode(), digest, refers_to, revisit))
+                page_id, url, size, digest, refers_to, packed = (c[k].as_py() for c in columns)
+                out.add(_packed(_page_record(page_id, url, None, size, digest, refers_to)) if packed is None else packed)
         out.finish()
         yield pa.RecordBatch.from_pylist(
             [{"archive": a, "bytes": b, "records": n} for a, b, n in out.done],
             pa.schema([("archive", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]),
         )
 
-    return materialize(arrow_map(marked, run, MANIFEST), "manifest")
+    rows = marked.select("r.page_id", "r.url", "size", "r.digest", "refers_to", body)
+    return materialize(arrow_map(rows, run, MANIFEST), "manifest")
 
 
 def record_ranges(manifest: DataFrame) -> DataFrame:
@@ -408,8 +438,7 @@ def read_records(manifest: DataFrame, keep: Callable[[dict, dict, bytes], bool]
 
 def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", ["page_id", "url", "html"])
-    manifest = write_archives(mark_revisits(pages), scratch_path(spark, "warc"))
-    return read_records(manifest)
+    return read_records(write_archives(pages, scratch_path(spark, "warc")))
 
 
 OP10_SQL = """
