@@ -9,7 +9,7 @@ it covers are taken out. The list becomes one ordered Spark conditional expressi
 is applied to all rows; the rules can be read as text.
 
 Statistics need no shuffle; the labels are joined to numbers, never to texts. The sample is
-taken by the smallest hashes of ``doc_id``, at most ``SAMPLE`` rows of seven numbers, and is
+taken by the hash of ``doc_id``, about ``SAMPLE`` labels at most, seven numbers each, and is
 fitted on the driver.
 
 Repeated five-word windows are found by 64-bit hashes of the words within a text.
@@ -219,12 +219,14 @@ def base_failed() -> Column:
 
 def fit_rules(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules from labelled rows that pass the base (the others are rejected without them)."""
+    labels = labels.filter("quality IS NOT NULL").select("doc_id", "quality")
+    share = min(1.0, sample / max(labels.count(), 1))
+    labels = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
     rows = (
         statistics.filter(~base_failed())
-        .join(labels.filter("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
+        .join(labels, "doc_id")
         .select(F.xxhash64("doc_id").alias("h"), "quality", *[F.expr(e).alias(k) for k, e in FEATURES.items()])
         .orderBy("h", "quality", *FEATURES)
-        .limit(sample)
         .toPandas()
     )
     if rows.empty:
