@@ -64,21 +64,13 @@ def schedule_to_cron(time_text: Column | str, frequency: Column | str, canonical
     return out
 
 
-def schedule_mode(frequency: Column | str, time_text: Column | str) -> Column:
-    """``schedule``, ``create`` or ``fail`` for a (frequency, time) pair.
+def is_missing(value: Column | str) -> Column:
+    """NULL, blank, or the text ``nan`` (any case): what S6 reads as missing."""
+    v = _c(value)
+    return v.isNull() | (F.trim(v) == "") | (F.lower(F.trim(v)) == "nan")
 
-    * neither a non-blank frequency nor any time -> ``create``;
-    * a time but no frequency at all -> ``fail`` (the frequency cannot be read);
-    * otherwise the frequency, or the time when the frequency is blank, decides:
-      ``nan`` (any case) -> ``create``, anything else -> ``schedule``.
-    """
-    f, t = _c(frequency), _c(time_text)
-    f_truthy = f.isNotNull() & (f != "")
-    either_present = f_truthy | t.isNotNull()
-    chosen = F.lower(F.when(f != "", f).otherwise(t))
-    return (
-        F.when(~either_present, F.lit("create"))
-        .when(f.isNull(), F.lit("fail"))
-        .when(chosen != "nan", F.lit("schedule"))
-        .otherwise(F.lit("create"))
-    )
+
+def schedule_mode(frequency: Column | str, time_text: Column | str) -> Column:
+    """``schedule`` when both a frequency and a first time are given, else ``create``
+    (the job is made without a schedule)."""
+    return F.when(is_missing(frequency) | is_missing(time_text), F.lit("create")).otherwise(F.lit("schedule"))

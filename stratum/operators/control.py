@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cron import NOT_SUPPORTED, schedule_mode, schedule_to_cron
+from ..functions.cron import NOT_SUPPORTED, is_missing, schedule_mode, schedule_to_cron
 from ..functions.names import null_if_nan, schema_part, table_part
 from ..schemas import SYNC_LOG
-from .joins import bounded_broadcast
 
 # Fixed values used in plan rows and log rows.
 SYNC_JOB_PREFIX = "CDC_UC"
@@ -21,7 +20,9 @@ SOURCE_CATALOG = "hive_metastore"
 NOT_AVAILABLE = "N/A"
 MSG_NOT_WANTED = "sync_required parameter is NO"
 MSG_KNOWN = "job already scheduled"
-MSG_FAIL = "frequency missing while schedule time is set"
+MSG_NO_SCHEMA = "table name has no schema part"
+MSG_NO_FREQUENCY = "created without schedule: no frequency given"
+MSG_NO_TIME = "created without schedule: no time given"
 MSG_NO_SCHEDULE = "created without schedule: no frequency or time given"
 MSG_BAD_TIME = "created without schedule: time does not parse"
 MSG_UNSUPPORTED = "created without schedule: frequency not supported"
@@ -74,8 +75,6 @@ def managed_worklist(control: DataFrame) -> DataFrame:
 
 # --- J5 -------------------------------------------------------------------------------
 
-MAX_INVENTORY_ROWS = 2_000_000
-MAX_KNOWN_JOBS = 2_000_000
 DRY_RUN_STATUSES = ("SOURCE_MISSING", "DEST_SCHEMA_MISSING", "DEST_EXISTS", "NOT_EXTERNAL", "OK")
 
 
@@ -94,12 +93,9 @@ def dry_run_check(control: DataFrame, inventory: DataFrame, source_catalog: str
     inv = inventory.select(
         F.lower("catalog").alias("_c"), F.lower("schema").alias("_s"), F.lower("table").alias("_t")
     ).distinct()
-    # A catalog listing is metadata-sized: broadcast it (row count proven first) so the
-    # control table is joined three times without being shuffled.
-    inv = bounded_broadcast(inv, MAX_INVENTORY_ROWS)
     src = inv.withColumn("_src", F.lit(True))
     dst = inv.withColumn("_dst", F.lit(True))
-    schemas = bounded_broadcast(inv.select("_c", "_s").distinct(), MAX_INVENTORY_ROWS).withColumn("_sch", F.lit(True))
+    schemas = inv.select("_c", "_s").distinct().withColumn("_sch", F.lit(True))
     base = control.withColumn("_row_dest_table", destination_table())
     joined = (
         base.join(
@@ -136,8 +132,11 @@ def dry_run_check(control: DataFrame, inventory: DataFrame, source_catalog: str
 
 
 def sync_job_name(prefix: str = SYNC_JOB_PREFIX) -> Column:
-    """``CDC_UC_<table>`` plus ``_<Uc_table_name>`` when that is present and not ``nan``."""
-    return F.concat_ws("_", F.lit(prefix), table_part("Hive_table_name"), null_if_nan("Uc_table_name"))
+    """``CDC_UC_<table>`` plus ``_<Uc_table_name>`` when that is present and not ``nan``;
+    NULL when the table name has no schema part (no dot), which would give all such
+    tables one job."""
+    name = F.concat_ws("_", F.lit(prefix), table_part("Hive_table_name"), null_if_nan("Uc_table_name"))
+    return F.when(F.instr("Hive_table_name", ".") > 0, name)
 
 
 def sync_parameters(source_catalog: str = SOURCE_CATALOG) -> Column:
@@ -166,17 +165,21 @@ def notifications(user: Column | str) -> Column:
 
 
 def schedule_columns(df: DataFrame) -> DataFrame:
-    """Adds ``mode`` (schedule/create/fail) and ``cron`` (NULL when unscheduled)."""
+    """Adds ``mode`` (schedule/create), ``cron`` (NULL when unscheduled) and the reason
+    why a job is created without a schedule: what is missing, or what does not parse."""
     # The raw cron is its own column: later expressions reference it by name, so the
     # parse is evaluated once per row and generated code stays small.
     staged = df.withColumn("_cron_raw", schedule_to_cron("Date_n_time_for_1st_schedule", "Frequency_of_sync"))
     mode = schedule_mode("Frequency_of_sync", "Date_n_time_for_1st_schedule")
     cron = F.col("_cron_raw")
+    no_frequency, no_time = is_missing("Frequency_of_sync"), is_missing("Date_n_time_for_1st_schedule")
     return staged.withColumn("mode", mode).withColumn(
         "cron", F.when((F.col("mode") == "schedule") & (cron != NOT_SUPPORTED), cron)
     ).withColumn(
         "_unscheduled_reason",
-        F.when(F.col("mode") == "create", F.lit(MSG_NO_SCHEDULE))
+        F.when(no_frequency & no_time, F.lit(MSG_NO_SCHEDULE))
+        .when(no_frequency, F.lit(MSG_NO_FREQUENCY))
+        .when(no_time, F.lit(MSG_NO_TIME))
         .when((F.col("mode") == "schedule") & cron.isNull(), F.lit(MSG_BAD_TIME))
         .when((F.col("mode") == "schedule") & (cron == NOT_SUPPORTED), F.lit(MSG_UNSUPPORTED)),
     )
@@ -190,32 +193,32 @@ def sync_plan(managed: DataFrame, known_jobs: DataFrame, user: str = "pipeline-o
 
     ``managed`` is the J7 work list; ``known_jobs`` has ``job_name, job_id`` with one
     row per name (see ``lookup.first_by_name``). Actions: ``skip`` (sync not wanted,
-    or job already known), ``fail`` (frequency missing while a time is set),
-    ``schedule`` (valid cron) or ``create`` (unscheduled, with the reason).
+    or job already known), ``fail`` (the table name has no schema part), ``schedule``
+    (valid cron) or ``create`` (unscheduled, with the reason).
     ``Sync_required`` must equal ``yes`` exactly.
     """
     jobs = known_jobs.select(F.col("job_name").alias("_known_name"), F.col("job_id").alias("_known_id"))
-    jobs = bounded_broadcast(jobs, MAX_KNOWN_JOBS)  # a job listing is metadata-sized
     planned = schedule_columns(managed.withColumn("job_name", sync_job_name()))
     joined = planned.join(jobs, planned["job_name"] == jobs["_known_name"], "left")
     wanted = F.coalesce(F.col("Sync_required") == "yes", F.lit(False))
     known = F.col("_known_name").isNotNull()
+    unnamed = F.col("job_name").isNull()
     action = (
         F.when(~wanted, F.lit("skip"))
-        .when(F.col("mode") == "fail", F.lit("fail"))
+        .when(unnamed, F.lit("fail"))
         .when(known, F.lit("skip"))
         .when(F.col("cron").isNotNull(), F.lit("schedule"))
         .otherwise(F.lit("create"))
     )
     status = (
         F.when(~wanted, F.lit("Skipped"))
-        .when(F.col("mode") == "fail", F.lit("Failed"))
+        .when(unnamed, F.lit("Failed"))
         .when(known, F.lit("Skipped"))
         .otherwise(F.lit("Planned"))
     )
     message = (
         F.when(~wanted, F.lit(MSG_NOT_WANTED))
-        .when(F.col("mode") == "fail", F.lit(MSG_FAIL))
+        .when(unnamed, F.lit(MSG_NO_SCHEMA))
         .when(known, F.lit(MSG_KNOWN))
         .when(F.col("cron").isNotNull(), F.concat(F.lit("scheduled: "), F.col("cron")))
         .otherwise(F.col("_unscheduled_reason"))
@@ -225,9 +228,9 @@ def sync_plan(managed: DataFrame, known_jobs: DataFrame, user: str = "pipeline-o
         "job_name",
         action.alias("action"),
         status.alias("status"),
-        F.when(wanted & (F.col("mode") != "fail") & ~known, F.col("cron")).alias("cron"),
+        F.when(wanted & ~unnamed & ~known, F.col("cron")).alias("cron"),
         message.alias("log_message"),
-        F.when(wanted & (F.col("mode") != "fail") & known, F.col("_known_id")).alias("job_id"),
+        F.when(wanted & ~unnamed & known, F.col("_known_id")).alias("job_id"),
         F.col("Uc_catalog_name").alias("destination_catalog_name"),
         F.col("Uc_schema_name").alias("destination_schema_name"),
         sync_parameters().alias("parameters"),

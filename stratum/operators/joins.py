@@ -1,10 +1,10 @@
 """Join helpers shared by the operators.
 
-* ``bounded_broadcast``: broadcast a side only after proving it has at most
-  ``max_rows`` rows; otherwise leave it to a shuffle join (and AQE, which may still
-  switch to a broadcast at runtime from measured sizes).
-* ``contains_any``: "does this needle occur as a substring of any haystack text?"
-  as an exact equi-join on generated substrings, instead of a nested-loop join.
+Join strategies are left to Spark: file statistics at planning time and AQE at run
+time decide what is broadcast. Nothing here runs a job while a plan is built.
+
+``matching_needles``: "does this needle occur as a substring of any haystack text?" as an
+equi-join on short substrings, instead of a nested-loop join.
 """
 
 from __future__ import annotations
@@ -13,111 +13,67 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-DEFAULT_BROADCAST_ROWS = 100_000
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_NEEDLE_LENGTHS = 512
-
-# Bytes per value of fixed-width types (as laid out in Spark's rows).
-_FIXED_WIDTH = {
-    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4, T.FloatType: 4,
-    T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16,
-}
-
-
-def _value_bytes(field: T.StructField) -> Column:
-    """Bytes of one value: fixed width, or the measured length of variable data."""
-    for cls, width in _FIXED_WIDTH.items():
-        if isinstance(field.dataType, cls):
-            return F.lit(width)
-    c = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(8)
-    return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + F.lit(8)
 
+#: Needles of at least this length meet the texts on one substring of this length.
+GRAM = 8
 
-def bounded_broadcast(
-    df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES
-) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` provably has at most ``max_rows`` rows and at most
-    ``max_bytes`` of data, else ``df`` (a shuffle join; AQE may still pick a broadcast
-    from measured sizes at runtime).
-
-    One small job reads at most ``max_rows + 1`` rows and sums the actual byte length of
-    every value (fixed widths, measured lengths for strings and nested values), so both
-    bounds are measured, not estimated.
-    """
-    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
-
-def fits_broadcast(
-    df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES
-) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` of data (measured
-    by one job that reads at most ``max_rows + 1`` rows)."""
-    width = sum((_value_bytes(f) for f in df.schema.fields), F.lit(0))
-    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
-    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
+def _substrings(text: Column, length: Column) -> Column:
+    """All substrings of one length, in order; none where the text is shorter."""
+    last = F.length(text) - length + 1
+    return F.when(
+        last >= 1, F.transform(F.sequence(F.lit(1), last), lambda p: F.substring(text, p, length))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def matching_needles(
-    needles: DataFrame,
-    needle_col: str,
-    haystack: DataFrame,
-    hay_col: str,
-    keys: Sequence[str] = (),
-    max_broadcast_needles: int = 1_000_000,
+    needles: DataFrame, needle_col: str, haystack: DataFrame, hay_col: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Distinct ``(keys..., needle)`` rows whose needle occurs as a substring of some
     haystack text with the same ``keys`` (NULL needles never match; an empty needle
     matches when any text exists for its keys).
 
-    Exact: every haystack text emits its substrings of each length that some needle
-    has, and matching is equality -- no candidate pairs, no nested-loop join. When the
-    needle set is provably small it is broadcast and non-matching substrings are
-    dropped inside each map task, so only matches are shuffled; otherwise substrings
-    are deduplicated map-side and semi-joined with a shuffle.
+    A text emits its distinct substrings of ``GRAM`` characters, and of those shorter lengths
+    that some needle has (a subquery of the same plan; at most ``GRAM`` lengths). A needle of
+    ``GRAM`` characters or more is represented by one of its substrings of that length, the
+    one that fewest texts have, and compared with the texts that have it; shorter ones
+    match by equality. There is no limit on the number or length of needles.
     """
     keys = list(keys)
     n = needles.select(*keys, F.col(needle_col).alias("_needle")).where(F.col("_needle").isNotNull()).distinct()
-    # The set of needle lengths shapes the plan (bounded by the longest needle); the same
-    # small job counts the needles, which decides the join strategy below.
-    key_bytes = sum((_value_bytes(f) for f in n.schema.fields), F.lit(0))
-    stats = (
-        n.groupBy(F.length("_needle").alias("k"))
-        .agg(F.count(F.lit(1)).alias("c"), F.sum(key_bytes).alias("b"))
-        .limit(MAX_NEEDLE_LENGTHS + 1)
-        .collect()
-    )
-    if len(stats) > MAX_NEEDLE_LENGTHS:
-        raise ValueError(f"more than {MAX_NEEDLE_LENGTHS} distinct needle lengths")
-    lengths = [r["k"] for r in stats]
-    n_needles = sum(r["c"] for r in stats)
-    needle_bytes = sum(r["b"] or 0 for r in stats)
     hay = haystack.select(*keys, F.col(hay_col).alias("_hay")).where(F.col("_hay").isNotNull()).distinct()
-
-    def substrings_of_length(k: int):
-        if k == 0:
-            return F.array(F.lit(""))
-        starts = F.length("_hay") - F.lit(k - 1)
-        # sequence(1, 0) would count down, so texts shorter than k give an empty array
-        return F.when(
-            starts >= 1, F.transform(F.sequence(F.lit(1), starts), lambda p: F.substring(F.col("_hay"), p, k))
-        ).otherwise(F.array().cast("array<string>"))
-
-    grams = (
-        F.flatten(F.array(*[substrings_of_length(k) for k in lengths]))
-        if lengths
-        else F.array().cast("array<string>")
+    short = n.where(F.length("_needle") < GRAM)
+    lengths = short.select(F.array_sort(F.collect_set(F.length("_needle")))).scalar()
+    grams = F.array_distinct(
+        F.flatten(
+            F.transform(
+                F.array_append("_lengths", F.lit(GRAM)),
+                # a substring of no characters is in every text
+                lambda k: F.when(k == 0, F.array(F.lit(""))).otherwise(_substrings(F.col("_hay"), k)),
+            )
+        )
+    )
+    in_texts = hay.withColumn("_lengths", lengths).select(*keys, "_hay", F.explode(grams).alias("_gram"))
+    equal = short.select(*keys, "_needle", F.col("_needle").alias("_gram"))
+    long = n.where(F.length("_needle") >= GRAM)
+    candidates = long.select(
+        *keys, "_needle", F.explode(F.array_distinct(_substrings(F.col("_needle"), F.lit(GRAM)))).alias("_gram")
+    )
+    on = [*keys, "_gram"]
+    # how many texts have each gram of a needle; a gram that none has rules the needle out
+    wanted = candidates.select(*on).distinct()
+    counts = in_texts.join(wanted, on, "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        candidates.join(counts, on, "left")
+        .groupBy(*keys, "_needle")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"))
+        .where("_r.n > 0")
+        .select(*keys, "_needle", F.col("_r.gram").alias("_gram"))
+    )
+    hits = in_texts.join(equal.unionByName(rarest), on).where(
+        (F.length("_needle") < GRAM) | F.contains("_hay", "_needle")
     )
-    subs = hay.select(*keys, F.explode(grams).alias("_needle"))
-    on = keys + ["_needle"]
-    if n_needles <= max_broadcast_needles and needle_bytes <= DEFAULT_BROADCAST_BYTES:
-        hits = subs.join(F.broadcast(n), on, "left_semi").distinct()
-    else:
-        hits = subs.distinct().join(n, on, "left_semi")
-    return hits.withColumnRenamed("_needle", needle_col)
+    return hits.select(*keys, F.col("_needle").alias(needle_col)).distinct()
 
 
 def contains_any(
@@ -127,13 +83,12 @@ def contains_any(
     hay_col: str,
     keys: Sequence[str] = (),
     out_col: str = "matched",
-    max_broadcast_needles: int = 1_000_000,
 ) -> DataFrame:
     """Every distinct ``(keys..., needle)`` with ``out_col`` = it occurs in some haystack
     text with the same keys (see ``matching_needles``)."""
     keys = list(keys)
     n = needles.select(*keys, needle_col).where(F.col(needle_col).isNotNull()).distinct()
-    hits = matching_needles(n, needle_col, haystack, hay_col, keys, max_broadcast_needles)
+    hits = matching_needles(n, needle_col, haystack, hay_col, keys)
     return n.join(hits.withColumn("_hit", F.lit(True)), keys + [needle_col], "left").select(
         *keys, needle_col, F.coalesce("_hit", F.lit(False)).alias(out_col)
     )

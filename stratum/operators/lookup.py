@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import environment_bucket, storage_root
 from ..schemas import CLUSTERS_LISTING, JOBS_LISTING
-from .joins import bounded_broadcast, matching_needles
-
-MAX_CATALOG_ROWS = 1_000_000
-MAX_LISTING_ROWS = 2_000_000
+from .joins import matching_needles
 
 
 # --- J1 -------------------------------------------------------------------------------
@@ -34,8 +31,7 @@ def resolve_catalog(
     the reference) and ``lower(environment) == env``. Several catalog rows for one key:
     the smallest ``catalogName`` wins. No row: NULL.
 
-    The catalog side is one row per (customer, environment); it is broadcast when its
-    row count is proven small, otherwise the join shuffles.
+    The catalog side is one row per (customer, environment).
     """
     cat = (
         catalog_names.select(
@@ -44,7 +40,6 @@ def resolve_catalog(
         .groupBy("_cust", "_env")
         .agg(F.min("catalogName").alias("catalogName"))
     )
-    cat = bounded_broadcast(cat, MAX_CATALOG_ROWS)
     out = requests.join(
         cat, (F.col(client_col) == F.col("_cust")) & (F.col(env_col) == F.col("_env")), "left"
     )
@@ -73,18 +68,21 @@ def validate_storage(
     at least one location URL; ``use_root=False`` looks for the raw name (the other
     edition). An empty or NULL name, or a name without a root, is not valid.
     ``exact=True`` compares the root with the root of each location URL by equality.
+
+    A root that is the root of a location is found by that equality; only the others
+    go through the substring search.
     """
     probe = storage_root(name_col) if use_root else F.col(name_col)
     req = requests.withColumn("_probe", F.when(F.coalesce(F.length(name_col), F.lit(0)) > 0, probe))
+    same = locations.select(storage_root(url_col).alias("_probe")).where(F.col("_probe").isNotNull()).distinct()
     if exact:
-        roots = (
-            locations.select(storage_root(url_col).alias("_probe"))
-            .where(F.col("_probe").isNotNull())
-            .distinct()
-            .withColumn("_hit", F.lit(True))
-        )
+        roots = same
+    elif use_root:
+        rest = req.select("_probe").distinct().join(same, "_probe", "left_anti")
+        roots = same.unionByName(matching_needles(rest, "_probe", locations, url_col))
     else:
-        roots = matching_needles(req, "_probe", locations, url_col).withColumn("_hit", F.lit(True))
+        roots = matching_needles(req, "_probe", locations, url_col)
+    roots = roots.withColumn("_hit", F.lit(True))
     return (
         req.join(roots, "_probe", "left")
         .withColumn("valid", F.coalesce("_hit", F.lit(False)))
@@ -153,11 +151,9 @@ def lookup_by_name(
     both = listing.groupBy(name_col).agg(
         F.min_by(value_col, order).alias(value_col), F.max_by(value_col, order).alias(f"{value_col}_last")
     )
-    listing_empty = listing.isEmpty()
-    out = wanted.join(bounded_broadcast(both, MAX_LISTING_ROWS), name_col, "left")
+    rows = listing.select(F.count(F.lit(1))).scalar()  # a subquery of the same plan
+    out = wanted.join(both, name_col, "left")
     status = (
-        F.lit("empty")
-        if listing_empty
-        else F.when(F.col(value_col).isNotNull(), F.lit("found")).otherwise(F.lit("not found"))
+        F.when(F.col(value_col).isNotNull(), F.lit("found")).when(rows == 0, F.lit("empty")).otherwise(F.lit("not found"))
     )
     return out.withColumn("status", status)

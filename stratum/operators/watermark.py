@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import default_timestamp
-from .joins import bounded_broadcast
-
-MAX_TABLES_BROADCAST = 100_000
+#: Watermark rows that are put into the scan as literal bounds; more are joined.
+MAX_LITERAL_TABLES = 1_000
 
 
 def last_run(etl_log: DataFrame, per_table: bool = False, ts_col: str = "lastExtractDateTime") -> DataFrame:
@@ -41,6 +40,13 @@ def watermark_value(etl_log: DataFrame, ts_col: str = "lastExtractDateTime") ->
     return last_run(etl_log, ts_col=ts_col).first()["last_run"]
 
 
+def watermark_rows(watermark: DataFrame, table_col: str = "tableName", col: str = "last_run") -> list[tuple[str, dt.datetime]]:
+    """The rows of a per-table watermark, for literal bounds that reach the scan; none if
+    there are more than ``MAX_LITERAL_TABLES`` (the join alone then decides)."""
+    rows = watermark.where(F.col(table_col).isNotNull()).select(table_col, F.coalesce(col, default_timestamp())).limit(MAX_LITERAL_TABLES + 1).collect()
+    return [] if len(rows) > MAX_LITERAL_TABLES else [(r[0], r[1]) for r in rows]
+
+
 def incremental_slice(
     df: DataFrame,
     watermark: DataFrame | dt.datetime | Column,
@@ -49,22 +55,25 @@ def incremental_slice(
     table_col: str | None = None,
     watermark_table_col: str = "tableName",
     watermark_col: str = "last_run",
+    known: list[tuple[str, dt.datetime]] | None = None,
 ) -> DataFrame:
     """A4: rows newer than the watermark (strict ``>``; ``inclusive=True`` for ``>=``).
 
     * a ``datetime``/Column watermark becomes a plain predicate, which Parquet
       scans receive as a pushed filter;
     * a per-table watermark DataFrame (``tableName, last_run``) is joined on
-      ``table_col``; it is broadcast only when its row count is proven small.
-      Tables without a watermark use the 1970 default.
+      ``table_col``. Tables without a watermark use the 1970 default. Give its rows from
+      :func:`watermark_rows` to have the scan skip what no table needs: rows up to the
+      lowest watermark, unless they belong to a table without one.
     """
     if isinstance(watermark, DataFrame):
         if table_col is None:
             raise ValueError("a watermark table needs table_col")
-        wm = bounded_broadcast(
-            watermark.select(F.col(watermark_table_col).alias("_wm_table"), F.col(watermark_col).alias("_wm")),
-            MAX_TABLES_BROADCAST,
-        )
+        wm = watermark.select(F.col(watermark_table_col).alias("_wm_table"), F.col(watermark_col).alias("_wm"))
+        if known:
+            lowest = F.lit(min(t for _, t in known)).cast("timestamp_ntz")
+            newer = F.col(ts_col) >= lowest if inclusive else F.col(ts_col) > lowest
+            df = df.where(newer | ~F.col(table_col).isin([name for name, _ in known]) | F.col(table_col).isNull())
         joined = df.join(wm, F.col(table_col) == F.col("_wm_table"), "left")
         bound = F.coalesce(F.col("_wm"), default_timestamp())
         cond = F.col(ts_col) >= bound if inclusive else F.col(ts_col) > bound

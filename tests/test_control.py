@@ -75,8 +75,12 @@ def test_plan_rows(spark):
              "Frequency_of_sync": "Daily", "Date_n_time_for_1st_schedule": "16:00:00"},
             {"Hive_table_name": "b.known", "Hive_table_type": "MANAGED", "Sync_required": "yes",
              "Frequency_of_sync": "Daily", "Date_n_time_for_1st_schedule": "16:00:00"},
-            {"Hive_table_name": "b.fail", "Hive_table_type": "MANAGED", "Sync_required": "yes",
+            {"Hive_table_name": "b.nofreq", "Hive_table_type": "MANAGED", "Sync_required": "yes",
              "Date_n_time_for_1st_schedule": "16:00:00"},
+            {"Hive_table_name": "b.notime", "Hive_table_type": "MANAGED", "Sync_required": "yes",
+             "Frequency_of_sync": "Daily", "Date_n_time_for_1st_schedule": "nan"},
+            {"Hive_table_name": "nodot", "Hive_table_type": "MANAGED", "Sync_required": "yes"},
+            {"Hive_table_name": "nodot2", "Hive_table_type": "MANAGED", "Sync_required": "no"},
             {"Hive_table_name": "b.nosched", "Hive_table_type": "MANAGED", "Sync_required": "yes"},
             {"Hive_table_name": "b.badtime", "Hive_table_type": "MANAGED", "Sync_required": "yes",
              "Frequency_of_sync": "weekly", "Date_n_time_for_1st_schedule": "99:00:00"},
@@ -92,7 +96,10 @@ def test_plan_rows(spark):
     assert got["b.cap"].action == "skip"  # "YES" is not "yes"
     assert (got["b.sched"].action, got["b.sched"].cron, got["b.sched"].status) == ("schedule", "0 0 16 * * ? ", "Planned")
     assert (got["b.known"].action, got["b.known"].job_id, got["b.known"].log_message) == ("skip", 7, "job already scheduled")
-    assert (got["b.fail"].action, got["b.fail"].status) == ("fail", "Failed")
+    assert (got["b.nofreq"].action, got["b.nofreq"].log_message) == ("create", control.MSG_NO_FREQUENCY)
+    assert (got["b.notime"].action, got["b.notime"].log_message) == ("create", control.MSG_NO_TIME)
+    assert (got["nodot"].action, got["nodot"].status, got["nodot"].log_message) == ("fail", "Failed", control.MSG_NO_SCHEMA)
+    assert got["nodot"].job_name is None and got["nodot2"].status == "Skipped"
     assert (got["b.nosched"].action, got["b.nosched"].cron) == ("create", None)
     assert got["b.badtime"].log_message == control.MSG_BAD_TIME
     assert got["b.yearly"].log_message == control.MSG_UNSUPPORTED

@@ -76,21 +76,14 @@ def test_cron_canonical(spark):
     assert got == ["38 52 11 ? * Tue", "not yet supported"]
 
 
-# SURVEY R4 case table: (frequency, time) -> mode.
+# Both present -> schedule, anything missing (NULL, blank, nan) -> create; the same
+# before and after S6 has made what is missing NULL.
 MODE_CASES = [
     ("Daily", "16:00:00", "schedule"),
-    ("Daily", None, "schedule"),
-    ("Daily", "nan", "schedule"),
-    (None, None, "create"),
-    (None, "16:00:00", "fail"),
-    (None, "", "fail"),
-    ("nan", "16:00:00", "create"),
-    ("NaN", None, "create"),
-    ("", "nan", "create"),
-    ("", "NaN", "create"),
-    ("", None, "create"),
-    ("", "", "schedule"),
-    ("", "16:00:00", "schedule"),
+    ("other", "bad", "schedule"),
+    *[("Daily", t, "create") for t in (None, "nan", "", " ")],
+    *[(f, "16:00:00", "create") for f in (None, "nan", "NaN", "", " ")],
+    *[(f, t, "create") for f in (None, "nan", "") for t in (None, "NaN", "")],
 ]
 
 

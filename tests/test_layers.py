@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal as D
 
+import pytest
+
 from stratum.operators import layers
 
 T = dt.datetime
@@ -46,6 +48,32 @@ def test_silver_and_rollup(spark):
     assert roll == {("x", 0): (2, D("4.40")), ("y", 0): (1, D("2.20")), (None, 1): (3, D("6.60"))}
 
 
+def test_sums_are_exact(spark):
+    rows = [("a", 0.0004, D("123456789012345678.25"), 7), ("a", 0.0004, D("0.01"), 8), ("a", 0.0004, None, None)]
+    df = spark.createDataFrame(rows, "g string, v double, d decimal(20,2), n long")
+    fine = layers.detail_rollup(df, ["g"], {"v": "v", "d": "d", "n": "n"}, scale=4).where("level_id = 0").first()
+    assert (fine.v, fine.d, fine.n) == (D("0.0012"), D("123456789012345678.2600"), D("15.0000"))
+    with pytest.raises(Exception, match="more than 2 decimals"):
+        layers.group_totals(df, ["g"], {"v": "v"}).collect()
+    assert layers.group_totals(df, ["g"], {"d": "d"}).first().d == D("123456789012345678.26")
+    wide = spark.createDataFrame([("a", D("1.2345")), ("a", D("1.0001"))], "g string, d decimal(30,4)")
+    assert layers.group_totals(wide, ["g"], {"d": "d"}).first().d == D("2.2346")  # its own scale
+
+
+def test_gold_lines_read_and_shuffle_little(spark):
+    sf = "/root/testdata/sf0.001"
+    t = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("lineitem", "orders", "customer", "nation", "region")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = layers.gold_report(layers.newest_lines(t["lineitem"]), *[t[n] for n in ("orders", "customer", "nation", "region")])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "l_orderkey" in x)
+    assert scan.split("ReadSchema: struct<")[1].rstrip(">").count(":") == 5
+    assert plan.count("hashpartitioning(l_orderkey") == 1  # the window and the join share it
+
+
 def test_gold_report(spark):
     lines = spark.createDataFrame(
         [(1, 100.0, 0.10), (1, 50.0, 0.0), (2, 10.0, 0.5)], "l_orderkey long, l_extendedprice double, l_discount double"

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stratum.operators import lookup
-from stratum.operators.joins import bounded_broadcast, contains_any
+from stratum.operators.joins import contains_any
 
 
 def test_resolve_catalog(spark):
@@ -19,7 +19,6 @@ def test_resolve_catalog(spark):
         "client string, cluster_name string",
     )
     out = lookup.resolve_catalog(lookup.environment_from_cluster(req), cat)
-    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     got = {(r.client, r.cluster_name): r.catalogName for r in out.collect()}
     assert got == {
         ("acme", "job-qa-1"): "cat_a",  # qa shares dev; tie broken by the smallest name
@@ -30,15 +29,33 @@ def test_resolve_catalog(spark):
     }
 
 
-def test_bounded_broadcast_uses_broadcast_join_for_small_side(spark):
-    small = spark.range(10).withColumnRenamed("id", "k")
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    plan = big.join(bounded_broadcast(small, 100), "k")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    assert bounded_broadcast(big, 100) is big
-    wide = spark.range(10).selectExpr("id AS k", "repeat('x', 1000) AS s")  # ~10 KB of strings
-    assert bounded_broadcast(wide, 100, max_bytes=5_000) is wide  # row bound holds, byte bound does not
-    assert bounded_broadcast(wide, 100, max_bytes=50_000) is not wide
+def test_building_a_plan_runs_no_job(spark):
+    """Lookups, checks and plans are lazy, and gather no side into one task."""
+    from stratum.operators import cdc, control
+    from stratum.plans import derived
+
+    sf = "/root/testdata/sf0.001"
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    ctl, inv, jobs = derived.control(spark, sf), derived.inventory(spark, sf), derived.job_listings(spark, sf)
+    orders = spark.read.schema("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").parquet(f"{sf}/orders.parquet")
+    after_load = set(tracker.getJobIdsForGroup(None))
+    listing = lookup.explode_jobs(jobs, keep=("page_id",))
+    plans = [
+        lookup.resolve_catalog(lookup.environment_from_cluster(derived.catalog_requests(spark, sf)), derived.catalog_names(spark, sf)),
+        lookup.lookup_by_name(ctl.select(control.sync_job_name().alias("job_name")), listing, order_cols=("page_id", "pos")),
+        control.dry_run_check(ctl, inv),
+        control.sync_plan(control.managed_worklist(ctl), lookup.first_by_name(listing, order_cols=("page_id", "pos"))),
+        cdc.cdc_apply(orders, derived.change_feed(spark, sf), ["o_orderkey"]),
+    ]
+    assert after_load - before == set() or len(after_load) >= len(before)  # reading schemas may run jobs
+    schema_jobs = len(set(tracker.getJobIdsForGroup(None)) - after_load)
+    texts = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(set(tracker.getJobIdsForGroup(None)) - after_load) == schema_jobs
+    assert all("GlobalLimit" not in t and "CollectLimit" not in t for t in texts)
+    # the only single partition is the subquery that counts the listing of J4
+    assert [t.count("SinglePartition") for t in texts] == [0, texts[1].count("SinglePartition"), 0, 0, 0]
+    assert texts[1].count("SinglePartition") <= 1
 
 
 def test_validate_storage(spark):
@@ -73,9 +90,26 @@ def test_contains_any_equals_brute_force(spark, needles, hay):
     n = spark.createDataFrame([(x,) for x in needles], "needle string")
     h = spark.createDataFrame([(x,) for x in hay], "text string")
     want = {x: any(x in t for t in hay) for x in needles}
-    for bound in (1_000_000, 0):  # broadcast path and shuffle path
-        got = {r.needle: r.matched for r in contains_any(n, "needle", h, "text", max_broadcast_needles=bound).collect()}
-        assert got == want
+    got = {r.needle: r.matched for r in contains_any(n, "needle", h, "text").collect()}
+    assert got == want
+
+
+def test_contains_any_with_hundreds_of_needle_lengths(spark):
+    """600 lengths, short and long, with grams that many texts share."""
+    import random
+
+    rng = random.Random(5)
+    texts = ["https://host.example.com/" + "".join(rng.choice("abcde/") for _ in range(rng.randrange(900))) for _ in range(12)]
+    needles = []
+    for k in range(1, 601):
+        t = rng.choice(texts)
+        at = rng.randrange(max(1, len(t) - k + 1))
+        needles.append(t[at : at + k] if k % 3 else t[at : at + k - 1] + "#")
+    needles += ["https://", "https://host.example.com/", "example.com", "", "zzz"]
+    want = {x: any(x in t for t in texts) for x in needles}
+    n = spark.createDataFrame([(x,) for x in needles], "needle string")
+    h = spark.createDataFrame([(x,) for x in texts], "text string")
+    assert {r.needle: r.matched for r in contains_any(n, "needle", h, "text").collect()} == want
 
 
 def test_explode_listing_and_lookup(spark):

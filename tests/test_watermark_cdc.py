@@ -69,12 +69,38 @@ def test_cdc_apply_and_replay(spark):
         cdc.cdc_apply(base, bad, ["k"]).collect()
 
 
+def test_cdc_rejects_unknown_ops_on_older_changes_and_null_keys(spark):
+    base = spark.createDataFrame([(1, "a")], "k long, v string")
+    schema = "k long, seq long, op string, v string"
+    for rows, why in (([(1, 1, "X", "z"), (1, 2, "U", "ok")], "unknown change op"), ([(None, 1, "I", "z")], "change without a key")):
+        for in_place in (False, True):
+            with pytest.raises(Exception, match=why):
+                cdc.cdc_apply(base, spark.createDataFrame(rows, schema), ["k"], keep_base_in_place=in_place).collect()
+
+
 def test_cdc_plans_agree_and_small_feed_does_not_shuffle_base(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     feed = derived.change_feed(spark, SF)
-    small = cdc.cdc_apply(orders, feed, ["o_orderkey"])
-    shuffled = cdc.cdc_apply(orders, feed, ["o_orderkey"], broadcast_rows=None)
+    small = cdc.cdc_apply(orders, feed, ["o_orderkey"], keep_base_in_place=True)
+    shuffled = cdc.cdc_apply(orders, feed, ["o_orderkey"])
     assert small.exceptAll(shuffled).count() == 0 and shuffled.exceptAll(small).count() == 0
     plan = small._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
-    assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+    text = shuffled._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and text.count("FileScan") == 2  # the base once, the feed once
+
+
+def test_incremental_slice_pushes_the_lowest_watermark(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type", "ts")
+    wm = watermark.last_run(derived.etl_log(spark, SF), per_table=True)
+    known = watermark.watermark_rows(wm)
+    out = watermark.incremental_slice(ev, wm, "ts", table_col="event_type", known=known)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ts," in plan.split("PushedFilters:")[1].split("\n")[0]
+    joined = watermark.incremental_slice(ev, wm, "ts", table_col="event_type")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, joined.collect()))
+    # a table without a watermark keeps all its rows
+    some = wm.where("tableName <> 'click'") if ev.where("event_type = 'click'").count() else wm.limit(1)
+    out = watermark.incremental_slice(ev, some, "ts", table_col="event_type", known=watermark.watermark_rows(some))
+    joined = watermark.incremental_slice(ev, some, "ts", table_col="event_type")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, joined.collect()))
