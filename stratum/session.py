@@ -43,8 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for lineage cuts and scratch output.
 
     Read from ``spark.checkpoint.dir`` (or a checkpoint dir already set on the
-    context). Only when neither is set -- local runs and tests -- a fresh
-    temporary folder is created and registered as the checkpoint dir.
+    context). Only when neither is set and the master is local -- tests -- a fresh
+    temporary folder is created and registered as the checkpoint dir; on a cluster every
+    executor would have another one, so that raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -53,6 +54,9 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - Spark Connect has no context
             base = None
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="stratum-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CONTROL
+from .files import list_input_files, read_csv_by_header
+
+REQUIRED = ("Hive_table_name",)
 
 
 def normalise_missing(df: DataFrame) -> DataFrame:
@@ -19,13 +22,36 @@ def normalise_missing(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_control(spark: SparkSession, path: str, fmt: str = "csv", header: bool = True) -> DataFrame:
+def read_control(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """The control sheet as a DataFrame (schema ``schemas.CONTROL``); the storage
-    scheme of ``path`` decides where it is read from."""
-    reader = spark.read.schema(CONTROL)
-    if fmt == "csv":
-        reader = reader.option("header", header)
-    return normalise_missing(reader.format(fmt).load(path))
+    scheme of ``path`` (a file, or a folder of CSV files) decides where it is read from.
+
+    Columns are taken by the names in the header, as the pandas form (S7) does: their
+    order does not matter, extra ones are ignored, absent ones are NULL, and a sheet
+    without ``Hive_table_name`` raises.
+    """
+    if fmt != "csv":
+        return normalise_missing(spark.read.schema(CONTROL).format(fmt).load(path))
+    if path.endswith(".csv"):
+        parent, name = path.rsplit("/", 1)
+        listing = list_input_files(spark, parent, (".csv",)).where(F.col("file_name") == name)
+        if listing.isEmpty():  # a folder named like a file
+            listing = list_input_files(spark, path, (".csv",))
+    else:
+        listing = list_input_files(spark, path, (".csv",))
+    rows = read_csv_by_header(spark, listing, CONTROL, optional=True)
+    missing = [c for c in REQUIRED if c not in _names(spark, listing)]
+    if missing:
+        raise ValueError(f"the control sheet {path} has no column {missing}")
+    return normalise_missing(rows.select(*[f.name for f in CONTROL.fields]))
+
+
+def _names(spark: SparkSession, listing: DataFrame) -> set[str]:
+    """Header names that every file of the sheet has."""
+    from .files import csv_headers
+
+    headers = csv_headers(listing).select("header").distinct().collect()
+    return set.intersection(*[{n.strip() for n in h["header"]} for h in headers if h["header"]] or [set()])
 
 
 def control_from_pandas(spark: SparkSession, pdf) -> DataFrame:

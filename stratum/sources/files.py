@@ -4,19 +4,23 @@ archive read files (S3), and land rows as named files (used to stage inputs).
 Listings use the ``binaryFile`` source restricted to ``path, length,
 modificationTime``, so file contents are never read. File moves run on the
 executors through pyarrow filesystems, one small task per batch of files, and are
-idempotent: a retried task finds the file already at its destination.
+idempotent: a retried task finds the file already at its destination. A move never
+lands on an existing file.
 """
 
 from __future__ import annotations
 
+import csv
+import io
 import sys
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import INPUT_EXTENSIONS, backup_name, decode_file_name, file_extension
 
@@ -26,6 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LISTING_SCHEMA = "path string, file_name string, length long, modificationTime timestamp"
 MOVE_SCHEMA = "src string, dst string, status string"
+#: Bytes of a file that are looked at for its header line.
+HEADER_BYTES = 1 << 20
 
 
 def _glob(extensions: Sequence[str]) -> str:
@@ -72,19 +78,34 @@ def files_present(requests: DataFrame, listing: DataFrame, name_col: str = "file
     )
 
 
+# --- moves ----------------------------------------------------------------------------
+
+
 def archive_plan(
-    listing: DataFrame, stamp_ts: Column | None = None, backup_subdir: str = "backup"
+    listing: DataFrame, stamp_ts: Column | None = None, subdir: Column | str = "backup"
 ) -> DataFrame:
-    """S3, batch form: ``src, dst`` per listed file.
-
-    ``dst = <dir of src>/backup/<name before first dot>_<stamp>.<extension>``; the
-    stamp comes from ``stamp_ts`` (default: now) so a plan can be reproduced.
+    """S3, batch form: ``src, dst, length`` per listed file, for any scheme that the
+    executors' file system library knows (``dbfs`` paths are reached through their mount).
+
+    ``dst = <dir of src>/<subdir>/<name before first dot>_<stamp>.<extension>``; the
+    stamp comes from ``stamp_ts`` (default: now) so a plan can be reproduced. The name is cut at the
+    first dot, so ``x - 2023.06.30.csv`` and ``x - 2023.07.31.csv`` would share a
+    destination: where files of a plan do, each gets a suffix made from its own name.
+    ``subdir`` may be a column that names the folder for each file.
     """
     ts = stamp_ts if stamp_ts is not None else F.current_timestamp()
     parent = F.regexp_replace("path", "/[^/]*$", "")
+    folder = F.lit(subdir) if isinstance(subdir, str) else subdir
     name = backup_name("file_name", file_extension("file_name"), ts)
-    return listing.select(
-        F.col("path").alias("src"), F.concat(parent, F.lit(f"/{backup_subdir}/"), name).alias("dst")
+    planned = listing.select(
+        F.col("path").alias("src"), "file_name", "length", F.concat(parent, F.lit("/"), folder, F.lit("/"), name).alias("dst")
+    )
+    shared = F.count(F.lit(1)).over(Window.partitionBy("dst"))
+    suffix = F.concat(F.lit("_"), F.substring(F.md5(F.col("file_name").cast("binary")), 1, 12))
+    stem = F.regexp_extract("dst", r"^(.*?)(\.[^./]*)?$", 1)
+    end = F.regexp_extract("dst", r"^(.*?)(\.[^./]*)?$", 2)
+    return planned.withColumn("_shared", shared).select(
+        "src", F.when(F.col("_shared") > 1, F.concat(stem, suffix, end)).otherwise(F.col("dst")).alias("dst"), "length"
     )
 
 
@@ -93,6 +114,8 @@ def _fs_path(uri: str):
     not URL-encoded)."""
     from pyarrow import fs as pafs
 
+    if uri.startswith("dbfs:"):
+        uri = "/dbfs/" + uri[len("dbfs:"):].lstrip("/")  # the mount that executors have
     if uri.startswith("file:") or uri.startswith("/"):
         path = uri[len("file:"):] if uri.startswith("file:") else uri
         while path.startswith("//"):
@@ -108,54 +131,130 @@ def _move_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         out = []
-        for src, dst in zip(pdf["src"], pdf["dst"]):
+        for src, dst, length in zip(pdf["src"], pdf["dst"], pdf["length"]):
             sfs, spath = _fs_path(src)
             dfs, dpath = _fs_path(dst)
-            if sfs.get_file_info(spath).type == pafs.FileType.File:
-                parent = dpath.rsplit("/", 1)[0]
-                dfs.create_dir(parent, recursive=True)
+            there, target = sfs.get_file_info(spath), dfs.get_file_info(dpath)
+            if there.type == pafs.FileType.File and target.type != pafs.FileType.NotFound:
+                status = "clash"  # another file has the name: this one stays where it is
+            elif there.type == pafs.FileType.File:
+                dfs.create_dir(dpath.rsplit("/", 1)[0], recursive=True)
                 sfs.move(spath, dpath)
-                out.append((src, dst, "moved"))
-            elif dfs.get_file_info(dpath).type == pafs.FileType.File:
-                out.append((src, dst, "already moved"))
+                status = "moved"
+            elif target.type == pafs.FileType.File and (pd.isna(length) or target.size == length):
+                status = "already moved"
             else:
-                out.append((src, dst, "missing"))
+                status = "missing"
+            out.append((src, dst, status))
         yield pd.DataFrame(out, columns=["src", "dst", "status"])
 
 
 def apply_moves(plan: DataFrame) -> DataFrame:
-    """Run a ``src, dst`` move plan on the executors; returns ``src, dst, status``
-    (``moved``, ``already moved`` or ``missing``). Lazy: act on the result to move."""
-    return plan.select("src", "dst").mapInPandas(_move_batches, MOVE_SCHEMA)
+    """Run a ``src, dst[, length]`` move plan on the executors; returns ``src, dst, status``:
+    ``moved``; ``already moved`` (the source is gone and a file of its length is at the
+    destination); ``clash`` (both exist, nothing is moved); ``missing``. Lazy: act on the
+    result to move."""
+    if "length" not in plan.columns:
+        plan = plan.withColumn("length", F.lit(None).cast("long"))
+    return plan.select("src", "dst", "length").mapInPandas(_move_batches, MOVE_SCHEMA)
+
 
+def run_moves(plan: DataFrame, files_per_task: int = 64) -> dict[str, int]:
+    """Execute a move plan once, spread over the tasks, and return the count per status (at
+    most four rows reach the driver)."""
+    spread = plan.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src")
+    return {r["status"]: r["n"] for r in apply_moves(spread).groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-def run_moves(plan: DataFrame) -> dict[str, int]:
-    """Execute a move plan once and return the count per status (at most three rows
-    reach the driver)."""
-    return {r["status"]: r["n"] for r in apply_moves(plan).groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+# --- CSV by header name -----------------------------------------------------------------
+
+
+def _header_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for path in pdf["path"]:
+            fs, name = _fs_path(path)
+            with fs.open_input_file(name) as source:
+                head = source.read(HEADER_BYTES).decode("utf-8-sig", "replace")
+            names = next(csv.reader(io.StringIO(head, newline="")), [])
+            out.append((path, names))
+        yield pd.DataFrame(out, columns=["path", "header"])
+
+
+def csv_headers(listing: DataFrame) -> DataFrame:
+    """``path, header array<string>`` of each listed CSV file: one small range read a file."""
+    return listing.select("path").mapInPandas(_header_batches, "path string, header array<string>")
+
+
+def read_csv_by_header(spark: SparkSession, listing: DataFrame, schema: T.StructType, optional: bool = False) -> DataFrame:
+    """The rows of the listed CSV files, columns taken by the name in each file's header,
+    in the order and with the types of ``schema``, plus ``source_path``.
+
+    Spark reads CSV columns by position when a schema is declared, so files are grouped by
+    header and each group is read under its own names. Extra columns are ignored; a
+    schema column that a header lacks raises (``optional``: becomes NULL). A cell that is
+    not of the declared type fails the job instead of becoming NULL.
+    """
+    layouts = csv_headers(listing).where(F.size("header") > 0).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    out: DataFrame | None = None
+    for layout in sorted(layouts, key=lambda x: x["header"]):  # a few, however many the files
+        names = [n.strip() for n in layout["header"]]
+        missing = [f.name for f in schema.fields if f.name not in names]
+        if missing and not optional:
+            raise ValueError(f"{len(layout['paths'])} CSV files, {layout['paths'][0]} among them, have no column {missing}")
+        positions = {n: i for i, n in reversed(list(enumerate(names)))}
+        text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        raw = spark.read.schema(text).option("header", True).option("mode", "FAILFAST").csv([_quoted(p) for p in layout["paths"]])
+        rows = raw.select(
+            *[
+                (F.col(f"c{positions[f.name]}") if f.name in positions else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in schema.fields
+            ],
+            F.col("_metadata.file_path").alias("source_path"),
+            F.col("_metadata.file_name").alias("_file_name"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        empty = T.StructType([*schema.fields, T.StructField("source_path", T.StringType()), T.StructField("_file_name", T.StringType())])
+        out = spark.createDataFrame([], empty)
+    return out.withColumn("source_file", decode_file_name("_file_name")).drop("_file_name")
+
+
+def _quoted(path: str) -> str:
+    """A listed path as a literal glob: the characters with a meaning are escaped."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+# --- named files ------------------------------------------------------------------------
 
 
 def write_named_files(
-    df: DataFrame, name_col: str, directory: str, fmt: str = "csv", options: dict | None = None
+    df: DataFrame, name_col: str, directory: str, fmt: str = "csv", options: dict | None = None, parts: int = 1
 ) -> dict[str, int]:
     """Write the rows of ``df`` as one file per value of ``name_col``, named by it,
     directly in ``directory`` (like files arriving in a landing folder).
 
-    Spark writes the data (one task per name, partitioned output in a staging
-    folder whose name starts with ``_`` so readers skip it); the part files are then
-    renamed on the executors. Returns the count of files per move status.
+    Spark writes the data (partitioned output in a staging folder whose name starts with
+    ``_`` so readers skip it); the part files are then renamed on the executors. With
+    ``parts`` above one, a name's rows are dealt out to that many tasks and files, the
+    further ones named ``<stem>_<n>.<extension>``, so that a hot name is not one task's
+    work. Returns the count of files per move status.
     """
     spark = df.sparkSession
     base = directory.rstrip("/")
     staging = f"{base}/_staging-{uuid.uuid4().hex[:12]}"
-    writer = df.repartition(name_col).write.partitionBy(name_col).format(fmt)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
+    salted = df.withColumn("_part", salt) if parts > 1 else df.withColumn("_part", F.lit(0))
+    writer = salted.repartition(name_col, "_part").write.partitionBy(name_col, "_part").format(fmt)
     for k, v in (options or {}).items():
         writer = writer.option(k, v)
     writer.save(staging)
-    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(staging).select("path")
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(staging).select("path", "length")
     # partition directory values carry Spark's %XX escapes; decoding them gives the name
-    dir_value = F.regexp_extract("path", f"/{name_col}=([^/]*)/[^/]*$", 1)
-    plan = parts.where(dir_value != "").select(
-        F.col("path").alias("src"), F.concat(F.lit(base + "/"), decode_file_name(dir_value)).alias("dst")
-    )
+    name = decode_file_name(F.regexp_extract("path", f"/{name_col}=([^/]*)/_part=[^/]*/[^/]*$", 1))
+    number = F.regexp_extract("path", "/_part=([^/]*)/[^/]*$", 1)
+    stem = F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 1)
+    end = F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 2)
+    final = F.when(number == "0", name).otherwise(F.concat(stem, F.lit("_"), number, end))
+    plan = written.where(name != "").select(F.col("path").alias("src"), F.concat(F.lit(base + "/"), final).alias("dst"), "length")
     return run_moves(plan)

@@ -7,14 +7,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import bounded_broadcast, matching_needles
+from ..operators.joins import matching_needles
 from ..schemas import RUN_LOG, RUN_LOG_DDL
 
-MAX_INVENTORY_ROWS = 2_000_000
-
 # --- C1, S10 --------------------------------------------------------------------------
 
 
@@ -33,15 +31,17 @@ def create_run_log(
 
 
 def run_log_rows(rows: DataFrame) -> DataFrame:
-    """Shape rows to the run-log schema; ``logTime`` defaults to now (zoneless) and a
-    NULL ``logTime`` that survives fails the write."""
+    """Shape rows to the run-log schema. Without a ``logTime`` column the rows get now
+    (zoneless), each a microsecond after the one before, as ``logTime`` is the key; a NULL in a
+    given column stays, and fails the append."""
     cols = []
     for field in RUN_LOG.fields:
         if field.name == "logTime":
             if "logTime" in rows.columns:
-                ts = F.coalesce(F.col("logTime").cast("timestamp_ntz"), F.current_timestamp().cast("timestamp_ntz"))
+                ts = F.col("logTime").cast("timestamp_ntz")
             else:
-                ts = F.current_timestamp().cast("timestamp_ntz")
+                nth = F.row_number().over(Window.orderBy(*[F.col(c) for c in rows.columns]))  # log rows, a few a run
+                ts = F.current_timestamp().cast("timestamp_ntz") + F.make_dt_interval(secs=nth * F.lit(0.000001).cast("decimal(18,6)"))
             cols.append(ts.alias("logTime"))
         elif field.name in rows.columns:
             cols.append(F.col(field.name).cast(field.dataType).alias(field.name))
@@ -50,13 +50,31 @@ def run_log_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*cols)
 
 
-def append_run_log(rows: DataFrame, table: str) -> None:
-    """Append many run-log rows in one write (values are data, never SQL text)."""
+def append_run_log(rows: DataFrame, table: str, check_key: bool = True) -> None:
+    """Append many run-log rows in one write (values are data, never SQL text).
+
+    A NULL ``logTime`` fails the write. ``check_key``: so does a ``logTime`` that the new
+    rows have twice or the table has already (C2; the table's times are read, not its
+    texts), unless the row is there already, as after a run that was cut off: then it is
+    not appended again. Off for a feed whose times are not unique.
+    """
     shaped = run_log_rows(rows)
-    checked = shaped.withColumn(
-        "logTime", F.coalesce(F.col("logTime"), F.raise_error(F.lit("logTime must not be NULL")))
+    shaped = shaped.withColumn(
+        "logTime", F.coalesce(F.col("logTime"), F.raise_error(F.lit("logTime must not be NULL")).cast("timestamp_ntz"))
     )
-    checked.write.insertInto(table)
+    if not check_key:
+        shaped.write.insertInto(table)
+        return
+    old = shaped.sparkSession.table(table).select(
+        F.col("logTime").alias("_t"), F.col("notebookName").alias("_b"), F.col("logMessage").alias("_m")
+    )
+    same = F.col("notebookName").eqNullSafe(F.col("_b")) & F.col("logMessage").eqNullSafe(F.col("_m"))
+    new = shaped.join(old, (F.col("logTime") == F.col("_t")) & same, "left_anti")
+    times = new.select("logTime", F.lit(1).alias("n")).unionAll(old.join(new, F.col("_t") == F.col("logTime"), "left_semi").select("_t", F.lit(1)))
+    broken = check_unique_key(times, ["logTime"]).select("logTime", "reason").limit(5).collect()
+    if broken:
+        raise ValueError(f"run log key logTime broken: {[(str(r['logTime']), r['reason']) for r in broken]}")
+    new.write.insertInto(table)
 
 
 # --- C2 -------------------------------------------------------------------------------
@@ -81,17 +99,28 @@ def check_unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def catalog_inventory(spark: SparkSession, catalogs: Sequence[str] | None = None) -> DataFrame:
-    """Existing tables as ``catalog, schema, table`` rows (metadata calls only;
-    the session's current catalog is left alone)."""
-    rows = []
+    """Existing tables as ``catalog, schema, table`` rows (metadata commands only, one a
+    schema, as open-source catalogs have no listing across schemas; the session's current
+    catalog is left alone). Their results stay DataFrames; the driver keeps schema names."""
+    out = spark.createDataFrame([], "catalog string, schema string, table string")
     names = list(catalogs) if catalogs is not None else [c.name for c in spark.catalog.listCatalogs()]
     for cat in names:
-        for db in spark.sql(f"SHOW NAMESPACES IN {cat}").collect():
-            schema = db[0]
-            for t in spark.sql(f"SHOW TABLES IN {cat}.{schema}").collect():
-                if not t["isTemporary"]:
-                    rows.append((cat, schema, t["tableName"]))
-    return spark.createDataFrame(rows, "catalog string, schema string, table string")
+        for db in spark.sql(f"SHOW NAMESPACES IN {_quoted(cat)}").collect():
+            path = ".".join([_quoted(cat), *[_quoted(part) for part in _parts(db[0])]])
+            found = spark.sql(f"SHOW TABLES IN {path}").where(~F.col("isTemporary"))
+            out = out.unionByName(found.select(F.lit(cat).alias("catalog"), F.lit(db[0]).alias("schema"), F.col("tableName").alias("table")))
+    return out
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _parts(namespace: str) -> list[str]:
+    """Parts of a namespace as ``SHOW NAMESPACES`` prints it: quoted where needed."""
+    import re
+
+    return [p[1:-1].replace("``", "`") if p.startswith("`") else p for p in re.findall(r"`(?:[^`]|``)*`|[^.`]+", namespace)]
 
 
 def catalog_schemas(inventory: DataFrame) -> DataFrame:
@@ -107,7 +136,6 @@ def tables_exist(
     inv = inventory.select(
         F.lower("catalog").alias("_c"), F.lower("schema").alias("_s"), F.lower("table").alias("_t")
     ).distinct().withColumn("_hit", F.lit(True))
-    inv = bounded_broadcast(inv, MAX_INVENTORY_ROWS)
     cond = (
         (F.lower(F.col(catalog)) == F.col("_c"))
         & (F.lower(F.col(schema)) == F.col("_s"))
@@ -135,6 +163,58 @@ def layer_kind_patterns(kinds: Sequence[str] = ("detail", "gross", "summary")) -
     return tuple((k, f"{k}[0-9]*") for k in kinds)
 
 
+LAYER_TABLE_TYPES = ("detail", "gross", "summary")
+
+
+def find_layer_tables(
+    requests: DataFrame,
+    listing: DataFrame,
+    layer_customers: Sequence[str],
+    whole_customers: Sequence[str],
+    name_col: str = "tableName",
+) -> DataFrame:
+    """C7 with all its inputs: ``requests(customer, table_type, bronze_table_type, as_of)``
+    plus ``found``.
+
+    For a customer of ``layer_customers`` the table type must be one of
+    ``LAYER_TABLE_TYPES`` (any case) and the pattern is ``<bronze_table_type>[0-9]*``; for one of
+    ``whole_customers`` it is ``<customer>*``, whatever the types. Other customers and types
+    fail the job. The pattern's text comes from the data, so it is matched by the longest
+    prefix of letters that a table name and a request share, then by the rest.
+    """
+    kind = (
+        F.when(
+            F.col("customer").isin(*layer_customers) & F.lower("table_type").isin(*LAYER_TABLE_TYPES),
+            F.concat(F.lit("0"), F.lower("bronze_table_type")),
+        )
+        .when(F.col("customer").isin(*whole_customers), F.concat(F.lit("*"), F.lower("customer")))
+        .otherwise(
+            F.raise_error(F.concat_ws(" ", F.lit("no rule for customer and table type:"), F.coalesce("customer", F.lit("NULL")), F.coalesce("table_type", F.lit("NULL"))))
+        )
+    )
+    req = requests.withColumn("_kind", kind)
+    names = listing.select(F.col(name_col).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    # a layer table is named by its type and a digit: the type is what stands before a digit
+    low = F.lower("_name")
+    digits = F.filter(F.sequence(F.lit(1), F.length("_name")), lambda i: F.substring(low, i, 1).rlike("[0-9]"))
+    layer = names.select("_name", F.explode(digits).alias("_at")).select(
+        "_name", F.concat(F.lit("0"), F.substring(low, F.lit(1), F.col("_at") - 1)).alias("_kind")
+    )
+    whole = names.select(
+        "_name",
+        F.explode(F.array(*[F.when(low.startswith(c.lower()), F.lit("*" + c.lower())) for c in whole_customers])).alias("_kind"),
+    ) if whole_customers else names.select("_name", F.lit("").alias("_kind")).limit(0)
+    kinds = layer.unionByName(whole.where(F.col("_kind").isNotNull()))
+    needles = req.select("_kind", F.col("as_of").alias("_as_of"))
+    hits = matching_needles(needles, "_as_of", kinds.join(needles.select("_kind").distinct(), "_kind", "left_semi"), "_name", keys=["_kind"])
+    hits = hits.withColumn("_hit", F.lit(True))
+    return (
+        req.join(hits, (req["_kind"] == hits["_kind"]) & (req["as_of"] == hits["_as_of"]), "left")
+        .withColumn("found", F.coalesce(F.col("_hit"), F.lit(False)))
+        .select(*requests.columns, "found")
+    )
+
+
 def like_to_regex(pattern: str) -> str:
     """A SHOW TABLES LIKE pattern as a Java regex (whole-name, case-insensitive)."""
     alts = [p.strip().replace("*", ".*") for p in pattern.split("|")]
@@ -161,8 +241,8 @@ def find_dated_tables(
     """For each (kind, as-of) request, ``found`` = some listed table matches the
     kind's pattern and contains the as-of text. Unknown kinds fail the job.
 
-    The "contains" test is the exact substring equi-join of ``joins.contains_any``,
-    so no request is paired with every table of its kind. The batch answer to
+    The "contains" test is the exact substring join of ``joins.matching_needles``, so no
+    request is paired with every table of its kind. The batch answer to
     "what is still to load" is ``where(~found)``.
     """
     known = [k for k, _ in rules]
@@ -188,12 +268,12 @@ def find_dated_tables(
 # --- versioned snapshots --------------------------------------------------------------
 
 
-COMMITS_SCHEMA = "version long, kind string, commit_id string"
+COMMITS_SCHEMA = "version long, kind string, commit_id string, stream string, batch long"
 DELTA_PARTITION = "delta_version"
 
 
-def _commit(spark: SparkSession, base: str, version: int, kind: str) -> None:
-    spark.createDataFrame([(version, kind, uuid.uuid4().hex)], COMMITS_SCHEMA).write.mode("append").parquet(
+def _commit(spark: SparkSession, base: str, version: int, kind: str, stream: str | None = None, batch: int | None = None) -> None:
+    spark.createDataFrame([(version, kind, uuid.uuid4().hex, stream, batch)], COMMITS_SCHEMA).write.mode("append").parquet(
         f"{base}/_commits"
     )
 
@@ -223,15 +303,31 @@ def commit_snapshot(df: DataFrame, base: str, version: int | None = None, fmt: s
     return version
 
 
-def commit_delta(df: DataFrame, base: str, version: int, fmt: str = "parquet") -> int:
-    """Record ``df`` (rows of changes) as delta version ``n``: written to
-    ``<base>/_deltas/delta_version=<n>`` (overwrite: a retry replaces partial output), then committed.
-    The cost is the size of the changes, whatever the size of the table."""
+def commit_delta(
+    df: DataFrame, base: str, version: int | None = None, fmt: str = "parquet", stream: str | None = None, batch: int | None = None
+) -> int:
+    """Record ``df`` (rows of changes) as the next delta version: written to
+    ``<base>/_deltas/delta_version=<n>`` (overwrite: a retry replaces partial output), then committed,
+    with the stream and batch it came from. The cost is the size of the changes, whatever
+    the size of the table."""
+    spark = df.sparkSession
+    if version is None:
+        last = latest_version(spark, base)
+        version = 0 if last is None else last + 1
     df.write.mode("overwrite").format(fmt).save(f"{base}/_deltas/{DELTA_PARTITION}={version}")
-    _commit(df.sparkSession, base, version, "delta")
+    _commit(spark, base, version, "delta", stream, batch)
     return version
 
 
+def committed_batch(spark: SparkSession, base: str, stream: str, batch: int) -> int | None:
+    """The version that holds a batch of a stream; None if it was not committed."""
+    commits = _commits(spark, base)
+    if commits is None:
+        return None
+    row = commits.where((F.col("stream") == stream) & (F.col("batch") == batch)).agg(F.max("version").alias("v")).first()
+    return row["v"]
+
+
 def latest_version(spark: SparkSession, base: str, kind: str | None = None) -> int | None:
     """Highest committed version (of any kind, or of the given ``kind``)."""
     commits = _commits(spark, base)
@@ -273,3 +369,24 @@ def read_with_deltas(spark: SparkSession, base: str, fmt: str = "parquet") -> tu
 def stamp_now() -> Column:
     """Current time as a zoneless timestamp."""
     return F.current_timestamp().cast("timestamp_ntz")
+
+
+def merge_rows(updates: DataFrame, table: str, keys: Sequence[str], columns: Sequence[str]) -> bool:
+    """Row-level write-back: set ``columns`` of the rows of ``table`` that ``updates`` names by
+    ``keys``, and insert the others, with ``MERGE``. False where the table's catalog has no
+    row-level operations (nothing is written then: write a snapshot instead)."""
+    keys, columns = list(keys), list(columns)
+    source = updates.select(*keys, *columns).alias("source")
+    match = None
+    for k in keys:
+        one = F.col(f"{table}.{k}").eqNullSafe(F.col(f"source.{k}"))
+        match = one if match is None else match & one
+    try:
+        source.mergeInto(table, match).whenMatched().update(
+            {c: F.col(f"source.{c}") for c in columns}
+        ).whenNotMatched().insert({c: F.col(f"source.{c}") for c in [*keys, *columns]}).merge()
+    except Exception as exc:
+        if "MERGE" in str(exc).upper() and ("UNSUPPORTED" in str(exc).upper() or "SUPPORT" in str(exc).upper()):
+            return False
+        raise
+    return True

@@ -5,23 +5,24 @@
   by running ``availableNow`` triggers from the scheduler. With ``archive_dir`` the
   source archives read files (S3, stream form). Spark archives the files of batch
   *n* while planning a later batch, so the last batch's files stay until the next run.
-* ``cdc_stream``: a change feed committed per micro-batch as a delta keyed by the batch
-  id (merge-on-read, periodic compaction), so a batch costs the size of its changes
-  and a retried batch rewrites the same delta instead of applying twice.
+* ``cdc_stream``: a change feed committed per micro-batch as the table's next delta
+  (merge-on-read, periodic compaction), so a batch costs the size of its changes. The
+  commit names the stream and its batch, so a retried batch is not applied twice and a
+  batch of another stream, or of a new checkpoint, is never taken for a retry.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.names import DEFAULT_ROUTES
 from ..operators.cdc import read_cdc_table
 from ..operators.layers import bronze_columns
-from ..sources.tables import commit_delta, commit_snapshot, latest_version
+from ..sources.tables import commit_delta, commit_snapshot, committed_batch
 
 
 def landing_stream(
@@ -33,8 +34,16 @@ def landing_stream(
     max_files_per_trigger: int | None = None,
     header: bool = True,
 ) -> DataFrame:
-    """A streaming DataFrame over CSV files arriving in ``landing``."""
-    reader = spark.readStream.schema(schema).option("header", header).option("pathGlobFilter", glob)
+    """A streaming DataFrame over CSV files arriving in ``landing``. A stream reads columns by
+    position, so a header that does not name the schema's columns in their order fails
+    the query, as does a cell that is not of its type; nothing is read as something else."""
+    reader = (
+        spark.readStream.schema(schema)
+        .option("header", header)
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
+        .option("pathGlobFilter", glob)
+    )
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     if max_files_per_trigger:
@@ -54,10 +63,11 @@ def file_arrival_ingest(
     partition_by: Sequence[str] = ("as_of_date",),
     fmt: str = "parquet",
     available_now: bool = True,
+    ingestion_ts: Column | None = None,
 ) -> StreamingQuery:
     """Start the ingest of newly arrived files into ``sink`` (partitioned by the
     as-of date); returns the running query (``awaitTermination()`` for a run)."""
-    stream = bronze_columns(landing_stream(spark, landing, schema, glob, archive_dir), routes)
+    stream = bronze_columns(landing_stream(spark, landing, schema, glob, archive_dir), routes, ingestion_ts=ingestion_ts)
     writer = (
         stream.writeStream.format(fmt)
         .option("checkpointLocation", checkpoint)
@@ -78,22 +88,27 @@ def cdc_stream(
     fmt: str = "parquet",
     compact_every: int = 20,
     available_now: bool = True,
+    stream_id: str | None = None,
 ) -> StreamingQuery:
-    """X5, stream form (merge-on-read): each micro-batch of changes is committed as
-    delta version ``batch_id + 1`` -- its cost is the size of the batch, not of the
-    table. Every ``compact_every`` versions the table is compacted: the full snapshot
-    plus the deltas are merged (``cdc_apply``) and committed as a new full version.
-    ``operators.cdc.read_cdc_table`` reads the current state. A retried batch rewrites
-    the same delta directory; an already committed batch is skipped.
+    """X5, stream form (merge-on-read): each micro-batch of changes is committed as the
+    table's next delta version -- its cost is the size of the batch, not of the table.
+    Every ``compact_every`` versions the table is compacted: the full snapshot plus the
+    deltas are merged (``cdc_apply``) and committed as a new full version.
+    ``operators.cdc.read_cdc_table`` reads the current state.
+
+    A batch is known by ``stream_id`` (default: the query's own id, which lives in its
+    checkpoint) and its batch id; one that is committed is skipped when it is retried. Table
+    versions belong to the table alone.
     """
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = batch_id + 1
-        last = latest_version(spark, base_path)
-        if last is not None and last >= version:
-            return  # already committed by an earlier attempt
-        commit_delta(batch, base_path, version, fmt)
+        stream = stream_id or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("the stream has no id; give one")
+        if committed_batch(spark, base_path, stream, batch_id) is not None:
+            return  # committed by an earlier attempt
+        version = commit_delta(batch, base_path, None, fmt, stream, batch_id)
         if compact_every and version % compact_every == 0:
             merged = read_cdc_table(spark, base_path, keys, seq_col, op_col, fmt)
             commit_snapshot(merged, base_path, version, fmt)

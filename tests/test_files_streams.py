@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +48,88 @@ def test_archive_moves_are_idempotent(spark, tmpdir_path):
     assert sorted(os.listdir(f"{tmpdir_path}/backup")) == sorted(first)
 
 
+def test_archive_never_overwrites(spark, tmpdir_path):
+    names = ["LPT - 2023.06.30.csv", "LPT - 2023.07.31.csv", "LPT - 2023.07.31.xlsx", "b.csv"]
+    for n in names:
+        touch(f"{tmpdir_path}/{n}", n)
+    stamp = F.lit("2023-06-30 13:05:00").cast("timestamp_ntz")
+    plan = files.archive_plan(files.list_input_files(spark, tmpdir_path), stamp).cache()
+    assert files.run_moves(plan) == {"moved": 4}
+    kept = {open(f"{tmpdir_path}/backup/{f}").read() for f in os.listdir(f"{tmpdir_path}/backup")}
+    assert kept == set(names)
+    assert files.run_moves(plan) == {"already moved": 4}
+    touch(f"{tmpdir_path}/b.csv", "a newer file of the name and the stamp")
+    again = files.archive_plan(files.list_input_files(spark, tmpdir_path), stamp)
+    assert files.run_moves(again) == {"clash": 1} and os.path.exists(f"{tmpdir_path}/b.csv")
+    os.remove(f"{tmpdir_path}/b.csv")
+    lost = spark.createDataFrame([(f"file:{tmpdir_path}/b.csv", f"file:{tmpdir_path}/backup/b_2023_06_30-01_05_00_PM.csv", 99)], "src string, dst string, length long")
+    assert files.run_moves(lost) == {"missing": 1}  # the file there is another one
+
+
+def test_csv_by_header(spark, tmpdir_path):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    touch(f"{tmpdir_path}/a{{1}}.csv", "k,v\n1,one\n")
+    touch(f"{tmpdir_path}/b[2].csv", '\ufeffv,more,k\n"t,w\'o",x,2\n,y,3\n')
+    touch(f"{tmpdir_path}/empty.csv", "")
+    touch(f"{tmpdir_path}/head.csv", "v,k\n")
+    listing = files.list_input_files(spark, tmpdir_path)
+    got = files.read_csv_by_header(spark, listing, schema)
+    assert sorted((r.k, r.v, r.source_file) for r in got.collect()) == [(1, "one", "a{1}.csv"), (2, "t,w'o", "b[2].csv"), (3, None, "b[2].csv")]
+    touch(f"{tmpdir_path}/c.csv", "k\n4\n")
+    with pytest.raises(ValueError, match="no column"):
+        files.read_csv_by_header(spark, files.list_input_files(spark, tmpdir_path), schema)
+    optional = files.read_csv_by_header(spark, files.list_input_files(spark, tmpdir_path), schema, optional=True)
+    assert (4, None) in {(r.k, r.v) for r in optional.collect()}
+
+
+def test_stream_checks_the_header(spark, tmpdir_path):
+    landing = f"{tmpdir_path}/landing"
+    touch(f"{landing}/LPT - 2023 06 30.csv", "Total Price,Order Key\n1,10.5\n")
+    with pytest.raises(Exception, match="STREAM_FAILED|FAILED_READ_FILE|header"):
+        file_arrival_ingest(spark, landing, SHEET, f"{tmpdir_path}/sink", f"{tmpdir_path}/ckpt").awaitTermination()
+
+
+def test_control_columns_by_name(spark, tmpdir_path):
+    path = f"{tmpdir_path}/sheet.csv"
+    touch(path, "Hive_table_type,remark,Hive_table_name\nMANAGED,x,bronze.a\n")
+    r = read_control(spark, path).first()
+    assert (r.Hive_table_name, r.Hive_table_type) == ("bronze.a", "MANAGED")
+    touch(path, "Hive_table_type\nMANAGED\n")
+    with pytest.raises(ValueError, match="Hive_table_name"):
+        read_control(spark, path)
+
+
+def test_cdc_stream_on_a_base_with_versions_and_a_new_checkpoint(spark, tmpdir_path):
+    from stratum.operators.cdc import read_cdc_table
+
+    base_path, feed = f"{tmpdir_path}/base", f"{tmpdir_path}/feed"
+    for _ in range(3):
+        tables.commit_snapshot(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), base_path)
+    schema = "k long, seq long, op string, v string"
+    spark.createDataFrame([(1, 1, "U", "NEW")], schema).coalesce(1).write.parquet(f"{feed}/b1")
+    read = lambda: spark.readStream.schema(schema).parquet(f"{feed}/*")
+    cdc_stream(read(), base_path, ["k"], f"{tmpdir_path}/ckpt1").awaitTermination()
+    assert sorted(map(tuple, read_cdc_table(spark, base_path, ["k"]).collect())) == [(1, "NEW"), (2, "b")]
+    # another stream with batch ids of its own
+    spark.createDataFrame([(2, 2, "U", "NEWER")], schema).coalesce(1).write.parquet(f"{tmpdir_path}/feed2/b1")
+    other = spark.readStream.schema(schema).parquet(f"{tmpdir_path}/feed2/*")
+    cdc_stream(other, base_path, ["k"], f"{tmpdir_path}/ckpt2").awaitTermination()
+    assert sorted(map(tuple, read_cdc_table(spark, base_path, ["k"]).collect())) == [(1, "NEW"), (2, "NEWER")]
+    # a retried batch is not applied again
+    version = tables.latest_version(spark, base_path)
+    commits = tables._commits(spark, base_path).where("stream IS NOT NULL").collect()
+    assert len({c.stream for c in commits}) == 2
+    again = tables.committed_batch(spark, base_path, commits[0].stream, commits[0].batch)
+    assert again == commits[0].version and tables.latest_version(spark, base_path) == version
+
+
+def test_hot_name_is_written_in_parts(spark, tmpdir_path):
+    df = spark.range(300).select("id", F.lit("hot.csv").alias("f"))
+    assert files.write_named_files(df, "f", tmpdir_path, "csv", {"header": "true"}, parts=4) == {"moved": 4}
+    assert sorted(n for n in os.listdir(tmpdir_path) if not n.startswith("_")) == ["hot.csv", "hot_1.csv", "hot_2.csv", "hot_3.csv"]
+    assert spark.read.option("header", True).csv(f"{tmpdir_path}/*.csv").count() == 300
+
+
 def test_write_named_files(spark, tmpdir_path):
     df = spark.createDataFrame([(1, "LPT - x.csv"), (2, "LPT - x.csv"), (3, "2023-06_bcg.csv")], "v long, f string")
     report = files.write_named_files(df, "f", tmpdir_path, "csv", {"header": "true"})

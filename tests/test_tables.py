@@ -4,6 +4,7 @@ import datetime as dt
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.sources import tables
 
@@ -13,15 +14,48 @@ def test_run_log_roundtrip_with_quotes(spark, tmpdir_path):
     tables.create_run_log(spark, name, owner="acme", location=f"{tmpdir_path}/rl")
     tables.create_run_log(spark, name, owner="acme", location=f"{tmpdir_path}/rl")  # idempotent
     rows = spark.createDataFrame(
-        [(1, 2, "wf", "nb1", "it's 'quoted'", dt.datetime(2024, 1, 1)), (1, 3, "wf", "nb2", "x", None)],
+        [(1, 2, "wf", "nb1", "it's 'quoted'", dt.datetime(2024, 1, 1)), (1, 3, "wf", "nb2", "x", dt.datetime(2024, 1, 2))],
         "workflowId long, JobRunId long, workflowName string, notebookName string, logMessage string, "
         "logTime timestamp_ntz",
     )
     tables.append_run_log(rows, name)
     back = {r.JobRunId: r for r in spark.table(name).collect()}
     assert back[2].logMessage == "it's 'quoted'" and back[2].logTime == dt.datetime(2024, 1, 1)
-    assert back[3].logTime is not None  # filled with now
     assert spark.table(name).columns[-1] == "notebookName"
+    tables.append_run_log(rows, name)  # the same rows again, as after a run that was cut off
+    assert spark.table(name).count() == 2
+    null = rows.where("JobRunId = 3").selectExpr("* EXCEPT (logTime)", "CAST(NULL AS TIMESTAMP_NTZ) AS logTime")
+    with pytest.raises(Exception, match="logTime must not be NULL"):
+        tables.append_run_log(null, name)
+    with pytest.raises(ValueError, match="key logTime broken"):
+        tables.append_run_log(rows.where("JobRunId = 3").withColumn("logMessage", F.lit("other")), name)
+    with pytest.raises(ValueError, match="key logTime broken"):
+        two = rows.withColumn("logTime", F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"))
+        tables.append_run_log(two, name)
+    tables.append_run_log(rows.drop("logTime").withColumn("logMessage", F.lit("now")), name)  # times are filled, and differ
+    assert spark.table(name).count() == 4 and tables.check_unique_key(spark.table(name), ["logTime"]).count() == 0
+
+
+def test_merge_rows_needs_row_level_operations(spark, tmpdir_path):
+    name = "merge_" + uuid.uuid4().hex[:8]
+    spark.range(3).withColumn("v", F.lit("a")).write.option("path", f"{tmpdir_path}/m").saveAsTable(name)
+    updates = spark.createDataFrame([(1, "b")], "id long, v string")
+    assert tables.merge_rows(updates, name, ["id"], ["v"]) is False
+    assert spark.table(name).where("v = 'a'").count() == 3
+
+
+def test_find_layer_tables(spark):
+    listing = spark.createDataFrame([("detail20230630",), ("detail2_20230731",), ("Acme_all20230831x",), ("gross",)], "tableName string")
+    req = spark.createDataFrame(
+        [("lay", "Detail", "detail", "20230630"), ("lay", "gross", "detail", "20230630"), ("lay", "summary", "detail2", "20230731"),
+         ("lay", "detail", "gross", "2023"), ("acme", "any", "x", "20230831"), ("acme", None, None, "20230630")],
+        "customer string, table_type string, bronze_table_type string, as_of string",
+    )
+    got = [r.found for r in tables.find_layer_tables(req, listing, ["lay"], ["acme"]).orderBy("customer", "as_of", "bronze_table_type").collect()]
+    assert got == [False, True, False, True, True, False]  # detail2_: no digit right after the type
+    bad = spark.createDataFrame([("lay", "other", "detail", "2")], req.schema)
+    with pytest.raises(Exception, match="no rule for customer"):
+        tables.find_layer_tables(bad, listing, ["lay"], ["acme"]).collect()
 
 
 def test_check_unique_key(spark):
