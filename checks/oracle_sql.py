@@ -15,6 +15,14 @@ def _sel(exprs) -> str:
 
 
 CONTROL = f"(SELECT {_sel(d.CONTROL_EXPRS)} FROM part)"
+
+
+def _norm(c: str) -> str:
+    return f"CASE WHEN trim({c}) <> '' AND lower({c}) <> 'nan' THEN {c} END AS {c}"
+
+
+# as S6 reads it
+SHEET = "(SELECT " + ", ".join(_norm(c) for c, _ in d.CONTROL_EXPRS) + f" FROM {CONTROL})"
 JOBS = f"(SELECT {_sel(d.JOB_EXPRS)} FROM part)"
 INVENTORY = (
     f"(SELECT {_sel(d.INVENTORY_SOURCE_EXPRS)} FROM part UNION ALL "
@@ -25,6 +33,7 @@ _Q = "CAST(date_trunc('quarter', o_orderdate) AS DATE)"
 _QE = f"last_day({_Q} + INTERVAL 2 MONTH)"
 FILE_NAME = (
     f"(CASE WHEN o_orderkey % 10 = 9 THEN 'LPT ' || strftime({_QE}, '%Y%m%d') "
+    f"WHEN o_orderkey % 10 = 7 THEN 'LPT - ' || strftime({_QE}, '%Y.%m.%d') "
     f"WHEN o_orderkey % 2 = 0 THEN strftime({_Q}, '%Y-%m') || '_bcg' "
     f"ELSE 'LPT - ' || strftime({_QE}, '%Y %m %d') END || {d.EXT_EXPR})"
 )
@@ -38,7 +47,10 @@ def nan_null(c: str) -> str:
 DEST_TYPE = f"coalesce({nan_null('Uc_table_type')}, Hive_table_type)"
 IS_EXT = f"(upper(Hive_table_type) = 'EXTERNAL' AND upper({DEST_TYPE}) = 'EXTERNAL')"
 TABLE_PART = "split_part(Hive_table_name, '.', 2)"
-JOB_NAME = f"('CDC_UC_' || {TABLE_PART} || coalesce('_' || {nan_null('Uc_table_name')}, ''))"
+JOB_NAME = (
+    f"(CASE WHEN contains(Hive_table_name, '.') THEN 'CDC_UC_' || {TABLE_PART} || "
+    f"coalesce('_' || {nan_null('Uc_table_name')}, '') END)"
+)
 ROUTE_CUSTOMER = (
     "(CASE WHEN contains(lower(file_name), 'lpt') THEN 'client_b' "
     "WHEN contains(lower(file_name), 'bcg') THEN 'client_a' END)"
@@ -53,12 +65,13 @@ AS_OF = (
     "END), '.', 1), ' ', '')"
 )
 INPUT_EXT = "(suffix(file_name, '.csv') OR suffix(file_name, '.xls') OR suffix(file_name, '.xlsx'))"
-MANAGED = (
-    f"(SELECT Hive_table_name, Hive_table_type, Hive_table_format, Sync_required, Frequency_of_sync, "
+MANAGED_OF = (
+    "(SELECT Hive_table_name, Hive_table_type, Hive_table_format, Sync_required, Frequency_of_sync, "
     f"Date_n_time_for_1st_schedule, Uc_catalog_name, Uc_schema_name, Uc_table_name, Failure_notifications, "
     f"Primary_key_for_cdc, {DEST_TYPE} AS Uc_table_type, Uc_table_format, Uc_external_table_location "
-    f"FROM {CONTROL} WHERE NOT coalesce({IS_EXT}, false))"
+    f"FROM %s WHERE NOT coalesce({IS_EXT}, false))"
 )
+MANAGED = MANAGED_OF % CONTROL
 
 
 def cron_sql(src: str, key: str = "Hive_table_name") -> str:
@@ -83,43 +96,38 @@ SELECT k, CASE WHEN ok THEN CASE
 FROM v)"""
 
 
-MODE = (
-    "(CASE WHEN NOT ((Frequency_of_sync IS NOT NULL AND Frequency_of_sync <> '') "
-    "OR Date_n_time_for_1st_schedule IS NOT NULL) THEN 'create' "
-    "WHEN Frequency_of_sync IS NULL THEN 'fail' "
-    "WHEN lower(CASE WHEN Frequency_of_sync <> '' THEN Frequency_of_sync ELSE Date_n_time_for_1st_schedule END) "
-    "<> 'nan' THEN 'schedule' ELSE 'create' END)"
-)
-
 LISTING = f"""(SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY job_id) - 1 AS INTEGER) AS pos,
   job_id, job_name FROM {JOBS})"""
 
-PLAN = f"""(WITH m AS (SELECT *, {JOB_NAME} AS job_name, {MODE} AS mode FROM {MANAGED}),
+# R4, R5 by the contract: a schedule needs a frequency and a time; the sheet is read by S6,
+# so what is missing is NULL; a table name without a schema part fails.
+PLAN = f"""(WITH m AS (SELECT *, {JOB_NAME} AS job_name FROM {MANAGED_OF % SHEET}),
 cr AS {cron_sql('m')},
 kn AS (SELECT job_name AS known_name, arg_min(job_id, page_id * 1000000 + pos) AS known_id FROM {LISTING} GROUP BY job_name),
 x AS (SELECT m.*, cr.cron AS raw_cron,
-        CASE WHEN m.mode = 'schedule' AND cr.cron <> 'not yet supported' THEN cr.cron END AS cron_ok,
-        coalesce(m.Sync_required = 'yes', false) AS wanted, kn.known_name IS NOT NULL AS known, kn.known_id
+        CASE WHEN Frequency_of_sync IS NOT NULL AND Date_n_time_for_1st_schedule IS NOT NULL
+             AND cr.cron <> 'not yet supported' THEN cr.cron END AS cron_ok,
+        CASE WHEN coalesce(m.Sync_required <> 'yes', true) THEN 'unwanted'
+             WHEN m.job_name IS NULL THEN 'unnamed' WHEN kn.known_name IS NOT NULL THEN 'known' ELSE 'new' END AS kind, kn.known_id
       FROM m JOIN cr ON m.Hive_table_name = cr.k LEFT JOIN kn ON m.job_name = kn.known_name)
 SELECT Hive_table_name AS table_name, job_name,
-  CASE WHEN NOT wanted THEN 'skip' WHEN mode = 'fail' THEN 'fail' WHEN known THEN 'skip'
-       WHEN cron_ok IS NOT NULL THEN 'schedule' ELSE 'create' END AS action,
-  CASE WHEN NOT wanted THEN 'Skipped' WHEN mode = 'fail' THEN 'Failed' WHEN known THEN 'Skipped' ELSE 'Planned' END AS status,
-  CASE WHEN wanted AND mode <> 'fail' AND NOT known THEN cron_ok END AS cron,
-  CASE WHEN NOT wanted THEN 'sync_required parameter is NO'
-       WHEN mode = 'fail' THEN 'frequency missing while schedule time is set'
-       WHEN known THEN 'job already scheduled'
-       WHEN cron_ok IS NOT NULL THEN 'scheduled: ' || cron_ok
-       WHEN mode = 'create' THEN 'created without schedule: no frequency or time given'
-       WHEN raw_cron IS NULL THEN 'created without schedule: time does not parse'
-       ELSE 'created without schedule: frequency not supported' END AS log_message,
-  CASE WHEN wanted AND mode <> 'fail' AND known THEN known_id END AS job_id,
+  CASE kind WHEN 'unnamed' THEN 'fail' WHEN 'new' THEN CASE WHEN cron_ok IS NULL THEN 'create' ELSE 'schedule' END ELSE 'skip' END AS action,
+  CASE kind WHEN 'unnamed' THEN 'Failed' WHEN 'new' THEN 'Planned' ELSE 'Skipped' END AS status,
+  CASE WHEN kind = 'new' THEN cron_ok END AS cron,
+  CASE kind WHEN 'unwanted' THEN 'sync_required parameter is NO' WHEN 'unnamed' THEN 'table name has no schema part'
+    WHEN 'known' THEN 'job already scheduled'
+    ELSE CASE WHEN cron_ok IS NOT NULL THEN 'scheduled: ' || cron_ok
+      WHEN Frequency_of_sync IS NULL AND Date_n_time_for_1st_schedule IS NULL THEN 'created without schedule: no frequency or time given'
+      WHEN Frequency_of_sync IS NULL THEN 'created without schedule: no frequency given'
+      WHEN Date_n_time_for_1st_schedule IS NULL THEN 'created without schedule: no time given'
+      WHEN raw_cron IS NULL THEN 'created without schedule: time does not parse'
+      ELSE 'created without schedule: frequency not supported' END END AS log_message,
+  CASE WHEN kind = 'known' THEN known_id END AS job_id,
   Uc_catalog_name AS destination_catalog_name, Uc_schema_name AS destination_schema_name
 FROM x)"""
 
 NEWEST_LINES = """(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-  ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC,
-           l_tax DESC, l_returnflag DESC, l_linestatus DESC) AS rn FROM lineitem) WHERE rn = 1)"""
+  ORDER BY l_shipdate DESC, %s) AS rn FROM lineitem) WHERE rn = 1)"""
 
 ETL_LOG = f"(SELECT {_sel(d.ETL_LOG_EXPRS)} FROM events)"
 WM_BY_TABLE = (
@@ -156,14 +164,7 @@ SHEET_CSV = f"""(SELECT o_orderkey AS OrderKey, o_custkey AS CustomerKey, o_orde
   o_totalprice AS TotalPrice, o_orderdate AS OrderDate, o_orderpriority AS OrderPriority, file_name AS source_file,
   {ROUTE_CUSTOMER} AS customer, {AS_OF} AS as_of_date FROM {FILES} WHERE suffix(file_name, '.csv'))"""
 
-BACKUP = (
-    "split_part(file_name, '.', 1) || '_' || strftime(TIMESTAMP '2024-01-31 15:04:05', '%Y_%m_%d-%I_%M_%S_%p') "
-    "|| '.' || regexp_extract(file_name, '\\.([^.]*)$', 1)"
-)
-
-
-def _norm(c: str) -> str:
-    return f"CASE WHEN trim({c}) <> '' AND lower({c}) <> 'nan' THEN {c} END AS {c}"
+BACKUP_STEM = "split_part(file_name, '.', 1) || '_' || strftime(TIMESTAMP '2024-01-31 15:04:05', '%Y_%m_%d-%I_%M_%S_%p')"
 
 
 X5_SQL = f"""WITH ch AS (SELECT {_sel(d.CHANGE_EXPRS)} FROM (SELECT *, unnest([1, 2]) AS k FROM orders)),
@@ -179,6 +180,32 @@ X5_SQL = f"""WITH ch AS (SELECT {_sel(d.CHANGE_EXPRS)} FROM (SELECT *, unnest([1
         FROM orders b FULL OUTER JOIN l ON b.o_orderkey = l.o_orderkey
         WHERE coalesce(l.op, '') <> 'D' AND (b.o_orderkey IS NOT NULL OR l.op IN ('I', 'U'))"""
 
+# Two arrivals: what each file's run says of it, and what bronze holds of it.
+_SERIES = (
+    "lower(trim(CASE WHEN contains(lower(file_name), 'lpt') THEN split_part(file_name, '-', 1) "
+    "ELSE split_part(substr(file_name, strpos(file_name, '_') + 1), '.', 1) END))"
+)
+_DATED = f"coalesce(regexp_full_match({AS_OF}, '[0-9]{{8}}|[0-9]{{4}}-[0-9]{{2}}'), false)"
+DATED_SHEET = (
+    "(SELECT o_orderkey AS OrderKey, o_orderstatus AS OrderStatus, o_totalprice AS TotalPrice, o_orderdate AS OrderDate, "
+    f"{ROUTE_CUSTOMER} AS customer FROM {FILES} WHERE suffix(file_name, '.csv') AND {_DATED})"
+)
+X1_RUN = f"""WITH arrived AS (
+    SELECT 1 AS run, * FROM {FILES} WHERE {d.ARRIVAL_EXPRS[1]} UNION ALL SELECT 2, * FROM {FILES} WHERE {d.ARRIVAL_EXPRS[2]}),
+  f AS (SELECT run, file_name, {ROUTE_CUSTOMER} AS customer, {_SERIES} AS series, {AS_OF} AS as_of, count(*) AS n, sum(o_orderkey) AS keys
+    FROM arrived WHERE {INPUT_EXT} GROUP BY 1, 2, 3, 4, 5),
+  -- a file that is not CSV stays, so the second run sees those of the first too
+  seen AS (SELECT run, file_name, customer, series, as_of, n, keys FROM f
+    UNION ALL SELECT 2, file_name, customer, series, as_of, n, keys FROM f a WHERE run = 1 AND NOT suffix(file_name, '.csv')
+      AND NOT EXISTS (SELECT 1 FROM f b WHERE b.run = 2 AND b.file_name = a.file_name)),
+  decided AS (SELECT *, CASE WHEN NOT suffix(file_name, '.csv') THEN 'unread'
+      WHEN NOT coalesce(regexp_full_match(as_of, '[0-9]{{8}}|[0-9]{{4}}-[0-9]{{2}}'), false) THEN 'quarantine'
+      WHEN run = 2 AND EXISTS (SELECT 1 FROM f b WHERE b.run = 1 AND suffix(b.file_name, '.csv') AND b.customer = seen.customer
+          AND b.series = seen.series AND b.as_of = seen.as_of) THEN 'skip' ELSE 'load' END AS decision FROM seen)
+SELECT run, file_name, CASE decision WHEN 'load' THEN 'Success' WHEN 'quarantine' THEN 'Quarantined' ELSE 'Skipped' END AS status,
+  as_of AS "asOfDate", CASE WHEN decision = 'load' THEN n END AS n_rows, CAST(CASE WHEN decision = 'load' THEN keys END AS BIGINT) AS sum_keys
+FROM decided"""
+
 CLUSTERS = f"(SELECT {_sel(d.CLUSTER_EXPRS)} FROM supplier)"
 
 ORACLE: dict[str, str] = {
@@ -214,7 +241,7 @@ ORACLE: dict[str, str] = {
         LEFT JOIN cat ON r2.client = cat.cust AND r2.environment = cat.env""",
     "J2_validate_storage": f"""WITH r AS (SELECT page_id, url AS storage_name,
           CASE WHEN length(coalesce(url, '')) > 0 THEN nullif(regexp_extract(url, '//(.+?)/', 1), '') END AS root FROM pages),
-        loc AS (SELECT {_sel(d.LOCATION_EXPRS)} FROM pages WHERE {d.LOCATION_FILTER}),
+        loc AS (SELECT {_sel(d.LOCATION_EXPRS)} FROM pages),
         roots AS (SELECT DISTINCT root FROM r WHERE root IS NOT NULL),
         hit AS (SELECT root FROM roots WHERE EXISTS (SELECT 1 FROM loc WHERE contains(loc.url, roots.root)))
         SELECT page_id, storage_name, hit.root IS NOT NULL AS valid FROM r LEFT JOIN hit ON r.root = hit.root""",
@@ -281,14 +308,36 @@ ORACLE: dict[str, str] = {
     "R5_sync_plan": f"SELECT table_name, job_name, action, status, cron, log_message, job_id FROM {PLAN}",
     "R6_sync_log_rows": f"""SELECT coalesce(CAST(job_id AS STRING), 'N/A') AS jobId,
         CASE WHEN action IN ('schedule', 'create') OR (action = 'skip' AND job_id IS NOT NULL) THEN job_name ELSE 'N/A' END AS jobName,
-        table_name, destination_catalog_name, destination_schema_name, status, log_message FROM {PLAN}""",
+        table_name, destination_catalog_name, destination_schema_name, status, log_message,
+        TIMESTAMP '2024-01-31 15:04:05' AS log_time FROM {PLAN}""",
     "migration_status_counts": f"SELECT action, status, count(*) AS n_tables FROM {PLAN} GROUP BY action, status",
     "S1_list_input_files": f"SELECT DISTINCT file_name FROM {FILES} WHERE {INPUT_EXT}",
     "S2_file_exists": f"SELECT DISTINCT file_name, {INPUT_EXT} AS present FROM {FILES}",
-    "S3_archive_processed": f"""SELECT DISTINCT {BACKUP} AS file_name, 'backup' AS place FROM {FILES} WHERE {INPUT_EXT}""",
-    "S4_file_arrival_ingest": f"""SELECT OrderKey, OrderStatus, TotalPrice, OrderDate, source_file, customer, as_of_date
-        FROM {SHEET_CSV}""",
-    "S6_read_control": "SELECT " + ", ".join(_norm(c) for c, _ in d.CONTROL_EXPRS) + f" FROM {CONTROL}",
+    "S1_first_input_file": f"SELECT min(file_name) AS file_name FROM {FILES} WHERE {INPUT_EXT}",
+    "S3_archive_processed": f"""SELECT stem || CASE WHEN count(*) OVER (PARTITION BY stem, ext) > 1
+          THEN '_' || substr(md5(file_name), 1, 12) ELSE '' END || ext AS file_name, 'backup' AS place
+        FROM (SELECT file_name, {BACKUP_STEM} AS stem, '.' || regexp_extract(file_name, '\\.([^.]*)$', 1) AS ext
+          FROM {FILES} WHERE {INPUT_EXT} GROUP BY file_name)""",
+    "S4_file_arrival_ingest": f"SELECT *, TIMESTAMP '2024-01-31 15:04:05' AS ingestion_timestamp FROM {SHEET_CSV}",
+    "S6_read_control": f"SELECT * FROM {SHEET}",
+    "S7_pandas_to_df": f"SELECT * FROM {SHEET}",
+    "X1_incremental_run": X1_RUN,
+    "X5_cdc_stream": X5_SQL,
+    "X7_layer_stages": f"""SELECT customer, OrderStatus, count(*) AS n_rows,
+        CAST(sum(CAST(TotalPrice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total,
+        CAST(grouping(customer, OrderStatus) AS INTEGER) AS level_id
+        FROM {DATED_SHEET} GROUP BY ROLLUP (customer, OrderStatus)""",
+    "X7_gold_stages": f"""SELECT customer, CAST(year(OrderDate) AS INTEGER) AS year, count(*) AS n_rows,
+        CAST(sum(CAST(TotalPrice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM {DATED_SHEET} GROUP BY 1, 2""",
+    "C3_catalog_inventory": """SELECT DISTINCT 'spark_catalog' AS catalog, CAST(k % 5 AS STRING) AS schema, 't' || CAST(k AS STRING) AS "table"
+        FROM (SELECT CAST(floor(s_suppkey / 10) AS BIGINT) AS k FROM supplier)""",
+    "C7_find_layer_table": f"""WITH r AS (SELECT DISTINCT {_sel(d.LAYER_REQUEST_EXPRS)}, strftime(o_orderdate, '%Y%m%d') AS as_of FROM orders),
+        names AS (SELECT tableName FROM {DATED_LISTING}
+          UNION SELECT 'Client_A_x' || strftime(o_orderdate, '%Y%m%d') || '_v2' FROM orders WHERE o_orderkey % 7 = 0),
+        hit AS (SELECT DISTINCT r.* FROM r JOIN names n ON contains(n.tableName, r.as_of)
+          AND CASE WHEN r.customer = 'client_a' THEN starts_with(lower(n.tableName), 'client_a')
+              ELSE regexp_full_match(lower(n.tableName), lower(r.bronze_table_type) || '[0-9].*') END)
+        SELECT r.*, hit.customer IS NOT NULL AS found FROM r LEFT JOIN hit USING (customer, table_type, bronze_table_type, as_of)""",
     "S10_append_run_log": f"""SELECT workflowId, JobRunId, workflowName, jobTriggerTime, errorMessage, logMessage, logTime, status,
         jobEndTime, asOfDate, notebookName FROM (SELECT {_sel(d.RUN_LOG_EXPRS)} FROM events)""",
     "X1_bronze_ingest": f"SELECT * FROM {SHEET_CSV}",
@@ -318,7 +367,7 @@ ORACLE: dict[str, str] = {
     "X3_silver_aggregation": f"""SELECT l_returnflag, l_linestatus, count(*) AS n_rows,
         CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_qty,
         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_price
-        FROM {NEWEST_LINES} GROUP BY l_returnflag, l_linestatus""",
+        FROM {NEWEST_LINES % "l_returnflag DESC, l_linestatus DESC, l_quantity DESC, l_extendedprice DESC"} GROUP BY l_returnflag, l_linestatus""",
     "X4_detail_aggregation": """SELECT l_returnflag, l_linestatus, count(*) AS n_rows,
         CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_qty,
         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_price,
@@ -327,7 +376,11 @@ ORACLE: dict[str, str] = {
     "X5_cdc_apply": X5_SQL,
     "X6_gold_report": f"""SELECT r_name, CAST(year(o_orderdate) AS INTEGER) AS order_year, count(*) AS n_lines,
         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DECIMAL(38,4)) AS net_revenue
-        FROM {NEWEST_LINES} li JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+        FROM {NEWEST_LINES % "l_extendedprice DESC, l_discount DESC"} li JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         GROUP BY r_name, CAST(year(o_orderdate) AS INTEGER)""",
 }
+
+ORACLE["S8_overwrite_table"] = f"""SELECT c.* REPLACE (j.dry_run_status AS dry_run_status)
+    FROM {CONTROL} c JOIN ({ORACLE["J5_dry_run_check"]}) j USING (Hive_table_name)"""
+ORACLE["S9_append_sync_log"] = f"SELECT * FROM ({ORACLE['R6_sync_log_rows']}) UNION ALL SELECT * FROM ({ORACLE['R6_sync_log_rows']})"

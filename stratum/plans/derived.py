@@ -21,8 +21,11 @@ def _k(col: str) -> str:
 
 # --- control table (from part) --------------------------------------------------------
 
+#: A few names have no schema part.
+HIVE_NAME_EXPR = f"CASE WHEN p_partkey % 97 = 5 THEN 'nodot' ELSE 'bronze.t' END || {_k('p_partkey')}"
+
 CONTROL_EXPRS = [
-    ("Hive_table_name", f"'bronze.t' || {_k('p_partkey')}"),
+    ("Hive_table_name", HIVE_NAME_EXPR),
     (
         "Hive_table_type",
         "CASE p_partkey % 4 WHEN 0 THEN 'MANAGED' WHEN 1 THEN 'EXTERNAL' WHEN 2 THEN 'managed' "
@@ -102,7 +105,7 @@ INVENTORY_DEST_EXPRS = [
 ]
 
 STATUS_UPDATE_EXPRS = [
-    ("Hive_table_name", f"'bronze.t' || {_k('p_partkey')}"),
+    ("Hive_table_name", HIVE_NAME_EXPR),
     (
         "Table_Status",
         "CASE p_size % 3 WHEN 0 THEN 'MIGRATED' WHEN 1 THEN 'FAILED' ELSE CAST(NULL AS STRING) END",
@@ -162,8 +165,11 @@ RUN_LOG_EXPRS = [
 
 # --- pages-derived ---------------------------------------------------------------------
 
-LOCATION_FILTER = "url LIKE 'https:%'"
-LOCATION_EXPRS = [("name", f"'loc' || {_k('page_id')}"), ("url", "url")]
+# Locations: one per page; the pages that are not https are elsewhere, so some requests fail.
+LOCATION_EXPRS = [
+    ("name", f"'loc' || {_k('page_id')}"),
+    ("url", f"CASE WHEN url LIKE 'https:%' THEN url ELSE 's3://elsewhere' || {_k('page_id % 11')} || '/x' END"),
+]
 
 # --- orders-derived (dialect-specific date text) ---------------------------------------
 
@@ -204,6 +210,22 @@ EXT_EXPR = (
     "WHEN '4-NOT SPECIFIED' THEN '.XLS' ELSE '.txt' END"
 )
 
+#: Two arrivals in one landing folder: the orders before this day, then the others together with
+#: some of the first ones again (re-sent files of dates that are loaded).
+SECOND_ARRIVAL = "1998-07-01"
+ARRIVAL_EXPRS = {
+    1: f"o_orderdate < TIMESTAMP '{SECOND_ARRIVAL} 00:00:00'",
+    2: f"(o_orderdate >= TIMESTAMP '{SECOND_ARRIVAL} 00:00:00' OR o_orderkey % 50 IN (2, 11))",
+}
+
+# C7 with all inputs: layer customers have tables by type, the others by customer name.
+LAYER_CUSTOMERS, WHOLE_CUSTOMERS = ("client_b",), ("client_a",)
+LAYER_REQUEST_EXPRS = [
+    ("customer", "CASE WHEN o_custkey % 4 = 3 THEN 'client_a' ELSE 'client_b' END"),
+    ("table_type", "CASE o_custkey % 3 WHEN 0 THEN 'Detail' WHEN 1 THEN 'gross' ELSE 'SUMMARY' END"),
+    ("bronze_table_type", "CASE o_custkey % 5 WHEN 0 THEN 'detail' WHEN 1 THEN 'gross' WHEN 2 THEN 'summary' WHEN 3 THEN 'claims2' ELSE 'detail_' END"),
+]
+
 DATED_KINDS = (
     "claimreviews", "claimsfull", "lossevents", "updatevalues", "detail", "gross", "summary", "detail_x",
 )
@@ -303,18 +325,20 @@ def storage_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(load(spark, sf_dir, "pages").where(LOCATION_FILTER), LOCATION_EXPRS)
+    return _select(load(spark, sf_dir, "pages"), LOCATION_EXPRS)
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One input-file name per order: layout A (``yyyy-MM_bcg``) for even keys, layout B
-    (``LPT - yyyy MM dd``, quarter end) for odd keys, and layout B without a dash
-    (``LPT yyyyMMdd``) for keys ending in 9; extension by order priority."""
+    (``LPT - yyyy MM dd``, quarter end) for odd keys, layout B without a dash
+    (``LPT yyyyMMdd``) for keys ending in 9 and with dots (``LPT - yyyy.MM.dd``) for keys
+    ending in 7; extension by order priority."""
     o = load(spark, sf_dir, "orders")
     quarter = F.trunc(F.col("o_orderdate").cast("date"), "quarter")
     quarter_end = F.last_day(F.add_months(quarter, 2))
     name = (
         F.when(F.col("o_orderkey") % 10 == 9, F.concat(F.lit("LPT "), F.date_format(quarter_end, "yyyyMMdd")))
+        .when(F.col("o_orderkey") % 10 == 7, F.concat(F.lit("LPT - "), F.date_format(quarter_end, "yyyy.MM.dd")))
         .when(F.col("o_orderkey") % 2 == 0, F.concat(F.date_format(quarter, "yyyy-MM"), F.lit("_bcg")))
         .otherwise(F.concat(F.lit("LPT - "), F.date_format(quarter_end, "yyyy MM dd")))
     )
@@ -328,9 +352,9 @@ def backup_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with the landing-sheet header names plus their file name."""
-    o = file_names(spark, sf_dir)
+def sheet_rows(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """Orders (those of ``which``) with the landing-sheet header names plus their file name."""
+    o = file_names(spark, sf_dir).where(which)
     return o.select(*[F.col(src).alias(dst) for src, dst in SHEET_COLUMNS], "file_name")
 
 
@@ -348,6 +372,21 @@ def dated_requests(spark: SparkSession, sf_dir: str, kinds: tuple) -> DataFrame:
     ).distinct()
 
 
+def layer_table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dated tables, and for every seventh order one of the customers' own tables."""
+    o = load(spark, sf_dir, "orders")
+    own = o.where(F.col("o_orderkey") % 7 == 0).select(
+        F.concat(F.lit("Client_A_x"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_v2")).alias("tableName")
+    )
+    return dated_table_listing(spark, sf_dir).unionByName(own)
+
+
+def layer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    named = o.selectExpr(*[f"{e} AS {n}" for n, e in LAYER_REQUEST_EXPRS], "o_orderdate")
+    return named.select(*[n for n, _ in LAYER_REQUEST_EXPRS], F.date_format("o_orderdate", "yyyyMMdd").alias("as_of")).distinct()
+
+
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two changes per order key (``k`` = 1, 2): key%10 = 1 deleted, 2 inserted under a
     shifted key, 3 deleted by a newer second change, the rest updated."""

@@ -1,122 +1,243 @@
 """Entry point C: one incremental load run over a landing folder.
 
-    list input files (S1) -> read rows with file name, customer, as-of date, clean
-    names (X1: P14, P6, P2, P1) -> skip as-of dates already loaded (anti join, the
-    batch form of C6/C7) -> append to bronze, partitioned by customer and as-of date
-    -> run-log rows (S10) -> watermark upsert (A2, U1) -> archive read files (S3)
+    list input files (S1) -> decide for each file: load, skip, quarantine, unread
+      -> read the files to load by header name, add file name, customer, as-of date, clean
+         names (X1: P14, P6, P2, P1) -> write them as one load of the bronze table
+      -> ledger commit -> run-log rows (S10) -> watermark upsert (A2, U1) -> moves (S3)
 
-The "already loaded" test selects only the partition columns of the bronze table
-(no data column is read), and the watermark is one row per table.
+The file list is made once and carried through: only rows of listed files are read, and
+only files that the ledger names are moved. What was loaded before is read from the
+ledger, one row a file, not from the table.
+
+A load is written to ``load_id=<run>`` and exists when the ledger says so; what an earlier
+attempt left without a commit is never read. After the commit, the log, the watermark and
+the moves can be repeated: :func:`finish_runs` does it for every committed run that is not
+yet marked finished, so a run that was cut off is completed by the next one.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.names import DEFAULT_ROUTES, decode_file_name
-from ..operators.joins import bounded_broadcast
+from ..functions.names import DEFAULT_ROUTES, as_of_date, as_of_to_date, route_by_name
 from ..operators.layers import bronze_columns
 from ..operators.watermark import upsert_watermark
-from ..session import cut_lineage
+from ..schemas import ETL_LOG
 from ..sources import files
 from ..sources.tables import append_run_log, commit_snapshot, latest_version, read_snapshot
-from ..schemas import ETL_LOG
 
 BRONZE_PARTITIONS = ("customer", "as_of_date")
-HIVE_NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+LOAD_ID = "load_id"
+LEDGER = (
+    "run_id string, state string, n int, path string, file_name string, length long, customer string, series string, "
+    "as_of_date string, decision string, rows long, stamp timestamp_ntz"
+)
+#: Where a file goes after its run, by decision; an unread file stays where it is.
+PLACES = {"load": "backup", "skip": "skipped", "quarantine": "quarantine"}
 
 
 @dataclass
 class LoadRun:
+    run_id: str
     loaded_rows: int
-    loaded_dates: DataFrame
-    moves: DataFrame | None
+    files: DataFrame
+    moves: dict[str, int]
     watermark_version: int
 
 
-def loaded_dates(spark: SparkSession, bronze_path: str) -> DataFrame:
-    """Distinct (customer, as-of date) already in bronze, read from the data file paths
-    (exact partition text, no type inference, no data read); empty when bronze is new."""
-    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in BRONZE_PARTITIONS))
+def file_series(file_name: Column | str, layout: Column) -> Column:
+    """What a file is about apart from its date: the text before the first ``-`` (layout
+    ``after_dash``) or after the first ``_`` (``before_underscore``), lower case. Files of one
+    customer and date are different tables when their series differ."""
+    f = F.col(file_name) if isinstance(file_name, str) else file_name
+    before_dash = F.split_part(f, F.lit("-"), F.lit(1))
+    after_line = F.split_part(F.substr(f, F.instr(f, "_") + 1), F.lit("."), F.lit(1))
+    return F.lower(F.trim(F.when(layout == "after_dash", before_dash).otherwise(after_line)))
+
+
+def read_ledger(spark: SparkSession, bronze_path: str) -> DataFrame:
     try:
-        paths = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.parquet")
-            .load(bronze_path)
-            .select("path")
-        )
+        return spark.read.schema(LEDGER).parquet(f"{bronze_path}/_ledger")
     except Exception as exc:
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return empty
+            return spark.createDataFrame([], LEDGER)
         raise
 
-    def part(col: str):
-        raw = F.regexp_extract("path", f"/{col}=([^/]*)/", 1)
-        return F.when(raw != HIVE_NULL_PARTITION, decode_file_name(raw)).alias(col)
 
-    return paths.select(*[part(c) for c in BRONZE_PARTITIONS]).distinct()
+def plan_files(listing: DataFrame, ledger: DataFrame, routes: Sequence[tuple] = DEFAULT_ROUTES) -> DataFrame:
+    """Each listed file with its decision:
+
+    * ``unread``: accepted (S1) but not CSV;
+    * ``quarantine``: the name gives no as-of date;
+    * ``skip``: customer, series and date are loaded already, or an earlier name of this
+      listing has the same ones;
+    * ``load``: all others.
+    """
+    layout = route_by_name("file_name", routes, 2)
+    named = listing.select(
+        "path",
+        "file_name",
+        "length",
+        route_by_name("file_name", routes, 1).alias("customer"),
+        file_series("file_name", layout).alias("series"),
+        as_of_date("file_name", layout).alias("as_of_date"),
+        F.col("file_name").endswith(".csv").alias("_csv"),
+    )
+    key = ["customer", "series", "as_of_date"]
+    done = ledger.where("state = 'committed' AND decision = 'load'").select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
+    same = None
+    for k in key:
+        one = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        same = one if same is None else same & one
+    nth = F.row_number().over(Window.partitionBy(*key, "_csv").orderBy("file_name"))
+    decided = (
+        named.withColumn("_nth", nth)
+        .join(done.withColumn("_done", F.lit(True)), same, "left")
+        .withColumn(
+            "decision",
+            F.when(~F.col("_csv"), "unread")
+            .when(as_of_to_date("as_of_date").isNull(), "quarantine")
+            .when(F.col("_done") | (F.col("_nth") > 1), "skip")
+            .otherwise("load"),
+        )
+    )
+    # the files of one listing get numbers, which make their log times differ
+    number = F.row_number().over(Window.orderBy("file_name", "path"))
+    return decided.select(number.alias("n"), "path", "file_name", "length", *key, "decision")
 
 
 def read_bronze(spark: SparkSession, bronze_path: str) -> DataFrame:
-    """The bronze table with its partition columns as their exact text (Spark would
-    otherwise infer e.g. ``20230630`` as an int)."""
+    """The committed loads of a bronze table, its partition columns as their exact text (Spark
+    would otherwise infer e.g. ``20230630`` as an int)."""
     inferred = spark.read.parquet(bronze_path).schema
     fixed = StructType(
-        [StructField(f.name, StringType()) if f.name in BRONZE_PARTITIONS else f for f in inferred.fields]
+        [StructField(f.name, StringType()) if f.name in (*BRONZE_PARTITIONS, LOAD_ID) else f for f in inferred.fields]
     )
-    return spark.read.schema(fixed).parquet(bronze_path)
+    committed = read_ledger(spark, bronze_path).where("state = 'committed'").select(F.col("run_id").alias(LOAD_ID)).distinct()
+    return spark.read.schema(fixed).parquet(bronze_path).join(committed, LOAD_ID, "left_semi").drop(LOAD_ID)
 
 
-def run_incremental_load(
+def _append_ledger(rows: DataFrame, bronze_path: str) -> None:
+    names = [f.name for f in rows.sparkSession.createDataFrame([], LEDGER).schema.fields]
+    rows.select(*names).coalesce(1).write.mode("append").parquet(f"{bronze_path}/_ledger")  # one file: all or nothing
+
+
+def load_files(
     spark: SparkSession,
     landing: str,
     schema: StructType,
     bronze_path: str,
-    table_name: str,
-    etl_log_base: str,
-    run_log_table: str,
-    workflow_id: int = 0,
-    job_run_id: int = 0,
-    routes: Sequence[tuple] = DEFAULT_ROUTES,
-    archive: bool = True,
-    now: dt.datetime | None = None,
-) -> LoadRun:
-    """Load the CSV files waiting in ``landing`` into ``bronze_path`` once per as-of date."""
-    stamp = F.lit(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
-    listing = files.list_input_files(spark, landing, (".csv",))
-    raw = spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv").csv(landing)
-    rows = bronze_columns(raw, routes, ingestion_ts=stamp).withColumn(
-        "as_of_date", F.coalesce(F.col("as_of_date"), F.lit("unknown"))
+    routes: Sequence[tuple],
+    stamp: dt.datetime,
+) -> str:
+    """Plans the files of ``landing``, writes the rows of those to load and commits the run;
+    returns its id. Nothing is moved or logged."""
+    run_id = uuid.uuid4().hex
+    at = F.lit(stamp).cast("timestamp_ntz")
+    listing = files.list_input_files(spark, landing)
+    plan = plan_files(listing, read_ledger(spark, bronze_path), routes)
+    plan.write.parquet(f"{bronze_path}/_runs/{run_id}")  # the one listing that all else goes by
+    plan = spark.read.schema(plan.schema).parquet(f"{bronze_path}/_runs/{run_id}")
+    wanted = plan.where("decision = 'load'")
+    raw = files.read_csv_by_header(spark, wanted, schema)
+    rows = bronze_columns(raw.drop("source_path"), routes, file_name=F.col("source_file"), ingestion_ts=at)
+    target = f"{bronze_path}/{LOAD_ID}={run_id}"
+    rows.write.mode("overwrite").partitionBy(*BRONZE_PARTITIONS).parquet(target)
+    try:
+        written = spark.read.parquet(target).groupBy(F.col("source_file").alias("file_name")).agg(F.count(F.lit(1)).alias("rows"))
+    except Exception as exc:  # no file to load, or none with a row
+        if "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+            raise
+        written = spark.createDataFrame([], "file_name string, rows long")
+    counted = plan.join(written, "file_name", "left").withColumn(
+        "rows", F.when(F.col("decision") == "load", F.coalesce("rows", F.lit(0))).otherwise(0).cast("long")
+    )
+    _append_ledger(
+        counted.withColumns({"run_id": F.lit(run_id), "state": F.lit("committed"), "stamp": at}), bronze_path
+    )
+    return run_id
+
+
+def run_files(spark: SparkSession, bronze_path: str, run_id: str) -> DataFrame:
+    """The files of a committed run with their decisions and row counts."""
+    return read_ledger(spark, bronze_path).where((F.col("run_id") == run_id) & (F.col("state") == "committed"))
+
+
+def loaded_rows(spark: SparkSession, bronze_path: str, run_id: str) -> int:
+    return run_files(spark, bronze_path, run_id).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+
+def log_rows(ledger: DataFrame, table_name: str, workflow_id: int, job_run_id: int) -> DataFrame:
+    """Run-log rows of committed runs, one a file; the times of one run differ by a microsecond."""
+    message = (
+        F.when(F.col("decision") == "load", F.concat(F.lit("loaded "), F.col("rows").cast("string"), F.lit(" rows from "), F.col("file_name")))
+        .when(F.col("decision") == "skip", F.concat(F.lit("already loaded for its customer, series and date: "), F.col("file_name")))
+        .when(F.col("decision") == "quarantine", F.concat(F.lit("no as-of date in the name: "), F.col("file_name")))
+        .otherwise(F.concat(F.lit("no reader for this kind of file, left in the landing folder: "), F.col("file_name")))
     )
-    done = bounded_broadcast(loaded_dates(spark, bronze_path), 1_000_000)
-    same = [rows[c].eqNullSafe(done[c]) for c in BRONZE_PARTITIONS]
-    new_rows = rows.join(done, same, "left_anti")
-    new_rows = cut_lineage(new_rows)  # computed once: written, counted and logged
-    new_rows.write.mode("append").partitionBy(*BRONZE_PARTITIONS).parquet(bronze_path)
-
-    per_file = new_rows.groupBy("source_file", *BRONZE_PARTITIONS).agg(F.count(F.lit(1)).alias("n"))
-    log_rows = per_file.select(
+    status = F.when(F.col("decision") == "load", "Success").when(F.col("decision") == "quarantine", "Quarantined").otherwise("Skipped")
+    return ledger.select(
         F.lit(workflow_id).cast("long").alias("workflowId"),
         F.lit(job_run_id).cast("long").alias("JobRunId"),
         F.lit(table_name).alias("workflowName"),
         F.lit("bronze_ingest").alias("notebookName"),
-        F.concat(F.lit("loaded "), F.col("n").cast("string"), F.lit(" rows from "), F.col("source_file")).alias(
-            "logMessage"
-        ),
-        stamp.alias("logTime"),
-        F.lit("Success").alias("status"),
+        message.alias("logMessage"),
+        (F.col("stamp") + F.make_dt_interval(secs=(F.col("n") * F.lit(1e-6).cast("decimal(18,6)")).cast("decimal(18,6)"))).alias("logTime"),
+        status.alias("status"),
         F.col("as_of_date").alias("asOfDate"),
     )
-    append_run_log(log_rows, run_log_table)
 
-    change = new_rows.agg(F.max("ingestion_timestamp").alias("lastExtractDateTime")).select(
+
+def unfinished(spark: SparkSession, bronze_path: str) -> DataFrame:
+    """Ledger rows of the committed runs that are not marked finished."""
+    ledger = read_ledger(spark, bronze_path)
+    finished = ledger.where("state = 'finished'").select("run_id").distinct()
+    return ledger.where("state = 'committed'").join(finished, "run_id", "left_anti")
+
+
+def archive_runs(spark: SparkSession, bronze_path: str) -> dict[str, int]:
+    """Moves the files of the unfinished runs to the folders of their decisions and marks the
+    runs finished; returns the number of files per status of the move."""
+    open_rows = unfinished(spark, bronze_path)
+    place = F.create_map(*[F.lit(x) for pair in PLACES.items() for x in pair])
+    moved: dict[str, int] = {}
+    for run in open_rows.select("run_id", "stamp").distinct().orderBy("stamp", "run_id").collect():  # one, or a few after a crash
+        own = open_rows.where(F.col("run_id") == run["run_id"])
+        plan = files.archive_plan(own.where(F.col("decision").isin(*PLACES)), F.lit(run["stamp"]).cast("timestamp_ntz"), place[F.col("decision")])
+        for status, n in files.run_moves(plan).items():
+            moved[status] = moved.get(status, 0) + n
+        done = spark.createDataFrame([(run["run_id"],)], "run_id string").withColumn("state", F.lit("finished"))
+        names = [f.name for f in spark.createDataFrame([], LEDGER).schema.fields]
+        _append_ledger(done.select(*[F.col(c) if c in done.columns else F.lit(None).alias(c) for c in names]).to(_ledger_schema(spark)), bronze_path)
+    return moved
+
+
+def _ledger_schema(spark: SparkSession) -> StructType:
+    return spark.createDataFrame([], LEDGER).schema
+
+
+def finish_runs(
+    spark: SparkSession,
+    bronze_path: str,
+    table_name: str,
+    etl_log_base: str,
+    run_log_table: str,
+    workflow_id: int = 0,
+    job_run_id: int = 0,
+    archive: bool = True,
+) -> tuple[int, dict[str, int]]:
+    """Log, watermark and moves of every committed run that is not finished; each step may
+    have been done before. Returns the watermark's version and the counts of the moves."""
+    open_rows = unfinished(spark, bronze_path)
+    append_run_log(log_rows(open_rows, table_name, workflow_id, job_run_id), run_log_table)
+    change = open_rows.agg(F.max(F.when(F.col("rows") > 0, F.col("stamp"))).alias("lastExtractDateTime")).select(
         F.lit(table_name).alias("tableName"), "lastExtractDateTime"
     )
     old = (
@@ -125,8 +246,29 @@ def run_incremental_load(
         else spark.createDataFrame([], ETL_LOG)
     )
     version = commit_snapshot(upsert_watermark(old, change), etl_log_base)
+    return version, archive_runs(spark, bronze_path) if archive else {}
 
-    moves = None
-    if archive:
-        moves = cut_lineage(files.apply_moves(files.archive_plan(listing, stamp)))
-    return LoadRun(new_rows.count(), per_file, moves, version)
+
+def run_incremental_load(
+    spark: SparkSession,
+    landing: str,
+    schema: StructType,
+    bronze_path: str,
+    table_name: str,
+    etl_log_base: str,
+    run_log_table: str,
+    workflow_id: int = 0,
+    job_run_id: int = 0,
+    routes: Sequence[tuple] = DEFAULT_ROUTES,
+    archive: bool = True,
+    now: dt.datetime | None = None,
+) -> LoadRun:
+    """Load the files waiting in ``landing`` into ``bronze_path``, each customer, series and
+    as-of date once. ``archive=False`` leaves the files, for :func:`archive_runs`."""
+    stamp = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    names = (table_name, etl_log_base, run_log_table, workflow_id, job_run_id, archive)
+    if not unfinished(spark, bronze_path).isEmpty():
+        finish_runs(spark, bronze_path, *names)  # what a run that was cut off has left
+    run_id = load_files(spark, landing, schema, bronze_path, routes, stamp)
+    version, moves = finish_runs(spark, bronze_path, *names)
+    return LoadRun(run_id, loaded_rows(spark, bronze_path, run_id), run_files(spark, bronze_path, run_id), moves, version)

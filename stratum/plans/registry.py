@@ -6,6 +6,7 @@ columns (names equal those of the matching oracle SQL).
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,9 @@ from ..functions.columns import clean_columns
 from ..operators import cdc, control, layers, lookup, watermark
 from ..session import load, scratch_path
 from ..sources import files, tables
-from ..sources.control import read_control
-from ..streaming.ingest import file_arrival_ingest
-from . import derived
+from ..sources.control import control_from_pandas, read_control
+from ..streaming.ingest import cdc_stream, file_arrival_ingest
+from . import derived, incremental, stages
 from .derived import BRONZE_SCHEMA, SHEET_SCHEMA
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -200,6 +201,29 @@ def c7(spark, sf_dir):
 # --- A, U: watermarks and keyed updates -------------------------------------------------
 
 
+@register("C7_find_layer_table")
+def c7l(spark, sf_dir):
+    """C7 with its other inputs: table type and bronze table type apart, and customers whose
+    tables go by their name."""
+    return tables.find_layer_tables(
+        derived.layer_requests(spark, sf_dir), derived.layer_table_listing(spark, sf_dir),
+        derived.LAYER_CUSTOMERS, derived.WHOLE_CUSTOMERS,
+    )
+
+
+@register("C3_catalog_inventory")
+def c3(spark, sf_dir):
+    """One table per ten suppliers, in five schemas, created and listed again."""
+    tag = scratch_path(spark, "c3").rsplit("-", 1)[-1]
+    wanted = load(spark, sf_dir, "supplier").selectExpr("CAST(floor(s_suppkey / 10) AS BIGINT) AS k").distinct()
+    for k in sorted(r["k"] for r in wanted.collect()):
+        schema = f"stratum_{tag}_{k % 5}"
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema} LOCATION '{scratch_path(spark, 'c3-schema')}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {schema}.t{k} (x INT) USING parquet")
+    found = tables.catalog_inventory(spark, ["spark_catalog"]).where(F.col("schema").startswith(f"stratum_{tag}_"))
+    return found.select("catalog", F.substring_index("schema", "_", -1).alias("schema"), "table")
+
+
 @register("A1_last_run")
 def a1(spark, sf_dir):
     return watermark.last_run(derived.etl_log(spark, sf_dir))
@@ -220,7 +244,7 @@ def a2(spark, sf_dir):
 def a4(spark, sf_dir):
     wm = watermark.last_run(derived.etl_log(spark, sf_dir), per_table=True)
     ev = load(spark, sf_dir, "events").select("event_id", "event_type", "ts")
-    return watermark.incremental_slice(ev, wm, "ts", table_col="event_type")
+    return watermark.incremental_slice(ev, wm, "ts", table_col="event_type", known=watermark.watermark_rows(wm))
 
 
 @register("U1_upsert_watermark")
@@ -245,9 +269,33 @@ def _known_jobs(spark, sf_dir):
     return lookup.first_by_name(listing, order_cols=("page_id", "pos"))
 
 
+_SHEETS: dict[tuple[str, str], str] = {}
+
+
+def stage_control(spark, sf_dir) -> str:
+    """A folder with the control sheet as CSV files: half of the rows under the declared
+    columns, half with the columns in another order and one more. Staged once a session."""
+    key = (spark.conf.get("spark.app.id", ""), sf_dir)
+    if key not in _SHEETS:
+        path = scratch_path(spark, "control-sheet")
+        sheet = derived.control(spark, sf_dir)
+        even = F.pmod(F.xxhash64("Hive_table_name"), F.lit(2)) == 0
+        other = sheet.where(~even).select(*reversed(sheet.columns)).withColumn("remark", F.lit("x, y"))
+        for part in (sheet.where(even), other):
+            part.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+                "ignoreTrailingWhiteSpace", False
+            ).csv(path)
+        _SHEETS[key] = path
+    return _SHEETS[key]
+
+
+def _control(spark, sf_dir):
+    """The control table as a run reads it: through S6."""
+    return read_control(spark, stage_control(spark, sf_dir))
+
+
 def _plan(spark, sf_dir):
-    managed = control.managed_worklist(derived.control(spark, sf_dir))
-    return control.sync_plan(managed, _known_jobs(spark, sf_dir))
+    return control.sync_plan(control.managed_worklist(_control(spark, sf_dir)), _known_jobs(spark, sf_dir))
 
 
 @register("R1_sync_job_name")
@@ -276,8 +324,8 @@ def r5(spark, sf_dir):
 
 @register("R6_sync_log_rows")
 def r6(spark, sf_dir):
-    rows = control.sync_log_rows(_plan(spark, sf_dir))
-    return rows.drop("log_time")
+    rows = control.sync_log_rows(_plan(spark, sf_dir), F.lit("2024-01-31 15:04:05").cast("timestamp"))
+    return rows.withColumn("log_time", F.col("log_time").cast("timestamp_ntz"))
 
 
 @register("migration_status_counts")
@@ -296,28 +344,47 @@ def migration_status_counts(spark, sf_dir):
 _LANDINGS: dict[tuple[str, str], str] = {}
 
 
-def stage_landing(spark, sf_dir, fresh: bool = False) -> str:
+def stage_landing(spark, sf_dir, fresh: bool = False, shuffled: bool = False) -> str:
     """A landing folder holding the order rows as named CSV/spreadsheet files.
 
     Staged once per session and input folder for the queries that only read it;
-    ``fresh=True`` (queries that move files) always stages a new one.
+    ``fresh=True`` (queries that move files) always stages a new one. ``shuffled``: the files of
+    one customer have their columns in another order, and one more.
     """
-    key = (spark.conf.get("spark.app.id", ""), sf_dir)
+    key = (spark.conf.get("spark.app.id", ""), f"{sf_dir}{' shuffled' * shuffled}")
     if not fresh and key in _LANDINGS:
         return _LANDINGS[key]
     d = scratch_path(spark, "landing")
-    files.write_named_files(derived.sheet_rows(spark, sf_dir), "file_name", d, "csv", {"header": "true"})
+    _land(derived.sheet_rows(spark, sf_dir), d, shuffled)
     if not fresh:
         _LANDINGS[key] = d
     return d
 
 
+def _land(rows, directory: str, shuffled: bool = False) -> None:
+    if not shuffled:
+        files.write_named_files(rows, "file_name", directory, "csv", {"header": "true"})
+        return
+    lpt = F.col("file_name").startswith("LPT")
+    files.write_named_files(rows.where(~lpt), "file_name", directory, "csv", {"header": "true"})
+    other = rows.where(lpt).select(*reversed(rows.columns)).withColumn("remark", F.lit('a "quoted", remark'))
+    files.write_named_files(other, "file_name", directory, "csv", {"header": "true", "escape": '"'})
+
+
 @register("S1_list_input_files")
 def s1(spark, sf_dir):
     listing = files.list_input_files(spark, stage_landing(spark, sf_dir))
     return listing.select("file_name")
 
 
+@register("S1_first_input_file")
+def s1f(spark, sf_dir):
+    """The oldest listed file; the files of a staged folder have one age, so it is the first by name."""
+    listing = files.list_input_files(spark, stage_landing(spark, sf_dir))
+    same_age = listing.withColumn("modificationTime", F.lit("2024-01-31 15:04:05").cast("timestamp"))
+    return files.first_input_file(same_age).select("file_name")
+
+
 @register("S2_file_exists")
 def s2(spark, sf_dir):
     listing = files.list_input_files(spark, stage_landing(spark, sf_dir))
@@ -343,27 +410,46 @@ def s4(spark, sf_dir):
     d = stage_landing(spark, sf_dir)
     sink = scratch_path(spark, "bronze")
     q = file_arrival_ingest(
-        spark, d, SHEET_SCHEMA, sink, scratch_path(spark, "ckpt-ingest"), partition_by=("as_of_date",)
-    )
+        spark, d, SHEET_SCHEMA, sink, scratch_path(spark, "ckpt-ingest"), partition_by=("as_of_date",),
+        ingestion_ts=F.lit("2024-01-31 15:04:05").cast("timestamp_ntz"),
+    )
     q.awaitTermination()
     out = spark.read.schema(BRONZE_SCHEMA).parquet(sink)
     return out.select(
-        "OrderKey", "OrderStatus", "TotalPrice", "OrderDate", "source_file", "customer",
-        F.col("as_of_date").cast("string").alias("as_of_date"),
-    )
+        "OrderKey", "CustomerKey", "OrderStatus", "TotalPrice", "OrderDate", "OrderPriority", "source_file", "customer",
+        "ingestion_timestamp", F.col("as_of_date").cast("string").alias("as_of_date"),
+    )
 
 
 @register("S6_read_control")
 def s6(spark, sf_dir):
-    path = scratch_path(spark, "control-sheet")
-    (
-        derived.control(spark, sf_dir)
-        .write.option("header", True)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    return read_control(spark, path)
+    return read_control(spark, stage_control(spark, sf_dir))
+
+
+@register("S7_pandas_to_df")
+def s7(spark, sf_dir):
+    """The control sheet by way of pandas (the operator's input is a pandas frame)."""
+    return control_from_pandas(spark, derived.control(spark, sf_dir).toPandas())
+
+
+@register("S8_overwrite_table")
+def s8(spark, sf_dir):
+    """The control table overwritten by its checked version: the last committed one is read."""
+    base = scratch_path(spark, "control-table")
+    tables.commit_snapshot(derived.control(spark, sf_dir), base)
+    checked = control.dry_run_check(tables.read_snapshot(spark, base), derived.inventory(spark, sf_dir))
+    tables.commit_snapshot(checked, base)
+    return tables.read_snapshot(spark, base)
+
+
+@register("S9_append_sync_log")
+def s9(spark, sf_dir):
+    """The sync-log rows of the plan appended twice to a new table."""
+    table = "stratum_sync_log_" + scratch_path(spark, "sync-log").rsplit("-", 1)[-1]
+    rows = control.sync_log_rows(_plan(spark, sf_dir), F.lit("2024-01-31 15:04:05").cast("timestamp"))
+    control.append_sync_log(rows, table)
+    control.append_sync_log(rows, table)
+    return spark.table(table).withColumn("log_time", F.col("log_time").cast("timestamp_ntz"))
 
 
 @register("S10_append_run_log")
@@ -371,7 +457,7 @@ def s10(spark, sf_dir):
     path = scratch_path(spark, "run-log")
     table = "stratum_run_log_" + path.rsplit("-", 1)[-1]
     tables.create_run_log(spark, table, location=path)
-    tables.append_run_log(derived.run_log_input(spark, sf_dir), table)
+    tables.append_run_log(derived.run_log_input(spark, sf_dir), table, check_key=False)  # events share times
     out = spark.table(table)
     return out.select(*[f.name for f in out.schema.fields])
 
@@ -381,15 +467,80 @@ def s10(spark, sf_dir):
 
 @register("X1_bronze_ingest")
 def x1(spark, sf_dir):
-    d = stage_landing(spark, sf_dir)
-    raw = spark.read.schema(SHEET_SCHEMA).option("header", True).option("pathGlobFilter", "*.csv").csv(d)
-    bronze = layers.bronze_columns(raw)
+    d = stage_landing(spark, sf_dir, shuffled=True)
+    raw = files.read_csv_by_header(spark, files.list_input_files(spark, d, (".csv",)), SHEET_SCHEMA)
+    bronze = layers.bronze_columns(raw.drop("source_path"), file_name=F.col("source_file"))
     return bronze.select(
         "OrderKey", "CustomerKey", "OrderStatus", "TotalPrice", "OrderDate", "OrderPriority",
         "source_file", "customer", "as_of_date",
     )
 
 
+_RUN_TIMES = {1: dt.datetime(2024, 1, 31, 15, 4, 5), 2: dt.datetime(2024, 2, 1, 9, 0, 0)}
+
+
+@register("X1_incremental_run")
+def x1r(spark, sf_dir):
+    """Two arrivals in one landing folder, each loaded by one run: dated, undated, unreadable
+    and re-sent files. One row per file and run, with what the run log says of it and
+    what the bronze table holds of it."""
+    landing, bronze, etl = (scratch_path(spark, x) for x in ("landing", "bronze", "etl-log"))
+    table = "stratum_run_log_" + landing.rsplit("-", 1)[-1]
+    tables.create_run_log(spark, table, location=scratch_path(spark, "run-log"))
+    for run, when in _RUN_TIMES.items():
+        rows = derived.sheet_rows(spark, sf_dir, derived.ARRIVAL_EXPRS[run])
+        _land(rows, landing, shuffled=run == 2)
+        incremental.run_incremental_load(spark, landing, SHEET_SCHEMA, bronze, "orders", etl, table, now=when)
+    log = spark.table(table).select(
+        F.when(F.col("logTime") < F.lit(_RUN_TIMES[2]).cast("timestamp_ntz"), 1).otherwise(2).alias("run"),
+        F.regexp_extract("logMessage", "(?:rows from |: )([^:]*)$", 1).alias("file_name"),
+        "status",
+        "asOfDate",
+    )
+    held = incremental.read_bronze(spark, bronze).groupBy("ingestion_timestamp", F.col("source_file").alias("file_name")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("OrderKey").alias("sum_keys")
+    )
+    held = held.withColumn("run", F.when(F.col("ingestion_timestamp") < F.lit(_RUN_TIMES[2]).cast("timestamp_ntz"), 1).otherwise(2))
+    return log.join(held.drop("ingestion_timestamp"), ["run", "file_name"], "full_outer")
+
+
+_LAYERS = stages.LayerSpec(
+    key="OrderPriority", ts_col="OrderDate", measure="TotalPrice", business_keys=["OrderKey"],
+    group_cols=["customer", "OrderStatus"], measures={"total": "TotalPrice"},
+)
+
+
+def _run_log(spark) -> str:
+    path = scratch_path(spark, "run-log")
+    table = "stratum_run_log_" + path.rsplit("-", 1)[-1]
+    tables.create_run_log(spark, table, location=path)
+    return table
+
+
+@register("X7_layer_stages")
+def x7(spark, sf_dir):
+    """The whole first workflow (loads, backup, X2, X3, X4): the detail totals it commits."""
+    root = scratch_path(spark, "layers")
+    source = stages.BronzeSource("orders", stage_landing(spark, sf_dir, fresh=True), SHEET_SCHEMA)
+    stages.run_layer_stages(spark, [source], _LAYERS, root, _run_log(spark), now=_RUN_TIMES[1])
+    return tables.read_snapshot(spark, f"{root}/detail")
+
+
+@register("X7_gold_stages")
+def x7g(spark, sf_dir):
+    """The whole second workflow (load, backup, gold report): the report it commits, orders
+    and totals by customer and year."""
+
+    def report(bronze):
+        by = bronze.withColumn("year", F.year("OrderDate"))
+        return layers.group_totals(by, ["customer", "year"], {"total": "TotalPrice"})
+
+    root = scratch_path(spark, "gold")
+    source = stages.BronzeSource("orders", stage_landing(spark, sf_dir, fresh=True), SHEET_SCHEMA)
+    stages.run_gold_stages(spark, source, report, root, _run_log(spark), now=_RUN_TIMES[1])
+    return tables.read_snapshot(spark, f"{root}/gold")
+
+
 @register("X2_period_differential")
 def x2(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
@@ -436,12 +587,26 @@ def x5(spark, sf_dir):
     return cdc.cdc_apply(load(spark, sf_dir, "orders"), derived.change_feed(spark, sf_dir), ["o_orderkey"])
 
 
+@register("X5_cdc_stream")
+def x5s(spark, sf_dir):
+    """The change feed as a stream in two files, onto a base that has versions already,
+    under a new checkpoint."""
+    base, feed = scratch_path(spark, "cdc-base"), scratch_path(spark, "cdc-feed")
+    orders = load(spark, sf_dir, "orders")
+    for _ in range(3):  # versions 0 to 2
+        tables.commit_snapshot(orders, base)
+    changes = derived.change_feed(spark, sf_dir)
+    for part in (0, 1):
+        changes.where(F.pmod(F.xxhash64("seq"), F.lit(2)) == part).coalesce(1).write.parquet(f"{feed}/{part}")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{feed}/*")
+    cdc_stream(stream, base, ["o_orderkey"], scratch_path(spark, "ckpt-cdc")).awaitTermination()
+    return cdc.read_cdc_table(spark, base, ["o_orderkey"])
+
+
 @register("X6_gold_report")
 def x6(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem")
-    silver = layers.newest_per_key(li, ["l_orderkey", "l_linenumber"], ["l_shipdate"])
     return layers.gold_report(
-        silver,
+        layers.newest_lines(load(spark, sf_dir, "lineitem")),
         load(spark, sf_dir, "orders"),
         load(spark, sf_dir, "customer"),
         load(spark, sf_dir, "nation"),

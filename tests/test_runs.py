@@ -4,10 +4,12 @@ import datetime as dt
 import os
 import uuid
 
+import pytest
 from pyspark.sql import types as T
 
 from stratum.plans import derived
-from stratum.plans.incremental import run_incremental_load
+from stratum.plans import incremental
+from stratum.plans.incremental import archive_runs, read_bronze, run_incremental_load
 from stratum.plans.migration import run_migration
 from stratum.sources import tables
 
@@ -48,33 +50,117 @@ def test_run_migration(spark, tmpdir_path):
 SHEET = T.StructType([T.StructField("Order Key", T.LongType()), T.StructField("Total Price", T.DoubleType())])
 
 
-def test_run_incremental_load_is_once_per_as_of_date(spark, tmpdir_path):
+def load_env(spark, tmpdir_path):
     landing, bronze, etl = (f"{tmpdir_path}/{x}" for x in ("landing", "bronze", "etl"))
-    log_table = "run_log_" + uuid.uuid4().hex[:8]
-    tables.create_run_log(spark, log_table, location=f"{tmpdir_path}/run_log")
+    table = "run_log_" + uuid.uuid4().hex[:8]
+    tables.create_run_log(spark, table, location=f"{tmpdir_path}/run_log")
+
+    def run(when, **options):
+        return run_incremental_load(spark, landing, SHEET, bronze, "orders", etl, table, now=when, **options)
+
+    return landing, bronze, etl, table, run
+
+
+T1, T2, T3 = dt.datetime(2024, 1, 1, 10, 0, 0), dt.datetime(2024, 1, 2, 15, 30, 0), dt.datetime(2024, 1, 3, 8, 0, 0)
+
+
+def outcome(run):
+    return {r.file_name: (r.decision, r.rows) for r in run.files.collect()}
+
+
+def test_run_incremental_load_is_once_per_as_of_date(spark, tmpdir_path):
+    landing, bronze, etl, table, run = load_env(spark, tmpdir_path)
     touch(f"{landing}/LPT - 2023 06 30.csv", "Order Key,Total Price\n1,10.5\n2,20.0\n")
-    touch(f"{landing}/2023-07_bcg.csv", "Order Key,Total Price\n3,30.0\n")
-    t1 = dt.datetime(2024, 1, 1, 10, 0, 0)
-    run = run_incremental_load(spark, landing, SHEET, bronze, "orders", etl, log_table, now=t1)
-    assert run.loaded_rows == 3
-    assert {r.status for r in run.moves.collect()} == {"moved"}
+    touch(f"{landing}/2023-07_bcg.csv", "Total Price,extra,Order Key\n30.0,x,3\n")  # another order, one column more
+    first = run(T1)
+    assert first.loaded_rows == 3 and first.moves == {"moved": 2}
     assert sorted(os.listdir(f"{landing}/backup")) == ["2023-07_bcg_2024_01_01-10_00_00_AM.csv",
                                                        "LPT - 2023 06 30_2024_01_01-10_00_00_AM.csv"]
     # the same as-of date arrives again (a re-sent file) plus a new one
     touch(f"{landing}/LPT - 2023 06 30.csv", "Order Key,Total Price\n1,10.5\n")
     touch(f"{landing}/LPT - 2023 09 30.csv", "Order Key,Total Price\n4,40.0\n")
-    t2 = dt.datetime(2024, 1, 2, 15, 30, 0)
-    run2 = run_incremental_load(spark, landing, SHEET, bronze, "orders", etl, log_table, now=t2)
-    assert run2.loaded_rows == 1
-    from stratum.plans.incremental import read_bronze
-
+    second = run(T2)
+    assert outcome(second) == {"LPT - 2023 06 30.csv": ("skip", 0), "LPT - 2023 09 30.csv": ("load", 1)}
+    assert os.listdir(f"{landing}/skipped") == ["LPT - 2023 06 30_2024_01_02-03_30_00_PM.csv"]  # not in backup
     b = read_bronze(spark, bronze)
-    assert sorted(r.OrderKey for r in b.collect()) == [1, 2, 3, 4]
+    assert sorted((r.OrderKey, r.TotalPrice) for r in b.collect()) == [(1, 10.5), (2, 20.0), (3, 30.0), (4, 40.0)]
     assert dict(b.dtypes)["as_of_date"] == "string"
     assert sorted({r.as_of_date for r in b.collect()}) == ["2023-07", "20230630", "20230930"]
-    assert spark.table(log_table).count() == 3  # one row per loaded file
+    log = spark.table(table)
+    assert sorted(r.status for r in log.collect()) == ["Skipped", "Success", "Success", "Success"]
+    assert tables.check_unique_key(log, ["logTime"]).count() == 0
     wm = tables.read_snapshot(spark, etl).collect()
-    assert [(r.tableName, r.lastExtractDateTime) for r in wm] == [("orders", t2)]
+    assert [(r.tableName, r.lastExtractDateTime) for r in wm] == [("orders", T2)]
+
+
+def test_undated_unreadable_and_sibling_files(spark, tmpdir_path):
+    landing, bronze, etl, table, run = load_env(spark, tmpdir_path)
+    row = "Order Key,Total Price\n{},1.0\n"
+    touch(f"{landing}/LPT 20230630.csv", row.format(1))  # no dash: no date
+    touch(f"{landing}/other-0001.csv", row.format(2))  # no routing token
+    touch(f"{landing}/LPT - final.csv", row.format(3))  # not a date
+    touch(f"{landing}/LPT - 2023 06 30.xlsx", "binary")
+    touch(f"{landing}/LPT detail - 2023 06 30.csv", row.format(4))
+    first = run(T1)
+    assert first.loaded_rows == 1 and first.moves == {"moved": 4}
+    assert len(os.listdir(f"{landing}/quarantine")) == 3 and os.path.exists(f"{landing}/LPT - 2023 06 30.xlsx")
+    # a different undated file is quarantined too; a sibling of the same date is another table
+    touch(f"{landing}/LPT 20230731.csv", row.format(5))
+    touch(f"{landing}/LPT gross - 2023 06 30.csv", row.format(6))
+    second = run(T2)
+    assert outcome(second) == {
+        "LPT 20230731.csv": ("quarantine", 0), "LPT gross - 2023 06 30.csv": ("load", 1), "LPT - 2023 06 30.xlsx": ("unread", 0),
+    }
+    assert len(os.listdir(f"{landing}/quarantine")) == 4 and len(os.listdir(f"{landing}/backup")) == 2
+    assert sorted(r.OrderKey for r in read_bronze(spark, bronze).collect()) == [4, 6]
+    said = {(r.status, r.logMessage.rsplit(": ", 1)[-1].rsplit(" from ", 1)[-1]) for r in spark.table(table).collect()}
+    assert ("Quarantined", "LPT 20230731.csv") in said and ("Skipped", "LPT - 2023 06 30.xlsx") in said
+    empty = run(T3)  # only the unreadable file is left
+    assert empty.loaded_rows == 0 and outcome(empty) == {"LPT - 2023 06 30.xlsx": ("unread", 0)}
+
+
+def test_only_planned_files_are_archived_and_a_missing_column_raises(spark, tmpdir_path):
+    landing, bronze, etl, table, run = load_env(spark, tmpdir_path)
+    touch(f"{landing}/LPT - 2023 06 30.csv", "Order Key,Total Price\n1,1.0\n")
+    run(T1, archive=False)
+    touch(f"{landing}/LPT - 2023 07 31.csv", "Order Key,Total Price\n2,1.0\n")  # arrives after the load
+    assert archive_runs(spark, bronze) == {"moved": 1}
+    assert sorted(f for f in os.listdir(landing) if f.endswith(".csv")) == ["LPT - 2023 07 31.csv"]
+    touch(f"{landing}/LPT - 2023 08 31.csv", "Order Key\n3\n")
+    with pytest.raises(ValueError, match="no column"):
+        run(T2)
+    os.rename(f"{landing}/LPT - 2023 08 31.csv", f"{landing}/notes.txt")
+    touch(f"{landing}/LPT - 2023 09 30.csv", "Order Key,Total Price\nnot a number,1.0\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+        run(T2)
+    assert sorted(r.OrderKey for r in read_bronze(spark, bronze).collect()) == [1]
+
+
+def test_a_run_that_was_cut_off_is_completed(spark, tmpdir_path, monkeypatch):
+    landing, bronze, etl, table, run = load_env(spark, tmpdir_path)
+    touch(f"{landing}/LPT - 2023 06 30.csv", "Order Key,Total Price\n1,1.0\n")
+    for where in ("append_run_log", "commit_snapshot", "archive_runs"):
+        with monkeypatch.context() as m:
+            m.setattr(incremental, where, lambda *a, **b: (_ for _ in ()).throw(RuntimeError("cut off")))
+            with pytest.raises(RuntimeError, match="cut off"):
+                run(T1)
+    assert spark.table(table).count() == 1 and os.path.exists(f"{landing}/LPT - 2023 06 30.csv")
+    touch(f"{landing}/LPT - 2023 07 31.csv", "Order Key,Total Price\n2,1.0\n")
+    run(T2)
+    assert sorted(r.OrderKey for r in read_bronze(spark, bronze).collect()) == [1, 2]
+    assert len(os.listdir(f"{landing}/backup")) == 2
+    log = spark.table(table)
+    assert log.count() == 2 and log.where("status = 'Success'").count() == 2
+    assert tables.read_snapshot(spark, etl).first().lastExtractDateTime == T2
+    # a write without a commit is no load
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "_append_ledger", lambda *a: (_ for _ in ()).throw(RuntimeError("cut off")))
+        touch(f"{landing}/LPT - 2023 08 31.csv", "Order Key,Total Price\n3,1.0\n")
+        with pytest.raises(RuntimeError):
+            run(T3)
+    assert sorted(r.OrderKey for r in read_bronze(spark, bronze).collect()) == [1, 2]
+    assert run(T3).loaded_rows == 1
+    assert sorted(r.OrderKey for r in read_bronze(spark, bronze).collect()) == [1, 2, 3]
 
 
 def test_run_layer_stages_in_order(spark, tmpdir_path):
@@ -96,7 +182,8 @@ def test_run_layer_stages_in_order(spark, tmpdir_path):
         [BronzeSource("a", land_a, derived.SHEET_SCHEMA), BronzeSource("b", land_b, derived.SHEET_SCHEMA)],
         spec, f"{tmpdir_path}/out", log_table, now=dt.datetime(2024, 2, 1, 8, 0, 0),
     )
-    want = derived.file_names(spark, SF).where("file_name LIKE '%.csv'").count()
+    dated = "file_name LIKE '%.csv' AND o_orderkey % 10 NOT IN (7, 9)"  # the others go to quarantine
+    want = derived.file_names(spark, SF).where(dated).count()
     assert res.loaded_rows["a"] + res.loaded_rows["b"] == want
     assert res.archived == derived.file_names(spark, SF).where(
         "file_name LIKE '%.csv'").select("file_name").distinct().count()
@@ -106,13 +193,26 @@ def test_run_layer_stages_in_order(spark, tmpdir_path):
     assert detail.where("level_id = 3").first().n_rows == want
 
 
-def test_incremental_load_numeric_dates_and_unrouted_files(spark, tmpdir_path):
-    landing, bronze, etl = (f"{tmpdir_path}/{x}" for x in ("landing", "bronze", "etl"))
-    log_table = "run_log_" + uuid.uuid4().hex[:8]
-    tables.create_run_log(spark, log_table, location=f"{tmpdir_path}/run_log")
-    touch(f"{landing}/LPT - 2023 06 30.csv", "Order Key,Total Price\n1,10.5\n")
-    touch(f"{landing}/other-0001.csv", "Order Key,Total Price\n2,20.0\n")  # no routing token
-    first = run_incremental_load(spark, landing, SHEET, bronze, "orders", etl, log_table, archive=False)
-    assert first.loaded_rows == 2
-    again = run_incremental_load(spark, landing, SHEET, bronze, "orders", etl, log_table, archive=False)
-    assert again.loaded_rows == 0  # numeric as-of text and NULL customer are both recognised
+def test_stages_count_replaced_rows_once_and_gold_shape(spark, tmpdir_path):
+    from stratum.operators.layers import group_totals
+    from stratum.plans.stages import BronzeSource, LayerSpec, run_gold_stages, run_layer_stages
+
+    schema = T.StructType([T.StructField("Order Key", T.LongType()), T.StructField("Order Date", T.TimestampNTZType()),
+                           T.StructField("Order Status", T.StringType()), T.StructField("Total Price", T.DoubleType())])
+    spec = LayerSpec(key="OrderStatus", ts_col="OrderDate", measure="TotalPrice", business_keys=["OrderKey"], group_cols=["OrderStatus"])
+    for name in ("layers", "gold"):
+        landing, root, log_table = f"{tmpdir_path}/{name}_in", f"{tmpdir_path}/{name}", "run_log_" + uuid.uuid4().hex[:8]
+        tables.create_run_log(spark, log_table, location=f"{tmpdir_path}/{name}_log")
+        head = "Order Key,Order Date,Order Status,Total Price\n"
+        touch(f"{landing}/LPT - 2023 06 30.csv", head + "1,2023-06-01 00:00:00,O,10.0\n2,2023-06-01 00:00:00,O,5.0\n")
+        touch(f"{landing}/LPT - 2023 07 31.csv", head + "1,2023-07-01 00:00:00,F,11.0\n")
+        source = BronzeSource("orders", landing, schema)
+        if name == "layers":
+            run_layer_stages(spark, [source], spec, root, log_table, now=T1)
+            detail = tables.read_snapshot(spark, f"{root}/detail").where("level_id = 1").first()
+            assert (detail.n_rows, float(detail.total)) == (2, 16.0)  # order 1 counts once, as it is now
+        else:
+            res = run_gold_stages(spark, source, lambda b: group_totals(b, ["OrderStatus"], {"total": "TotalPrice"}), root, log_table, now=T1)
+            assert res.archived == 2 and res.loaded_rows == {"orders": 3}
+            got = {r.OrderStatus: float(r.total) for r in tables.read_snapshot(spark, f"{root}/gold").collect()}
+            assert got == {"O": 15.0, "F": 11.0}
