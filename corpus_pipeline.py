@@ -41,7 +41,7 @@ def _filter_rows(docs: DataFrame, stays: Callable[[pa.Array], pa.Array]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", 256 << 10):
                 yield part.filter(stays(part.column("text")))
 
     return arrow_map(docs, run, docs.schema)

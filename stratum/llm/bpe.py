@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratum.llm.common import arrow_map, table
 
 WIDE = 256
-CACHE = 400_000
+CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 NO_RANK = np.int32(2**31 - 1)
 

@@ -52,16 +52,53 @@ def ship_package(spark: SparkSession) -> None:
     sc._stratum_shipped = True
 
 
+#: Rows of a batch between the JVM and Python: the rows here are whole texts, so Spark's
+#: default of 10,000 would be tens of MB a task on both sides.
+ARROW_ROWS = 2_000
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system; Python workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the executors."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """``mapInArrow`` with this package on the executors and small batches."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(task, schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, salts: int = 16) -> DataFrame:
+    """Inner join on ``on`` that deals the rows of a hot key out to ``salts`` tasks, by the hash
+    of ``by``; each row of ``small`` is sent to all of them. For a ``small`` with few rows a key."""
+    dealt = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(dealt, [*on, "_salt"]).drop("_salt")
+
+
 #: Upper bound on the ranges of :func:`range_buckets`; two lookups of 256 cover it.
 MAX_BUCKETS = 65_536
 _FAN = 256

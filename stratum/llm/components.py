@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import materialize
+from stratum.llm.common import materialize, salted_join
 
 #: Parts that a hub's edges are dealt into when they meet its minimum.
 SALTS = 8
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges(u, v)`` with the minimum ``m`` of ``u``."""
-    salted = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"])
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``node, label`` for every node of ``edges(a long, b long)``; the label is the smallest
     node of the component. Each round hangs the neighbours of a node on the smallest one
@@ -32,9 +26,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         seen = (state["n"], state["h"])
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = salted_join(both, least, ["u"], "v", SALTS).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _with_least(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = salted_join(large, least, ["u"], "v", SALTS).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -36,10 +36,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, ship_package, table
+from stratum.llm.common import arrow_map, release_memory, ship_package, table
 from stratum.llm.textnp import blocks, mix
 
 ORDER = 5
+BLOCK_BYTES = 256 << 10  # texts that are scored at a time
 SAMPLE = 600
 HELD_SHARE = 5  # one in so many sample texts calibrates
 REJECT_Z = 8.0
@@ -90,16 +91,6 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def gram_hashes(code: np.ndarray, n: int) -> np.ndarray:
-    """For each position the hash of the ``n`` characters that end there (cyclic before the
-    first ones, which are pads)."""
-    base = mix(code.astype(np.uint64) + np.uint64(0x51ED270B))
-    out = np.zeros(len(code), np.uint64)
-    for j in range(n):
-        out += np.roll(base, j) * _STEP[j]
-    return mix(out + np.uint64(n))
-
-
 @dataclass
 class HashTable:
     """Rows of a matrix by sorted 64-bit hashes; the top bits give where to begin."""
@@ -141,21 +132,19 @@ def train(texts: list[str]) -> Counts:
     scored = np.ones(len(code), bool)
     for j in range(ORDER - 1):
         scored[offsets[:-1] + j] = False
-    hashes = {n: gram_hashes(code, n) for n in range(1, ORDER + 1)}
+    where = np.flatnonzero(scored)
     grams, contexts = [], []
     alphabet = len(np.unique(code[scored])) + 1
     lower_p: dict[str, np.ndarray] = {}
     floor = 0.0
-    where = np.flatnonzero(scored)
     for n in range(1, ORDER + 1):
         if n == ORDER:
-            at, counts = np.unique(hashes[n][scored], return_index=True, return_counts=True)[1:]
+            gram, at, counts = np.unique(gram_hashes_at(code, where, n, True), return_index=True, return_counts=True)
             at = where[at]
         else:  # continuation counts: distinct characters before it, from the distinct n+1-grams
-            above = where[np.unique(hashes[n + 1][scored], return_index=True)[1]]
-            _, at, counts = np.unique(hashes[n][above], return_index=True, return_counts=True)
+            above = where[np.unique(gram_hashes_at(code, where, n + 1, True), return_index=True)[1]]
+            gram, at, counts = np.unique(gram_hashes_at(code, above, n, True), return_index=True, return_counts=True)
             at = above[at]
-        gram = hashes[n][at]  # sorted, as np.unique gives them
         context = gram_hashes_at(code, at, n - 1)
         once, twice = int((counts == 1).sum()), int((counts == 2).sum())
         discount = once / (once + 2 * twice) if once else 0.5
@@ -248,7 +237,9 @@ class Model:
         """Temperature, and each language's usual cross-entropy of its own texts."""
         k = len(self.languages)
         self.mean, self.by_text, self.by_char = np.full(k, np.inf), np.zeros(k), np.zeros(k)
-        h, size = self.cross_entropies(texts)
+        parts = [self.cross_entropies(texts[i : i + 100]) for i in range(0, len(texts), 100)]
+        h = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, k))
+        size = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
         own = np.array([self.languages.index(x) for x in truth], np.int64)
         use = np.flatnonzero(size > 0)
         if not len(use):
@@ -311,29 +302,33 @@ def merge(counts: dict[str, Counts]) -> Model:
     return Model(languages, grams, contexts, floor)
 
 
-def fill(model: Model, texts: list[str]) -> None:
+def fill(model: Model, texts: list[str], step: int = 200) -> None:
     """Scores each n-gram under the languages that lack it, lowest order first; the texts
     are those the counts came from, so every n-gram of the union occurs in them."""
-    code, offsets = letters(texts)
+    for n in range(1, ORDER + 1):
+        for k in range(0, len(texts), step):
+            _fill(model, n, *letters(texts[k : k + step]))
+
+
+def _fill(model: Model, n: int, code: np.ndarray, offsets: np.ndarray) -> None:
     scored = np.ones(len(code), bool)
     for j in range(ORDER - 1):
         scored[offsets[:-1] + j] = False
     where = np.flatnonzero(scored)
-    for n in range(1, ORDER + 1):
-        t = model.grams[n - 1]
-        found, first = np.unique(gram_hashes_at(code, where, n, True), return_index=True)
-        at = where[first]
-        row = t.find(found)
-        at, row = at[row >= 0], row[row >= 0]
-        weight = np.zeros((len(at), len(model.languages)), np.float32)
-        hit = model.contexts[n - 1].find(gram_hashes_at(code, at, n - 1))
-        weight[hit >= 0] = model.contexts[n - 1].rows[hit[hit >= 0]]
-        if n == 1:
-            lower = np.broadcast_to(model.floor - weight, weight.shape)
-        else:
-            lower = model.grams[n - 2].rows[model.grams[n - 2].find(gram_hashes_at(code, at, n - 1, True))]
-        own = t.rows[row]
-        t.rows[row] = np.where(np.isnan(own), weight + lower, own)
+    t = model.grams[n - 1]
+    found, first = np.unique(gram_hashes_at(code, where, n, True), return_index=True)
+    at = where[first]
+    row = t.find(found)
+    at, row = at[row >= 0], row[row >= 0]
+    weight = np.zeros((len(at), len(model.languages)), np.float32)
+    hit = model.contexts[n - 1].find(gram_hashes_at(code, at, n - 1))
+    weight[hit >= 0] = model.contexts[n - 1].rows[hit[hit >= 0]]
+    if n == 1:
+        lower = np.broadcast_to(model.floor - weight, weight.shape)
+    else:
+        lower = model.grams[n - 2].rows[model.grams[n - 2].find(gram_hashes_at(code, at, n - 1, True))]
+    own = t.rows[row]
+    t.rows[row] = np.where(np.isnan(own), weight + lower, own)
 
 
 def sample_rows(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
@@ -369,6 +364,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model:
     pairs = [(x, t) for x, t, h in zip(lang, text, held, strict=True) if h and x in counts]
     pairs = pairs or [(x, t) for x in counts for t in by[x]]
     model.calibrate([t for _, t in pairs], [x for x, _ in pairs])
+    del rows, text, by
+    release_memory()
     return model
 
 
@@ -385,7 +382,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", BLOCK_BYTES):
                 names, score, lowest, rejected = shared.value.predict(pc.fill_null(part.column("text"), "").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, ship_package, table
+from stratum.llm.common import arrow_map, release_memory, ship_package, table
 from stratum.llm.textnp import BLANK_SEPARATED, WORD_BYTES, blocks, mix, prefix_sums, span_hashes, text_bytes, word_spans
 
 BITS = 18
+BLOCK_BYTES = 512 << 10  # texts that are scored at a time
 SAMPLE = 12_000
 LEAST = 5
 CHI_SQUARE = 60.0
@@ -152,9 +153,10 @@ def fit_ordinal(index: np.ndarray, at: np.ndarray, grade: np.ndarray) -> Ordinal
     counts = np.bincount(level)
     row_weight = np.maximum(1.0, 0.5 * counts.max() / counts)[level]
     row_weight /= row_weight.sum()
-    doc = np.repeat(np.arange(len(grade)), np.diff(at))
+    doc = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(at))
+    of_level = level.astype(np.int8)[doc]
     # features that are rare, or that no grade has more often than chance gives, have no weight
-    by_grade = np.stack([np.bincount(index, level[doc] == j, size) for j in range(len(grades))])
+    by_grade = np.stack([np.bincount(index[of_level == j], minlength=size) for j in range(len(grades))])
     often = by_grade.sum(axis=0)
     expected = often * (counts / counts.sum())[:, None]
     chi = ((by_grade - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0) / np.maximum(1 - often / len(grade), 1e-9)
@@ -220,7 +222,7 @@ def graded_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", BLOCK_BYTES):
                 index, at = feature_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("grade"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(index))],
@@ -248,6 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     if len(model.grades) >= 2:
         tail = model.predict(*pick(good))[1] if good.any() else np.array([0.5])
         model.keep_from = float(min(0.5, np.quantile(tail, 1 - CLEAN_RECALL)))
+    del rows, column, sets
+    release_memory()
     return model
 
 
@@ -264,7 +268,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, keep: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", BLOCK_BYTES):
                 expected, tail = own.predict(*feature_sets(part.column("text"), own.weights != 0))
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep], pa.array(expected), pa.array(tail), pa.array(tail >= own.keep_from)],
