@@ -14,7 +14,8 @@ A leaf's documents are put in a seeded order for each epoch (MD5 of seed, epoch
 the next epoch that reaches the rest, so it exceeds its budget by less than one document.
 The prefix needs no order of the whole leaf: tokens are summed by the first three digits of
 the hash, the running sum finds the digits where the budget ends, and only documents with
-those digits are put in order.
+those digits are put in order. A hot leaf's documents are dealt out to several tasks where
+they meet its budget.
 
 Tokens are words (``[^\\x20\\x09-\\x0D]+``). All arithmetic is in integers. Only numbers
 are shuffled, never texts.
@@ -33,7 +34,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.common import materialize, table
+from stratum.llm.common import materialize, salted_join, table
 
 OTHER_WEIGHT = 5
 LEAF = ["domain", "language", "origin"]
@@ -90,9 +91,9 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     leaves = leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs)
     languages = leaves.groupBy("domain", "language").agg(F.sum("capacity").alias("capacity"))
     domains = languages.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {int(mix.budget_percent)} div 100").alias("parent_budget"))
-    top = domains.withColumn("weight", _weight("domain", mix.domains)).crossJoin(F.broadcast(total))  # one row
-    top = share_out(top.withColumn("root", F.lit(0)), ["root"], "domain").select("domain", F.col("budget").alias("parent_budget"))
+    total = leaves.select(F.expr(f"coalesce(sum(tokens), 0) * {int(mix.budget_percent)} div 100")).scalar()
+    top = domains.withColumns({"weight": _weight("domain", mix.domains), "parent_budget": total, "root": F.lit(0)})
+    top = share_out(top, ["root"], "domain").select("domain", F.col("budget").alias("parent_budget"))  # a row a domain
     middle = share_out(languages.join(top, "domain").withColumn("weight", _weight("language", mix.languages)), ["domain"], "language")
     middle = middle.select("domain", "language", F.col("budget").alias("parent_budget"))
     lowest = leaves.join(middle, ["domain", "language"]).withColumn("weight", F.lit(1).cast("bigint"))
@@ -107,7 +108,7 @@ def select_mixture(sized: DataFrame, mix: Mix) -> DataFrame:
     plan = leaf_budgets(leaves, mix).select(
         *LEAF, F.expr("cast(budget div tokens as int)").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest")
     )
-    rows = sized.join(plan, LEAF)
+    rows = salted_join(sized, plan, LEAF, "doc_id")
     columns = ["doc_id", *LEAF, "n_tokens"]
     full = rows.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), "whole"))).select(*columns, "epoch")
     said = F.concat_ws(":", F.lit(str(mix.seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -122,7 +123,7 @@ def select_mixture(sized: DataFrame, mix: Mix) -> DataFrame:
     digits = partial.groupBy(*LEAF, "digits", "rest").agg(F.sum("n_tokens").alias("sum"))
     running = digits.withColumn("upto", F.sum("sum").over(by_leaf.orderBy("digits")))
     last = running.filter("upto - sum < rest AND upto >= rest").select(*LEAF, F.col("digits").alias("last"), (F.col("upto") - F.col("sum")).alias("before"))
-    near = partial.join(last, LEAF)
+    near = salted_join(partial, last, LEAF, "doc_id")
     sure = near.filter(F.col("digits") < F.col("last")).select(*columns, "epoch")
     order = by_leaf.orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     edge = (
