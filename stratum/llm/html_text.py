@@ -2,8 +2,11 @@
 
 A page is read once into a tree of block elements (inline tags make no node). Text in
 scripts, styles, menus, page headers, footers, sidebars, notices, adverts, form controls and
-reader comments is marked as left out, by element, role, visibility, or a word of the class
-or id. Every remaining paragraph passes points to its ancestors: 1, plus its commas, plus
+reader comments is marked as left out, by element, role, visibility, or a class or id that
+names nothing else (``related-posts``, not ``related-work`` or ``has-sidebar``). In an
+``article`` or ``main`` only classes of containers count, as ids there are anchors; and a name
+leaves out no element that holds the page's largest ``article`` or ``main``, or, unless one
+stands elsewhere, most of the page's text. Every remaining paragraph passes points to its ancestors: 1, plus its commas, plus
 its length in hundreds of characters (3 at most), in full to the parent, half to the
 grandparent, less to those above. Containers start with points by element and lose the
 share of their text that stands in links. The best container is kept; if it stands in an
@@ -60,7 +63,7 @@ LEFT_OUT = {
     "datalist", "output", "noscript", "template", "svg", "math", "object", "canvas", "audio", "video", "map", "applet", "frameset",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
-#: Words of a class or id that name a part left out.
+#: Words that name a part left out, in a class or id of such words and ``PARTS`` only.
 NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion",
     "sidebar", "rail", "widget", "comment", "comments", "disqus", "replies", "respond", "cookie", "cookies", "consent", "gdpr",
@@ -68,6 +71,11 @@ NAMES = {
     "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "share", "sharing", "social", "related",
     "recommended", "toolbar", "skip", "hidden",
 }
+PARTS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "column", "container", "form", "global", "group", "header", "icon",
+    "icons", "inner", "is", "item", "items", "left", "link", "links", "list", "main", "mobile", "outer", "panel", "posts", "primary",
+    "region", "reply", "right", "row", "secondary", "section", "site", "slot", "toggle", "top", "unit", "visually", "wrap", "wrapper",
+}
 #: Whole classes of an ``article`` that is none.
 NOT_ARTICLES = {"comment", "comments", "related", "ad", "advert", "advertisement", "promo", "sponsored", "teaser"}
 START_POINTS = {
@@ -92,10 +100,28 @@ def _is_left_out(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
+    return False
+
+
+def _is_named(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether the class or id names a part left out."""
+    if not attributes.strip() or tag in ("html", "body"):
+        return False
+    block = tag in CONTAINERS
+    if in_article and not block:
+        return False
+    found = _attributes(attributes)
+    tokens = found.get("class", "").split()
     if tag in ("article", "main"):  # their classes often tell what the page has besides
-        return not NOT_ARTICLES.isdisjoint(found.get("class", "").lower().split())
-    spoken = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found.get("class", "") + " " + found.get("id", ""))
-    return not NAMES.isdisjoint(_WORD.findall(spoken.lower()))
+        return not NOT_ARTICLES.isdisjoint(x.lower() for x in tokens)
+    if block and not in_article:
+        tokens += found.get("id", "").split()
+    return any(_names_part(x) for x in tokens)
+
+
+def _names_part(token: str, names: set[str] = NAMES) -> bool:
+    words = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
+    return not names.isdisjoint(words) and all(x in names or x in PARTS or x.isdigit() for x in words)
 
 
 class _Tree:
@@ -103,12 +129,16 @@ class _Tree:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.out, self.article = ["html"], [-1], [False], [False]
+        self.named, self.real = [False], [False]  # left out by name; an article that no name denies
         self.pieces: list[tuple[int, str, bool]] = []  # node, text, in a link; node -1 is a break
+        self.inline_named: dict[int, int] = {}  # piece: number of the inline element left out by name
 
-    def add(self, tag: str, parent: int, out: bool) -> int:
+    def add(self, tag: str, parent: int, out: bool, named: bool, real: bool) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.out.append(self.out[parent] or out)
+        self.named.append(named)
+        self.real.append(real)
         self.article.append(self.article[parent] or tag in ("article", "main"))
         return len(self.tag) - 1
 
@@ -117,10 +147,13 @@ def read_tree(html: str) -> _Tree:
     tree = _Tree()
     stack = [0]
     open_inline_out: list[str] = []  # inline elements that are left out
-    links, at = 0, 0
+    open_inline_named: list[str] = []
+    links, at, inline = 0, 0, 0
 
     def text(raw: str) -> None:
         if raw and not open_inline_out and not tree.out[stack[-1]]:
+            if open_inline_named:
+                tree.inline_named[len(tree.pieces)] = inline
             tree.pieces.append((stack[-1], unescape(raw) if "&" in raw else raw, links > 0))
 
     while (m := _TAG.search(html, at)) is not None:
@@ -144,11 +177,21 @@ def read_tree(html: str) -> _Tree:
             elif closing:
                 if tag in open_inline_out:
                     del open_inline_out[open_inline_out.index(tag) :]
-            elif tag not in VOID and (m[3] or m[6] or "").strip() and _is_left_out(tag, m[3] or m[6], True):
-                open_inline_out.append(tag)
+                if tag in open_inline_named:
+                    del open_inline_named[open_inline_named.index(tag) :]
+            elif tag not in VOID and (m[3] or m[6] or "").strip():
+                if _is_left_out(tag, m[3] or m[6], True):
+                    open_inline_out.append(tag)
+                elif open_inline_named:
+                    if tag == open_inline_named[0]:
+                        open_inline_named.append(tag)
+                elif tree.tag[stack[-1]] != "pre" and _is_named(tag, m[3] or m[6], tree.article[stack[-1]]):
+                    open_inline_named.append(tag)
+                    inline += 1
             continue
         tree.pieces.append((-1, " ", False))
         open_inline_out.clear()  # a block ends what was left open
+        open_inline_named.clear()
         tags = [tree.tag[n] for n in stack]
         if closing:
             if tag in tags[1:]:
@@ -180,16 +223,62 @@ def read_tree(html: str) -> _Tree:
                 if tree.tag[stack[depth]] in ("nav", "head") or (tree.tag[stack[depth]] == "header" and tree.out[stack[depth]]):
                     del stack[depth:]
                     break
-        stack.append(tree.add(tag, stack[-1], _is_left_out(tag, m[3] or m[6] or "", tree.article[stack[-1]])))
+        attributes, in_article = m[3] or m[6] or "", tree.article[stack[-1]]
+        named, real = _is_named(tag, attributes, in_article), False
+        if tag in ("article", "main") and not named:
+            found = _attributes(attributes)
+            real = not any(_names_part(x, NOT_ARTICLES) for y in ("class", "id") for x in found.get(y, "").split())
+        stack.append(tree.add(tag, stack[-1], _is_left_out(tag, attributes, in_article), named, real))
     text(html[at:])
     return tree
 
 
+def drop_named(tree: _Tree) -> None:
+    """Takes out the text of what a name leaves out, unless it is the article by its place or size."""
+    if not tree.inline_named and not any(tree.named):
+        return
+    n = len(tree.tag)
+    size, inline_size = [0] * n, dict.fromkeys(tree.inline_named.values(), 0)
+    for at, (node, said, _) in enumerate(tree.pieces):
+        if node >= 0:
+            long = len(" ".join(said.split()))
+            size[node] += long
+            if at in tree.inline_named:
+                inline_size[tree.inline_named[at]] += long
+    for k in range(n - 1, 0, -1):
+        size[tree.parent[k]] += size[k]
+    in_named, in_one = [False] * n, [False] * n  # in a named element; in an ``article``
+    inner, rival = [0] * n, {"article": 0, "main": 0}  # the largest article in each element; those outside named ones
+    for k in range(1, n):
+        up = tree.parent[k]
+        in_named[k] = in_named[up] or tree.named[k]
+        in_one[k] = in_one[up] or tree.tag[up] == "article"
+        if tree.real[k] and not in_one[k]:
+            inner[k] = size[k]
+            if not in_named[k]:
+                rival[tree.tag[k]] = max(rival[tree.tag[k]], size[k])
+    for k in range(n - 1, 0, -1):
+        inner[tree.parent[k]] = max(inner[tree.parent[k]], inner[k])
+    out = [False] * n
+    for k in range(1, n):
+        up = tree.parent[k]
+        out[k] = out[up]
+        if tree.named[k] and not out[up]:
+            other = rival["article"] if tree.article[up] else max(rival.values())
+            most = size[k] * 2 >= size[0] and (in_one[k] or not other)
+            out[k] = not most and inner[k] <= other
+    small = {x for x, long in inline_size.items() if long * 2 < size[0]}
+    tree.pieces = [
+        piece for at, piece in enumerate(tree.pieces) if piece[0] < 0 or not (out[piece[0]] or tree.inline_named.get(at) in small)
+    ]
+
+
 def main_text(html: str | None) -> str:
     """The text of the page's article; empty if there is none."""
     if not html:
         return ""
     tree = read_tree(html)
+    drop_named(tree)
     n = len(tree.tag)
     own, commas, linked, anchors = [0] * n, [0] * n, [0] * n, [0] * n
     for node, said, in_link in tree.pieces:

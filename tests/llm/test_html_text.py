@@ -37,6 +37,33 @@ def test_article_over_a_part_of_it():
     assert main_text(page) == f"Title {(LONG * 4).strip()}"
 
 
+def test_names_in_longer_classes_and_anchors_leave_nothing_out():
+    body = LONG.strip()
+    parts = (f'<h2 id="related-work">Work</h2><section id="social-impact"><p>{LONG}</p></section><p id="notice-periods">{LONG}</p>'
+             f'<p>A <span class="comment">b</span>.</p><div class="overflow-hidden"><p>{LONG}</p></div>')
+    want = f"{body} Work {body} {body} A b. {body}"
+    assert main_text(f"<article><p>{LONG}</p>{parts}</article>") == want
+    page = f'<body><div class="layout has-sidebar"><main><article><p>{LONG}</p>{parts}</article></main><div class="sidebar"><p>{LONG}</p></div></div>'
+    assert main_text(page) == want
+    assert main_text(f'<div id="content"><p>{LONG}</p>{parts}</div>') == want.replace("A b.", "A .")
+
+
+def test_names_never_leave_out_the_article_or_most_of_the_page():
+    body = LONG.strip()
+    for name in ("sidebar", "modal overlay", "hidden", "main-menu"):
+        assert main_text(f'<div class="{name}"><article><h1>T</h1><p>{LONG}</p></article></div><div><p>Else.</p></div>') == f"T {body}"
+        assert main_text(f'<div class="{name}"><p>{LONG}</p><p>{LONG}</p></div><div class="ad"><p>Buy.</p></div>') == f"{body} {body}"
+    assert main_text(f'<article><h1>T</h1><div class="notice"><p>{LONG * 3}</p></div></article>') == f"T {(LONG * 3).strip()}"
+    assert main_text(f'<span class="notice">{LONG}</span><span class="ad">Buy</span>') == body
+
+
+def test_named_parts_stay_out_however_long():
+    comments = "".join(f'<li class="comment"><article class="comment-body"><p>{LONG * 3}</p></article></li>' for _ in range(5))
+    cards = f'<div class="related-posts"><article class="card"><p>{LONG}</p></article></div>'
+    page = f'<main><article class="post"><h1>T</h1><p>{LONG * 2}</p><div class="share">Share</div></article>{cards}<div id="comments" class="comments-area"><ol>{comments}</ol></div></main>'
+    assert main_text(page) == f"T {(LONG * 2).strip()}"
+
+
 def test_long_pages_are_whole():
     page = "<body><div>" + "".join(f"<p>Paragraph {i}, of many.</p>" for i in range(20_000)) + "</div></body>"
     assert main_text(page) == " ".join(f"Paragraph {i}, of many." for i in range(20_000))
