@@ -10,8 +10,9 @@ stands elsewhere, most of the page's text. Every remaining paragraph passes poin
 its length in hundreds of characters (3 at most), in full to the parent, half to the
 grandparent, less to those above. Containers start with points by element and lose the
 share of their text that stands in links. The best container is kept; if it stands in an
-``article`` or ``main`` whose text is mostly its own, that one is kept, and so are siblings
-that score at least a fifth as much and long, link-poor sibling paragraphs.
+``article`` or ``main`` whose text (in an ``article``, links aside) is mostly its own, that one
+is kept, and so are siblings that score at least a fifth as much and long, link-poor sibling
+paragraphs. Lists of nothing but links are menus outside ``article`` and ``main`` only.
 
 Character references are decoded, white space (as ``str.split`` sees it) in a block becomes
 one space, and the blocks are joined by one space in page order. Nothing is cut or capped.
@@ -297,7 +298,7 @@ def main_text(html: str | None) -> str:
         count[up] += count[k]
     if not total[0]:
         return ""
-    # lists of nothing but links are menus; forms that do not hold the page are left out
+    # outside articles, lists of nothing but links are menus; forms that do not hold the page are left out
     dropped = [False] * n
     for k in range(1, n):
         up = tree.parent[k]
@@ -305,7 +306,13 @@ def main_text(html: str | None) -> str:
         dropped[k] = (
             dropped[up]
             or (tag == "form" and total[k] * 2 < total[0])
-            or (tag in ("ul", "ol", "dl", "div", "section", "table") and count[k] >= 3 and in_links[k] >= 0.9 * total[k] and total[k] * 2 < total[0])
+            or (
+                tag in ("ul", "ol", "dl", "div", "section", "table")
+                and not tree.article[k]
+                and count[k] >= 3
+                and in_links[k] >= 0.9 * total[k]
+                and total[k] * 2 < total[0]
+            )
         )
     score: list[float] = [START_POINTS.get(t, 0) for t in tree.tag]
     touched = [False] * n
@@ -325,7 +332,8 @@ def main_text(html: str | None) -> str:
     for wanted in (("article",), ("main",)):
         up, found = best, -1
         while up > 0:
-            if tree.tag[up] in wanted and total[best] * 2 >= total[up]:
+            plain = wanted == ("article",) and (total[best] - in_links[best]) * 2 >= total[up] - in_links[up]
+            if tree.tag[up] in wanted and (plain or total[best] * 2 >= total[up]):
                 found = up
             up = tree.parent[up]
         if found >= 0:

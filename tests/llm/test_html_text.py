@@ -64,6 +64,18 @@ def test_named_parts_stay_out_however_long():
     assert main_text(page) == f"T {(LONG * 2).strip()}"
 
 
+def test_lists_of_links_in_the_article_stay():
+    names = [f"Reference number {i}" for i in range(12)]
+    items = "".join(f"<li><a href=/{i}>{x}</a></li>" for i, x in enumerate(names))
+    rows = "".join(f"<tr><td><a href=/{i}>{x}</a></td></tr>" for i, x in enumerate(names))
+    menu = f"<ul>{items}</ul>"
+    for inner in (f"<ol>{items}</ol>", f"<div><ul>{items}</ul></div>", f"<table>{rows}</table>", f"<section><ol>{items}</ol></section>"):
+        for body in (f"<p>{LONG * 9}</p>{inner}", f"<div class=body><p>{LONG * 2}</p></div>{inner}"):
+            want = f"{(LONG * (9 if body.startswith('<p>') else 2)).strip()} {' '.join(names)}"
+            assert main_text(f"<body>{menu}<article>{body}</article><div>{menu}</div></body>") == want
+    assert main_text(f"<body><div id=content><p>{LONG * 9}</p>{menu}</div></body>") == (LONG * 9).strip()
+
+
 def test_long_pages_are_whole():
     page = "<body><div>" + "".join(f"<p>Paragraph {i}, of many.</p>" for i in range(20_000)) + "</div></body>"
     assert main_text(page) == " ".join(f"Paragraph {i}, of many." for i in range(20_000))
