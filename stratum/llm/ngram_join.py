@@ -7,7 +7,7 @@ least ``threshold`` (words: lower-cased runs of letters, digits, ``_`` and non-A
    of equal sets (exact copies among them) are one class; only its smallest ``doc_id`` goes on.
 2. Classes that agree in all ``ROWS`` values of a band meet in a bucket. A pair of
    similarity 0.8 shares none of the 28 bands with probability 4e-7. Buckets of one member
-   are dropped by counting, buckets of the same members are kept once.
+   are dropped by counting, buckets of the same members (two 64-bit hashes) are kept once.
 3. A bucket is dealt out by pairs of blocks of ``BLOCK`` members, so that no task gets more
    than two blocks of a hot bucket. For each pair the MinHash values are compared ``STEP``
    at a time, and the pair is dropped as soon as the posterior probability that its
@@ -285,11 +285,17 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
         "classes",
     )
     members = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key"))
+    other = F.xxhash64(F.lit(1), "rep")  # summed in halves, which no count of members overflows
     buckets = (
         members.groupBy("key")
-        .agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").bitwiseAND(F.lit(2**40 - 1))).alias("who"))
+        .agg(
+            F.count("*").alias("n"),
+            F.bit_xor(F.xxhash64("rep")).alias("who"),
+            F.sum(F.shiftright(other, 32)).alias("high"),
+            F.sum(other.bitwiseAND(F.lit(2**32 - 1))).alias("low"),
+        )
         .filter("n > 1")
-        .groupBy("n", "who")
+        .groupBy("n", "who", "high", "low")
         .agg(F.min("key").alias("key"))
         .select("key", "n")
     )

@@ -56,6 +56,20 @@ def test_empty_table(spark):
     assert jaccard_groups(spark.createDataFrame([], DOCUMENTS)).collect() == []
 
 
+def test_pairs_whose_members_hash_to_the_same_40_bits(spark):
+    from pyspark.sql import functions as F
+
+    hashed = spark.range(4000).select(F.xxhash64("id").bitwiseAND(F.lit(2**40 - 1)).alias("h")).toPandas()["h"].to_numpy()
+    i, j = np.triu_indices(len(hashed), 1)
+    sums = hashed[i] + hashed[j]
+    order = np.argsort(sums)
+    same = np.flatnonzero(np.diff(sums[order]) == 0)[0]
+    (a, b), (c, d) = ((int(i[k]), int(j[k])) for k in order[same : same + 2])
+    assert len({a, b, c, d}) == 4
+    one, two = ([f"{name}{k}" for k in range(80)] for name in ("x", "y"))
+    check(spark, [(a, " ".join(one)), (b, " ".join([*one, "tail"])), (c, " ".join(two)), (d, " ".join([*two, "tail"]))])
+
+
 def test_pruning_drops_unlike_pairs_and_keeps_like_ones():
     least = least_matches()
     assert list(least) == sorted(least) and all(least[n] <= n for n in least)
