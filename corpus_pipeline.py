@@ -15,7 +15,7 @@ lost executor costs no more than one stage.
 Defined cases: a document with a NULL or empty text has no letter, so stage 2 drops it if
 stage 1 has not; documents with a NULL ``doc_id`` cannot be named in a group and pass stage
 3, and stage 4 takes or leaves them together; of rows that repeat a ``doc_id`` in one group
-stage 3 keeps one; an empty table stays empty; without labels stage 1 keeps everything.
+stage 3 keeps one, and those of unlike texts stay; an empty table stays empty; without labels stage 1 keeps everything.
 """
 
 from __future__ import annotations
@@ -71,13 +71,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.jaccard_groups(docs.select("doc_id", "text"))
-    first = groups.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    first = materialize(first, "first")
-    once = docs.join(first.filter("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(first.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    groups = ngram_join.row_groups(docs.select("doc_id", "text"))
+    wordless = F.when(F.col("group_key").isNull(), F.col("text_hash")).alias("wordless")
+    first = groups.filter("doc_id = class_id").groupBy("doc_id", "group_key", wordless)
+    first = first.agg(F.count("*").alias("rows"), F.min("text_hash").alias("text_hash"))
+    first = materialize(first.select(F.col("doc_id").alias("taken_id"), F.col("text_hash").alias("taken_hash"), "rows"), "first")
+    same = (F.col("doc_id") == F.col("taken_id")) & (F.col("text_hash") == F.col("taken_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    once = rows.join(first.filter("rows = 1"), same, "left_semi").select("row.*")
+    repeated = rows.join(first.filter("rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
     unnamed = docs.filter("doc_id IS NULL")
-    return once.unionByName(repeated).unionByName(unnamed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(repeated).unionByName(unnamed)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

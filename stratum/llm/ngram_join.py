@@ -4,7 +4,8 @@ Two texts are linked when the Jaccard similarity of their sets of five-word shin
 least ``threshold`` (words: lower-cased runs of letters, digits, ``_`` and non-ASCII).
 
 1. Each text gets its shingle set's fingerprint and ``VALUES`` 16-bit MinHash values. Texts
-   of equal sets (exact copies among them) are one class; only its smallest ``doc_id`` goes on.
+   of equal sets (exact copies among them) are one class under a key of its own; one text of
+   its smallest ``doc_id`` goes on.
 2. Classes that agree in all ``ROWS`` values of a band meet in a bucket. A pair of
    similarity 0.8 shares none of the 28 bands with probability 4e-7. Buckets of one member
    are dropped by counting, buckets of the same members (two 64-bit hashes) are kept once.
@@ -24,7 +25,8 @@ intermediate table is written to the shared folder.
 Defined cases: a text without words (NULL, empty) has no shingle and no link and is a
 class and a group of its own; one to four words are one shingle; a NULL ``doc_id`` cannot
 name a class: such rows come back with NULL ids and no link; rows that repeat a ``doc_id``
-with the same words are copies of one another; other columns are not read.
+with the same words are copies of one another, those with other words are classes of their
+own, which may have the same smallest ``doc_id``; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, materialize, shuffle_partitions, table
+from stratum.llm.common import arrow_map, materialize, salted_join, shuffle_partitions, table
 from stratum.llm.components import connected_components
 from stratum.llm.textnp import blocks, mix, shingle_sets
 
@@ -51,7 +53,7 @@ BLOCK = 256
 _A = np.random.default_rng(7).integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 2**63, VALUES, dtype=np.uint64)
 
-SKETCH = "doc_id long, n_shingles int, f1 long, f2 long, bands array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles int, f1 long, f2 long, bands array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -77,15 +79,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_hash"),
                         pa.array(size.astype(np.int32)),
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(bands)),
                     ],
-                    ["doc_id", "n_shingles", "f1", "f2", "bands"],
+                    ["doc_id", "text_hash", "n_shingles", "f1", "f2", "bands"],
                 )
 
-    return arrow_map(docs.select("doc_id", "text"), run, SKETCH)
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, SKETCH)
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -276,12 +279,20 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
     group (the documents that links connect); ``copy_id``, the smallest of equal shingle
     sets; ``n_links``, the other documents it is linked to; ``n_text_links``, those of other
     shingle sets counted once a set."""
+    return row_groups(docs, threshold, tolerance).drop("text_hash", "group_key")
+
+
+def row_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """:func:`jaccard_groups` with each row's ``text_hash`` and the ``group_key`` of its group,
+    which differs between groups even where they have the same smallest ``doc_id``; NULL
+    without words or ``doc_id``."""
     least = least_matches(threshold, tolerance)
     sketch = materialize(sketches(docs), "sketches")
     classes = materialize(
         sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("f1", "f2")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+        .select(F.monotonically_increasing_id().alias("rep"), "f1", "f2", "least.doc_id", "least.text_hash", "n", "bands"),
         "classes",
     )
     members = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key"))
@@ -303,10 +314,11 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
     stars = arrow_map(deal_blocks(candidates, "key", "n"), _prune(least), "a long, b long")
     parts = materialize(connected_components(stars), "parts")
     sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
-    wanted = parts.join(sizes, "label").join(classes.select(F.col("rep").alias("node"), "n", "bands"), "node")
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    wanted = parts.join(sizes, "label").join(classes.select(F.col("rep").alias("node"), "doc_id", "text_hash", "n", "bands"), "node")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    once = wanted.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"])
     shingled = arrow_map(
-        wanted.join(texts, "node").select(F.col("label").alias("comp"), "size", F.col("node").alias("rep"), "n", "bands", "text"),
+        once.select(F.col("label").alias("comp"), "size", F.col("node").alias("rep"), "n", "bands", "text"),
         _shingled,
         "comp long, size long, rep long, n long, bands array<long>, shingles binary",
     )
@@ -314,18 +326,22 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
         arrow_map(deal_blocks(shingled, "comp", "size"), _verify(least, threshold), "a long, b long, links long, copies long"), "links"
     )
     groups = connected_components(found.select("a", "b")).withColumnsRenamed({"node": "rep", "label": "group"})
+    groups = materialize(groups.join(classes.select("rep", "doc_id"), "rep"), "groups")
+    groups = salted_join(groups.drop("doc_id"), groups.groupBy("group").agg(F.min("doc_id").alias("group_doc")), ["group"], "rep")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
-    known = classes.select("f1", "f2", "rep", "n").join(links.join(groups, "rep"), "rep", "left")
+    known = classes.select("f1", "f2", "rep", F.col("doc_id").alias("copy"), "n").join(links.join(groups, "rep"), "rep", "left")
     named = F.col("n_shingles") > 0
     return (
-        sketch.select("doc_id", "n_shingles", "f1", "f2")
+        sketch.select("doc_id", "text_hash", "n_shingles", "f1", "f2")
         .join(known, ["f1", "f2"], "left")
         .select(
             "doc_id",
-            F.when(F.col("doc_id").isNull(), None).when(named, F.coalesce("group", "rep")).otherwise(F.col("doc_id")).alias("class_id"),
-            F.when(F.col("doc_id").isNull(), None).when(named, F.col("rep")).otherwise(F.col("doc_id")).alias("copy_id"),
+            F.when(F.col("doc_id").isNull(), None).when(named, F.coalesce("group_doc", "copy")).otherwise(F.col("doc_id")).alias("class_id"),
+            F.when(F.col("doc_id").isNull(), None).when(named, F.col("copy")).otherwise(F.col("doc_id")).alias("copy_id"),
             F.when(F.col("doc_id").isNull() | ~named, 0).otherwise(F.col("n") - 1 + F.coalesce("copies", F.lit(0))).cast("bigint").alias("n_links"),
             F.when(F.col("doc_id").isNull() | ~named, 0).otherwise(F.coalesce("links", F.lit(0))).cast("bigint").alias("n_text_links"),
+            "text_hash",
+            F.when(F.col("doc_id").isNotNull() & named, F.coalesce("group", "rep")).alias("group_key"),
         )
     )
 

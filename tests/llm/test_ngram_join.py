@@ -52,6 +52,19 @@ def test_awkward_rows(spark):
     assert (by_id[10][0].class_id, by_id[10][0].n_links) == (10, 0)
 
 
+def repeated_rows():
+    one, two = (" ".join(f"{name}{k}" for k in range(80)) for name in ("x", "y"))
+    return [(9, one), (9, one), (12, one + " tail"), (9, two), (15, two + " tail"), (12, "alone"), (20, "first " + one), (20, "lone")]
+
+
+def test_rows_that_repeat_a_doc_id(spark):
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in repeated_rows()], DOCUMENTS)
+    got = sorted((r.doc_id, r.class_id, r.copy_id, r.n_links, r.n_text_links) for r in jaccard_groups(df).collect())
+    # two groups of smallest doc_id 9: rows 9, 9, 12 and 20 of one text, 9 and 15 of the other
+    want = [(9, 9, 9, 3, 2)] * 2 + [(9, 9, 9, 1, 1), (12, 9, 12, 3, 2), (12, 12, 12, 0, 0), (15, 9, 15, 1, 1), (20, 9, 20, 3, 2), (20, 20, 20, 0, 0)]
+    assert got == sorted(want)
+
+
 def test_empty_table(spark):
     assert jaccard_groups(spark.createDataFrame([], DOCUMENTS)).collect() == []
 

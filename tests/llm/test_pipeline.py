@@ -10,6 +10,7 @@ from stratum.llm import bpe, lang_id, ordinal_quality
 from stratum.session import load
 from tests.conftest import SF_ORACLE, SF_SMOKE
 from tests.llm.helpers import DOCUMENTS, awkward_rows, brute_groups, documents
+from tests.llm.test_ngram_join import repeated_rows
 
 
 def test_stages_in_order():
@@ -83,6 +84,13 @@ def test_awkward_rows_and_clashing_columns(spark):
         assert stage(spark, empty, SF_SMOKE).collect() == []
 
 
+def test_unlike_texts_of_one_doc_id_stay(spark):
+    rows = repeated_rows()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS)
+    got = sorted((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF_SMOKE).collect())
+    assert got == sorted([rows[0], rows[3], rows[5], rows[7]])
+
+
 def test_run(spark):
     rows = cp.run(spark, SF_SMOKE).collect()
     assert 100 < len(rows) <= 200 and len({r.doc_id for r in rows}) == len(rows)
