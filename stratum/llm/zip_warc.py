@@ -15,7 +15,8 @@ one range read; nothing is extracted and no member is read whole but the indexes
 
 A payload of at least ``least_bytes`` that equals that of a smaller ``page_id`` is written
 as a ``revisit`` record that names the first; the digests are compared after one
-aggregation by digest, so a large group of copies meets in no task.
+aggregation by digest, and joined back in parts by ``page_id``, so a large group of copies
+meets in no task.
 
 Files are reached through ``pyarrow.fs`` by the URI of the shared folder (``file``, ``hdfs``
 and the stores pyarrow knows).
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, materialize, shuffle_partitions, table
+from stratum.llm.common import arrow_map, materialize, salted_join, shuffle_partitions, table
 from stratum.llm.textnp import blocks
 from stratum.session import scratch_path
 
@@ -297,7 +298,7 @@ def find_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     slim = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     slim = slim.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= least_bytes)
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 AND refers_to IS NOT NULL")
-    copies = slim.select("page_id", "digest").join(first.drop("n"), "digest")
+    copies = salted_join(slim.select("page_id", "digest"), first.drop("n"), ["digest"], "page_id")
     return copies.filter("page_id IS NULL OR page_id <> refers_to").distinct()
 
 

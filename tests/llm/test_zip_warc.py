@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.llm.zip_warc import OP10_SQL, StoredZipWriter, ZipDirectory, op10_zip_warc, parse_record, read_records, write_archives
+from stratum.llm.zip_warc import OP10_SQL, StoredZipWriter, ZipDirectory, find_revisits, op10_zip_warc, parse_record, read_records, write_archives
 from tests.conftest import SF_SMOKE
 from tests.llm.helpers import duck_rows, spark_rows
 
@@ -109,3 +109,20 @@ def test_empty_table(spark):
 def test_query_matches_sql(spark):
     frame = spark.read.parquet(f"{SF_SMOKE}/pages.parquet").toPandas()
     assert spark_rows(op10_zip_warc(spark, SF_SMOKE)) == duck_rows(OP10_SQL, pages=frame)
+
+
+def test_copies_of_one_payload_are_dealt_out(spark):
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {x: spark.conf.get(x) for x in names}
+    try:
+        for name, value in zip(names, ("false", "-1"), strict=True):
+            spark.conf.set(name, value)
+        pages = spark.range(1, 301).select(F.col("id").alias("page_id"), F.lit("same payload " * 20).alias("html"))
+        found = find_revisits(pages)
+        joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        assert joins and all("_salt" in x for x in joins)  # the digest alone would send all rows to one task
+        digest = hashlib.sha256(b"same payload " * 20).hexdigest()
+        assert sorted((r.page_id, r.digest, r.refers_to) for r in found.collect()) == [(i, digest, 1) for i in range(2, 301)]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
