@@ -16,8 +16,8 @@ cross-entropy, per text and per character; a text is rejected if it has no lette
 lowest cross-entropy is more than ``REJECT_Z`` spreads, and more than ``REJECT_NATS``, above
 the mean of that language.
 
-The sample has about ``SAMPLE`` texts a language, chosen by the hash of ``doc_id``; each
-language's counts are made in one task, which the bound on the sample bounds. The model
+The sample has about ``SAMPLE`` texts a language, chosen by the hash of ``doc_id``; its whole
+texts are gathered and counted on the driver, bounded in texts but not in bytes. The model
 (some MB) goes with the tasks. Scoring needs no shuffle and reads whole texts.
 
 Defined cases: a NULL text, or one without a letter, is ``und`` with score 0; equal texts
