@@ -7,6 +7,7 @@ modulo 2^64, taken back to position 0 by the inverse power.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,3 +121,19 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
             sets.append(np.zeros(0, np.uint64))
     sizes = np.array([len(s) for s in sets], np.int64)
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], sizes.cumsum()]).astype(np.int64)
+
+
+def word_lists(text: bytes, words: re.Pattern, carry: int, most_bytes: int = 1 << 18) -> Iterator[tuple[list[bytes], int]]:
+    """The matches of ``words`` in a text of any length, a list for each piece of about
+    ``most_bytes``. A list begins with the last ``carry`` words of the one before (all of
+    them, if it had fewer); the number says how many of its words were in it."""
+    begin, tail = 0, []
+    while begin < len(text):
+        end = begin + most_bytes
+        if end < len(text):  # a piece ends with the word that reaches over its end
+            last = words.match(text, end)
+            end = last.end() if last else end
+        found = [*tail, *words.findall(text, begin, end)]
+        if len(found) > len(tail):
+            yield found, len(tail)
+        begin, tail = end, found[-carry:] if carry else []
