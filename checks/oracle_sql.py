@@ -192,18 +192,24 @@ DATED_SHEET = (
 )
 X1_RUN = f"""WITH arrived AS (
     SELECT 1 AS run, * FROM {FILES} WHERE {d.ARRIVAL_EXPRS[1]} UNION ALL SELECT 2, * FROM {FILES} WHERE {d.ARRIVAL_EXPRS[2]}),
-  f AS (SELECT run, file_name, {ROUTE_CUSTOMER} AS customer, {_SERIES} AS series, {AS_OF} AS as_of, count(*) AS n, sum(o_orderkey) AS keys
+  f AS (SELECT run, file_name, {ROUTE_CUSTOMER} AS customer, {_SERIES} AS series, {AS_OF} AS as_of,
+      count(*) FILTER (NOT ({d.BAD_PRICE_EXPR} OR {d.BAD_DATE_EXPR})) AS n, sum(o_orderkey) FILTER (NOT ({d.BAD_PRICE_EXPR} OR {d.BAD_DATE_EXPR})) AS keys,
+      count(*) FILTER ({d.BAD_PRICE_EXPR} OR {d.BAD_DATE_EXPR}) AS bad, count(*) FILTER ({d.BAD_PRICE_EXPR}) AS bad_price
     FROM arrived WHERE {INPUT_EXT} GROUP BY 1, 2, 3, 4, 5),
   -- a file that is not CSV stays, so the second run sees those of the first too
-  seen AS (SELECT run, file_name, customer, series, as_of, n, keys FROM f
-    UNION ALL SELECT 2, file_name, customer, series, as_of, n, keys FROM f a WHERE run = 1 AND NOT suffix(file_name, '.csv')
+  seen AS (SELECT * FROM f
+    UNION ALL SELECT 2 AS run, * EXCLUDE (run) FROM f a WHERE run = 1 AND NOT suffix(file_name, '.csv')
       AND NOT EXISTS (SELECT 1 FROM f b WHERE b.run = 2 AND b.file_name = a.file_name)),
   decided AS (SELECT *, CASE WHEN NOT suffix(file_name, '.csv') THEN 'unread'
       WHEN NOT coalesce(regexp_full_match(as_of, '[0-9]{{8}}|[0-9]{{4}}-[0-9]{{2}}'), false) THEN 'quarantine'
       WHEN run = 2 AND EXISTS (SELECT 1 FROM f b WHERE b.run = 1 AND suffix(b.file_name, '.csv') AND b.customer = seen.customer
-          AND b.series = seen.series AND b.as_of = seen.as_of) THEN 'skip' ELSE 'load' END AS decision FROM seen)
-SELECT run, file_name, CASE decision WHEN 'load' THEN 'Success' WHEN 'quarantine' THEN 'Quarantined' ELSE 'Skipped' END AS status,
-  as_of AS "asOfDate", CASE WHEN decision = 'load' THEN n END AS n_rows, CAST(CASE WHEN decision = 'load' THEN keys END AS BIGINT) AS sum_keys
+          AND b.series = seen.series AND b.as_of = seen.as_of) THEN 'skip'
+      WHEN run = 2 AND {d.HEADERLESS_EXPR} THEN 'quarantine' ELSE 'load' END AS decision FROM seen)
+SELECT run, file_name,
+  CASE decision WHEN 'load' THEN CASE WHEN bad > 0 THEN 'Partial' ELSE 'Success' END WHEN 'quarantine' THEN 'Quarantined' ELSE 'Skipped' END AS status,
+  as_of AS "asOfDate", CASE WHEN decision = 'load' AND n > 0 THEN n END AS n_rows,
+  CAST(CASE WHEN decision = 'load' AND n > 0 THEN keys END AS BIGINT) AS sum_keys,
+  CASE WHEN decision = 'load' AND bad > 0 THEN bad END AS n_rejected, CASE WHEN decision = 'load' AND bad > 0 THEN bad_price END AS n_bad_price
 FROM decided"""
 
 CLUSTERS = f"(SELECT {_sel(d.CLUSTER_EXPRS)} FROM supplier)"

@@ -218,6 +218,11 @@ ARRIVAL_EXPRS = {
     2: f"(o_orderdate >= TIMESTAMP '{SECOND_ARRIVAL} 00:00:00' OR o_orderkey % 50 IN (2, 11))",
 }
 
+#: Rows of the arrivals whose price or date is not of its type, and files of the second
+#: arrival whose header has no date column.
+BAD_PRICE_EXPR, BAD_DATE_EXPR = "o_orderkey % 41 = 3", "o_orderkey % 43 = 5"
+HEADERLESS_EXPR = "file_name LIKE 'LPT - 1999 %'"
+
 # C7 with all inputs: layer customers have tables by type, the others by customer name.
 LAYER_CUSTOMERS, WHOLE_CUSTOMERS = ("client_b",), ("client_a",)
 LAYER_REQUEST_EXPRS = [
@@ -358,6 +363,18 @@ def sheet_rows(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFra
     return o.select(*[F.col(src).alias(dst) for src, dst in SHEET_COLUMNS], "file_name")
 
 
+def faulty_sheet_rows(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """``sheet_rows`` as text, with cells that are not of their column's type."""
+    o = file_names(spark, sf_dir).where(which)
+    bad = {"o_totalprice": (BAD_PRICE_EXPR, "n/a"), "o_orderdate": (BAD_DATE_EXPR, "31.12., late")}
+
+    def cell(src: str) -> F.Column:
+        text = F.col(src).cast("string")
+        return F.when(F.expr(bad[src][0]), F.lit(bad[src][1])).otherwise(text) if src in bad else text
+
+    return o.select(*[cell(src).alias(dst) for src, dst in SHEET_COLUMNS], "file_name")
+
+
 def dated_table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders")
     return o.select(

@@ -482,26 +482,38 @@ _RUN_TIMES = {1: dt.datetime(2024, 1, 31, 15, 4, 5), 2: dt.datetime(2024, 2, 1,
 @register("X1_incremental_run")
 def x1r(spark, sf_dir):
     """Two arrivals in one landing folder, each loaded by one run: dated, undated, unreadable
-    and re-sent files. One row per file and run, with what the run log says of it and
-    what the bronze table holds of it."""
+    and re-sent files, files without a needed column and records that do not fit. One row per
+    file and run, with what the run log says of it and what the bronze table and its rejects
+    hold of it."""
     landing, bronze, etl = (scratch_path(spark, x) for x in ("landing", "bronze", "etl-log"))
     table = "stratum_run_log_" + landing.rsplit("-", 1)[-1]
     tables.create_run_log(spark, table, location=scratch_path(spark, "run-log"))
     for run, when in _RUN_TIMES.items():
-        rows = derived.sheet_rows(spark, sf_dir, derived.ARRIVAL_EXPRS[run])
+        rows = derived.faulty_sheet_rows(spark, sf_dir, derived.ARRIVAL_EXPRS[run])
+        if run == 2:
+            lacking = F.expr(derived.HEADERLESS_EXPR)
+            _land(rows.where(lacking).drop("Order Date"), landing)
+            rows = rows.where(~lacking)
         _land(rows, landing, shuffled=run == 2)
         incremental.run_incremental_load(spark, landing, SHEET_SCHEMA, bronze, "orders", etl, table, now=when)
+
+    def run_of(time):
+        return F.when(F.col(time) < F.lit(_RUN_TIMES[2]).cast("timestamp_ntz"), 1).otherwise(2).alias("run")
+
     log = spark.table(table).select(
-        F.when(F.col("logTime") < F.lit(_RUN_TIMES[2]).cast("timestamp_ntz"), 1).otherwise(2).alias("run"),
+        run_of("logTime"),
         F.regexp_extract("logMessage", "(?:rows from |: )([^:]*)$", 1).alias("file_name"),
         "status",
         "asOfDate",
     )
-    held = incremental.read_bronze(spark, bronze).groupBy("ingestion_timestamp", F.col("source_file").alias("file_name")).agg(
+    held = incremental.read_bronze(spark, bronze).groupBy(run_of("ingestion_timestamp"), F.col("source_file").alias("file_name")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("OrderKey").alias("sum_keys")
     )
-    held = held.withColumn("run", F.when(F.col("ingestion_timestamp") < F.lit(_RUN_TIMES[2]).cast("timestamp_ntz"), 1).otherwise(2))
-    return log.join(held.drop("ingestion_timestamp"), ["run", "file_name"], "full_outer")
+    rejects = incremental.read_rejects(spark, bronze)
+    aside = rejects.groupBy(run_of("ingestion_timestamp"), F.col("source_file").alias("file_name")).agg(
+        F.count(F.lit(1)).alias("n_rejected"), F.count_if(F.contains("reason", F.lit("Total Price ($): n/a"))).alias("n_bad_price")
+    )
+    return log.join(held, ["run", "file_name"], "full_outer").join(aside, ["run", "file_name"], "full_outer")
 
 
 _LAYERS = stages.LayerSpec(

@@ -14,7 +14,7 @@ import csv
 import io
 import sys
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -135,7 +135,9 @@ def _move_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sfs, spath = _fs_path(src)
             dfs, dpath = _fs_path(dst)
             there, target = sfs.get_file_info(spath), dfs.get_file_info(dpath)
-            if there.type == pafs.FileType.File and target.type != pafs.FileType.NotFound:
+            if there.type == pafs.FileType.File and not pd.isna(length) and there.size != length:
+                status = "changed"  # another file under the planned one's name, for a later run
+            elif there.type == pafs.FileType.File and target.type != pafs.FileType.NotFound:
                 status = "clash"  # another file has the name: this one stays where it is
             elif there.type == pafs.FileType.File:
                 dfs.create_dir(dpath.rsplit("/", 1)[0], recursive=True)
@@ -152,8 +154,8 @@ def _move_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def apply_moves(plan: DataFrame) -> DataFrame:
     """Run a ``src, dst[, length]`` move plan on the executors; returns ``src, dst, status``:
     ``moved``; ``already moved`` (the source is gone and a file of its length is at the
-    destination); ``clash`` (both exist, nothing is moved); ``missing``. Lazy: act on the
-    result to move."""
+    destination); ``clash`` (both exist, nothing is moved); ``changed`` (the source has another
+    length than planned, nothing is moved); ``missing``. Lazy: act on the result to move."""
     if "length" not in plan.columns:
         plan = plan.withColumn("length", F.lit(None).cast("long"))
     return plan.select("src", "dst", "length").mapInPandas(_move_batches, MOVE_SCHEMA)
@@ -175,51 +177,126 @@ def _header_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in pdf["path"]:
             fs, name = _fs_path(path)
             with fs.open_input_file(name) as source:
-                head = source.read(HEADER_BYTES).decode("utf-8-sig", "replace")
-            names = next(csv.reader(io.StringIO(head, newline="")), [])
-            out.append((path, names))
+                head = source.read(HEADER_BYTES)
+            if len(head) == HEADER_BYTES and b"\n" not in head and b"\r" not in head:
+                out.append((path, None))
+                continue
+            text = head.decode("utf-8-sig", "replace")
+            out.append((path, [n.strip() for n in next(csv.reader(io.StringIO(text, newline="")), [])]))
         yield pd.DataFrame(out, columns=["path", "header"])
 
 
 def csv_headers(listing: DataFrame) -> DataFrame:
-    """``path, header array<string>`` of each listed CSV file: one small range read a file."""
+    """``path, header array<string>`` of each listed CSV file: one small range read a file. The
+    header is NULL where no line ends within ``HEADER_BYTES``."""
     return listing.select("path").mapInPandas(_header_batches, "path string, header array<string>")
 
 
-def read_csv_by_header(spark: SparkSession, listing: DataFrame, schema: T.StructType, optional: bool = False) -> DataFrame:
-    """The rows of the listed CSV files, columns taken by the name in each file's header,
-    in the order and with the types of ``schema``, plus ``source_path``.
+def header_problem(header: str, schema: T.StructType) -> Column:
+    """Why a file whose names are in the column ``header`` cannot be read as ``schema``; NULL if
+    it can. An empty file has no header and no problem."""
+    lacking = F.array_except(F.array(*[F.lit(f.name) for f in schema.fields]), F.col(header))
+    return (
+        F.when(F.col(header).isNull(), F.lit(f"no header line within {HEADER_BYTES} bytes"))
+        .when(F.size(header) == 0, F.lit(None))
+        .when(F.size(lacking) > 0, F.concat(F.lit("no column "), F.array_join(lacking, ", ")))
+    )
 
-    Spark reads CSV columns by position when a schema is declared, so files are grouped by
-    header and each group is read under its own names. Extra columns are ignored; a
-    schema column that a header lacks raises (``optional``: becomes NULL). A cell that is
-    not of the declared type fails the job instead of becoming NULL.
-    """
-    layouts = csv_headers(listing).where(F.size("header") > 0).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+
+def _by_layout(
+    spark: SparkSession, headers: DataFrame, schema: T.StructType, options: dict, cells: Callable[[T.StructField, Column | None], list[Column]],
+    whole: Callable[[list[str]], list[Column]],
+) -> DataFrame:
+    """The records of the CSV files of ``headers(path, header)``, those of one header read
+    together under its names: ``cells`` makes the output columns of a schema column from its text
+    (None: the header lacks it), ``whole`` further ones from the names of all text columns."""
+    layouts = headers.where(F.size("header") > 0).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
     out: DataFrame | None = None
     for layout in sorted(layouts, key=lambda x: x["header"]):  # a few, however many the files
-        names = [n.strip() for n in layout["header"]]
-        missing = [f.name for f in schema.fields if f.name not in names]
-        if missing and not optional:
-            raise ValueError(f"{len(layout['paths'])} CSV files, {layout['paths'][0]} among them, have no column {missing}")
+        names = layout["header"]
         positions = {n: i for i, n in reversed(list(enumerate(names)))}
-        text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        raw = spark.read.schema(text).option("header", True).option("mode", "FAILFAST").csv([_quoted(p) for p in layout["paths"]])
+        columns = [f"c{i}" for i in range(len(names))]
+        text = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, *([MALFORMED] if "columnNameOfCorruptRecord" in options else [])]])
+        raw = spark.read.schema(text).options(header=True, **options).csv([_quoted(p) for p in layout["paths"]])
         rows = raw.select(
-            *[
-                (F.col(f"c{positions[f.name]}") if f.name in positions else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in schema.fields
-            ],
+            *[c for f in schema.fields for c in cells(f, F.col(columns[positions[f.name]]) if f.name in positions else None)],
+            *whole(columns),
             F.col("_metadata.file_path").alias("source_path"),
             F.col("_metadata.file_name").alias("_file_name"),
         )
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        empty = T.StructType([*schema.fields, T.StructField("source_path", T.StringType()), T.StructField("_file_name", T.StringType())])
-        out = spark.createDataFrame([], empty)
+        return spark.range(0).select(
+            *[c for f in schema.fields for c in cells(f, F.lit(None).cast("string"))], *whole([]),
+            F.lit("").alias("source_path"), F.lit("").alias("source_file"),
+        )
     return out.withColumn("source_file", decode_file_name("_file_name")).drop("_file_name")
 
 
+def read_csv_by_header(spark: SparkSession, listing: DataFrame, schema: T.StructType, optional: bool = False) -> DataFrame:
+    """The rows of the listed CSV files, columns taken by the name in each file's header,
+    in the order and with the types of ``schema``, plus ``source_path`` and ``source_file``.
+
+    Spark reads CSV columns by position when a schema is declared, so files are grouped by
+    header and each group is read under its own names. Extra columns are ignored; a
+    schema column that a header lacks raises (``optional``: becomes NULL). A cell that is
+    not of the declared type fails the job instead of becoming NULL.
+    """
+    headers = csv_headers(listing).withColumn("problem", header_problem("header", schema))
+    unread = F.col("problem").isNotNull() & (F.col("header").isNull() | F.lit(not optional))
+    headers = headers.withColumn(
+        "header", F.when(unread, F.raise_error(F.concat_ws(": ", "path", "problem")).cast("array<string>")).otherwise(F.col("header"))
+    )
+
+    def cells(field: T.StructField, text: Column | None) -> list[Column]:
+        return [(F.lit(None) if text is None else text).cast(field.dataType).alias(field.name)]
+
+    try:
+        return _by_layout(spark, headers, schema, {"mode": "FAILFAST"}, cells, lambda _: [])
+    except Exception as exc:
+        if "USER_RAISED_EXCEPTION" in str(exc):
+            raise ValueError(f"CSV files that cannot be read, one among them: {str(exc).splitlines()[0]}") from exc
+        raise
+
+
+#: Column of a record that has another number of fields than its header, and of a reject.
+MALFORMED = "_malformed"
+REJECT_COLUMNS = ("reject_reason", "reject_line")
+
+
+def read_csv_checked(spark: SparkSession, headers: DataFrame, schema: T.StructType, escape: str = '"') -> DataFrame:
+    """Like :func:`read_csv_by_header`, for ``headers(path, header)`` without a
+    :func:`header_problem`, but a record that does not fit fails nothing: it has a
+    ``reject_reason`` (each cell that is not of its column's type, or a wrong number of
+    fields) and its ``reject_line``, both NULL for good records. A quote inside a quoted cell is
+    doubled, as spreadsheets write it; give another ``escape`` for other files."""
+
+    def cells(field: T.StructField, text: Column | None) -> list[Column]:
+        typed = text.try_cast(field.dataType)
+        wrong = F.concat(F.lit(f"{field.name}: "), text, F.lit(f" is no {field.dataType.simpleString()}"))
+        return [typed.alias(field.name), F.when(text.isNotNull() & typed.isNull(), wrong).alias(f"_wrong {field.name}")]
+
+    def whole(columns: list[str]) -> list[Column]:
+        if not columns:
+            return [F.lit("").alias(MALFORMED), F.lit("").alias("_line")]
+        return [F.col(MALFORMED), F.to_csv(F.struct(*columns)).alias("_line")]
+
+    # without column pruning a record's fields are counted whatever is selected of it
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED, "columnPruning": False, "escape": escape}
+    rows = _by_layout(spark, headers, schema, options, cells, whole)
+    wrong = [f"`_wrong {f.name}`" for f in schema.fields]
+    reason = F.when(F.col(MALFORMED).isNotNull(), F.lit("another number of fields than the header has")).otherwise(
+        F.nullif(F.concat_ws("; ", *wrong), F.lit(""))
+    )
+    return rows.withColumn("reject_reason", reason).select(
+        *[F.col(f"`{f.name}`") for f in schema.fields],
+        "source_path",
+        "source_file",
+        "reject_reason",
+        F.when(F.col("reject_reason").isNotNull(), F.coalesce(MALFORMED, "_line")).alias("reject_line"),
+    )
+
+
 def _quoted(path: str) -> str:
     """A listed path as a literal glob: the characters with a meaning are escaped."""
     return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)

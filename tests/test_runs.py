@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 
 from stratum.plans import derived
 from stratum.plans import incremental
-from stratum.plans.incremental import archive_runs, read_bronze, run_incremental_load
+from stratum.plans.incremental import archive_runs, read_bronze, read_rejects, run_incremental_load, unfinished
 from stratum.plans.migration import run_migration
-from stratum.sources import tables
+from stratum.sources import commits, files, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,21 +119,112 @@ def test_undated_unreadable_and_sibling_files(spark, tmpdir_path):
     assert empty.loaded_rows == 0 and outcome(empty) == {"LPT - 2023 06 30.xlsx": ("unread", 0)}
 
 
-def test_only_planned_files_are_archived_and_a_missing_column_raises(spark, tmpdir_path):
+def test_only_planned_files_are_archived(spark, tmpdir_path):
     landing, bronze, etl, table, run = load_env(spark, tmpdir_path)
     touch(f"{landing}/LPT - 2023 06 30.csv", "Order Key,Total Price\n1,1.0\n")
     run(T1, archive=False)
     touch(f"{landing}/LPT - 2023 07 31.csv", "Order Key,Total Price\n2,1.0\n")  # arrives after the load
     assert archive_runs(spark, bronze) == {"moved": 1}
     assert sorted(f for f in os.listdir(landing) if f.endswith(".csv")) == ["LPT - 2023 07 31.csv"]
-    touch(f"{landing}/LPT - 2023 08 31.csv", "Order Key\n3\n")
-    with pytest.raises(ValueError, match="no column"):
-        run(T2)
-    os.rename(f"{landing}/LPT - 2023 08 31.csv", f"{landing}/notes.txt")
-    touch(f"{landing}/LPT - 2023 09 30.csv", "Order Key,Total Price\nnot a number,1.0\n")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
-        run(T2)
-    assert sorted(r.OrderKey for r in read_bronze(spark, bronze).collect()) == [1]
+
+
+def test_a_bad_file_or_record_stops_nothing_else(spark, tmpdir_path, monkeypatch):
+    landing, bronze, etl, table, run = load_env(spark, tmpdir_path)
+    touch(f"{landing}/LPT - 2023 06 30.csv", 'Order Key,Total Price\n1,1.0\noops,2.0\n3,"x, y"\n4\n5,5.0,6\n,7.0\n')
+    touch(f"{landing}/LPT - 2023 07 31.csv", "Total Price,Order Key\n8.0,8\n")
+    touch(f"{landing}/LPT - 2023 08 31.csv", "Order Key\n9\n")  # a column is missing
+    touch(f"{landing}/LPT - 2023 09 30.csv", "Order Key,Total Price\nall,bad\n")
+    touch(f"{landing}/LPT - 2023 10 31.csv", "\n")
+    touch(f"{landing}/LPT - 2023 11 30.csv", "x" * 50)  # no line end where the header is looked for
+    monkeypatch.setattr(files, "HEADER_BYTES", 40)
+    first = run(T1)
+    assert outcome(first) == {
+        "LPT - 2023 06 30.csv": ("load", 2), "LPT - 2023 07 31.csv": ("load", 1), "LPT - 2023 08 31.csv": ("quarantine", 0),
+        "LPT - 2023 09 30.csv": ("load", 0), "LPT - 2023 10 31.csv": ("load", 0), "LPT - 2023 11 30.csv": ("quarantine", 0),
+    }
+    assert sorted(((r.OrderKey, r.TotalPrice) for r in read_bronze(spark, bronze).collect()), key=repr) == [(1, 1.0), (8, 8.0), (None, 7.0)]
+    rejects = {(r.source_file[6:16], r.line): r.reason for r in read_rejects(spark, bronze).collect()}
+    other = "another number of fields than the header has"
+    assert rejects == {
+        ("2023 06 30", "oops,2.0"): "Order Key: oops is no bigint",
+        ("2023 06 30", '3,"x, y"'): "Total Price: x, y is no double",
+        ("2023 06 30", "4"): other,
+        ("2023 06 30", "5,5.0,6"): other,
+        ("2023 09 30", "all,bad"): "Order Key: all is no bigint; Total Price: bad is no double",
+    }
+    said = {r.logMessage: r.status for r in spark.table(table).collect()}
+    assert said["loaded 2 and rejected 4 rows from LPT - 2023 06 30.csv"] == "Partial"
+    assert said["loaded 1 rows from LPT - 2023 07 31.csv"] == "Success"
+    assert said["no column Total Price: LPT - 2023 08 31.csv"] == "Quarantined"
+    assert len(os.listdir(f"{landing}/quarantine")) == 2 and not [f for f in os.listdir(landing) if f.endswith(".csv")]
+    # a file that cannot be read takes nothing from a later name of its customer, series and date
+    touch(f"{landing}/LPT - 2023.csv", "no,columns\n")
+    touch(f"{landing}/LPT -2023 08 31.csv", "Order Key\n9\n")
+    touch(f"{landing}/LPT-2023 08 31.csv", "Order Key,Total Price\n9,9.0\n")
+    second = run(T2)
+    assert outcome(second) == {"LPT - 2023.csv": ("quarantine", 0), "LPT -2023 08 31.csv": ("quarantine", 0), "LPT-2023 08 31.csv": ("load", 1)}
+
+
+def test_overlapping_runs_load_each_file_once(spark, tmpdir_path, monkeypatch):
+    landing, bronze, etl, table, run = load_env(spark, tmpdir_path)
+    head = "Order Key,Total Price\n"
+    touch(f"{landing}/LPT - 2023 06 30.csv", head + "1,1.0\n")
+    touch(f"{landing}/LPT 20230731.csv", head + "2,1.0\n")
+    real, others = incremental._commit, []
+
+    def overtaken(*args):  # a whole second run comes between the first one's writes and its commit
+        if not others:
+            others.append(None)
+            touch(f"{landing}/LPT - 2023 08 31.csv", head + "3,1.0\n")
+            others[0] = run(T2)
+        return real(*args)
+
+    monkeypatch.setattr(incremental, "_commit", overtaken)
+    first = run(T1)
+    assert outcome(others[0]) == {"LPT - 2023 06 30.csv": ("load", 1), "LPT 20230731.csv": ("quarantine", 0), "LPT - 2023 08 31.csv": ("load", 1)}
+    assert outcome(first) == {} and first.loaded_rows == 0
+    assert sorted(r.OrderKey for r in read_bronze(spark, bronze).collect()) == [1, 3]
+    assert spark.table(table).count() == 3 and len(os.listdir(f"{landing}/backup")) == 2
+    # runs that took other files are both committed as they are; their log times differ
+    others.clear()
+    monkeypatch.setattr(files, "list_input_files", lambda *a, f=files.list_input_files: f(*a).where(f"file_name LIKE '%{9 + len(others)} %'"))
+    touch(f"{landing}/LPT - 2023 09 30.csv", head + "4,1.0\n")
+    touch(f"{landing}/LPT - 2023 10 31.csv", head + "5,1.0\n")
+    before = len(os.listdir(f"{bronze}/_runs"))
+    run(T3)
+    assert len(os.listdir(f"{bronze}/_runs")) == before + 2  # no run was planned twice
+    assert sorted(r.OrderKey for r in read_bronze(spark, bronze).collect()) == [1, 3, 4, 5]
+    assert tables.check_unique_key(spark.table(table), ["logTime"]).isEmpty()
+
+
+def test_simultaneous_runs(spark, tmpdir_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    landing, bronze, etl, table, run = load_env(spark, tmpdir_path)
+    for i in range(1, 7):
+        touch(f"{landing}/LPT - 2023 0{i} 28.csv", f"Order Key,Total Price\n{i},1.0\n")
+    with ThreadPoolExecutor(3) as pool:
+        done = list(pool.map(lambda n: run(T1 + dt.timedelta(seconds=n)), range(3)))
+    assert sum(r.loaded_rows for r in done) == 6
+    assert sorted(r.OrderKey for r in read_bronze(spark, bronze).collect()) == [1, 2, 3, 4, 5, 6]
+    assert spark.table(table).count() == 6 and len(os.listdir(f"{landing}/backup")) == 6
+    assert unfinished(spark, bronze).isEmpty()
+    assert [r.tableName for r in tables.read_snapshot(spark, etl).collect()] == ["orders"]
+
+
+def test_commit_log(spark, tmpdir_path):
+    folder = f"{tmpdir_path}/log"
+    assert commits.last_number(spark, folder) == 0 and commits.records(spark, folder).isEmpty()
+    assert commits.append(spark, folder, 1, state="committed", run_id="a")
+    assert not commits.append(spark, folder, 1, state="committed", run_id="b")
+    assert commits.append_next(spark, f"file://{folder}", state="committed", run_id="c") == 2
+    assert [(r.n, r.run_id) for r in commits.records(spark, folder).orderBy("n").collect()] == [(1, "a"), (2, "c")]
+    assert sorted(os.listdir(folder)) == [f"{1:020d}.json", f"{2:020d}.json"]
+    # a lease is given back, waited for, and over with its time if its holder is gone
+    assert commits._take(spark, folder, "gone", 3.0) and not commits._take(spark, folder, "other", 9.0)
+    with commits.exclusively(spark, folder, pause=0.1):
+        assert not commits._take(spark, folder, "other", 9.0)
+    assert commits._take(spark, folder, "other", 9.0)
 
 
 def test_a_run_that_was_cut_off_is_completed(spark, tmpdir_path, monkeypatch):
@@ -154,7 +245,7 @@ def test_a_run_that_was_cut_off_is_completed(spark, tmpdir_path, monkeypatch):
     assert tables.read_snapshot(spark, etl).first().lastExtractDateTime == T2
     # a write without a commit is no load
     with monkeypatch.context() as m:
-        m.setattr(incremental, "_append_ledger", lambda *a: (_ for _ in ()).throw(RuntimeError("cut off")))
+        m.setattr(incremental, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("cut off")))
         touch(f"{landing}/LPT - 2023 08 31.csv", "Order Key,Total Price\n3,1.0\n")
         with pytest.raises(RuntimeError):
             run(T3)
