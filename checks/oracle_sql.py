@@ -23,6 +23,12 @@ def _norm(c: str) -> str:
 
 # as S6 reads it
 SHEET = "(SELECT " + ", ".join(_norm(c) for c, _ in d.CONTROL_EXPRS) + f" FROM {CONTROL})"
+# the migration's sheet, with rows that share a job name or a source
+MIGRATION_CONTROL = f"({CONTROL[1:-1]}" + "".join(
+    f" UNION ALL SELECT {_sel([(n, changed.get(n, e)) for n, e in d.CONTROL_EXPRS])} FROM part WHERE {which}"
+    for which, changed in (d.SAME_NAME, d.SECOND_DESTINATION)
+) + ")"
+MIGRATION_SHEET = "(SELECT " + ", ".join(_norm(c) for c, _ in d.CONTROL_EXPRS) + f" FROM {MIGRATION_CONTROL})"
 JOBS = f"(SELECT {_sel(d.JOB_EXPRS)} FROM part)"
 INVENTORY = (
     f"(SELECT {_sel(d.INVENTORY_SOURCE_EXPRS)} FROM part UNION ALL "
@@ -99,23 +105,36 @@ FROM v)"""
 LISTING = f"""(SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY job_id) - 1 AS INTEGER) AS pos,
   job_id, job_name FROM {JOBS})"""
 
+_BROKEN = f"({d.BROKEN_PAGES['cut']} OR {d.BROKEN_PAGES['error']} OR {d.BROKEN_PAGES['none']})"
+BROKEN_LISTING = f"(SELECT * FROM {LISTING} WHERE NOT {_BROKEN})"
+LISTING_ERRORS = f"""(SELECT DISTINCT page_id, CASE WHEN {d.BROKEN_PAGES['cut']} THEN 'listing is not valid JSON'
+  ELSE 'listing is an error: TEMPORARILY_UNAVAILABLE try again' END AS error
+  FROM {LISTING} WHERE {d.BROKEN_PAGES['cut']} OR {d.BROKEN_PAGES['error']})"""
+
+
 # R4, R5 by the contract: a schedule needs a frequency and a time; the sheet is read by S6,
-# so what is missing is NULL; a table name without a schema part fails.
-PLAN = f"""(WITH m AS (SELECT *, {JOB_NAME} AS job_name FROM {MANAGED_OF % SHEET}),
-cr AS {cron_sql('m')},
-kn AS (SELECT job_name AS known_name, arg_min(job_id, page_id * 1000000 + pos) AS known_id FROM {LISTING} GROUP BY job_name),
-x AS (SELECT m.*, cr.cron AS raw_cron,
+# so what is missing is NULL; a table name without a schema part fails; a job name is planned
+# once; a job that a broken listing does not name fails.
+def plan_sql(listing: str, broken: str) -> str:
+    return f"""(WITH m AS (SELECT *, {JOB_NAME} AS job_name,
+    row_number() OVER (ORDER BY Hive_table_name, Uc_catalog_name NULLS FIRST, Uc_schema_name NULLS FIRST, Uc_table_name NULLS FIRST) AS rid
+  FROM {MANAGED_OF % MIGRATION_SHEET}),
+cr AS {cron_sql('m', 'rid')},
+kn AS (SELECT job_name AS known_name, arg_min(job_id, page_id * 1000000 + pos) AS known_id FROM {listing} GROUP BY job_name),
+y AS (SELECT m.*, cr.cron AS raw_cron,
         CASE WHEN Frequency_of_sync IS NOT NULL AND Date_n_time_for_1st_schedule IS NOT NULL
              AND cr.cron <> 'not yet supported' THEN cr.cron END AS cron_ok,
         CASE WHEN coalesce(m.Sync_required <> 'yes', true) THEN 'unwanted'
-             WHEN m.job_name IS NULL THEN 'unnamed' WHEN kn.known_name IS NOT NULL THEN 'known' ELSE 'new' END AS kind, kn.known_id
-      FROM m JOIN cr ON m.Hive_table_name = cr.k LEFT JOIN kn ON m.job_name = kn.known_name)
-SELECT Hive_table_name AS table_name, job_name,
-  CASE kind WHEN 'unnamed' THEN 'fail' WHEN 'new' THEN CASE WHEN cron_ok IS NULL THEN 'create' ELSE 'schedule' END ELSE 'skip' END AS action,
-  CASE kind WHEN 'unnamed' THEN 'Failed' WHEN 'new' THEN 'Planned' ELSE 'Skipped' END AS status,
+             WHEN m.job_name IS NULL THEN 'unnamed' WHEN kn.known_name IS NOT NULL THEN 'known'
+             WHEN {broken} THEN 'blind' ELSE 'new' END AS kind0, kn.known_id
+      FROM m JOIN cr ON m.rid = cr.k LEFT JOIN kn ON m.job_name = kn.known_name),
+x AS (SELECT *, CASE WHEN kind0 = 'new' AND row_number() OVER (PARTITION BY kind0, job_name ORDER BY rid) > 1 THEN 'second' ELSE kind0 END AS kind FROM y)
+SELECT Hive_table_name AS table_name, Uc_table_name AS destination_table_name, job_name,
+  CASE WHEN kind IN ('unnamed', 'blind') THEN 'fail' WHEN kind = 'new' THEN CASE WHEN cron_ok IS NULL THEN 'create' ELSE 'schedule' END ELSE 'skip' END AS action,
+  CASE WHEN kind IN ('unnamed', 'blind') THEN 'Failed' WHEN kind = 'new' THEN 'Planned' ELSE 'Skipped' END AS status,
   CASE WHEN kind = 'new' THEN cron_ok END AS cron,
   CASE kind WHEN 'unwanted' THEN 'sync_required parameter is NO' WHEN 'unnamed' THEN 'table name has no schema part'
-    WHEN 'known' THEN 'job already scheduled'
+    WHEN 'known' THEN 'job already scheduled' WHEN 'second' THEN 'job already scheduled' WHEN 'blind' THEN 'the job listing could not be read'
     ELSE CASE WHEN cron_ok IS NOT NULL THEN 'scheduled: ' || cron_ok
       WHEN Frequency_of_sync IS NULL AND Date_n_time_for_1st_schedule IS NULL THEN 'created without schedule: no frequency or time given'
       WHEN Frequency_of_sync IS NULL THEN 'created without schedule: no frequency given'
@@ -126,6 +145,18 @@ SELECT Hive_table_name AS table_name, job_name,
   Uc_catalog_name AS destination_catalog_name, Uc_schema_name AS destination_schema_name
 FROM x)"""
 
+
+PLAN = plan_sql(LISTING, "false")
+
+
+def lookup_sql(name: str, listing: str, otherwise: str) -> str:
+    return f"""SELECT '{name}' AS listing, w.job_name, b.job_id, b.job_id_last,
+        CASE WHEN b.job_id IS NOT NULL THEN 'found' ELSE {otherwise} END AS status
+        FROM (SELECT DISTINCT {JOB_NAME} AS job_name FROM {CONTROL}) w
+        LEFT JOIN (SELECT job_name, arg_min(job_id, page_id * 1000000 + pos) AS job_id,
+            arg_max(job_id, page_id * 1000000 + pos) AS job_id_last FROM {listing} GROUP BY job_name) b ON w.job_name = b.job_name"""
+
+
 NEWEST_LINES = """(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
   ORDER BY l_shipdate DESC, %s) AS rn FROM lineitem) WHERE rn = 1)"""
 
@@ -251,12 +282,13 @@ ORACLE: dict[str, str] = {
         roots AS (SELECT DISTINCT root FROM r WHERE root IS NOT NULL),
         hit AS (SELECT root FROM roots WHERE EXISTS (SELECT 1 FROM loc WHERE contains(loc.url, roots.root)))
         SELECT page_id, storage_name, hit.root IS NOT NULL AS valid FROM r LEFT JOIN hit ON r.root = hit.root""",
-    "J3_explode_listing": f"SELECT page_id, pos, job_id, job_name FROM {LISTING}",
-    "J4_lookup_by_name": f"""WITH w AS (SELECT DISTINCT {JOB_NAME} AS job_name FROM {CONTROL}),
-        b AS (SELECT job_name, arg_min(job_id, page_id * 1000000 + pos) AS job_id,
-                     arg_max(job_id, page_id * 1000000 + pos) AS job_id_last FROM {LISTING} GROUP BY job_name)
-        SELECT w.job_name, b.job_id, b.job_id_last, CASE WHEN b.job_id IS NOT NULL THEN 'found' ELSE 'not found' END AS status
-        FROM w LEFT JOIN b ON w.job_name = b.job_name""",
+    "J3_explode_listing": f"""SELECT page_id, pos, job_id, job_name, CAST(NULL AS STRING) AS error FROM {BROKEN_LISTING}
+        UNION ALL SELECT page_id, NULL, NULL, NULL, error FROM {LISTING_ERRORS}""",
+    "J4_lookup_by_name": " UNION ALL ".join([
+        lookup_sql("whole", LISTING, "'not found'"),
+        lookup_sql("broken", BROKEN_LISTING, f"CASE WHEN (SELECT count(*) FROM {LISTING_ERRORS}) > 0 THEN 'unknown' ELSE 'not found' END"),
+        lookup_sql("empty", f"(SELECT * FROM {LISTING} WHERE false)", "'empty'"),
+    ]),
     "J4_cluster_lookup": f"""WITH l AS (SELECT cluster_name, cluster_id,
           page_id * 1000000 + row_number() OVER (PARTITION BY page_id ORDER BY s_suppkey) AS ord FROM {CLUSTERS}),
         b AS (SELECT cluster_name, arg_max(cluster_id, ord) AS cluster_id FROM l GROUP BY cluster_name),
@@ -311,9 +343,12 @@ ORACLE: dict[str, str] = {
         Uc_table_type AS ucTableType, Uc_table_format AS ucTableFormat, Uc_external_table_location AS ucExternalTableLocation,
         'owner' AS on_success, 'owner' || coalesce(';' || {nan_null('Failure_notifications')}, '') AS on_failure
         FROM {MANAGED}""",
-    "R5_sync_plan": f"SELECT table_name, job_name, action, status, cron, log_message, job_id FROM {PLAN}",
+    "R5_sync_plan": " UNION ALL ".join(
+        f"SELECT '{name}' AS listing, table_name, destination_table_name, job_name, action, status, cron, log_message, job_id FROM {plan}"
+        for name, plan in (("whole", PLAN), ("broken", plan_sql(BROKEN_LISTING, f"(SELECT count(*) FROM {LISTING_ERRORS}) > 0")))
+    ),
     "R6_sync_log_rows": f"""SELECT coalesce(CAST(job_id AS STRING), 'N/A') AS jobId,
-        CASE WHEN action IN ('schedule', 'create') OR (action = 'skip' AND job_id IS NOT NULL) THEN job_name ELSE 'N/A' END AS jobName,
+        CASE WHEN action IN ('schedule', 'create') OR log_message = 'job already scheduled' THEN job_name ELSE 'N/A' END AS jobName,
         table_name, destination_catalog_name, destination_schema_name, status, log_message,
         TIMESTAMP '2024-01-31 15:04:05' AS log_time FROM {PLAN}""",
     "migration_status_counts": f"SELECT action, status, count(*) AS n_tables FROM {PLAN} GROUP BY action, status",

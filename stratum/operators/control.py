@@ -7,7 +7,9 @@ left join with the known jobs -> action/status -> sync-log rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cron import NOT_SUPPORTED, is_missing, schedule_mode, schedule_to_cron
@@ -20,6 +22,7 @@ SOURCE_CATALOG = "hive_metastore"
 NOT_AVAILABLE = "N/A"
 MSG_NOT_WANTED = "sync_required parameter is NO"
 MSG_KNOWN = "job already scheduled"
+MSG_NO_LISTING = "the job listing could not be read"
 MSG_NO_SCHEMA = "table name has no schema part"
 MSG_NO_FREQUENCY = "created without schedule: no frequency given"
 MSG_NO_TIME = "created without schedule: no time given"
@@ -188,7 +191,13 @@ def schedule_columns(df: DataFrame) -> DataFrame:
 # --- R5, R6 ---------------------------------------------------------------------------
 
 
-def sync_plan(managed: DataFrame, known_jobs: DataFrame, user: str = "pipeline-owner") -> DataFrame:
+#: What tells the rows of a sheet apart: the source and its destination.
+ROW_KEY = ("Hive_table_name", "Uc_catalog_name", "Uc_schema_name", "Uc_table_name")
+
+
+def sync_plan(
+    managed: DataFrame, known_jobs: DataFrame, user: str = "pipeline-owner", listing_broken: Column | None = None
+) -> DataFrame:
     """One plan row per managed table.
 
     ``managed`` is the J7 work list; ``known_jobs`` has ``job_name, job_id`` with one
@@ -196,30 +205,49 @@ def sync_plan(managed: DataFrame, known_jobs: DataFrame, user: str = "pipeline-o
     or job already known), ``fail`` (the table name has no schema part), ``schedule``
     (valid cron) or ``create`` (unscheduled, with the reason).
     ``Sync_required`` must equal ``yes`` exactly.
+
+    A job is made once: of the rows that want one job name, the first (in the order of
+    ``ROW_KEY``, as a table has no order of its own) gets it, and for the others it is
+    already scheduled. Where ``listing_broken`` (``lookup.listing_broken``) is true, a job
+    that is not in the listing may exist all the same: its row fails instead of being planned.
     """
     jobs = known_jobs.select(F.col("job_name").alias("_known_name"), F.col("job_id").alias("_known_id"))
-    planned = schedule_columns(managed.withColumn("job_name", sync_job_name()))
-    joined = planned.join(jobs, planned["job_name"] == jobs["_known_name"], "left")
     wanted = F.coalesce(F.col("Sync_required") == "yes", F.lit(False))
+    planned = schedule_columns(managed.withColumn("job_name", sync_job_name())).withColumn("_wanted", wanted)
+    joined = planned.join(jobs, planned["job_name"] == jobs["_known_name"], "left")
+    # rows without a name, or that want no job, are groups of their own
+    rival = F.when(F.col("_wanted") & F.col("job_name").isNotNull(), F.col("job_name")).otherwise(
+        F.concat_ws("\u0000", F.lit(""), *[F.coalesce(F.col(c), F.lit("")) for c in ROW_KEY])
+    )
+    nth = F.row_number().over(Window.partitionBy("_rival").orderBy(*[F.col(c).asc_nulls_first() for c in ROW_KEY]))
     known = F.col("_known_name").isNotNull()
-    unnamed = F.col("job_name").isNull()
+    blind = F.lit(False) if listing_broken is None else listing_broken
+    kind = (
+        F.when(~F.col("_wanted"), F.lit("unwanted"))
+        .when(F.col("job_name").isNull(), F.lit("unnamed"))
+        .when(known, F.lit("known"))
+        .when(F.col("_blind"), F.lit("blind"))
+        .when(F.col("_nth") > 1, F.lit("second"))
+        .otherwise(F.lit("new"))
+    )
+    joined = joined.withColumns({"_rival": rival, "_blind": blind}).withColumn("_nth", nth).withColumn("_kind", kind)
+    is_kind = lambda *names: F.col("_kind").isin(*names)
     action = (
-        F.when(~wanted, F.lit("skip"))
-        .when(unnamed, F.lit("fail"))
-        .when(known, F.lit("skip"))
+        F.when(is_kind("unwanted", "known", "second"), F.lit("skip"))
+        .when(is_kind("unnamed", "blind"), F.lit("fail"))
         .when(F.col("cron").isNotNull(), F.lit("schedule"))
         .otherwise(F.lit("create"))
     )
     status = (
-        F.when(~wanted, F.lit("Skipped"))
-        .when(unnamed, F.lit("Failed"))
-        .when(known, F.lit("Skipped"))
+        F.when(is_kind("unwanted", "known", "second"), F.lit("Skipped"))
+        .when(is_kind("unnamed", "blind"), F.lit("Failed"))
         .otherwise(F.lit("Planned"))
     )
     message = (
-        F.when(~wanted, F.lit(MSG_NOT_WANTED))
-        .when(unnamed, F.lit(MSG_NO_SCHEMA))
-        .when(known, F.lit(MSG_KNOWN))
+        F.when(is_kind("unwanted"), F.lit(MSG_NOT_WANTED))
+        .when(is_kind("unnamed"), F.lit(MSG_NO_SCHEMA))
+        .when(is_kind("known", "second"), F.lit(MSG_KNOWN))
+        .when(is_kind("blind"), F.lit(MSG_NO_LISTING))
         .when(F.col("cron").isNotNull(), F.concat(F.lit("scheduled: "), F.col("cron")))
         .otherwise(F.col("_unscheduled_reason"))
     )
@@ -228,21 +256,29 @@ def sync_plan(managed: DataFrame, known_jobs: DataFrame, user: str = "pipeline-o
         "job_name",
         action.alias("action"),
         status.alias("status"),
-        F.when(wanted & ~unnamed & ~known, F.col("cron")).alias("cron"),
+        F.when(is_kind("new"), F.col("cron")).alias("cron"),
         message.alias("log_message"),
-        F.when(wanted & ~unnamed & known, F.col("_known_id")).alias("job_id"),
+        F.when(is_kind("known"), F.col("_known_id")).alias("job_id"),
         F.col("Uc_catalog_name").alias("destination_catalog_name"),
         F.col("Uc_schema_name").alias("destination_schema_name"),
+        F.col("Uc_table_name").alias("destination_table_name"),
         sync_parameters().alias("parameters"),
         notifications(user).alias("notifications"),
     )
 
 
+def plan_statuses(plan: DataFrame) -> DataFrame:
+    """``ROW_KEY`` and ``Table_Status`` of the rows of a plan, for U2: one row a source and
+    destination, of a repeated one the status that says most."""
+    order = F.array_position(F.array(F.lit("Skipped"), F.lit("Failed"), F.lit("Planned")), F.col("status"))
+    names = ("table_name", "destination_catalog_name", "destination_schema_name", "destination_table_name")
+    keys = [F.col(c).alias(k) for c, k in zip(names, ROW_KEY, strict=True)]
+    return plan.groupBy(*keys).agg(F.max_by("status", order).alias("Table_Status"))
+
+
 def sync_log_rows(plan: DataFrame, log_time: Column | None = None) -> DataFrame:
     """The sync-log records (schema ``schemas.SYNC_LOG``); the log time is filled."""
-    named = F.col("action").isin("schedule", "create") | (
-        (F.col("action") == "skip") & F.col("job_id").isNotNull()
-    )
+    named = F.col("action").isin("schedule", "create") | (F.col("log_message") == MSG_KNOWN)
     return plan.select(
         F.coalesce(F.col("job_id").cast("string"), F.lit(NOT_AVAILABLE)).alias("jobId"),
         F.when(named, F.col("job_name")).otherwise(F.lit(NOT_AVAILABLE)).alias("jobName"),
@@ -255,11 +291,15 @@ def sync_log_rows(plan: DataFrame, log_time: Column | None = None) -> DataFrame:
     )
 
 
-def append_sync_log(rows: DataFrame, table: str) -> None:
+def append_sync_log(rows: DataFrame, table: str, at: dt.datetime | None = None) -> None:
     """Append sync-log rows (``sync_log_rows`` output) to a catalog table, creating
-    it on first use."""
+    it on first use. With the time ``at`` that all rows have, rows that the table has already
+    with this time are not appended again: a run that was cut off can repeat the call."""
     spark = rows.sparkSession
     shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SYNC_LOG.fields])
+    if at is not None and spark.catalog.tableExists(table):
+        if not spark.table(table).where(F.col("log_time") == F.lit(at)).isEmpty():
+            return  # one insert holds all rows of a run
     if spark.catalog.tableExists(table):
         shaped.write.insertInto(table)
     else:

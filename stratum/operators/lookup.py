@@ -8,11 +8,10 @@ before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import environment_bucket, storage_root
-from ..schemas import CLUSTERS_LISTING, JOBS_LISTING
 from .joins import matching_needles
 
 
@@ -92,32 +91,74 @@ def validate_storage(
 
 # --- J3 -------------------------------------------------------------------------------
 
+ERROR_NO_LISTING = "no listing"
+ERROR_NOT_JSON = "listing is not valid JSON"
+ERROR_NO_OBJECT = "listing is not a JSON object"
+
+
+def _items(listings: DataFrame, json_col: str, items: str, keep: tuple, on_error: str) -> DataFrame:
+    """One row per element of the array ``items`` of each JSON listing: ``pos`` and the element
+    as a VARIANT ``_item``. A listing without the array is an empty one. What is no listing
+    (NULL, broken JSON, no object, an ``error_code`` document, ``items`` that is no array) gives
+    one row with the ``error`` (``on_error="report"``), or fails the job (``"raise"``)."""
+    if on_error not in ("raise", "report"):
+        raise ValueError(f"on_error is raise or report, not {on_error}")
+    doc = listings.select(*keep, F.col(json_col).alias("_text"), F.try_parse_json(json_col).alias("_doc"))
+    found = F.try_variant_get("_doc", f"$.{items}", "variant")
+    doc = doc.withColumns({
+        "_found": found,
+        "_list": F.try_variant_get("_doc", f"$.{items}", "array<variant>"),
+        "_code": F.try_variant_get("_doc", "$.error_code", "string"),
+        "_said": F.try_variant_get("_doc", "$.message", "string"),
+    })
+    given = F.col("_found").isNotNull() & ~F.coalesce(F.is_variant_null("_found"), F.lit(False))
+    error = (
+        F.when(F.col("_text").isNull(), F.lit(ERROR_NO_LISTING))
+        .when(F.col("_doc").isNull(), F.lit(ERROR_NOT_JSON))
+        .when(F.col("_code").isNotNull(), F.concat_ws(" ", F.lit("listing is an error:"), "_code", "_said"))
+        .when(~F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(ERROR_NO_OBJECT))
+        .when(given & F.col("_list").isNull(), F.lit(f"{items} is not an array"))
+    )
+    if on_error == "raise":
+        error = F.when(error.isNotNull(), F.raise_error(error).cast("string"))
+    # an element of its own carries the error; NULL elements are no items
+    place = F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("variant").alias("item"), F.col("error").alias("error"))
+    each = F.transform("_list", lambda x, i: F.struct(i.cast("int").alias("pos"), x.alias("item"), F.lit(None).cast("string").alias("error")))
+    return (
+        doc.withColumn("error", error)
+        .select(*keep, F.explode(F.when(F.col("error").isNotNull(), F.array(place)).otherwise(each)).alias("_row"))
+        .select(*keep, "_row.pos", F.col("_row.item").alias("_item"), "_row.error")
+    )
+
+
+def _fields(rows: DataFrame, keep: tuple, fields: dict[str, tuple[str, str]], on_error: str) -> DataFrame:
+    columns = [F.try_variant_get("_item", path, kind).alias(name) for name, (path, kind) in fields.items()]
+    return rows.select(*keep, "pos", *columns, *(["error"] if on_error == "report" else []))
+
 
-def explode_jobs(listings: DataFrame, json_col: str = "listing", keep: tuple = ()) -> DataFrame:
+def explode_jobs(listings: DataFrame, json_col: str = "listing", keep: tuple = (), on_error: str = "raise") -> DataFrame:
     """JSON jobs listings -> one row per job: ``pos, job_id, job_name``.
 
     A missing or empty ``jobs`` array yields no rows. ``pos`` is the 0-based place
-    in its listing, which together with ``keep`` columns orders "first" and "last".
+    in its listing, which together with ``keep`` columns orders "first" and "last". A broken
+    listing fails the job, or with ``on_error="report"`` is a row with an ``error`` (NULL for
+    jobs), so that it is not taken for an empty one.
     """
-    parsed = listings.select(*keep, F.from_json(json_col, JOBS_LISTING).alias("_doc"))
-    return parsed.select(*keep, F.posexplode("_doc.jobs").alias("pos", "_job")).select(
-        *keep,
-        F.col("pos").cast("int").alias("pos"),
-        F.col("_job.job_id").alias("job_id"),
-        F.col("_job.settings.name").alias("job_name"),
-    )
+    rows = _items(listings, json_col, "jobs", keep, on_error)
+    return _fields(rows, keep, {"job_id": ("$.job_id", "bigint"), "job_name": ("$.settings.name", "string")}, on_error)
 
 
-def explode_clusters(listings: DataFrame, json_col: str = "listing", keep: tuple = ()) -> DataFrame:
+def explode_clusters(listings: DataFrame, json_col: str = "listing", keep: tuple = (), on_error: str = "raise") -> DataFrame:
     """J3, cluster form: one row per cluster: ``pos, cluster_name, cluster_id, state``."""
-    parsed = listings.select(*keep, F.from_json(json_col, CLUSTERS_LISTING).alias("_doc"))
-    return parsed.select(*keep, F.posexplode("_doc.clusters").alias("pos", "_c")).select(
-        *keep,
-        F.col("pos").cast("int").alias("pos"),
-        "_c.cluster_name",
-        "_c.cluster_id",
-        "_c.state",
-    )
+    rows = _items(listings, json_col, "clusters", keep, on_error)
+    names = ("cluster_name", "cluster_id", "state")
+    return _fields(rows, keep, {n: (f"$.{n}", "string") for n in names}, on_error)
+
+
+def listing_broken(listing: DataFrame) -> Column:
+    """Whether a reported listing has an error: a subquery for plans that must not take a job
+    that it does not name for one that does not exist."""
+    return listing.where(F.col("error").isNotNull()).select(F.count(F.lit(1)) > 0).scalar()
 
 
 # --- J4 -------------------------------------------------------------------------------
@@ -133,6 +174,8 @@ def first_by_name(
     """One row per name: the value at the first (or last) listing position."""
     order = F.struct(*order_cols) if len(order_cols) > 1 else F.col(order_cols[0])
     pick = F.min_by if keep == "first" else F.max_by
+    if "error" in listing.columns:
+        listing = listing.where(F.col("error").isNull())
     return listing.groupBy(name_col).agg(pick(value_col, order).alias(value_col))
 
 
@@ -145,15 +188,19 @@ def lookup_by_name(
 ) -> DataFrame:
     """For each wanted name: first and last id, and ``status``.
 
-    ``found`` / ``not found``; ``empty`` when the listing has no rows at all.
+    ``found`` / ``not found``; ``empty`` when the listing has no rows at all. Where a reported
+    listing has an ``error``, a name that is not in the rest is ``unknown``.
     """
     order = F.struct(*order_cols) if len(order_cols) > 1 else F.col(order_cols[0])
-    both = listing.groupBy(name_col).agg(
+    reported = "error" in listing.columns
+    rows_only = listing.where(F.col("error").isNull()) if reported else listing
+    both = rows_only.groupBy(name_col).agg(
         F.min_by(value_col, order).alias(value_col), F.max_by(value_col, order).alias(f"{value_col}_last")
     )
     rows = listing.select(F.count(F.lit(1))).scalar()  # a subquery of the same plan
     out = wanted.join(both, name_col, "left")
-    status = (
-        F.when(F.col(value_col).isNotNull(), F.lit("found")).when(rows == 0, F.lit("empty")).otherwise(F.lit("not found"))
-    )
+    status = F.when(F.col(value_col).isNotNull(), F.lit("found"))
+    if reported:
+        status = status.when(listing_broken(listing), F.lit("unknown"))
+    status = status.when(rows == 0, F.lit("empty")).otherwise(F.lit("not found"))
     return out.withColumn("status", status)

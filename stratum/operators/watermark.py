@@ -8,11 +8,13 @@ result back is ``sources.tables.commit_snapshot``.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import default_timestamp
+
 #: Watermark rows that are put into the scan as literal bounds; more are joined.
 MAX_LITERAL_TABLES = 1_000
 
@@ -102,21 +104,25 @@ def upsert_watermark(
 def update_status(
     control: DataFrame,
     updates: DataFrame,
-    key: str = "Hive_table_name",
+    key: str | Sequence[str] = "Hive_table_name",
     value: str = "Table_Status",
 ) -> DataFrame:
     """Set ``value`` for the keys in ``updates``; other rows, and updates with a
-    NULL value, keep the current one.
+    NULL value, keep the current one. Of several ``key`` columns, those after the first may be
+    NULL and then match NULL.
 
     Two updates for one key fail the job (checked lazily inside the same plan, on the
     already-aggregated update side).
     """
-    upd = updates.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(value).alias("_v"))
-    upd = upd.select(
-        key,
-        F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate update key: "), F.col(key))))
-        .otherwise(F.col("_v"))
-        .alias("_new"),
+    keys = [key] if isinstance(key, str) else list(key)
+    upd = updates.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"), F.max(value).alias("_v"))
+    upd = upd.withColumn(
+        "_new",
+        F.when(F.col("_n") > 1, F.raise_error(F.concat_ws(" ", F.lit("duplicate update key:"), *[f"_{k}" for k in keys])))
+        .otherwise(F.col("_v")),
     )
-    out = control.join(upd, key, "left")
+    same = F.col(keys[0]) == F.col(f"_{keys[0]}")
+    for k in keys[1:]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = control.join(upd, same, "left")
     return out.withColumn(value, F.coalesce(F.col("_new"), F.col(value))).select(*control.columns)

@@ -76,6 +76,11 @@ CONTROL_EXPRS = [
     ("dry_run_status", "CAST(NULL AS STRING)"),
 ]
 
+#: Rows that the migration's sheet has besides: tables of another schema with the same name
+#: (one job for both), and second destinations of a table.
+SAME_NAME = ("p_partkey % 23 = 7", {"Hive_table_name": f"'silver.t' || {_k('p_partkey')}"})
+SECOND_DESTINATION = ("p_partkey % 29 = 11", {"Uc_table_name": f"'second' || {_k('p_partkey')}"})
+
 # Known jobs: one per part, pages of 100 jobs per listing document.
 JOB_EXPRS = [
     ("page_id", "CAST(floor(p_partkey / 100) AS BIGINT)"),
@@ -88,6 +93,10 @@ JOB_EXPRS = [
     ),
 ]
 
+#: Pages of the broken listing that are cut off, that are an error's text, and without jobs.
+BROKEN_PAGES = {"cut": "page_id % 7 = 3", "error": "page_id % 7 = 5", "none": "page_id % 11 = 6"}
+ERROR_PAGE = '{"error_code": "TEMPORARILY_UNAVAILABLE", "message": "try again"}'
+
 # Catalog inventory: source tables (some renamed away) and destination tables.
 INVENTORY_SOURCE_EXPRS = [
     ("catalog", "'hive_metastore'"),
@@ -269,6 +278,26 @@ def job_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.to_json(F.struct("jobs")).alias("listing"))
 
 
+def broken_job_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings with pages that are cut off, pages of an error and pages without jobs."""
+    half = F.substring(F.col("listing"), F.lit(1), (F.length("listing") / 2).cast("int"))
+    return job_listings(spark, sf_dir).withColumn(
+        "listing",
+        F.when(F.expr(BROKEN_PAGES["cut"]), half)
+        .when(F.expr(BROKEN_PAGES["error"]), F.lit(ERROR_PAGE))
+        .when(F.expr(BROKEN_PAGES["none"]), F.lit("{}"))
+        .otherwise(F.col("listing")),
+    )
+
+
+def migration_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The control table with rows that share a job name or a source."""
+    part, out = load(spark, sf_dir, "part"), control(spark, sf_dir)
+    for which, changed in (SAME_NAME, SECOND_DESTINATION):
+        out = out.unionByName(_select(part.where(which), [(n, changed.get(n, e)) for n, e in CONTROL_EXPRS]))
+    return out
+
+
 def cluster_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters as REST listing documents: ``page_id, listing`` (JSON
     ``{"clusters": [...]}``) in supplier-key order."""

@@ -10,6 +10,8 @@ No per-table round trips: every step is a join or a projection over all rows.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,24 +20,28 @@ from pyspark.sql import functions as F
 from ..operators import control as ctl
 from ..operators import lookup
 from ..operators.watermark import update_status
-from ..session import cut_lineage
 from ..sources.control import read_control
-from ..sources.tables import commit_snapshot
+from ..sources.tables import commit_snapshot, committed_batch, last_stream
 
 
-def known_jobs(listings: DataFrame, json_col: str = "listing", page_col: str = "page_id") -> DataFrame:
-    """``job_name, job_id`` (first by listing position) from JSON jobs listings."""
-    listing = lookup.explode_jobs(listings, json_col, keep=(page_col,))
-    return lookup.first_by_name(listing, order_cols=(page_col, "pos"))
+def reported_jobs(listings: DataFrame, json_col: str = "listing", page_col: str = "page_id") -> DataFrame:
+    """The jobs of JSON listings, with a row for each listing that is broken."""
+    return lookup.explode_jobs(listings, json_col, keep=(page_col,), on_error="report")
+
+
+def known_jobs(reported: DataFrame, page_col: str = "page_id") -> DataFrame:
+    """``job_name, job_id`` (first by listing position)."""
+    return lookup.first_by_name(reported, order_cols=(page_col, "pos"))
 
 
 def migration_plan(
-    control: DataFrame, jobs: DataFrame, inventory: DataFrame | None = None, user: str = "pipeline-owner"
+    control: DataFrame, reported: DataFrame, inventory: DataFrame | None = None, user: str = "pipeline-owner"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(checked control, external sync list, per-table plan) -- all lazy."""
+    """(checked control, external sync list, per-table plan) -- all lazy. Where a listing is
+    broken, rows whose job the others do not name fail."""
     checked = ctl.dry_run_check(control, inventory) if inventory is not None else control
     external = ctl.split_control(checked)
-    plan = ctl.sync_plan(ctl.managed_worklist(checked), jobs, user)
+    plan = ctl.sync_plan(ctl.managed_worklist(checked), known_jobs(reported), user, lookup.listing_broken(reported))
     return checked, external, plan
 
 
@@ -54,13 +60,44 @@ def run_migration(
     sync_log_table: str,
     control_base: str,
     user: str = "pipeline-owner",
+    run_key: str | None = None,
+    now: dt.datetime | None = None,
 ) -> MigrationRun:
-    """Read the sheet, plan every table, append the sync log and commit the control
-    table (with dry-run and table statuses) as a new snapshot version."""
+    """Read the sheet, plan every table, commit the control table (with dry-run and table
+    statuses) as a new snapshot version and append the sync log.
+
+    The plan is written first, under the run's key and time, then the version is committed,
+    then the log is appended. A run that is repeated under its ``run_key`` (a scheduler's
+    retry) takes up where the first attempt stopped: a committed version is not made again, rows
+    that are logged are not logged again. Before that, the log of the last committed run is
+    completed, if it was cut off.
+    """
+    key = run_key or uuid.uuid4().hex
     control = read_control(spark, control_path)
-    checked, external, plan = migration_plan(control, known_jobs(jobs_listings), inventory, user)
-    plan = cut_lineage(plan)  # computed once; the log and the status update both read it
-    ctl.append_sync_log(ctl.sync_log_rows(plan), sync_log_table)
-    statuses = plan.select(F.col("table_name").alias("Hive_table_name"), F.col("status").alias("Table_Status"))
-    version = commit_snapshot(update_status(checked, statuses), control_base)
-    return MigrationRun(version, plan, external)
+    last = last_stream(spark, control_base)
+    if last is not None and last != key:
+        _log(spark, control_base, last, sync_log_table)
+    version = committed_batch(spark, control_base, key, 0)
+    if version is None:
+        stamp = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        checked, _, plan = migration_plan(control, reported_jobs(jobs_listings), inventory, user)
+        plan.withColumn("planned_at", F.lit(stamp).cast("timestamp_ntz")).write.mode("overwrite").parquet(_plan_path(control_base, key))
+        statuses = ctl.plan_statuses(_read_plan(spark, control_base, key))
+        version = commit_snapshot(update_status(checked, statuses, ctl.ROW_KEY), control_base, stream=key, batch=0)
+    _log(spark, control_base, key, sync_log_table)
+    return MigrationRun(version, _read_plan(spark, control_base, key).drop("planned_at"), ctl.split_control(control))
+
+
+def _plan_path(control_base: str, key: str) -> str:
+    return f"{control_base}/_plans/{key}"
+
+
+def _read_plan(spark: SparkSession, control_base: str, key: str) -> DataFrame:
+    return spark.read.parquet(_plan_path(control_base, key))
+
+
+def _log(spark: SparkSession, control_base: str, key: str, table: str) -> None:
+    plan = _read_plan(spark, control_base, key)
+    at = plan.agg(F.max("planned_at").cast("timestamp").alias("at")).first()["at"]
+    if at is not None:
+        ctl.append_sync_log(ctl.sync_log_rows(plan, F.col("planned_at")), table, at)

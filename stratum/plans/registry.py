@@ -19,7 +19,7 @@ from ..session import load, scratch_path
 from ..sources import files, tables
 from ..sources.control import control_from_pandas, read_control
 from ..streaming.ingest import cdc_stream, file_arrival_ingest
-from . import derived, incremental, stages
+from . import derived, incremental, migration, stages
 from .derived import BRONZE_SCHEMA, SHEET_SCHEMA
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -130,15 +130,25 @@ def j2(spark, sf_dir):
 
 @register("J3_explode_listing")
 def j3(spark, sf_dir):
-    return lookup.explode_jobs(derived.job_listings(spark, sf_dir), keep=("page_id",))
+    """Listings with broken pages: these are reported, and not taken for empty ones."""
+    return lookup.explode_jobs(derived.broken_job_listings(spark, sf_dir), keep=("page_id",), on_error="report")
 
 
 @register("J4_lookup_by_name")
 def j4(spark, sf_dir):
-    listing = lookup.explode_jobs(derived.job_listings(spark, sf_dir), keep=("page_id",))
+    """In whole listings, in listings with broken pages, and in listings without jobs."""
     wanted = derived.control(spark, sf_dir).select(control.sync_job_name().alias("job_name")).distinct()
-    out = lookup.lookup_by_name(wanted, listing, order_cols=("page_id", "pos"))
-    return out.select("job_name", "job_id", "job_id_last", "status")
+    whole = derived.job_listings(spark, sf_dir)
+    listings = {
+        "whole": whole, "broken": derived.broken_job_listings(spark, sf_dir), "empty": whole.withColumn("listing", F.lit('{"jobs": []}')),
+    }
+    found = None
+    for name, pages in listings.items():
+        listing = lookup.explode_jobs(pages, keep=("page_id",), on_error="report")
+        rows = lookup.lookup_by_name(wanted, listing, order_cols=("page_id", "pos"))
+        rows = rows.select(F.lit(name).alias("listing"), "job_name", "job_id", "job_id_last", "status")
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 @register("J4_cluster_lookup")
@@ -264,21 +274,16 @@ def u2(spark, sf_dir):
 # --- R: the migration plan --------------------------------------------------------------
 
 
-def _known_jobs(spark, sf_dir):
-    listing = lookup.explode_jobs(derived.job_listings(spark, sf_dir), keep=("page_id",))
-    return lookup.first_by_name(listing, order_cols=("page_id", "pos"))
-
-
 _SHEETS: dict[tuple[str, str], str] = {}
 
 
-def stage_control(spark, sf_dir) -> str:
+def stage_control(spark, sf_dir, table=derived.control) -> str:
     """A folder with the control sheet as CSV files: half of the rows under the declared
     columns, half with the columns in another order and one more. Staged once a session."""
-    key = (spark.conf.get("spark.app.id", ""), sf_dir)
+    key = (spark.conf.get("spark.app.id", ""), f"{sf_dir} {table.__name__}")
     if key not in _SHEETS:
         path = scratch_path(spark, "control-sheet")
-        sheet = derived.control(spark, sf_dir)
+        sheet = table(spark, sf_dir)
         even = F.pmod(F.xxhash64("Hive_table_name"), F.lit(2)) == 0
         other = sheet.where(~even).select(*reversed(sheet.columns)).withColumn("remark", F.lit("x, y"))
         for part in (sheet.where(even), other):
@@ -289,13 +294,10 @@ def stage_control(spark, sf_dir) -> str:
     return _SHEETS[key]
 
 
-def _control(spark, sf_dir):
-    """The control table as a run reads it: through S6."""
-    return read_control(spark, stage_control(spark, sf_dir))
-
-
-def _plan(spark, sf_dir):
-    return control.sync_plan(control.managed_worklist(_control(spark, sf_dir)), _known_jobs(spark, sf_dir))
+def _plan(spark, sf_dir, listings=derived.job_listings):
+    """The migration plan of a sheet that a run reads through S6."""
+    sheet = read_control(spark, stage_control(spark, sf_dir, derived.migration_control))
+    return migration.migration_plan(sheet, migration.reported_jobs(listings(spark, sf_dir)))[2]
 
 
 @register("R1_sync_job_name")
@@ -317,8 +319,11 @@ def r2(spark, sf_dir):
 
 @register("R5_sync_plan")
 def r5(spark, sf_dir):
-    return _plan(spark, sf_dir).select(
-        "table_name", "job_name", "action", "status", "cron", "log_message", "job_id"
+    """The plan with the whole job listing, and with one of which pages are broken."""
+    whole = _plan(spark, sf_dir).withColumn("listing", F.lit("whole"))
+    broken = _plan(spark, sf_dir, derived.broken_job_listings).withColumn("listing", F.lit("broken"))
+    return whole.unionByName(broken).select(
+        "listing", "table_name", "destination_table_name", "job_name", "action", "status", "cron", "log_message", "job_id"
     )
 
 

@@ -83,40 +83,6 @@ SYNC_LOG = T.StructType(
 
 LOCATIONS = T.StructType([T.StructField("name", S), T.StructField("url", S)])
 
-# REST listings as JSON text.
-JOBS_LISTING = T.StructType(
-    [
-        T.StructField(
-            "jobs",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("job_id", T.LongType()),
-                        T.StructField("settings", T.StructType([T.StructField("name", S)])),
-                    ]
-                )
-            ),
-        )
-    ]
-)
-
-CLUSTERS_LISTING = T.StructType(
-    [
-        T.StructField(
-            "clusters",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("cluster_name", S),
-                        T.StructField("cluster_id", S),
-                        T.StructField("state", S),
-                    ]
-                )
-            ),
-        )
-    ]
-)
-
 CATALOG_INVENTORY = T.StructType(
     [T.StructField("catalog", S), T.StructField("schema", S), T.StructField("table", S)]
 )

@@ -287,19 +287,22 @@ def _commits(spark: SparkSession, base: str) -> DataFrame | None:
         raise
 
 
-def commit_snapshot(df: DataFrame, base: str, version: int | None = None, fmt: str = "parquet") -> int:
+def commit_snapshot(
+    df: DataFrame, base: str, version: int | None = None, fmt: str = "parquet", stream: str | None = None, batch: int | None = None
+) -> int:
     """Write ``df`` as a full version under ``base`` and record it as committed.
 
     Data goes to ``<base>/v=<n>`` (overwrite, so a retried write of the same version
     replaces partial output); then ``n`` is appended to ``<base>/_commits``. Readers
-    take the highest committed version. ``version`` defaults to one above the last.
+    take the highest committed version. ``version`` defaults to one above the last;
+    ``stream`` and ``batch`` name what it came from, for :func:`committed_batch`.
     """
     spark = df.sparkSession
     if version is None:
         last = latest_version(spark, base)
         version = 0 if last is None else last + 1
     df.write.mode("overwrite").format(fmt).save(f"{base}/v={version}")
-    _commit(spark, base, version, "full")
+    _commit(spark, base, version, "full", stream, batch)
     return version
 
 
@@ -328,6 +331,14 @@ def committed_batch(spark: SparkSession, base: str, stream: str, batch: int) ->
     return row["v"]
 
 
+def last_stream(spark: SparkSession, base: str) -> str | None:
+    """The stream of the newest version that has one."""
+    commits = _commits(spark, base)
+    if commits is None:
+        return None
+    return commits.where(F.col("stream").isNotNull()).agg(F.max_by("stream", "version").alias("s")).first()["s"]
+
+
 def latest_version(spark: SparkSession, base: str, kind: str | None = None) -> int | None:
     """Highest committed version (of any kind, or of the given ``kind``)."""
     commits = _commits(spark, base)

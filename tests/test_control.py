@@ -110,6 +110,35 @@ def test_plan_rows(spark):
     assert all(r.log_time is not None for r in log.values())
 
 
+def test_a_job_name_is_planned_once_and_a_broken_listing_plans_nothing_new(spark):
+    rows = [
+        {"Hive_table_name": f"{schema}.t1", "Hive_table_type": "MANAGED", "Sync_required": wanted, "Uc_table_name": dest}
+        for schema, wanted, dest in [("b", "yes", None), ("a", "yes", "nan"), ("c", "no", None), ("a", "yes", "other"), ("a", "yes", "known")]
+    ]
+    pages = spark.createDataFrame(
+        [(1, '{"jobs": [{"job_id": 7, "settings": {"name": "CDC_UC_t1_known"}}]}'), (2, '{"jobs": [{"job_id": 8, "sett')],
+        "page_id long, listing string",
+    )
+    for broken in (False, True):
+        reported = lookup.explode_jobs(pages if broken else pages.where("page_id = 1"), keep=("page_id",), on_error="report")
+        plan = control.sync_plan(
+            control.managed_worklist(ctl(spark, rows)), lookup.first_by_name(reported), listing_broken=lookup.listing_broken(reported)
+        ).cache()
+        got = {(r.table_name, r.destination_table_name): (r.action, r.log_message, r.job_id) for r in plan.collect()}
+        new = ("fail", control.MSG_NO_LISTING, None) if broken else ("create", control.MSG_NO_SCHEDULE, None)
+        assert got == {
+            ("a.t1", "nan"): new,
+            ("b.t1", None): new if broken else ("skip", control.MSG_KNOWN, None),
+            ("c.t1", None): ("skip", control.MSG_NOT_WANTED, None),
+            ("a.t1", "other"): new,
+            ("a.t1", "known"): ("skip", control.MSG_KNOWN, 7),
+        }
+        names = {(r.table_name, r.jobName) for r in control.sync_log_rows(plan).collect() if r.status == "Skipped"}
+        assert names == {("c.t1", "N/A"), ("a.t1", "CDC_UC_t1_known"), *([] if broken else [("b.t1", "CDC_UC_t1")])}
+        statuses = {tuple(r)[:4]: r.Table_Status for r in control.plan_statuses(plan.unionAll(plan.withColumn("status", F.lit("Skipped")))).collect()}
+        assert statuses[("a.t1", None, None, "other")] == ("Failed" if broken else "Planned")
+
+
 def test_dry_run_statuses(spark):
     c = ctl(
         spark,

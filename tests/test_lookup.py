@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -129,6 +130,31 @@ def test_explode_listing_and_lookup(spark):
     assert {r.status for r in empty.collect()} == {"empty"}
 
 
+def test_a_broken_listing_is_no_empty_one(spark):
+    docs = [
+        (1, '{"jobs": [{"job_id": 1, "settings": {"name": "a"}}, {"settings": {}}]}'), (2, '{"jobs": [{"job_id": 2, "sett'), (3, None), (4, ""),
+        (5, "{}"), (6, '{"jobs": []}'), (7, '{"jobs": null}'), (8, "[1]"), (9, '{"jobs": 5}'), (10, '{"error_code": "X", "message": "m"}'),
+    ]
+    pages = spark.createDataFrame(docs, "page long, listing string")
+    listing = lookup.explode_jobs(pages, keep=("page",), on_error="report")
+    got = {(r.page, r.pos, r.job_id, r.job_name, r.error) for r in listing.collect()}
+    assert got == {
+        (1, 0, 1, "a", None), (1, 1, None, None, None), (2, None, None, None, lookup.ERROR_NOT_JSON), (3, None, None, None, lookup.ERROR_NO_LISTING),
+        (4, None, None, None, lookup.ERROR_NOT_JSON), (8, None, None, None, lookup.ERROR_NO_OBJECT), (9, None, None, None, "jobs is not an array"),
+        (10, None, None, None, "listing is an error: X m"),
+    }
+    wanted = spark.createDataFrame([("a",), ("c",)], "job_name string")
+    out = {r.job_name: r.status for r in lookup.lookup_by_name(wanted, listing, order_cols=("page", "pos")).collect()}
+    assert out == {"a": "found", "c": "unknown"}
+    fine = lookup.explode_jobs(pages.where("page IN (5, 6, 7)"), keep=("page",))
+    assert {r.status for r in lookup.lookup_by_name(wanted, fine, order_cols=("page", "pos")).collect()} == {"empty"}
+    for page, error in ((2, "not valid JSON"), (3, "no listing"), (10, "X m")):
+        with pytest.raises(Exception, match=error):
+            lookup.explode_jobs(pages.where(f"page = {page}")).collect()
+        with pytest.raises(Exception, match=error):
+            lookup.explode_clusters(pages.where(f"page = {page}")).count()
+
+
 def test_explode_clusters(spark):
     doc = json.dumps({"clusters": [{"cluster_name": "x", "cluster_id": "1", "state": "RUNNING"}]})
     out = lookup.explode_clusters(spark.createDataFrame([(doc,)], "listing string")).collect()

@@ -5,10 +5,11 @@ import os
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum.plans import derived
-from stratum.plans import incremental
+from stratum.plans import incremental, migration
 from stratum.plans.incremental import archive_runs, read_bronze, read_rejects, run_incremental_load, unfinished
 from stratum.plans.migration import run_migration
 from stratum.sources import commits, files, tables
@@ -47,6 +48,38 @@ def test_run_migration(spark, tmpdir_path):
     assert all(got[t] == s for t, s in planned.items())
 
 
+def test_a_repeated_migration_logs_once(spark, tmpdir_path, monkeypatch):
+    """Cut off at each step and repeated under its key; two destinations of one source."""
+    sheet = f"{tmpdir_path}/sheet"
+    touch(f"{sheet}/a.csv", "Hive_table_name,Hive_table_type,Uc_table_name,Uc_schema_name,Sync_required\n"
+          "bronze.t,MANAGED,one,s,yes\nbronze.t,MANAGED,two,s,no\nbronze.t,MANAGED,two,s,no\nsilver.t,MANAGED,one,s,yes\n")
+    jobs = spark.createDataFrame([(1, "{}")], "page_id long, listing string")
+    table, base = "sync_log_" + uuid.uuid4().hex[:8], f"{tmpdir_path}/control"
+
+    def run(key, when):
+        return run_migration(spark, sheet, jobs, None, table, base, run_key=key, now=when)
+
+    for step in ("update_status", "commit_snapshot", "_log"):
+        with monkeypatch.context() as m:
+            m.setattr(migration, step, lambda *a, **b: (_ for _ in ()).throw(RuntimeError("cut off")))
+            with pytest.raises(RuntimeError, match="cut off"):
+                run("first", T1)
+        assert not spark.catalog.tableExists(table)
+    again = run("first", T2)  # the version is there: it is logged at its own time
+    assert again.control_version == 0 and run("first", T3).control_version == 0
+    log = spark.table(table)
+    assert log.count() == 4 and [r.t for r in log.selectExpr("cast(log_time as timestamp_ntz) t").distinct().collect()] == [T1]
+    saved = sorted((r.Hive_table_name, r.Uc_table_name, r.Table_Status) for r in tables.read_snapshot(spark, base).collect())
+    assert saved == [("bronze.t", "one", "Planned"), ("bronze.t", "two", "Skipped"), ("bronze.t", "two", "Skipped"), ("silver.t", "one", "Skipped")]
+    # a run that was cut off before its log is completed by the next one
+    with monkeypatch.context() as m:
+        m.setattr(migration, "_log", lambda spark, base, key, table: (_ for _ in ()).throw(RuntimeError("cut off")) if key == "second" else None)
+        with pytest.raises(RuntimeError):
+            run("second", T2)
+    assert run("third", T3).control_version == 2
+    assert {r["t"]: r["count"] for r in spark.table(table).groupBy(F.col("log_time").cast("timestamp_ntz").alias("t")).count().collect()} == {T1: 4, T2: 4, T3: 4}
+
+
 SHEET = T.StructType([T.StructField("Order Key", T.LongType()), T.StructField("Total Price", T.DoubleType())])
 
 
