@@ -219,6 +219,7 @@ _SERIES = (
 _DATED = f"coalesce(regexp_full_match({AS_OF}, '[0-9]{{8}}|[0-9]{{4}}-[0-9]{{2}}'), false)"
 DATED_SHEET = (
     "(SELECT o_orderkey AS OrderKey, o_orderstatus AS OrderStatus, o_totalprice AS TotalPrice, o_orderdate AS OrderDate, "
+    "o_orderpriority AS OrderPriority, "
     f"{ROUTE_CUSTOMER} AS customer FROM {FILES} WHERE suffix(file_name, '.csv') AND {_DATED})"
 )
 X1_RUN = f"""WITH arrived AS (
@@ -364,9 +365,16 @@ ORACLE: dict[str, str] = {
     "S7_pandas_to_df": f"SELECT * FROM {SHEET}",
     "X1_incremental_run": X1_RUN,
     "X5_cdc_stream": X5_SQL,
-    "X7_layer_stages": f"""SELECT customer, OrderStatus, count(*) AS n_rows,
-        CAST(sum(CAST(TotalPrice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total,
-        CAST(grouping(customer, OrderStatus) AS INTEGER) AS level_id
+    "X7_layer_stages": f"""WITH p AS (SELECT OrderPriority, CAST(date_trunc('month', OrderDate) AS DATE) AS period,
+          CAST(sum(CAST(TotalPrice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM {DATED_SHEET} GROUP BY 1, 2),
+        x2 AS (SELECT *, lag(total) OVER (PARTITION BY OrderPriority ORDER BY period) AS prev_total FROM p)
+        SELECT 'differential' AS output, NULL AS customer, NULL AS "OrderStatus", NULL AS n_rows, total, NULL AS level_id,
+          OrderPriority, period, prev_total, CAST(total - prev_total AS DECIMAL(38,2)) AS diff FROM x2
+        UNION ALL SELECT 'silver', customer, OrderStatus, count(*), CAST(sum(CAST(TotalPrice AS DECIMAL(18,2))) AS DECIMAL(38,2)), NULL,
+          NULL, NULL, NULL, NULL FROM {DATED_SHEET} GROUP BY customer, OrderStatus
+        UNION ALL SELECT 'detail', customer, OrderStatus, count(*),
+        CAST(sum(CAST(TotalPrice AS DECIMAL(18,2))) AS DECIMAL(38,2)),
+        CAST(grouping(customer, OrderStatus) AS INTEGER), NULL, NULL, NULL, NULL
         FROM {DATED_SHEET} GROUP BY ROLLUP (customer, OrderStatus)""",
     "X7_gold_stages": f"""SELECT customer, CAST(year(OrderDate) AS INTEGER) AS year, count(*) AS n_rows,
         CAST(sum(CAST(TotalPrice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM {DATED_SHEET} GROUP BY 1, 2""",

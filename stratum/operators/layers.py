@@ -85,6 +85,21 @@ def bronze_columns(
 # --- X2 -------------------------------------------------------------------------------
 
 
+def period_totals(df: DataFrame, key: str, ts_col: str, measure: str, period: str = "month", scale: int = 2) -> DataFrame:
+    """X2 step 1: ``total`` per key and period."""
+    per = F.trunc(F.col(ts_col).cast("date"), period).alias("period")
+    return df.groupBy(key, per).agg(exact_sum(df, measure, "total", scale))
+
+
+def with_previous_period(totals: DataFrame, key: str) -> DataFrame:
+    """X2 step 2: each total against the one of the previous period present for the key."""
+    kind = totals.schema["total"].dataType
+    prev = F.lag("total").over(Window.partitionBy(key).orderBy("period"))
+    out = totals.withColumn("prev_total", prev).withColumn("diff", F.col("total") - F.col("prev_total"))
+    pct = F.col("diff").cast("double") * F.lit(100.0) / F.nullif(F.col("prev_total").cast("double"), F.lit(0.0))
+    return out.withColumn("diff", F.col("diff").cast(kind)).withColumn("pct_change", pct)
+
+
 def period_differential(
     df: DataFrame, key: str, ts_col: str, measure: str, period: str = "month", scale: int = 2
 ) -> DataFrame:
@@ -95,14 +110,7 @@ def period_differential(
     One partial aggregate on (key, period); the window then runs over the
     aggregated rows only (one row per key and period).
     """
-    per = F.trunc(F.col(ts_col).cast("date"), period).alias("period")
-    agg = df.groupBy(key, per).agg(exact_sum(df, measure, "total", scale))
-    kind = agg.schema["total"].dataType
-    w = Window.partitionBy(key).orderBy("period")
-    prev = F.lag("total").over(w)
-    out = agg.withColumn("prev_total", prev).withColumn("diff", F.col("total") - F.col("prev_total"))
-    pct = F.col("diff").cast("double") * F.lit(100.0) / F.nullif(F.col("prev_total").cast("double"), F.lit(0.0))
-    return out.withColumn("diff", F.col("diff").cast(kind)).withColumn("pct_change", pct)
+    return with_previous_period(period_totals(df, key, ts_col, measure, period, scale), key)
 
 
 def month_over_month(df: DataFrame, key: str, ts_col: str, measure: str, scale: int = 2) -> DataFrame:

@@ -172,16 +172,31 @@ def plan_files(
     )
 
 
+def _exact_partitions(schema: StructType) -> StructType:
+    """The schema of read bronze rows with the partition columns as text (Spark would otherwise
+    infer e.g. ``20230630`` as an int)."""
+    text = (*BRONZE_PARTITIONS, LOAD_ID)
+    return StructType([StructField(f.name, StringType()) if f.name in text else f for f in schema.fields])
+
+
 def read_bronze(spark: SparkSession, bronze_path: str) -> DataFrame:
-    """The committed loads of a bronze table, its partition columns as their exact text (Spark
-    would otherwise infer e.g. ``20230630`` as an int)."""
-    inferred = spark.read.parquet(bronze_path).schema
-    fixed = StructType(
-        [StructField(f.name, StringType()) if f.name in (*BRONZE_PARTITIONS, LOAD_ID) else f for f in inferred.fields]
-    )
+    """The committed loads of a bronze table, its partition columns as their exact text."""
+    fixed = _exact_partitions(spark.read.parquet(bronze_path).schema)
     return _of_runs(spark, bronze_path, spark.read.schema(fixed).parquet(bronze_path), LOAD_ID).drop(LOAD_ID)
 
 
+def data_runs(spark: SparkSession, bronze_path: str) -> list[str]:
+    """The committed runs that have loaded a row, in the order of their commits."""
+    runs = read_ledger(spark, bronze_path).groupBy("run_id", "version").agg(F.sum("rows").alias("rows")).where("rows > 0")
+    return [r["run_id"] for r in runs.orderBy("version").collect()]
+
+
+def read_loads(spark: SparkSession, bronze_path: str, run_ids: Sequence[str]) -> DataFrame:
+    """The rows of some committed runs, and no others' files."""
+    paths = [f"{bronze_path}/{LOAD_ID}={r}" for r in run_ids]
+    return spark.read.schema(_exact_partitions(spark.read.parquet(*paths).schema)).parquet(*paths)
+
+
 def _of_runs(spark: SparkSession, bronze_path: str, rows: DataFrame, run: str) -> DataFrame:
     """The rows of committed runs."""
     committed = commits.records(spark, _commit_folder(bronze_path)).where("state = 'committed'")

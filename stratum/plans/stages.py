@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..functions.names import DEFAULT_ROUTES
-from ..operators.layers import detail_rollup, group_totals, period_differential, silver_rows
 from ..sources.tables import commit_snapshot
 from .incremental import archive_runs, finish_runs, load_files, loaded_rows, read_bronze
+from .refresh import refresh_layers
 
 #: Loads that run at the same time; Spark schedules their tasks together.
 PARALLEL_LOADS = 4
@@ -97,21 +97,14 @@ def run_layer_stages(
     business key, and X4 over the same silver rows, so that a row that a newer as-of date
     replaced counts in neither.
 
-    Outputs: ``<root>/bronze/<name>``, ``<root>/differential``, ``<root>/silver``,
-    ``<root>/detail`` (the last three as snapshot versions).
+    X2 to X4 are refreshed from the loads that they do not have yet (``plans.refresh``): a
+    second arrival costs its own rows and the keys and groups that it touches. Outputs:
+    ``<root>/bronze/<name>``, ``<root>/differential``, ``<root>/silver``, ``<root>/detail`` (the
+    last three as snapshot versions).
     """
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     loaded, archived = load_and_back_up(spark, sources, root, run_log_table, now)
-    bronze = _bronze(spark, sources, root)
-    measures = spec.measures or {"total": spec.measure}
-    silver = silver_rows(bronze, spec.business_keys, [spec.ts_col, "as_of_date"], spec.group_cols, measures)
-    versions = {
-        "differential": commit_snapshot(
-            period_differential(bronze, spec.key, spec.ts_col, spec.measure), f"{root}/differential"
-        ),
-        "silver": commit_snapshot(group_totals(silver, spec.group_cols, measures), f"{root}/silver"),
-        "detail": commit_snapshot(detail_rollup(silver, spec.group_cols, measures), f"{root}/detail"),
-    }
+    versions = refresh_layers(spark, {src.name: f"{root}/bronze/{src.name}" for src in sources}, spec, root)
     return StageResult(loaded, archived, versions)
 
 
