@@ -33,17 +33,21 @@ def matching_needles(
     haystack text with the same ``keys`` (NULL needles never match; an empty needle
     matches when any text exists for its keys).
 
-    A text emits its distinct substrings of ``GRAM`` characters, and of those shorter lengths
-    that some needle has (a subquery of the same plan; at most ``GRAM`` lengths). A needle of
-    ``GRAM`` characters or more is represented by one of its substrings of that length, the
-    one that fewest texts have, and compared with the texts that have it; shorter ones
-    match by equality. There is no limit on the number or length of needles.
+    A text has postings: its number with each of its distinct substrings of ``GRAM``
+    characters, and of those shorter lengths that some needle has (a subquery of the same plan;
+    at most ``GRAM`` lengths). Postings are counted by substring before anything is joined, so
+    that one that is in all texts is one row. A needle of up to ``GRAM`` characters is found if
+    it is counted. A longer one is represented by one of its substrings, the one that fewest
+    texts have, and meets the numbers of the texts that have it; a text itself is fetched once,
+    by its number, to be compared. There is no limit on the number or length of needles.
     """
     keys = list(keys)
     n = needles.select(*keys, F.col(needle_col).alias("_needle")).where(F.col("_needle").isNotNull()).distinct()
     hay = haystack.select(*keys, F.col(hay_col).alias("_hay")).where(F.col("_hay").isNotNull()).distinct()
-    short = n.where(F.length("_needle") < GRAM)
-    lengths = short.select(F.array_sort(F.collect_set(F.length("_needle")))).scalar()
+    # texts that share a number are both compared
+    hay = hay.withColumn("_text", F.xxhash64(*keys, "_hay"))
+    short, long = n.where(F.length("_needle") <= GRAM), n.where(F.length("_needle") > GRAM)
+    lengths = short.where(F.length("_needle") < GRAM).select(F.array_sort(F.collect_set(F.length("_needle")))).scalar()
     grams = F.array_distinct(
         F.flatten(
             F.transform(
@@ -53,27 +57,22 @@ def matching_needles(
             )
         )
     )
-    in_texts = hay.withColumn("_lengths", lengths).select(*keys, "_hay", F.explode(grams).alias("_gram"))
-    equal = short.select(*keys, "_needle", F.col("_needle").alias("_gram"))
-    long = n.where(F.length("_needle") >= GRAM)
-    candidates = long.select(
-        *keys, "_needle", F.explode(F.array_distinct(_substrings(F.col("_needle"), F.lit(GRAM)))).alias("_gram")
-    )
+    postings = hay.withColumn("_lengths", lengths).select(*keys, "_text", F.explode(grams).alias("_gram"))
     on = [*keys, "_gram"]
-    # how many texts have each gram of a needle; a gram that none has rules the needle out
-    wanted = candidates.select(*on).distinct()
-    counts = in_texts.join(wanted, on, "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    counts = postings.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    found = short.withColumn("_gram", F.col("_needle")).join(counts, on, "left_semi").select(*keys, "_needle")
+    # a substring that no text has rules its needle out
     rarest = (
-        candidates.join(counts, on, "left")
+        long.select(*keys, "_needle", F.explode(F.array_distinct(_substrings(F.col("_needle"), F.lit(GRAM)))).alias("_gram"))
+        .join(counts, on, "left")
         .groupBy(*keys, "_needle")
         .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"))
         .where("_r.n > 0")
         .select(*keys, "_needle", F.col("_r.gram").alias("_gram"))
     )
-    hits = in_texts.join(equal.unionByName(rarest), on).where(
-        (F.length("_needle") < GRAM) | F.contains("_hay", "_needle")
-    )
-    return hits.select(*keys, F.col("_needle").alias(needle_col)).distinct()
+    pairs = postings.join(rarest, on).select(*keys, "_needle", "_text")
+    compared = pairs.join(hay, [*keys, "_text"]).where(F.contains("_hay", "_needle")).select(*keys, "_needle").distinct()
+    return found.unionByName(compared).withColumnRenamed("_needle", needle_col)
 
 
 def contains_any(

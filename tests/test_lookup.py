@@ -113,6 +113,31 @@ def test_contains_any_with_hundreds_of_needle_lengths(spark):
     assert {r.needle: r.matched for r in contains_any(n, "needle", h, "text").collect()} == want
 
 
+def test_no_text_is_shuffled_by_its_substrings(spark):
+    """A join shuffles numbers by substring, and texts by their number alone; a substring that
+    all texts have is one counted row."""
+    import re
+
+    from stratum.operators.joins import GRAM, matching_needles
+
+    texts = [(i % 2, f"https://host{i}.example.com/{i * 7919}") for i in range(300)]
+    needles = [(0, "https://"), (0, "https://host4.ex"), (1, "https://host4.ex"), (1, "ample.com/7919"), (0, "")]
+    h = spark.createDataFrame(texts, "k int, text string").repartition(4)
+    n = spark.createDataFrame(needles, "k int, needle string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = matching_needles(n, "needle", h, "text", ["k"])
+        plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+        assert sorted(map(tuple, out.collect())) == [(0, ""), (0, "https://"), (0, "https://host4.ex"), (1, "ample.com/7919")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\((.*?), \d+\)", plan)
+    by_gram = [columns for columns, keys in shuffles if "_gram" in keys]
+    assert len(by_gram) >= 3 and not any("_hay" in columns for columns in by_gram)
+    hot = spark.createDataFrame([("x" * GRAM + str(i),) for i in range(500)], "text string")
+    assert matching_needles(spark.createDataFrame([("x" * GRAM,)], "needle string"), "needle", hot, "text").count() == 1
+
+
 def test_explode_listing_and_lookup(spark):
     docs = [
         (1, json.dumps({"jobs": [{"job_id": 10, "settings": {"name": "a"}}, {"job_id": 11, "settings": {"name": "b"}}]})),
