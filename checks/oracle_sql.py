@@ -361,6 +361,18 @@ ORACLE: dict[str, str] = {
         FROM (SELECT file_name, {BACKUP_STEM} AS stem, '.' || regexp_extract(file_name, '\\.([^.]*)$', 1) AS ext
           FROM {FILES} WHERE {INPUT_EXT} GROUP BY file_name)""",
     "S4_file_arrival_ingest": f"SELECT *, TIMESTAMP '2024-01-31 15:04:05' AS ingestion_timestamp FROM {SHEET_CSV}",
+    "S4_file_arrival_load": f"""WITH arrived AS (SELECT 1 AS run, * FROM {FILES} WHERE {d.ARRIVAL_EXPRS[1]}
+          UNION ALL SELECT 2, * REPLACE (CASE WHEN {d.RESENT_EXPR} THEN {d.RESENT_NAME_EXPR} ELSE file_name END AS file_name)
+          FROM {FILES} WHERE {d.ARRIVAL_EXPRS[2]}),
+        f AS (SELECT run, file_name, {AS_OF} AS as_of_date, {ROUTE_CUSTOMER} AS customer, count(*) AS n, sum(o_orderkey) AS keys,
+            bool_or({d.RESENT_EXPR}) AND run = 2 AS resent
+          FROM arrived WHERE suffix(file_name, '.csv') GROUP BY 1, 2, 3, 4),
+        g AS (SELECT *, CASE WHEN NOT coalesce(regexp_full_match(as_of_date, '[0-9]{{8}}|[0-9]{{4}}-[0-9]{{2}}'), false) THEN 'quarantine'
+            WHEN run = 2 AND EXISTS (SELECT 1 FROM f b WHERE b.run = 1 AND b.customer = f.customer AND b.as_of_date = f.as_of_date) THEN 'skip'
+            ELSE 'load' END AS decision FROM f)
+        SELECT run, file_name, decision, CASE WHEN decision = 'load' THEN n ELSE 0 END AS "rows", as_of_date, true AS finished,
+          CASE WHEN decision = 'load' THEN n END AS n_rows, CAST(CASE WHEN decision = 'load' THEN keys END AS BIGINT) AS sum_keys,
+          CASE WHEN decision = 'load' THEN n END AS n_keys FROM g""",
     "S6_read_control": f"SELECT * FROM {SHEET}",
     "S7_pandas_to_df": f"SELECT * FROM {SHEET}",
     "X1_incremental_run": X1_RUN,

@@ -232,6 +232,10 @@ ARRIVAL_EXPRS = {
 BAD_PRICE_EXPR, BAD_DATE_EXPR = "o_orderkey % 41 = 3", "o_orderkey % 43 = 5"
 HEADERLESS_EXPR = "file_name LIKE 'LPT - 1999 %'"
 
+#: The second arrival's re-sent files come under other names of the same series and date.
+RESENT_EXPR = "o_orderdate < TIMESTAMP '1998-07-01 00:00:00'"
+RESENT_NAME_EXPR = "replace(replace(file_name, 'LPT - ', 'LPT -'), '_bcg', '_ bcg')"
+
 # C7 with all inputs: layer customers have tables by type, the others by customer name.
 LAYER_CUSTOMERS, WHOLE_CUSTOMERS = ("client_b",), ("client_a",)
 LAYER_REQUEST_EXPRS = [
@@ -392,6 +396,13 @@ def sheet_rows(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFra
     return o.select(*[F.col(src).alias(dst) for src, dst in SHEET_COLUMNS], "file_name")
 
 
+def resent_sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second arrival, its re-sent files under other names."""
+    o = file_names(spark, sf_dir).where(ARRIVAL_EXPRS[2])
+    o = o.withColumn("file_name", F.when(F.expr(RESENT_EXPR), F.expr(RESENT_NAME_EXPR)).otherwise(F.col("file_name")))
+    return o.select(*[F.col(src).alias(dst) for src, dst in SHEET_COLUMNS], "file_name")
+
+
 def faulty_sheet_rows(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     """``sheet_rows`` as text, with cells that are not of their column's type."""
     o = file_names(spark, sf_dir).where(which)

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -266,7 +266,9 @@ def _conflicts(spark: SparkSession, bronze_path: str, own: DataFrame, version: i
     return not loads.isEmpty()
 
 
-def _commit(spark: SparkSession, bronze_path: str, own: DataFrame, run_id: str, planned_on: int, stamp: dt.datetime) -> bool:
+def _commit(
+    spark: SparkSession, bronze_path: str, own: DataFrame, run_id: str, planned_on: int, stamp: dt.datetime, source: str | None = None
+) -> bool:
     """Makes the run the next record of the commit log; False if it has to be planned anew."""
     folder, seen = _commit_folder(bronze_path), planned_on
     while True:
@@ -277,34 +279,50 @@ def _commit(spark: SparkSession, bronze_path: str, own: DataFrame, run_id: str,
         # log times are a key: a run's begin after those of the runs before it
         taken = read_ledger(spark, bronze_path).agg(F.max(F.expr("log_from + make_dt_interval(0, 0, 0, n * 0.000001BD)")).alias("t")).first()["t"]
         log_from = stamp if taken is None or taken < stamp else taken
-        if commits.append(spark, folder, last + 1, state="committed", run_id=run_id, stamp=log_from.isoformat(sep=" ")):
+        if commits.append(spark, folder, last + 1, state="committed", run_id=run_id, owner=source, stamp=log_from.isoformat(sep=" ")):
             return True
 
 
-def load_files(
+def load_listing(
     spark: SparkSession,
-    landing: str,
+    listing: Callable[[], DataFrame],
     schema: StructType,
     bronze_path: str,
     routes: Sequence[tuple],
     stamp: dt.datetime,
+    source: str | None = None,
 ) -> str:
-    """Plans the files of ``landing``, writes the records of those to load and commits the run;
-    returns its id. Nothing is moved or logged."""
+    """Plans the files of a listing (made anew when another run was first), writes the records of
+    those to load and commits the run, under the name of its ``source`` if it has one; returns
+    its id. Nothing is moved or logged."""
     while True:
         run_id = uuid.uuid4().hex
         planned_on = commits.last_number(spark, _commit_folder(bronze_path))
-        plan = plan_files(files.list_input_files(spark, landing), read_ledger(spark, bronze_path), routes, schema)
+        plan = plan_files(listing(), read_ledger(spark, bronze_path), routes, schema)
         plan.write.parquet(f"{bronze_path}/_runs/{run_id}")  # the one listing that all else goes by
         plan = spark.read.schema(plan.schema).parquet(f"{bronze_path}/_runs/{run_id}")
         rows = _write_load(spark, plan, schema, bronze_path, routes, run_id, stamp)
         names = [f.name for f in _ledger_schema().fields if f.name != "run_id"]
         rows.select(*names).coalesce(1).write.mode("overwrite").parquet(f"{bronze_path}/_ledger/run_id={run_id}")
         own = spark.read.schema(LEDGER).parquet(f"{bronze_path}/_ledger/run_id={run_id}")
-        if _commit(spark, bronze_path, own, run_id, planned_on, stamp):
+        if _commit(spark, bronze_path, own, run_id, planned_on, stamp, source):
             return run_id
 
 
+def committed_run(spark: SparkSession, bronze_path: str, source: str) -> str | None:
+    """The run that was committed under the name of a source."""
+    log = commits.records(spark, _commit_folder(bronze_path))
+    row = log.where((F.col("state") == "committed") & (F.col("owner") == source)).first()
+    return None if row is None else row["run_id"]
+
+
+def load_files(
+    spark: SparkSession, landing: str, schema: StructType, bronze_path: str, routes: Sequence[tuple], stamp: dt.datetime
+) -> str:
+    """:func:`load_listing` of the files in ``landing``."""
+    return load_listing(spark, lambda: files.list_input_files(spark, landing), schema, bronze_path, routes, stamp)
+
+
 def _ledger_schema() -> StructType:
     return StructType.fromDDL(LEDGER)
 

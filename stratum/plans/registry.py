@@ -18,7 +18,7 @@ from ..operators import cdc, control, layers, lookup, watermark
 from ..session import load, scratch_path
 from ..sources import files, tables
 from ..sources.control import control_from_pandas, read_control
-from ..streaming.ingest import cdc_stream, file_arrival_ingest
+from ..streaming.ingest import cdc_stream, file_arrival_ingest, file_arrival_load
 from . import derived, incremental, migration, stages
 from .derived import BRONZE_SCHEMA, SHEET_SCHEMA
 
@@ -426,6 +426,25 @@ def s4(spark, sf_dir):
     )
 
 
+@register("S4_file_arrival_load")
+def s4l(spark, sf_dir):
+    """Two arrivals by a stream of paths: two layouts, undated files, and re-sent ones under other
+    names. One row per file, with its decision and what the bronze table holds of it."""
+    landing, bronze, ckpt = (scratch_path(spark, x) for x in ("landing", "bronze", "ckpt-load"))
+    for run, when in _RUN_TIMES.items():
+        rows = derived.sheet_rows(spark, sf_dir, derived.ARRIVAL_EXPRS[1]) if run == 1 else derived.resent_sheet_rows(spark, sf_dir)
+        _land(rows, landing, shuffled=True)
+        file_arrival_load(spark, landing, SHEET_SCHEMA, bronze, ckpt, now=lambda when=when: when).awaitTermination()
+    held = incremental.read_bronze(spark, bronze).groupBy(F.col("source_file").alias("file_name")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("OrderKey").alias("sum_keys"), F.countDistinct("OrderKey").alias("n_keys")
+    )
+    second = F.col("stamp") >= F.lit(_RUN_TIMES[2]).cast("timestamp_ntz")
+    seen = incremental.read_ledger(spark, bronze).select(
+        F.when(second, 2).otherwise(1).alias("run"), "file_name", "decision", "rows", "as_of_date", "finished"
+    )
+    return seen.join(held, "file_name", "left")
+
+
 @register("S6_read_control")
 def s6(spark, sf_dir):
     return read_control(spark, stage_control(spark, sf_dir))

@@ -5,6 +5,9 @@
   by running ``availableNow`` triggers from the scheduler. With ``archive_dir`` the
   source archives read files (S3, stream form). Spark archives the files of batch
   *n* while planning a later batch, so the last batch's files stay until the next run.
+* ``file_arrival_load``: the same arrivals with their paths as the stream: each micro-batch of
+  files is one run of the incremental load (columns by header name, quarantine and rejects
+  by file), committed to the bronze table's ledger under the stream's id and its batch.
 * ``cdc_stream``: a change feed committed per micro-batch as the table's next delta
   (merge-on-read, periodic compaction), so a batch costs the size of its changes. The
   commit names the stream and its batch, so a retried batch is not applied twice and a
@@ -13,7 +16,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -22,6 +26,8 @@ from pyspark.sql.types import StructType
 from ..functions.names import DEFAULT_ROUTES
 from ..operators.cdc import read_cdc_table
 from ..operators.layers import bronze_columns
+from ..plans.incremental import archive_runs, committed_run, load_listing
+from ..sources.files import base_name
 from ..sources.tables import commit_delta, commit_snapshot, committed_batch
 
 
@@ -78,6 +84,57 @@ def file_arrival_ingest(
     return writer.start(sink)
 
 
+LISTING = "path string, modificationTime timestamp, length long, content binary"
+
+
+def file_arrival_load(
+    spark: SparkSession,
+    landing: str,
+    schema: StructType,
+    bronze_path: str,
+    checkpoint: str,
+    routes: Sequence[tuple] = DEFAULT_ROUTES,
+    glob: str = "*.csv",
+    archive: bool = True,
+    max_files_per_trigger: int | None = None,
+    available_now: bool = True,
+    stream_id: str | None = None,
+    now: Callable[[], dt.datetime] | None = None,
+) -> StreamingQuery:
+    """S4 with changing layouts: the stream is the files' paths (``binaryFile`` without the
+    content), and each micro-batch loads its files as ``plans.incremental`` does: grouped by
+    header, with undated files and files without a needed column quarantined, files of a loaded
+    customer, series and date skipped, records that do not fit set apart.
+
+    A batch is a run of the bronze table's commit log under ``<stream>/<batch>``, so a batch
+    that is retried after its commit is not loaded again, and it takes turns with other runs
+    on the table. ``archive`` moves the files to the folders of their decisions. A stream sees
+    a path once: re-sent data comes under another name. ``finish_runs`` writes the run log and
+    the watermark of runs that are not archived.
+    """
+
+    def load_batch(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        stream = stream_id or own.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("the stream has no id; give one")
+        source = f"{stream}/{batch_id}"
+        if committed_run(own, bronze_path, source) is None:
+            listing = batch.select("path", base_name("path").alias("file_name"), "length", "modificationTime")
+            stamp = now() if now else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+            load_listing(own, lambda: listing, schema, bronze_path, routes, stamp, source)
+        if archive:
+            archive_runs(own, bronze_path)
+
+    reader = spark.readStream.format("binaryFile").schema(LISTING).option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    paths = reader.load(landing).select("path", "length", "modificationTime")
+    writer = paths.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
 def cdc_stream(
     changes: DataFrame,
     base_path: str,

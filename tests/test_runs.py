@@ -287,6 +287,41 @@ def test_a_run_that_was_cut_off_is_completed(spark, tmpdir_path, monkeypatch):
     assert sorted(r.OrderKey for r in read_bronze(spark, bronze).collect()) == [1, 2, 3]
 
 
+def test_stream_of_arrivals_loads_each_file_once(spark, tmpdir_path, monkeypatch):
+    from stratum.streaming import ingest
+
+    landing, bronze, etl, table, run = load_env(spark, tmpdir_path)
+
+    def arrive(when):
+        query = ingest.file_arrival_load(
+            spark, landing, SHEET, bronze, f"{tmpdir_path}/ckpt", max_files_per_trigger=2, stream_id="arrivals", now=lambda: when
+        )
+        query.awaitTermination()
+
+    def loaded():
+        return sorted(r.OrderKey for r in read_bronze(spark, bronze).collect())
+
+    touch(f"{landing}/LPT - 2023 06 30.csv", "Order Key,Total Price\n1,1.0\nbad,1.0\n")
+    touch(f"{landing}/2023-07_bcg.csv", "Total Price,extra,Order Key\n30.0,x,3\n")
+    touch(f"{landing}/LPT 20230731.csv", "Order Key,Total Price\n4,1.0\n")  # undated
+    arrive(T1)
+    assert loaded() == [1, 3] and read_rejects(spark, bronze).count() == 1 and os.listdir(f"{landing}/quarantine")
+    # a batch that fails after its commit is retried without loading anything again
+    touch(f"{landing}/LPT -2023 06 30.csv", "Order Key,Total Price\n1,1.0\n")  # re-sent
+    touch(f"{landing}/LPT - 2023 09 30.csv", "Order Key,Total Price\n5,1.0\n")
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "archive_runs", lambda *a: (_ for _ in ()).throw(RuntimeError("cut off")))
+        with pytest.raises(Exception, match="cut off"):
+            arrive(T2)
+    assert loaded() == [1, 3, 5] and not unfinished(spark, bronze).isEmpty()
+    arrive(T3)
+    assert loaded() == [1, 3, 5] and unfinished(spark, bronze).isEmpty()
+    assert sorted(os.listdir(landing)) == ["backup", "quarantine", "skipped"] and len(os.listdir(f"{landing}/skipped")) == 1
+    # a scheduled run on the same table goes on from there
+    touch(f"{landing}/LPT -  2023 09 30.csv", "Order Key,Total Price\n5,1.0\n")
+    assert outcome(run(T3)) == {"LPT -  2023 09 30.csv": ("skip", 0)} and loaded() == [1, 3, 5]
+
+
 def test_run_layer_stages_in_order(spark, tmpdir_path):
     from stratum.plans.stages import BronzeSource, LayerSpec, run_layer_stages
     from stratum.sources import files
