@@ -13,12 +13,14 @@ A text's score for a language is its mean cross-entropy per character; the lowes
 Calibration on a held part of the sample: a temperature turns the cross-entropies into
 ``score`` (0 to 1), and each language gets the mean and spread of its own texts'
 cross-entropy, per text and per character; a text is rejected if it has no letter or its
-lowest cross-entropy is more than ``REJECT_Z`` spreads, and more than ``REJECT_NATS``, above
-the mean of that language.
+lowest cross-entropy is more than ``REJECT_Z`` spreads, and more than a floor, above the mean of
+that language. The floor is calibrated by leaving out each held text's own language
+(:meth:`Model._calibrate_floor`): texts of a language that was not learned are beyond it, texts
+that quote another language are not.
 
-The sample has about ``SAMPLE`` texts a language, chosen by the hash of ``doc_id``; its whole
-texts are gathered and counted on the driver, bounded in texts but not in bytes. The model
-(some MB) goes with the tasks. Scoring needs no shuffle and reads whole texts.
+The sample has about ``SAMPLE`` different texts a language, chosen by the hash of the text, and
+at most ``SAMPLE_BYTES`` (see :func:`sample_rows`); they are gathered and counted on the driver.
+The model (some MB) goes with the tasks. Scoring needs no shuffle and reads whole texts.
 
 Defined cases: a NULL text, or one without a letter, is ``und`` with score 0; equal texts
 get equal results; rows with NULL text or label are not learned; with no labelled row at
@@ -33,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.llm.common import arrow_map, release_memory, ship_package, table
@@ -42,9 +44,11 @@ from stratum.llm.textnp import blocks, mix
 ORDER = 5
 BLOCK_BYTES = 256 << 10  # texts that are scored at a time
 SAMPLE = 600
+SAMPLE_BYTES = 24 << 20
 HELD_SHARE = 5  # one in so many sample texts calibrates
 REJECT_Z = 8.0
-REJECT_NATS = 1.5  # a text that quotes another language is still a text of its own
+REJECT_NATS = 1.5  # where there are too few texts or languages to calibrate it
+FLOOR_TEXTS = 40
 UNKNOWN = "und"
 _STEP = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) % 2**64) for j in range(ORDER)]
 
@@ -184,6 +188,7 @@ class Model:
     mean: np.ndarray | None = None
     by_text: np.ndarray | None = None
     by_char: np.ndarray | None = None
+    reject_nats: float = REJECT_NATS
 
     def log_p(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log probability of the character at each position, a column for each language."""
@@ -260,7 +265,25 @@ class Model:
                 gap = (x - self.mean[j]) ** 2
                 # one part of the spread is the text's own, the other shrinks with its length
                 self.by_text[j] = float(np.sqrt(np.median(gap[n >= np.median(n)]) * 2.2))
-                self.by_char[j] = float(np.sqrt(np.mean(gap * n)))
+                self.by_char[j] = float(np.sqrt(np.median((gap * n)[n <= np.median(n)]) * 2.2))
+        self._calibrate_floor(h[use], own[use])
+
+    def _calibrate_floor(self, h: np.ndarray, own: np.ndarray) -> None:
+        """How far above a language's mean a text is foreign, by leaving its own language out:
+        half way from what 98 in 100 texts do not exceed under their own language to what nine in
+        ten exceed under the nearest other one, and at least a quarter more than the former."""
+        rows = np.arange(len(h))
+        known = np.isfinite(self.mean)
+        if known.sum() < 2 or known[own].sum() < FLOOR_TEXTS:
+            return
+        rows = rows[known[own]]
+        above = np.where(known, h - np.where(known, self.mean, 0.0), np.inf)
+        at_home = above[rows, own[rows]]
+        abroad = np.where(known, h, np.inf)
+        abroad[rows, own[rows]] = np.inf
+        away = above[rows, abroad[rows].argmin(axis=1)]
+        inside, outside = np.quantile(at_home, 0.98), np.quantile(away, 0.1)
+        self.reject_nats = float(max((inside + outside) / 2, 1.25 * inside))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, lowest cross-entropy and rejection of each text."""
@@ -276,7 +299,7 @@ class Model:
         score = np.where(some, 1 / np.exp(z).sum(axis=1), 0.0)
         lowest = filled[np.arange(len(texts)), best]
         spread = np.sqrt(self.by_text[best] ** 2 + self.by_char[best] ** 2 / np.maximum(size, 1))
-        rejected = ~some | (lowest > self.mean[best] + np.maximum(REJECT_Z * spread, REJECT_NATS))
+        rejected = ~some | (lowest > self.mean[best] + np.maximum(REJECT_Z * spread, self.reject_nats))
         names = [self.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
         return names, score, np.where(some, lowest, np.nan), rejected
 
@@ -331,19 +354,27 @@ def _fill(model: Model, n: int, code: np.ndarray, offsets: np.ndarray) -> None:
     t.rows[row] = np.where(np.isnan(own), weight + lower, own)
 
 
-def sample_rows(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """About ``per_language`` labelled texts of each language, by the hash of ``doc_id``."""
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").count().collect()  # a row a language
+def sample_rows(docs: DataFrame, per_language: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Labelled texts: of each language about ``per_language`` different ones, drawn by the hash of
+    the text, so that copies are drawn once and the ids have no say. No more than twice as many
+    texts and ``most_bytes`` a language come out, whatever the table holds; a text of over a
+    quarter of that is not learned from."""
+    size = F.octet_length("text")
+    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"), size.alias("bytes"))
+    rows = rows.filter(F.col("bytes") <= most_bytes // 4)
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.01).alias("n")).collect()  # a row a language
     if not sizes:
         return rows.select("lang", "text")
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return rows.filter(draw < share[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / max(1, r["n"])))])
+    draw = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30)
+    once = rows.filter(draw < share[F.col("lang")]).dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("h")
+    bounded = once.withColumns({"place": F.row_number().over(order), "total": F.sum("bytes").over(order)})
+    return bounded.filter((F.col("place") <= 2 * per_language) & (F.col("total") <= most_bytes)).select("lang", "text")
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model:
-    """Trains and calibrates on a sample of ``docs(doc_id, text, lang)``."""
+    """Trains and calibrates on a sample of ``docs(text, lang)``."""
     ship_package(docs.sparkSession)
     rows = sample_rows(docs, per_language).withColumn("held", F.pmod(F.xxhash64("text"), F.lit(HELD_SHARE)) == 0)
     rows = rows.orderBy("lang", "text").toArrow()  # the bounded sample

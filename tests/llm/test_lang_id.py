@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -55,3 +57,57 @@ def test_noise_is_rejected(spark):
     rng = np.random.default_rng(1)
     noise = ["".join(rng.choice(list("qxzjkvwbcdfghp"), 40)) + " " + "".join(rng.choice(list("qxzjkvw"), 300)) for _ in range(5)]
     assert model.predict(noise)[3].all()
+
+
+def test_sample_is_bounded_whatever_the_ids(spark):
+    words = [f"wort{i}" for i in range(50)]
+    rows = [(None if i % 2 else 7, " ".join(words[(i * k) % 50] for k in range(1, 9)) + f" {i}", "de", "s", 1) for i in range(3000)]
+    rows += [(i, "the same text in every row", "en", "s", 1) for i in range(2000)] + [(5, "x" * 5000, "fr", "s", 1), (6, "une phrase", "fr", "s", 1)]
+    docs = documents(spark, rows)
+    got = {r["lang"]: r["count"] for r in li.sample_rows(docs, 50).groupBy("lang").count().collect()}
+    assert 20 <= got["de"] <= 100 and got["en"] == 1 and got["fr"] == 2
+    small = li.sample_rows(docs, 50, 4000).collect()
+    assert sum(len(r.text) for r in small if r.lang == "de") <= 4000 and {len(r.text) for r in small if r.lang == "fr"} == {10}
+
+
+def test_unlearned_language_in_the_same_alphabet_is_rejected(spark):
+    docs = load(spark, SF_ORACLE, "documents").filter("text IS NOT NULL AND length(text) > 200")
+    for left_out in ("fr", "en"):
+        model = li.fit(docs.filter(F.col("lang") != left_out))
+        assert left_out not in model.languages
+        rows = li.identify(docs.filter("lang IS NOT NULL"), model, ["doc_id", "lang"]).collect()
+        foreign = [r.rejected for r in rows if r.lang == left_out]
+        known = [r.rejected for r in rows if r.lang != left_out]
+        assert np.mean(foreign) > 0.9 and np.mean(known) < 0.005, (left_out, np.mean(foreign), np.mean(known))
+
+
+def plain_kneser_ney(texts, order):
+    """p(character | context) of interpolated Kneser-Ney over dictionaries of tuples."""
+    grams = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        own = li.letters([t])[0].tolist()
+        for i in range(order - 1, len(own)):
+            grams[order][tuple(own[i - order + 1 : i + 1])] += 1
+    for n in range(order - 1, 0, -1):
+        for g in grams[n + 1]:
+            grams[n][g[1:]] += 1  # the different characters before it
+    alphabet = len(grams[1]) + 1
+
+    def p(gram):
+        if not gram:
+            return 1 / alphabet
+        own = {g: c for g, c in grams[len(gram)].items() if g[:-1] == gram[:-1]}
+        ones, twos = (sum(c == k for c in grams[len(gram)].values()) for k in (1, 2))
+        d, total = ones / (ones + 2 * twos) if ones else 0.5, sum(own.values())
+        return max(own.get(gram, 0) - d, 0) / total + max(d * len(own) / total, 1e-9) * p(gram[1:])
+
+    return {g: p(g) for g in grams[order]}
+
+
+def test_probabilities_equal_plain_kneser_ney():
+    texts = ["the cat and the hat sat", "a cat sat on the mat", "that is that", "on and on"]
+    model = li.merge({"x": li.train(texts)})
+    li.fill(model, texts)
+    for gram, want in plain_kneser_ney(texts, li.ORDER).items():
+        got = float(np.exp(model.log_p(np.array(gram, np.uint32), np.array([li.ORDER - 1])))[0, 0])
+        assert abs(got - want) < 1e-5 * want, gram
