@@ -37,7 +37,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.names import DEFAULT_ROUTES, as_of_date, as_of_to_date, route_by_name
 from ..operators.layers import bronze_columns
-from ..operators.watermark import upsert_watermark
+from ..operators.watermark import max_timestamp, upsert_watermark
 from ..schemas import ETL_LOG
 from ..sources import commits, files
 from ..sources.tables import append_run_log, commit_snapshot, latest_version, read_snapshot
@@ -336,6 +336,14 @@ def loaded_rows(spark: SparkSession, bronze_path: str, run_id: str) -> int:
     return run_files(spark, bronze_path, run_id).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
 
 
+def last_ingestion(spark: SparkSession, bronze_path: str) -> DataFrame:
+    """A2 over a bronze table, ``max_timestamp``, from the ledger's row counts and times: no data
+    file is read. A table without a ledger is scanned."""
+    if commits.last_number(spark, _commit_folder(bronze_path)):
+        return read_ledger(spark, bronze_path).where("rows > 0").agg(F.max("stamp").alias("max_timestamp"))
+    return max_timestamp(spark.read.parquet(bronze_path))
+
+
 def log_rows(ledger: DataFrame, table_name: str, workflow_id: int, job_run_id: int) -> DataFrame:
     """Run-log rows of committed runs, one a file; the times of one run differ by a microsecond."""
     rows, rejected = F.col("rows").cast("string"), F.col("rejected").cast("string")

@@ -17,7 +17,7 @@ from ..functions.columns import clean_columns
 from ..operators import cdc, control, layers, lookup, watermark
 from ..session import load, scratch_path
 from ..sources import files, tables
-from ..sources.control import control_from_pandas, read_control
+from ..sources.control import control_from_frames, read_control
 from ..streaming.ingest import cdc_stream, file_arrival_ingest, file_arrival_load
 from . import derived, incremental, migration, stages
 from .derived import BRONZE_SCHEMA, SHEET_SCHEMA
@@ -223,15 +223,9 @@ def c7l(spark, sf_dir):
 
 @register("C3_catalog_inventory")
 def c3(spark, sf_dir):
-    """One table per ten suppliers, in five schemas, created and listed again."""
-    tag = scratch_path(spark, "c3").rsplit("-", 1)[-1]
-    wanted = load(spark, sf_dir, "supplier").selectExpr("CAST(floor(s_suppkey / 10) AS BIGINT) AS k").distinct()
-    for k in sorted(r["k"] for r in wanted.collect()):
-        schema = f"stratum_{tag}_{k % 5}"
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema} LOCATION '{scratch_path(spark, 'c3-schema')}'")
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {schema}.t{k} (x INT) USING parquet")
-    found = tables.catalog_inventory(spark, ["spark_catalog"]).where(F.col("schema").startswith(f"stratum_{tag}_"))
-    return found.select("catalog", F.substring_index("schema", "_", -1).alias("schema"), "table")
+    """Catalogs with their schemas, from the inventory rows."""
+    found = tables.catalog_schemas(derived.inventory(spark, sf_dir))
+    return found.select("catalog", F.size("schemas").alias("n_schemas"), F.array_join("schemas", ",").alias("schemas"))
 
 
 @register("A1_last_run")
@@ -452,8 +446,8 @@ def s6(spark, sf_dir):
 
 @register("S7_pandas_to_df")
 def s7(spark, sf_dir):
-    """The control sheet by way of pandas (the operator's input is a pandas frame)."""
-    return control_from_pandas(spark, derived.control(spark, sf_dir).toPandas())
+    """The control sheet by way of pandas frames, batch by batch on the executors."""
+    return control_from_frames(derived.control(spark, sf_dir))
 
 
 @register("S8_overwrite_table")
@@ -482,8 +476,7 @@ def s10(spark, sf_dir):
     table = "stratum_run_log_" + path.rsplit("-", 1)[-1]
     tables.create_run_log(spark, table, location=path)
     tables.append_run_log(derived.run_log_input(spark, sf_dir), table, check_key=False)  # events share times
-    out = spark.table(table)
-    return out.select(*[f.name for f in out.schema.fields])
+    return spark.table(table).drop(tables.LOG_MONTH)
 
 
 # --- X: layer stages ---------------------------------------------------------------------

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CONTROL
 from .files import list_input_files, read_csv_by_header
 
+# The conversion runs in Python workers; ship it by value, like the file moves.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 REQUIRED = ("Hive_table_name",)
 
 
@@ -54,14 +61,30 @@ def _names(spark: SparkSession, listing: DataFrame) -> set[str]:
     return set.intersection(*[{n.strip() for n in h["header"]} for h in headers if h["header"]] or [set()])
 
 
+def _sheet_frame(pdf):
+    """The declared columns of a pandas sheet; what pandas holds as missing is None."""
+    import pandas as pd
+
+    frame = pdf.reindex(columns=[f.name for f in CONTROL.fields])
+    return frame.astype(object).where(pd.notna(frame), None)
+
+
 def control_from_pandas(spark: SparkSession, pdf) -> DataFrame:
-    """A pandas control sheet as a DataFrame with the declared schema.
+    """A pandas control sheet as a DataFrame with the declared schema, for a frame that the
+    caller holds.
 
     Missing columns become NULL; pandas NaN (which Spark would otherwise turn into the
     text ``nan``) and blank text become NULL.
     """
-    import pandas as pd
+    return normalise_missing(spark.createDataFrame(_sheet_frame(pdf), schema=CONTROL))
 
-    frame = pdf.reindex(columns=[f.name for f in CONTROL.fields])
-    frame = frame.astype(object).where(pd.notna(frame), None)
-    return normalise_missing(spark.createDataFrame(frame, schema=CONTROL))
+
+def control_from_frames(sheets: DataFrame) -> DataFrame:
+    """S7 where the sheet is a table already: the same conversion of pandas frames, made batch
+    by batch on the executors; no row goes through the driver."""
+
+    def convert(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            yield _sheet_frame(pdf)
+
+    return normalise_missing(sheets.mapInPandas(convert, CONTROL))

@@ -15,18 +15,25 @@ from ..schemas import RUN_LOG, RUN_LOG_DDL
 
 # --- C1, S10 --------------------------------------------------------------------------
 
+LOG_MONTH = "logMonth"
+
+
+def _month(time: Column | str) -> Column:
+    return F.date_format(time, "yyyy-MM")
+
 
 def create_run_log(
     spark: SparkSession, table: str, owner: str = "pipeline", location: str | None = None, fmt: str = "parquet"
 ) -> None:
-    """Create the run-log table if missing (partitioned by ``notebookName``).
+    """Create the run-log table if missing (partitioned by ``notebookName`` and by the month of
+    ``logTime``, so that the key check of an append reads the months it touches).
 
     ``NOT NULL`` is not enforced by file-based tables; ``append_run_log`` checks it.
     """
     loc = f" LOCATION '{location}'" if location else ""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({RUN_LOG_DDL}) USING {fmt} "
-        f"PARTITIONED BY (notebookName){loc} COMMENT '{owner} workflow log table'"
+        f"CREATE TABLE IF NOT EXISTS {table} ({RUN_LOG_DDL}, {LOG_MONTH} STRING COMMENT 'month of the log time') USING {fmt} "
+        f"PARTITIONED BY ({LOG_MONTH}, notebookName){loc} COMMENT '{owner} workflow log table'"
     )
 
 
@@ -56,18 +63,19 @@ def append_run_log(rows: DataFrame, table: str, check_key: bool = True) -> None:
     A NULL ``logTime`` fails the write. ``check_key``: so does a ``logTime`` that the new
     rows have twice or the table has already (C2; the table's times are read, not its
     texts), unless the row is there already, as after a run that was cut off: then it is
-    not appended again. Off for a feed whose times are not unique.
+    not appended again. Only the months of the new rows are read for it. Off for a feed whose
+    times are not unique.
     """
     shaped = run_log_rows(rows)
     shaped = shaped.withColumn(
         "logTime", F.coalesce(F.col("logTime"), F.raise_error(F.lit("logTime must not be NULL")).cast("timestamp_ntz"))
     )
+    shaped = shaped.withColumn(LOG_MONTH, _month("logTime"))
+    shaped = shaped.select(*[c for c in shaped.columns if c != "notebookName"], "notebookName")  # as the table has them
     if not check_key:
         shaped.write.insertInto(table)
         return
-    old = shaped.sparkSession.table(table).select(
-        F.col("logTime").alias("_t"), F.col("notebookName").alias("_b"), F.col("logMessage").alias("_m")
-    )
+    old = logged_near(shaped, table)
     same = F.col("notebookName").eqNullSafe(F.col("_b")) & F.col("logMessage").eqNullSafe(F.col("_m"))
     new = shaped.join(old, (F.col("logTime") == F.col("_t")) & same, "left_anti")
     times = new.select("logTime", F.lit(1).alias("n")).unionAll(old.join(new, F.col("_t") == F.col("logTime"), "left_semi").select("_t", F.lit(1)))
@@ -77,6 +85,14 @@ def append_run_log(rows: DataFrame, table: str, check_key: bool = True) -> None:
     new.write.insertInto(table)
 
 
+def logged_near(rows: DataFrame, table: str) -> DataFrame:
+    """Key, notebook and message (``_t, _b, _m``) of the logged rows in the months from the first
+    to the last of ``rows``: other months' partitions are not read."""
+    span = rows.agg(F.min(LOG_MONTH).alias("first"), F.max(LOG_MONTH).alias("last")).first()
+    old = rows.sparkSession.table(table).where(F.col(LOG_MONTH).between(F.lit(span["first"]), F.lit(span["last"])))
+    return old.select(F.col("logTime").alias("_t"), F.col("notebookName").alias("_b"), F.col("logMessage").alias("_m"))
+
+
 # --- C2 -------------------------------------------------------------------------------
 
 

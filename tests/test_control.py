@@ -170,7 +170,7 @@ def test_control_from_pandas_and_sync_log_append(spark, tmpdir_path):
     import numpy as np
     import pandas as pd
 
-    from stratum.sources.control import control_from_pandas
+    from stratum.sources.control import control_from_frames, control_from_pandas
 
     pdf = pd.DataFrame(
         {"Hive_table_name": ["bronze.a", "bronze.b"], "Uc_table_type": [np.nan, "EXTERNAL"], "Sync_required": ["", "yes"]}
@@ -179,6 +179,9 @@ def test_control_from_pandas_and_sync_log_append(spark, tmpdir_path):
     got = {r.Hive_table_name: r for r in c.collect()}
     assert got["bronze.a"].Uc_table_type is None and got["bronze.a"].Sync_required is None
     assert got["bronze.b"].Uc_table_type == "EXTERNAL" and c.columns == CONTROL_COLUMNS
+    table = spark.createDataFrame([("bronze.a", None, "", 1), ("bronze.b", "EXTERNAL", "yes", 2)], "Hive_table_name string, Uc_table_type string, Sync_required string, more int")
+    frames = control_from_frames(table)
+    assert frames.schema.simpleString() == c.schema.simpleString() and sorted(map(tuple, frames.collect()), key=repr) == sorted(map(tuple, c.collect()), key=repr)
     plan = control.sync_plan(control.managed_worklist(c), spark.createDataFrame([], "job_name string, job_id long"))
     table = "sync_log_" + uuid.uuid4().hex[:8]
     control.append_sync_log(control.sync_log_rows(plan), table)

@@ -108,6 +108,7 @@ def test_a_refresh_reads_only_its_load_and_the_touched_parts(spark, tmpdir_path)
     held.count()
     new = [(3, 0, "a", "y", 2.5, 1, dt.datetime(2025, 1, 1), "c", "20250131"), (4, 1, "b", "x", None, 2, dt.datetime(2025, 1, 2), "c", "20250131")]
     assert spoil(f"{bronze}/load_id=a") == 1
+    assert not any("load_id=" in f for f in incremental.last_ingestion(spark, bronze).inputFiles())
     add_load(spark, bronze, "b", new)
     touched = {r.part for r in spark.createDataFrame(new, ROW).select(part_of(SPEC.business_keys)).collect()}
     parts = {r["name"]: r["value"] for r in tables.read_snapshot(spark, f"{root}/_state/record").where("kind = 'part'").collect()}

@@ -107,6 +107,20 @@ def test_commit_snapshot_versions(spark, tmpdir_path):
     assert tables.read_snapshot(spark, base, version=0).count() == 3
 
 
+def test_run_log_key_check_reads_the_touched_months(spark, tmpdir_path):
+    name = "run_log_" + uuid.uuid4().hex[:8]
+    tables.create_run_log(spark, name, location=f"{tmpdir_path}/rl")
+    rows = spark.createDataFrame([(1, "nb", f"2024-0{m}-01 00:00:00", "x") for m in (1, 2, 3)], "JobRunId long, notebookName string, t string, logMessage string")
+    rows = rows.select("JobRunId", "notebookName", F.col("t").cast("timestamp_ntz").alias("logTime"), "logMessage")
+    tables.append_run_log(rows, name)
+    near = tables.logged_near(rows.where("logTime >= '2024-03-01'").withColumn(tables.LOG_MONTH, F.lit("2024-03")), name)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(logMonth" in plan and len(near.inputFiles()) >= 1 and near.count() == 1
+    assert all("logMonth=2024-03" in f for f in near.inputFiles())
+    tables.append_run_log(rows, name)  # the same rows again
+    assert spark.table(name).count() == 3
+
+
 def test_catalog_inventory_and_schemas(spark):
     inv = tables.catalog_inventory(spark, ["spark_catalog"])
     assert set(inv.columns) == {"catalog", "schema", "table"}
