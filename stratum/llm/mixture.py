@@ -17,7 +17,7 @@ the hash, the running sum finds the digits where the budget ends, and only docum
 those digits are put in order. A hot leaf's documents are dealt out to several tasks where
 they meet its budget.
 
-Tokens are words (``[^\\x20\\x09-\\x0D]+``). All arithmetic is in integers. Only numbers
+Tokens are words (``[^\\x20\\x09-\\x0D]+``). All arithmetic is in integers, products in decimals. Only numbers
 are shuffled, never texts.
 
 Defined cases: NULL text and texts without words have no tokens and are never taken; NULL
@@ -38,6 +38,8 @@ from stratum.llm.common import materialize, salted_join, table
 
 OTHER_WEIGHT = 5
 LEAF = ["domain", "language", "origin"]
+#: Products of tokens and sums of weights go beyond 64 bits.
+WIDE = "decimal(20,0)"
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,8 @@ def share_out(children: DataFrame, parent: list[str], key: str) -> DataFrame:
     order = own.orderBy(F.col("capacity") / F.col("weight"), key)
     left = F.col("parent_budget") - F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     weights = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = F.when(F.col("left") * F.col("weight") <= F.col("capacity") * F.col("weights"), F.struct("left", "weights"))
+    wide = {c: F.col(c).cast(WIDE) for c in ("left", "weight", "capacity", "weights")}
+    level = F.when(wide["left"] * wide["weight"] <= wide["capacity"] * wide["weights"], F.struct("left", "weights"))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         children.withColumns({"left": left, "weights": weights})
@@ -79,7 +82,7 @@ def share_out(children: DataFrame, parent: list[str], key: str) -> DataFrame:
         .withColumn(
             "budget",
             F.when(F.col("level").isNull(), F.col("capacity")).otherwise(
-                F.least("capacity", F.expr("level.left * weight div level.weights"))
+                F.least("capacity", F.expr(f"cast(level.left as {WIDE}) * weight div level.weights"))
             ),
         )
         .drop("left", "weights", "level")
@@ -91,7 +94,7 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     leaves = leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs)
     languages = leaves.groupBy("domain", "language").agg(F.sum("capacity").alias("capacity"))
     domains = languages.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    total = leaves.select(F.expr(f"coalesce(sum(tokens), 0) * {int(mix.budget_percent)} div 100")).scalar()
+    total = leaves.select(F.expr(f"cast(coalesce(sum(tokens), 0) as {WIDE}) * {int(mix.budget_percent)} div 100")).scalar()
     top = domains.withColumns({"weight": _weight("domain", mix.domains), "parent_budget": total, "root": F.lit(0)})
     top = share_out(top, ["root"], "domain").select("domain", F.col("budget").alias("parent_budget"))  # a row a domain
     middle = share_out(languages.join(top, "domain").withColumn("weight", _weight("language", mix.languages)), ["domain"], "language")

@@ -39,6 +39,18 @@ def test_shares_match_water_filling(spark):
         assert abs(got[x] - b) <= 1, x  # equal ratios may be cut by one token
 
 
+def test_products_beyond_64_bits(spark):
+    """Petatokens and weight sums of millions."""
+    rows = [(0, f"s{i}", 1_000_000, (10**15) * (i + 1), 3 * 10**15) for i in range(5)] + [(0, "small", 4_000_000, 10, 3 * 10**15)]
+    df = spark.createDataFrame(rows, "parent int, key string, weight long, capacity long, parent_budget long")
+    got = {r.key: r.budget for r in share_out(df, ["parent"], "key").collect()}
+    each = (3 * 10**15 - 10) // 5
+    assert got == {"small": 10, **{f"s{i}": each for i in range(5)}}
+    leaves = spark.createDataFrame([("web", "en", f"s{i}", 4 * 10**16) for i in range(100)], "domain string, language string, origin string, tokens long")
+    budgets = leaf_budgets(leaves, Mix()).collect()
+    assert sum(r.budget for r in budgets) == 4 * 10**18 and all(r.budget == 4 * 10**16 for r in budgets)
+
+
 def test_shortage_stays_among_siblings(spark):
     leaves = [("web", "en", "a", 10), ("web", "en", "b", 1000), ("web", "fr", "c", 1000), ("books", "en", "d", 1000)]
     df = spark.createDataFrame(leaves, "domain string, language string, origin string, tokens long")
