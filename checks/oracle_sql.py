@@ -307,7 +307,7 @@ ORACLE: dict[str, str] = {
           WHEN NOT coalesce({IS_EXT}, false) THEN 'NOT_EXTERNAL' ELSE 'OK' END AS dry_run_status FROM c""",
     "J6_split_control": f"""SELECT Hive_table_name, Hive_table_location AS location, Uc_catalog_name AS catalog_name,
         Uc_schema_name AS schema_name FROM {CONTROL} WHERE {IS_EXT}""",
-    "J7_managed_worklist": f"SELECT * FROM {MANAGED}",
+    "J7_managed_worklist": f"SELECT * FROM {MANAGED_OF % MIGRATION_CONTROL}",
     "C2_check_unique_key": """SELECT l_orderkey, l_linenumber, count(*) AS n,
         CASE WHEN l_orderkey IS NULL OR l_linenumber IS NULL THEN 'null key' ELSE 'duplicate' END AS reason
         FROM lineitem GROUP BY l_orderkey, l_linenumber

@@ -174,7 +174,7 @@ def j6(spark, sf_dir):
 
 @register("J7_managed_worklist")
 def j7(spark, sf_dir):
-    return control.managed_worklist(derived.control(spark, sf_dir))
+    return control.managed_worklist(derived.migration_control(spark, sf_dir))
 
 
 # --- C: catalog checks ------------------------------------------------------------------
