@@ -288,9 +288,14 @@ def stage_control(spark, sf_dir, table=derived.control) -> str:
     return _SHEETS[key]
 
 
-def _plan(spark, sf_dir, listings=derived.job_listings):
-    """The migration plan of a sheet that a run reads through S6."""
-    sheet = read_control(spark, stage_control(spark, sf_dir, derived.migration_control))
+def _sheet(spark, sf_dir):
+    """The migration's sheet as a run reads it, through S6."""
+    return read_control(spark, stage_control(spark, sf_dir, derived.migration_control))
+
+
+def _plan(spark, sf_dir, listings=derived.job_listings, sheet=None):
+    """The migration plan of the sheet."""
+    sheet = _sheet(spark, sf_dir) if sheet is None else sheet
     return migration.migration_plan(sheet, migration.reported_jobs(listings(spark, sf_dir)))[2]
 
 
@@ -314,8 +319,9 @@ def r2(spark, sf_dir):
 @register("R5_sync_plan")
 def r5(spark, sf_dir):
     """The plan with the whole job listing, and with one of which pages are broken."""
-    whole = _plan(spark, sf_dir).withColumn("listing", F.lit("whole"))
-    broken = _plan(spark, sf_dir, derived.broken_job_listings).withColumn("listing", F.lit("broken"))
+    sheet = _sheet(spark, sf_dir)
+    whole = _plan(spark, sf_dir, sheet=sheet).withColumn("listing", F.lit("whole"))
+    broken = _plan(spark, sf_dir, derived.broken_job_listings, sheet).withColumn("listing", F.lit("broken"))
     return whole.unionByName(broken).select(
         "listing", "table_name", "destination_table_name", "job_name", "action", "status", "cron", "log_message", "job_id"
     )
