@@ -28,6 +28,14 @@ def test_matches_of_every_width():
         assert ids.tolist() == REFERENCE.encode_ordinary(text) and CODEC.decode(ids) == text.encode()
 
 
+def test_every_code_point_is_split_as_the_library_does():
+    points = [x for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    for k in range(0, len(points), 4096):
+        text = "".join(f"a{chr(x)} {chr(x)}1{chr(x)}." for x in points[k : k + 4096])
+        assert CODEC.encode(text).tolist() == REFERENCE.encode_ordinary(text), hex(points[k])
+        CODEC.young, CODEC.old = {}, {}
+
+
 def test_the_cache_turns_over(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 8)
     codec = bpe.BytePairCodec(RANKS, public_tokenizers.PATTERN)
