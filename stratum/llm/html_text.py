@@ -4,15 +4,21 @@ A page is read once into a tree of block elements (inline tags make no node). Te
 scripts, styles, menus, page headers, footers, sidebars, notices, adverts, form controls and
 reader comments is marked as left out, by element, role, visibility, or a class or id that
 names nothing else (``related-posts``, not ``related-work`` or ``has-sidebar``). In an
-``article`` or ``main`` only classes of containers count, as ids there are anchors; and a name
-leaves out no element that holds the page's largest ``article`` or ``main``, or, unless one
-stands elsewhere, most of the page's text. Every remaining paragraph passes points to its ancestors: 1, plus its commas, plus
+``article`` or ``main`` ids are mostly anchors and words often code, so there only the classes of
+containers count, ids of containers that name comments, adverts or related pages, whole classes
+of paragraphs but headings, and of inline elements those that name adverts. A name leaves out no
+element that holds the page's largest ``article`` or ``main``, or, unless one stands elsewhere,
+most of the page's text; comments, adverts and related pages go however long they are, if
+their article, or else the page, has other text. Every remaining paragraph passes points to its ancestors: 1, plus its commas, plus
 its length in hundreds of characters (3 at most), in full to the parent, half to the
 grandparent, less to those above. Containers start with points by element and lose the
 share of their text that stands in links. The best container is kept; if it stands in an
 ``article`` or ``main`` whose text (in an ``article``, links aside) is mostly its own, that one
-is kept, and so are siblings that score at least a fifth as much and long, link-poor sibling
-paragraphs. Lists of nothing but links are menus outside ``article`` and ``main`` only.
+is kept, and so are siblings that score at least a fifth as much, long, link-poor sibling
+paragraphs, sections beside a section and unnamed ``div``s of the same class beside a ``div``. Headings right
+before the container (or before an element that holds nothing else) are its title, unless it
+has one. Lists of nothing but links are menus outside ``article`` and ``main`` only; a table of them is none where
+it follows a paragraph.
 
 Character references are decoded, white space (as ``str.split`` sees it) in a block becomes
 one space, and the blocks are joined by one space in page order. Nothing is cut or capped.
@@ -75,10 +81,15 @@ NAMES = {
 PARTS = {
     "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "column", "container", "form", "global", "group", "header", "icon",
     "icons", "inner", "is", "item", "items", "left", "link", "links", "list", "main", "mobile", "outer", "panel", "posts", "primary",
-    "region", "reply", "right", "row", "secondary", "section", "site", "slot", "toggle", "top", "unit", "visually", "wrap", "wrapper",
+    "post", "reader", "region", "reply", "right", "row", "secondary", "section", "site", "slot", "toggle", "top", "unit", "visually", "user", "wrap", "wrapper",
 }
+ADVERTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion"}
+#: Names of parts that are never the article, as long as they may be.
+STRICT = ADVERTS | {"comment", "comments", "disqus", "replies", "respond", "related", "recommended"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Whole classes of an ``article`` that is none.
 NOT_ARTICLES = {"comment", "comments", "related", "ad", "advert", "advertisement", "promo", "sponsored", "teaser"}
+LONG = 80  # characters of a paragraph that is more than a label
 START_POINTS = {
     "article": 10, "main": 8, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "body": 0, "ul": -3, "ol": -3,
     "dl": -3, "li": -3, "form": -3, "th": -5,
@@ -109,20 +120,28 @@ def _is_named(tag: str, attributes: str, in_article: bool) -> bool:
     if not attributes.strip() or tag in ("html", "body"):
         return False
     block = tag in CONTAINERS
-    if in_article and not block:
-        return False
     found = _attributes(attributes)
     tokens = found.get("class", "").split()
+    if in_article and not block:
+        if tag in HEADINGS:
+            return False
+        return not (NAMES if tag in PARAGRAPHS else ADVERTS).isdisjoint(x.lower() for x in tokens)
     if tag in ("article", "main"):  # their classes often tell what the page has besides
         return not NOT_ARTICLES.isdisjoint(x.lower() for x in tokens)
-    if block and not in_article:
-        tokens += found.get("id", "").split()
-    return any(_names_part(x) for x in tokens)
+    ids = found.get("id", "").split() if block else []
+    if in_article:
+        return any(_names_part(x) for x in tokens) or any(_names_part(x, STRICT) for x in ids)
+    return any(_names_part(x) for x in tokens + ids)
+
+
+def _is_strict(attributes: str) -> bool:
+    found = _attributes(attributes)
+    return any(_names_part(x, STRICT) for y in ("class", "id") for x in found.get(y, "").split())
 
 
 def _names_part(token: str, names: set[str] = NAMES) -> bool:
     words = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
-    return not names.isdisjoint(words) and all(x in names or x in PARTS or x.isdigit() for x in words)
+    return not names.isdisjoint(words) and all(x in NAMES or x in PARTS or x.isdigit() for x in words)
 
 
 class _Tree:
@@ -131,15 +150,19 @@ class _Tree:
     def __init__(self) -> None:
         self.tag, self.parent, self.out, self.article = ["html"], [-1], [False], [False]
         self.named, self.real = [False], [False]  # left out by name; an article that no name denies
+        self.strict, self.label = [False], [None]  # named, and never the article; class of an element without an id
         self.pieces: list[tuple[int, str, bool]] = []  # node, text, in a link; node -1 is a break
         self.inline_named: dict[int, int] = {}  # piece: number of the inline element left out by name
 
-    def add(self, tag: str, parent: int, out: bool, named: bool, real: bool) -> int:
+    def add(self, tag: str, parent: int, out: bool, named: bool, real: bool, attributes: str) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.out.append(self.out[parent] or out)
         self.named.append(named)
         self.real.append(real)
+        self.strict.append(named and _is_strict(attributes))
+        found = _attributes(attributes) if attributes.strip() else {}
+        self.label.append(None if "id" in found else found.get("class", ""))
         self.article.append(self.article[parent] or tag in ("article", "main"))
         return len(self.tag) - 1
 
@@ -229,7 +252,7 @@ def read_tree(html: str) -> _Tree:
         if tag in ("article", "main") and not named:
             found = _attributes(attributes)
             real = not any(_names_part(x, NOT_ARTICLES) for y in ("class", "id") for x in found.get(y, "").split())
-        stack.append(tree.add(tag, stack[-1], _is_left_out(tag, attributes, in_article), named, real))
+        stack.append(tree.add(tag, stack[-1], _is_left_out(tag, attributes, in_article), named, real, attributes))
     text(html[at:])
     return tree
 
@@ -260,13 +283,25 @@ def drop_named(tree: _Tree) -> None:
                 rival[tree.tag[k]] = max(rival[tree.tag[k]], size[k])
     for k in range(n - 1, 0, -1):
         inner[tree.parent[k]] = max(inner[tree.parent[k]], inner[k])
+    # text outside the strict names, of the page and of each outermost article
+    holder, in_strict, plain = [0] * n, [False] * n, [0] * n
+    for k in range(1, n):
+        up = tree.parent[k]
+        in_strict[k] = in_strict[up] or (tree.strict[k] and not inner[k])
+        holder[k] = holder[up] or (k if tree.tag[k] in ("article", "main") and not in_strict[k] else 0)
+    for at, (node, said, _) in enumerate(tree.pieces):
+        if node >= 0 and not in_strict[node] and at not in tree.inline_named:
+            plain[0] += len(said.strip())
+            if holder[node]:
+                plain[holder[node]] += len(said.strip())
     out = [False] * n
     for k in range(1, n):
         up = tree.parent[k]
         out[k] = out[up]
         if tree.named[k] and not out[up]:
             other = rival["article"] if tree.article[up] else max(rival.values())
-            most = size[k] * 2 >= size[0] and (in_one[k] or not other)
+            beside = plain[holder[up]] if holder[up] else plain[0] - LONG
+            most = size[k] * 2 >= size[0] and (in_one[k] or not other) and not (tree.strict[k] and beside > 0)
             out[k] = not most and inner[k] <= other
     small = {x for x, long in inline_size.items() if long * 2 < size[0]}
     tree.pieces = [
@@ -274,6 +309,32 @@ def drop_named(tree: _Tree) -> None:
     ]
 
 
+def _titles(tree: _Tree, best: int, total: list[int], keep: set[int]) -> set[int]:
+    """Headings right before the container, or before an element that holds nothing else."""
+    n = len(tree.tag)
+    within = [k == best for k in range(n)]
+    for k in range(best + 1, n):
+        within[k] = within[tree.parent[k]]
+        if within[k] and tree.tag[k] in ("h1", "hgroup") and total[k]:
+            return set()
+    found: set[int] = set()
+    first = best
+    while first > 0:
+        up = tree.parent[first]
+        begin = min([first, *(x for x in keep if tree.parent[x] == up)])
+        before = [k for k in range(1, begin) if tree.parent[k] == up]
+        for k in reversed(before):
+            if tree.tag[k] in HEADINGS and total[k]:
+                found.add(k)
+            elif total[k] or (tree.tag[up] in ("body", "html") and (tree.out[k] or tree.named[k])):
+                return found
+        beside = sum(total[k] for k in range(1, n) if tree.parent[k] == up and k not in keep and k not in found)
+        if beside - (0 if first in keep else total[first]) or tree.tag[up] in ("body", "html"):
+            return found
+        first = up
+    return found
+
+
 def main_text(html: str | None) -> str:
     """The text of the page's article; empty if there is none."""
     if not html:
@@ -298,6 +359,12 @@ def main_text(html: str | None) -> str:
         count[up] += count[k]
     if not total[0]:
         return ""
+    after_text, last = [False] * n, [-1] * n  # the sibling before, in page order, is a paragraph with text
+    for k in range(1, n):
+        up = tree.parent[k]
+        if total[k]:
+            after_text[k] = last[up] > 0 and tree.tag[last[up]] in PARAGRAPHS and in_links[last[up]] < 0.25 * total[last[up]]
+            last[up] = k
     # outside articles, lists of nothing but links are menus; forms that do not hold the page are left out
     dropped = [False] * n
     for k in range(1, n):
@@ -312,6 +379,7 @@ def main_text(html: str | None) -> str:
                 and count[k] >= 3
                 and in_links[k] >= 0.9 * total[k]
                 and total[k] * 2 < total[0]
+                and not (tag == "table" and after_text[k])
             )
         )
     score: list[float] = [START_POINTS.get(t, 0) for t in tree.tag]
@@ -345,12 +413,16 @@ def main_text(html: str | None) -> str:
             if tree.parent[k] == tree.parent[best] and k != best and not dropped[k] and total[k]:
                 density = in_links[k] / total[k]
                 if tree.tag[k] in ("p", "pre", "blockquote"):
-                    good = density < 0.25 and (total[k] >= 80 or tree.tag[best] not in ("article", "main"))
+                    good = density < 0.25 and (total[k] >= LONG or tree.tag[best] not in ("article", "main"))
                 else:
                     earned = score[k] - START_POINTS.get(tree.tag[k], 0)
                     good = touched[k] and density < 0.25 and earned >= max(5.0, 0.2 * score[best])
+                    if tree.tag[k] == tree.tag[best] and density < 0.25:
+                        plain = tree.label[k] is not None and tree.label[k] == tree.label[best]
+                        good = good or tree.tag[k] == "section" or (tree.tag[k] == "div" and plain)
                 if good:
                     keep.add(k)
+        keep |= _titles(tree, best, total, keep)
     inside = [False] * n
     for k in range(n):
         inside[k] = not dropped[k] and (k in keep or (k > 0 and inside[tree.parent[k]]))

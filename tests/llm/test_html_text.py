@@ -76,6 +76,39 @@ def test_lists_of_links_in_the_article_stay():
     assert main_text(f"<body><div id=content><p>{LONG * 9}</p>{menu}</div></body>") == (LONG * 9).strip()
 
 
+def test_comments_adverts_and_related_pages_in_the_article_go():
+    body, said = LONG.strip(), f"<p>{LONG * 4}</p>"
+    for part in (
+        f'<div class="comments">{said * 3}</div>', f'<section id="comments">{said * 3}</section>', f'<div id="comments-area">{said}</div>',
+        f'<div class="post-comments">{said * 9}</div>', f'<ul><li class="comment">{LONG * 4}</li></ul>', '<p class="ad">Buy this, now.</p>',
+        '<p class="advertisement">Buy this, now.</p>', '<span class="sponsored">Buy this, now.</span>', f'<div class="related-posts">{said * 2}</div>',
+    ):
+        assert main_text(f"<body><article><h1>T</h1><p>{LONG}</p>{part}<p>End.</p></article></body>") == f"T {body} End.", part
+        assert main_text(f"<body><main><h1>T</h1><p>{LONG}</p>{part}<p>End.</p></main></body>") == f"T {body} End.", part
+    assert main_text(f'<div id="content"><p>{LONG}</p><p>{LONG}</p></div><div id="comments">{said * 9}</div>') == f"{body} {body}"
+    assert main_text(f'<article><h2 class="related">Related</h2><pre>x <span class="comment"># y</span></pre><p>{LONG}</p></article>') == f"Related x # y {body}"
+
+
+def test_titles_beside_the_text_stay():
+    body, text = (LONG * 3).strip(), f"<p>{LONG * 3}</p>"
+    assert main_text(f"<body><div class=post><h1>Title</h1><div class=entry>{text * 3}</div></div><div class=ad>x</div></body>") == f"Title {body} {body} {body}"
+    assert main_text(f"<body><h1>Title</h1><div>{text * 2}</div><footer>f</footer></body>") == f"Title {body} {body}"
+    assert main_text(f"<body><div><h1>Title</h1><h2>Sub</h2><div><div class=entry>{text * 3}</div></div></div></body>") == f"Title Sub {body} {body} {body}"
+    assert main_text(f"<body><h1>Site</h1><nav>menu</nav><div>{text * 2}</div></body>") == f"{body} {body}"
+    assert main_text(f"<body><h1>Site</h1><div><h1>Title</h1>{text * 2}</div></body>") == f"Title {body} {body}"
+
+
+def test_short_parts_between_long_ones_stay():
+    body, text = (LONG * 3).strip(), f"<p>{LONG * 3}</p>"
+    short = "<section><h2>Short</h2><p>Brief note here.</p></section>"
+    page = f"<body><nav>m</nav><section>{text * 2}</section>{short}<section>{text}</section><footer>f</footer></body>"
+    assert main_text(page) == f"{body} {body} Short Brief note here. {body}"
+    assert main_text("<body><div><p>One short text.</p></div><div><p>And another.</p></div></body>") == "One short text. And another."
+    links = "".join(f"<tr><td><a href=/{i}>Part {i}</a></td></tr>" for i in range(3))
+    assert main_text(f"<body><div id=content>{text * 2}<table>{links}</table></div></body>") == f"{body} {body} Part 0 Part 1 Part 2"
+    assert main_text(f"<body><div id=content><table>{links}</table>{text * 2}</div></body>") == f"{body} {body}"
+
+
 def test_long_pages_are_whole():
     page = "<body><div>" + "".join(f"<p>Paragraph {i}, of many.</p>" for i in range(20_000)) + "</div></body>"
     assert main_text(page) == " ".join(f"Paragraph {i}, of many." for i in range(20_000))
