@@ -1,7 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-Grades: 0 poor (``quality`` 0), 1 readable but toxic (``toxic`` 1), 2 good. All grades share
-one weight per hashed feature; ordered thresholds cut the score into grades:
+Grades: 0 toxic (``toxic`` 1), 1 poor (``quality`` 0), 2 good. Toxic is the lowest, as a few words
+tell it and the more of them the worse, while a grade between two others bounds what its words
+may weigh together. All grades share one weight per hashed feature; ordered thresholds cut the score into grades:
 ``P(grade <= j) = sigmoid(threshold_j - score)``. Selection uses the expected grade and the
 tail probability of the best grade.
 
@@ -12,11 +13,10 @@ words, upper case, symbols, word length).
 
 Fitting: at most about ``SAMPLE`` labelled texts, by the hash of ``doc_id``; their feature
 numbers (not the texts) are gathered and fitted on the driver by full gradients, with one
-text of each set of near copies. Features in fewer than ``LEAST`` texts, or whose counts by
-grade are within chance (chi-square below ``CHI_SQUARE``), get no weight. One text in five
-is held out; the
-selection threshold on the tail probability is the lowest that ``CLEAN_RECALL`` of the
-held-out good texts pass, 0.5 at most. Scoring needs no shuffle.
+text of each set of near copies. Features in fewer than ``LEAST`` texts, or that tell the grades
+apart too little (chi-square below ``CHI_SQUARE``), get no weight. The selection threshold is the tail
+probability that ``CLEAN_RECALL`` of the good texts reach when each is scored by a model that was
+fitted without its fold, one of ``FOLDS`` (0.5 without good texts). Scoring needs no shuffle.
 
 Defined cases: a NULL or empty text has only its ratio features; equal texts get equal
 scores; labels with NULL ``quality`` are not used and NULL ``toxic`` counts as 0; a document
@@ -44,6 +44,7 @@ SAMPLE = 12_000
 LEAST = 5
 CHI_SQUARE = 60.0
 ROUNDS = 250
+FOLDS = 5
 RATE = 0.1
 DECAY = 2e-4
 CLEAN_RECALL = 0.98
@@ -155,7 +156,7 @@ def fit_ordinal(index: np.ndarray, at: np.ndarray, grade: np.ndarray) -> Ordinal
     row_weight /= row_weight.sum()
     doc = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(at))
     of_level = level.astype(np.int8)[doc]
-    # features that are rare, or that no grade has more often than chance gives, have no weight
+    # features that are rare, or that tell the grades apart too little, have no weight
     by_grade = np.stack([np.bincount(index[of_level == j], minlength=size) for j in range(len(grades))])
     often = by_grade.sum(axis=0)
     expected = often * (counts / counts.sum())[:, None]
@@ -212,7 +213,7 @@ def graded_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     ``doc_id``."""
     grades = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(
         "doc_id",
-        F.when(F.col("quality") <= 0, 0).when(F.coalesce("toxic", F.lit(0)) > 0, 1).otherwise(TOP_GRADE).alias("grade"),
+        F.when(F.coalesce("toxic", F.lit(0)) > 0, 0).when(F.col("quality") <= 0, 1).otherwise(TOP_GRADE).alias("grade"),
     )
     n = grades.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1)))
@@ -235,21 +236,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
     grade = rows.column("grade").to_numpy().astype(np.int64)
     sets = [x.values.to_numpy() for x in column] if len(grade) else []
-    held = np.array([h % 5 == 0 for h in mix(rows.column("doc_id").to_numpy().astype(np.uint64) + np.uint64(77)).tolist()], bool)
-
+    fold = (mix(rows.column("doc_id").to_numpy().astype(np.uint64) + np.uint64(77)) % np.uint64(FOLDS)).astype(np.int64)
     alone = one_of_near_copies(sets)
 
     def pick(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = [sets[i] for i in np.flatnonzero(which)]
         return (np.concatenate(own) if own else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
 
-    if len(set(grade[~held & alone].tolist())) < 2:
-        held[:] = False
-    model = fit_ordinal(*pick(~held & alone), grade[~held & alone])
-    good = held & (grade >= TOP_GRADE)
+    model, good = fit_ordinal(*pick(alone), grade[alone]), grade >= TOP_GRADE
     if len(model.grades) >= 2:
-        tail = model.predict(*pick(good))[1] if good.any() else np.array([0.5])
-        model.keep_from = float(min(0.5, np.quantile(tail, 1 - CLEAN_RECALL)))
+        tails = [0.5] if not good.any() else []
+        for k in range(FOLDS):
+            asked, rest = good & (fold == k), alone & (fold != k)
+            if asked.any():
+                without = fit_ordinal(*pick(rest), grade[rest])
+                own = without if without.grades == model.grades else model  # a fold may hold all of a grade
+                tails.extend(own.predict(*pick(asked))[1].tolist())
+        model.keep_from = float(np.quantile(tails, 1 - CLEAN_RECALL))
     del rows, column, sets
     release_memory()
     return model

@@ -6,6 +6,8 @@ from stratum.session import load
 from tests.conftest import SF_ORACLE
 from tests.llm.helpers import DOCUMENTS, awkward_rows, documents
 
+SF_LABELS = "/root/testdata/sf0.1"  # the smaller tables have few toxic documents
+
 
 def synthetic(n=600, seed=2):
     rng = np.random.default_rng(seed)
@@ -52,6 +54,26 @@ def test_labelled_documents(spark):
     assert all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
 
 
+def test_toxic_documents_that_were_not_learned_go(spark):
+    docs, labels = load(spark, SF_LABELS, "documents"), load(spark, SF_LABELS, "labels")
+    asked = "doc_id % 5 = 0"
+    model = oq.fit(docs, labels.filter(f"NOT {asked}"))
+    rows = oq.grade_documents(docs.filter(asked), model).join(labels, "doc_id").collect()
+    toxic = [r.kept for r in rows if r.toxic == 1]
+    assert len(toxic) > 50 and np.mean(toxic) < 0.12
+    assert np.mean([r.kept for r in rows if r.quality == 1 and r.toxic == 0]) > 0.96
+    assert np.mean([r.kept for r in rows if r.quality == 0 and r.toxic == 0]) < 0.3
+
+
+def test_repeated_labels_of_repeated_documents(spark):
+    rows = [(i % 40, f"{'vile' if i % 2 else 'fine'} text number {i % 40} of a few") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    assert oq.graded_sample(docs, labels).count() == 240  # each of 120 rows with each of its two labels
+    got = oq.grade_documents(docs, oq.fit(docs, labels)).collect()
+    assert len(got) == 120 and len({(r.doc_id, r.tail_probability) for r in got}) == 40
+
+
 def test_awkward_rows_and_missing_grades(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, 1, None), (2, 1, 1), (4, 0, 0), (None, 1, 0), (6, None, 1)], "doc_id long, quality int, toxic int")
