@@ -16,7 +16,7 @@ numbers (not the texts) are gathered and fitted on the driver by full gradients,
 text of each set of near copies. Features in fewer than ``LEAST`` texts, or that tell the grades
 apart too little (chi-square below ``CHI_SQUARE``), get no weight. The selection threshold is the tail
 probability that ``CLEAN_RECALL`` of the good texts reach when each is scored by a model that was
-fitted without its fold, one of ``FOLDS`` (0.5 without good texts). Scoring needs no shuffle.
+fitted without its fold, one of ``FOLDS``, or by the model if that is lower (0.5 without good texts). Scoring needs no shuffle.
 
 Defined cases: a NULL or empty text has only its ratio features; equal texts get equal
 scores; labels with NULL ``quality`` are not used and NULL ``toxic`` counts as 0; a document
@@ -252,7 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
                 without = fit_ordinal(*pick(rest), grade[rest])
                 own = without if without.grades == model.grades else model  # a fold may hold all of a grade
                 tails.extend(own.predict(*pick(asked))[1].tolist())
-        model.keep_from = float(np.quantile(tails, 1 - CLEAN_RECALL))
+        ends = [tails, model.predict(*pick(good))[1]] if good.any() else [tails]  # few labels: the folds' scale may be another
+        model.keep_from = float(min(np.quantile(x, 1 - CLEAN_RECALL) for x in ends)) - 1e-9
     del rows, column, sets
     release_memory()
     return model
