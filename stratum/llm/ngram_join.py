@@ -14,19 +14,24 @@ least ``threshold`` (words: lower-cased runs of letters, digits, ``_`` and non-A
    at a time, and the pair is dropped as soon as the posterior probability that its
    similarity reaches the threshold (uniform prior) is below ``TOLERANCE``. Survivors are
    summed up as a star to the smallest member of each connected part, one row a member.
-4. The connected parts are gathered; each is again dealt out by pairs of blocks, the pairs
-   are pruned as before, and the rest is verified exactly on the shingle sets. A class gets
-   its number of links; verified links are again summed up as stars, whose connected
-   components are the groups.
+4. The connected parts are gathered; each is again dealt out by pairs of blocks. A part of
+   more than one block is cut by size first: sets of similarity 0.8 differ in size by a
+   factor of 1.25 at most, so only blocks of the same or the next size bin meet. The pairs
+   are pruned as before, on the MinHash values alone, and only classes that have a pair left
+   get their texts, for those pairs of blocks: there the rest is verified exactly on the
+   shingle sets. A class gets its number of links; verified links are again summed up as
+   stars, whose connected components are the groups.
 
 No pairs leave a task, nothing is collected, no key's rows meet in one task, and each
-intermediate table is written to the shared folder.
+intermediate table is written to the shared folder. Classes of more than a thousandth of the
+rows (fewer than 1,000) are broadcast to their rows.
 
 Defined cases: a text without words (NULL, empty) has no shingle and no link and is a
-class and a group of its own; one to four words are one shingle; a NULL ``doc_id`` cannot
-name a class: such rows come back with NULL ids and no link; rows that repeat a ``doc_id``
-with the same words are copies of one another, those with other words are classes of their
-own, which may have the same smallest ``doc_id``; other columns are not read.
+class and a group of its own; one to four words are one shingle; rows with a NULL ``doc_id``
+are compared and counted like others but name no class: the ids of a class or group are
+NULL if all of its rows have none; rows that repeat a ``doc_id`` with the same words are
+copies of one another, those with other words are classes of their own, which may have the
+same smallest ``doc_id``; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm.common import arrow_map, materialize, salted_join, shuffle_partitions, table
@@ -187,31 +192,89 @@ def deal_blocks(members: DataFrame, key: str, n: str) -> DataFrame:
         .withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
         .drop("other", n)
     )
-    return dealt.repartition(shuffle_partitions(members.sparkSession), key, "p", "q").sortWithinPartitions(key, "p", "q", "rep")
+    return _by_pair_of_blocks(dealt, key)
+
+
+def _by_pair_of_blocks(dealt: DataFrame, key: str) -> DataFrame:
+    return dealt.repartition(shuffle_partitions(dealt.sparkSession), key, "p", "q").sortWithinPartitions(key, "p", "q", "rep")
+
+
+def _candidates(t: pa.Table, keys: list[str], least: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs that are left in the pairs of blocks of ``t``; small ones are
+    compared together."""
+    own, p, q = (t.column(c).to_numpy() for c in ("own", "p", "q"))
+    values = minhash_matrix(t.column("bands"))
+    limits = group_limits(t, keys)
+    lefts, rights, size = [], [], 0
+    for k, (a, b) in enumerate(zip(limits, limits[1:], strict=False)):
+        i, j = block_pairs(own[a:b], p[a], q[a])
+        lefts.append(i + a), rights.append(j + a)
+        size += len(i)
+        if size >= 100_000 or k == len(limits) - 2:
+            i, j = surviving_pairs(values, np.concatenate(lefts), np.concatenate(rights), least)
+            lefts, rights, size = [], [], 0
+            if len(i):
+                yield i, j
 
 
 def _prune(least: dict[int, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "p", "q"]):
-            rep, own, p, q = (t.column(c).to_numpy() for c in ("rep", "own", "p", "q"))
-            values = minhash_matrix(t.column("bands"))
-            limits = group_limits(t, ["key", "p", "q"])
-            lefts, rights, size = [], [], 0
-            for k, (a, b) in enumerate(zip(limits, limits[1:], strict=False)):
-                i, j = block_pairs(own[a:b], p[a], q[a])
-                lefts.append(i + a), rights.append(j + a)
-                size += len(i)
-                if size >= 100_000 or k == len(limits) - 2:  # small groups are compared together
-                    i, j = surviving_pairs(values, np.concatenate(lefts), np.concatenate(rights), least)
-                    lefts, rights, size = [], [], 0
-                    if len(i):
-                        label = star_labels(len(rep), i, j)
-                        use = np.flatnonzero(label != np.arange(len(rep)))
-                        yield pa.RecordBatch.from_arrays([pa.array(rep[use]), pa.array(rep[label[use]])], ["a", "b"])
+            rep = t.column("rep").to_numpy()
+            for i, j in _candidates(t, ["key", "p", "q"], least):
+                label = star_labels(len(rep), i, j)
+                use = np.flatnonzero(label != np.arange(len(rep)))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[use]), pa.array(rep[label[use]])], ["a", "b"])
 
     return run
 
 
+def _with_pairs(least: dict[int, int]) -> Callable:
+    """The rows that have a pair left in their pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["comp", "p", "q"]):
+            left = np.zeros(t.num_rows, bool)
+            for i, j in _candidates(t, ["comp", "p", "q"], least):
+                left[i] = left[j] = True
+            yield from t.filter(pa.array(left)).to_batches()
+
+    return run
+
+
+def deal_by_size(members: DataFrame, threshold: float) -> DataFrame:
+    """``comp, p, q, own`` and the columns of ``members`` (``comp, rep, n_shingles``, others):
+    a member once for every pair of blocks it is to be compared in. Sorted like
+    :func:`deal_blocks`; no two sets that may reach the threshold miss each other."""
+    width = max(-math.log(threshold) * (1 + 1e-6), 0.05)  # a little wider: bins differ by one at most
+    size_bin = F.floor(F.log("n_shingles") / width).cast("int")
+    sizes = members.groupBy("comp", size_bin.alias("bin")).agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("comp").agg(F.sum("size").alias("total"), F.collect_list(F.struct("bin", "size")).alias("bins"))  # a row a bin
+    one = F.array(F.struct(F.lit(0).alias("bin"), F.col("total").alias("size")))
+    sizes = sizes.select("comp", "total", F.map_from_entries(F.when(F.col("total") > BLOCK, F.col("bins")).otherwise(one)).alias("sizes"))
+
+    def count(of_bin: Column) -> Column:
+        return F.ceil(F.coalesce(F.try_element_at("sizes", of_bin), F.lit(0)) / BLOCK)
+
+    def name(of_bin: Column, block: Column) -> Column:
+        return F.shiftleft(of_bin.cast("long"), 40) + block
+
+    def names(of_bin: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0).cast("long"), count(of_bin) - 1), lambda block: name(of_bin, block))
+        return F.when(count(of_bin) > 0, every).otherwise(F.array().cast("array<long>"))
+
+    at = F.col("bin")
+    dealt = (
+        salted_join(members, sizes, ["comp"], "rep")
+        .withColumn("bin", F.when(F.col("total") > BLOCK, size_bin).otherwise(0))
+        .withColumn("own", name(at, F.pmod(F.xxhash64("rep", F.lit("comp")), count(at))))
+        .withColumn("other", F.explode(F.concat(names(at - 1), names(at), names(at + 1))))
+        .withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+        .drop("other", "total", "sizes", "bin")
+    )
+    return _by_pair_of_blocks(dealt, "comp")
+
+
 def linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     """Which of the pairs reach the threshold: exact intersections, by products of 0/1
     matrices over the shingles that more than one set has, a slice of them at a time."""
@@ -266,7 +329,7 @@ def _verify(least: dict[int, int], threshold: float) -> Callable:
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["comp", "size", "rep", "n", "bands"]
+    names = ["rep", "n", "bands", "cells"]
     for batch in batches:
         for part in blocks(batch, "text"):
             sets, at = shingle_sets(part.column("text"), K)
@@ -285,14 +348,19 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
 def row_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """:func:`jaccard_groups` with each row's ``text_hash`` and the ``group_key`` of its group,
     which differs between groups even where they have the same smallest ``doc_id``; NULL
-    without words or ``doc_id``."""
+    without words."""
     least = least_matches(threshold, tolerance)
     sketch = materialize(sketches(docs), "sketches")
     classes = materialize(
-        sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        sketch.filter("n_shingles > 0")
         .groupBy("f1", "f2")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-        .select(F.monotonically_increasing_id().alias("rep"), "f1", "f2", "least.doc_id", "least.text_hash", "n", "bands"),
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("least"),
+            F.count("*").alias("n"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"),
+        )
+        .select(F.monotonically_increasing_id().alias("rep"), "f1", "f2", "least.doc_id", "least.text_hash", "n", "n_shingles", "bands"),
         "classes",
     )
     members = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key"))
@@ -310,40 +378,60 @@ def row_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
         .agg(F.min("key").alias("key"))
         .select("key", "n")
     )
-    candidates = members.join(buckets, "key").join(classes.select("rep", "bands"), "rep")
+    candidates = salted_join(members, buckets, ["key"], "rep").join(classes.select("rep", "bands"), "rep")
     stars = arrow_map(deal_blocks(candidates, "key", "n"), _prune(least), "a long, b long")
-    parts = materialize(connected_components(stars), "parts")
-    sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
-    wanted = parts.join(sizes, "label").join(classes.select(F.col("rep").alias("node"), "doc_id", "text_hash", "n", "bands"), "node")
+    parts = connected_components(stars).select(F.col("node").alias("rep"), F.col("label").alias("comp"))
+    parts = materialize(parts.join(classes.drop("f1", "f2"), "rep"), "parts")
+    dealt = deal_by_size(parts, threshold).select("comp", "p", "q", "own", "rep", "n", "doc_id", "text_hash", "bands")
+    left = materialize(
+        arrow_map(
+            dealt,
+            _with_pairs(least),
+            "comp long, p long, q long, own long, rep long, n long, doc_id long, text_hash long, bands array<long>",
+        ),
+        "left",
+    )
+    wanted = left.groupBy("rep", F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash"), "n").agg(
+        F.first("bands").alias("bands"), F.collect_list(F.struct("comp", "p", "q", "own")).alias("cells")
+    )
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    once = wanted.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"])
+    texts = texts.filter("doc_id IS NOT NULL").unionAll(texts.filter("doc_id IS NULL").dropDuplicates(["text_hash"]))
+    same = F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_hash") == F.col("text_hash"))
+    once = wanted.join(texts, same).dropDuplicates(["of_doc", "of_hash", "rep"])
+    cells = "array<struct<comp:long,p:long,q:long,own:long>>"
     shingled = arrow_map(
-        once.select(F.col("label").alias("comp"), "size", F.col("node").alias("rep"), "n", "bands", "text"),
-        _shingled,
-        "comp long, size long, rep long, n long, bands array<long>, shingles binary",
+        once.select("rep", "n", "bands", "cells", "text"), _shingled, f"rep long, n long, bands array<long>, cells {cells}, shingles binary"
     )
+    shingled = shingled.select("rep", "n", "bands", "shingles", F.explode("cells").alias("cell")).select("cell.*", "rep", "n", "bands", "shingles")
     found = materialize(
-        arrow_map(deal_blocks(shingled, "comp", "size"), _verify(least, threshold), "a long, b long, links long, copies long"), "links"
+        arrow_map(_by_pair_of_blocks(shingled, "comp"), _verify(least, threshold), "a long, b long, links long, copies long"), "links"
     )
     groups = connected_components(found.select("a", "b")).withColumnsRenamed({"node": "rep", "label": "group"})
     groups = materialize(groups.join(classes.select("rep", "doc_id"), "rep"), "groups")
     groups = salted_join(groups.drop("doc_id"), groups.groupBy("group").agg(F.min("doc_id").alias("group_doc")), ["group"], "rep")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
     known = classes.select("f1", "f2", "rep", F.col("doc_id").alias("copy"), "n").join(links.join(groups, "rep"), "rep", "left")
-    named = F.col("n_shingles") > 0
-    return (
-        sketch.select("doc_id", "text_hash", "n_shingles", "f1", "f2")
-        .join(known, ["f1", "f2"], "left")
-        .select(
-            "doc_id",
-            F.when(F.col("doc_id").isNull(), None).when(named, F.coalesce("group_doc", "copy")).otherwise(F.col("doc_id")).alias("class_id"),
-            F.when(F.col("doc_id").isNull(), None).when(named, F.col("copy")).otherwise(F.col("doc_id")).alias("copy_id"),
-            F.when(F.col("doc_id").isNull() | ~named, 0).otherwise(F.col("n") - 1 + F.coalesce("copies", F.lit(0))).cast("bigint").alias("n_links"),
-            F.when(F.col("doc_id").isNull() | ~named, 0).otherwise(F.coalesce("links", F.lit(0))).cast("bigint").alias("n_text_links"),
-            "text_hash",
-            F.when(F.col("doc_id").isNotNull() & named, F.coalesce("group", "rep")).alias("group_key"),
-        )
+    known = materialize(
+        known.select(
+            "f1",
+            "f2",
+            (F.col("n") * 1000 > sketch.count()).alias("often"),  # fewer than 1,000 classes
+            F.coalesce("group_doc", "copy").alias("class_id"),
+            F.col("copy").alias("copy_id"),
+            (F.col("n") - 1 + F.coalesce("copies", F.lit(0))).cast("bigint").alias("n_links"),
+            F.coalesce("links", F.lit(0)).cast("bigint").alias("n_text_links"),
+            F.coalesce("group", "rep").alias("group_key"),
+        ),
+        "known",
     )
+    rows = sketch.select("doc_id", "text_hash", "f1", "f2", "n_shingles")
+    worded = rows.filter("n_shingles > 0")
+    often = F.broadcast(known.filter("often"))
+    rest = worded.join(often.select("f1", "f2"), ["f1", "f2"], "left_anti").join(known.filter("NOT often"), ["f1", "f2"])
+    names = ["doc_id", "class_id", "copy_id", "n_links", "n_text_links", "text_hash", "group_key"]
+    alone = rows.filter("n_shingles = 0").withColumns({"class_id": F.col("doc_id"), "copy_id": F.col("doc_id")})
+    alone = alone.withColumns({"n_links": F.lit(0).cast("bigint"), "n_text_links": F.lit(0).cast("bigint"), "group_key": F.lit(None).cast("bigint")})
+    return worded.join(often, ["f1", "f2"]).select(*names).unionAll(rest.select(*names)).unionAll(alone.select(*names))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

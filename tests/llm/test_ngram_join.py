@@ -48,8 +48,31 @@ def test_awkward_rows(spark):
     assert by_id[3][0].copy_id == 3 and by_id[3][0].n_links == 2 and by_id[3][0].n_text_links == 1
     assert (by_id[4][0].class_id, by_id[4][0].n_links) == (4, 0) and (by_id[5][0].class_id, by_id[5][0].n_links) == (5, 0)
     assert len(by_id[9]) == 2 and {(r.class_id, r.n_links) for r in by_id[9]} == {(9, 1)}
-    assert by_id[None][0].class_id is None and by_id[None][0].n_links == 0
-    assert (by_id[10][0].class_id, by_id[10][0].n_links) == (10, 0)
+    assert [(r.class_id, r.copy_id, r.n_links) for r in by_id[None]] == [(10, 10, 1)] == [(r.class_id, r.copy_id, r.n_links) for r in by_id[10]]
+
+
+def test_blocks_are_cut_by_size(spark, monkeypatch):
+    # beginnings of one text, each four words longer: all are connected, few pairs can be linked
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(360)]
+    rows = [(k, " ".join(words[: 40 + 4 * k])) for k in range(80)]
+    seen = []
+    deal = ngram_join.deal_by_size
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "deal_by_size", lambda members, threshold: seen.append((members.count(), deal(members, threshold))) or seen[-1][1])
+    check(spark, rows)
+    n, dealt = seen[0]
+    assert n == 80 and dealt.select("rep", "p", "q").distinct().count() == dealt.count() < 80 * (80 / 6) * 0.6
+
+
+def test_rows_without_ids_are_compared(spark):
+    one, two, three = (" ".join(f"{name}{k}" for k in range(80)) for name in ("x", "y", "z"))
+    rows = [(None, one), (7, one + " tail"), (None, one), (None, two), (None, two + " tail"), (None, two + " tail"), (None, three), (None, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS)
+    got = sorted(((r.doc_id, r.class_id, r.copy_id, r.n_links, r.n_text_links) for r in jaccard_groups(df).collect()), key=repr)
+    want = [(7, 7, 7, 2, 1), (None, 7, None, 2, 1), (None, 7, None, 2, 1), (None, None, None, 2, 1), (None, None, None, 2, 1), (None, None, None, 2, 1)]
+    want += [(None, None, None, 0, 0), (None, None, None, 0, 0), (3, 3, 3, 0, 0)]
+    assert got == sorted(want, key=repr)
 
 
 def repeated_rows():
