@@ -58,6 +58,9 @@ BLOCK = 256
 _A = np.random.default_rng(7).integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 2**63, VALUES, dtype=np.uint64)
 
+#: A text has a word, and so a shingle, if this matches.
+HAS_WORD = r"[0-9A-Za-z_]|[^\x00-\x7F]"
+
 SKETCH = "doc_id long, text_hash long, n_shingles int, f1 long, f2 long, bands array<long>"
 
 

@@ -79,7 +79,7 @@ def test_awkward_rows_and_clashing_columns(spark):
             assert got.columns == docs.columns and 0 < len(rows) <= len(awkward_rows())
             assert all(r["kept"] == "not kept" for r in rows)
         if name == "near_duplicates":
-            assert sorted((r.doc_id for r in rows), key=repr) == sorted([1, 4, 5, 6, 7, 8, 9, 10, 11, None], key=repr)
+            assert sorted((r.doc_id for r in rows), key=repr) == [1, 10, 11, 4, 5, 6, 7, 8, 9]
         empty = spark.createDataFrame([], DOCUMENTS).withColumn("key", F.lit(1))
         assert stage(spark, empty, SF_SMOKE).collect() == []
 
@@ -91,6 +91,16 @@ def test_unlike_texts_of_one_doc_id_stay(spark):
     assert got == sorted([rows[0], rows[3], rows[5], rows[7]])
 
 
+def test_near_duplicates_without_ids_go(spark):
+    one, two, three = (" ".join(f"{name}{k}" for k in range(80)) for name in ("x", "y", "z"))
+    rows = [(None, one), (7, one + " tail"), (None, two), (None, two), (None, two + " tail"), (None, three), (None, None), (None, None), (None, ". !")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS)
+    got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF_SMOKE).collect()]
+    kept = [x for x in got if x[1] not in (two, two + " tail")]
+    assert len(got) == len(kept) + 1
+    assert sorted(kept, key=repr) == sorted([(7, one + " tail"), (None, three), (None, None), (None, None), (None, ". !")], key=repr)
+
+
 def test_run(spark):
     rows = cp.run(spark, SF_SMOKE).collect()
     assert 100 < len(rows) <= 200 and len({r.doc_id for r in rows}) == len(rows)
