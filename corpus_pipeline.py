@@ -2,7 +2,8 @@
 
 1. ``quality``: documents that the ordinal quality classifier rejects go.
 2. ``language``: documents that language ID rejects go.
-3. ``near_duplicates``: one document of each near-duplicate group stays, the smallest ``doc_id``.
+3. ``near_duplicates``: one document of each near-duplicate group stays, the smallest ``doc_id``
+   (where none has a ``doc_id``, one of the smallest text hash).
 4. ``mixture``: each leaf of the domain - language - source tree keeps the token prefix that its
    budget allows, in one epoch, so that no document comes twice.
 5. ``tokens``: byte-level BPE ids of every document that is left, and a decoding check.
@@ -13,9 +14,10 @@ last return the columns of their input, extra ones included, whatever they are c
 lost executor costs no more than one stage.
 
 Defined cases: a document with a NULL or empty text has no letter, so stage 2 drops it if
-stage 1 has not; documents with a NULL ``doc_id`` cannot be named in a group and pass stage
-3, and stage 4 takes or leaves them together; of rows that repeat a ``doc_id`` in one group
-stage 3 keeps one, and those of unlike texts stay; an empty table stays empty; without labels stage 1 keeps everything.
+stage 1 has not; documents with a NULL ``doc_id`` are compared in stage 3 like others, and
+stage 4 takes or leaves them together; documents without a word are near duplicates of none; of rows
+that repeat a ``doc_id`` in one group stage 3 keeps one, and those of unlike texts stay; an
+empty table stays empty; without labels stage 1 keeps everything.
 """
 
 from __future__ import annotations
@@ -73,15 +75,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.row_groups(docs.select("doc_id", "text"))
     wordless = F.when(F.col("group_key").isNull(), F.col("text_hash")).alias("wordless")
-    first = groups.filter("doc_id = class_id").groupBy("doc_id", "group_key", wordless)
+    first = groups.filter("doc_id <=> class_id").groupBy("doc_id", "group_key", wordless)
     first = first.agg(F.count("*").alias("rows"), F.min("text_hash").alias("text_hash"))
-    first = materialize(first.select(F.col("doc_id").alias("taken_id"), F.col("text_hash").alias("taken_hash"), "rows"), "first")
+    first = first.select(F.col("doc_id").alias("taken_id"), F.col("text_hash").alias("taken_hash"), "rows", "wordless")
+    first = materialize(first, "first")
     same = (F.col("doc_id") == F.col("taken_id")) & (F.col("text_hash") == F.col("taken_hash"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
     once = rows.join(first.filter("rows = 1"), same, "left_semi").select("row.*")
     repeated = rows.join(first.filter("rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
-    unnamed = docs.filter("doc_id IS NULL")
-    return once.unionByName(repeated).unionByName(unnamed)
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(ngram_join.HAS_WORD)
+    unnamed = rows.filter("doc_id IS NULL")
+    taken = first.filter("taken_id IS NULL AND wordless IS NULL").select(F.col("taken_hash").alias("text_hash"))
+    least = unnamed.filter(worded).select("row", "text_hash").dropDuplicates(["text_hash"]).join(taken, "text_hash", "left_semi").select("row.*")
+    alone = unnamed.filter(~worded).select("row.*")
+    return once.unionByName(repeated).unionByName(least).unionByName(alone)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
