@@ -198,11 +198,17 @@ def fit_ordinal(index: np.ndarray, at: np.ndarray, grade: np.ndarray) -> Ordinal
 
 def one_of_near_copies(sets: list[np.ndarray]) -> np.ndarray:
     """False for a set that shares six minima of hashes in a row with an earlier one."""
-    seen: set[tuple] = set()
+    least = np.full((len(sets), 48), -1, np.int64)
+    some = [i for i, own in enumerate(sets) if len(own)]
+    if some:
+        every = np.concatenate([sets[i] for i in some]).astype(np.uint64)
+        begin = np.cumsum([0, *[len(sets[i]) for i in some[:-1]]])
+        for k in range(48):
+            least[some, k] = np.minimum.reduceat(mix(every ^ np.uint64(0xC0FFEE * (k + 1))), begin).view(np.int64)
     out = np.ones(len(sets), bool)
-    for i, own in enumerate(sets):
-        least = [int(mix(own.astype(np.uint64) ^ np.uint64(0xC0FFEE * (k + 1))).min()) if len(own) else -1 for k in range(48)]
-        names = {(k, *least[k : k + 6]) for k in range(0, 48, 6)}
+    seen: set[tuple[int, bytes]] = set()
+    for i, own in enumerate(least):
+        names = {(k, own[k : k + 6].tobytes()) for k in range(0, 48, 6)}
         out[i] = not (names & seen)
         seen |= names
     return out
