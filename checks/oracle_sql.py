@@ -390,7 +390,9 @@ ORACLE: dict[str, str] = {
         FROM {DATED_SHEET} GROUP BY ROLLUP (customer, OrderStatus)""",
     "X7_gold_stages": f"""SELECT customer, CAST(year(OrderDate) AS INTEGER) AS year, count(*) AS n_rows,
         CAST(sum(CAST(TotalPrice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM {DATED_SHEET} GROUP BY 1, 2""",
-    "C3_catalog_inventory": f"""SELECT catalog, CAST(count(DISTINCT schema) AS INTEGER) AS n_schemas,
+    "C3_catalog_inventory": """SELECT DISTINCT 'spark_catalog' AS catalog, CAST(k % 5 AS STRING) AS schema, 't' || CAST(k AS STRING) AS "table"
+        FROM (SELECT CAST(floor(s_suppkey / 10) AS BIGINT) AS k FROM supplier)""",
+    "C3_catalog_schemas": f"""SELECT catalog, CAST(count(DISTINCT schema) AS INTEGER) AS n_schemas,
         string_agg(DISTINCT schema, ',' ORDER BY schema) AS schemas FROM {INVENTORY} GROUP BY catalog""",
     "C7_find_layer_table": f"""WITH r AS (SELECT DISTINCT {_sel(d.LAYER_REQUEST_EXPRS)}, strftime(o_orderdate, '%Y%m%d') AS as_of FROM orders),
         names AS (SELECT tableName FROM {DATED_LISTING}

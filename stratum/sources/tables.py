@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -128,6 +129,22 @@ def catalog_inventory(spark: SparkSession, catalogs: Sequence[str] | None = None
     return out
 
 
+def create_tables(wanted: DataFrame, location: str, threads: int = 8) -> None:
+    """Register an empty table for every row of ``wanted(schema, table)``, with its schema under
+    ``location``. A catalog takes tables one by one, from the driver, which holds the names
+    of one partition at a time; ``threads`` commands run side by side."""
+    spark = wanted.sparkSession
+    for row in wanted.select("schema").distinct().toLocalIterator():
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {_quoted(row['schema'])} LOCATION '{location}/{row['schema']}'")
+
+    def create(row) -> None:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {_quoted(row['schema'])}.{_quoted(row['table'])} (x INT) USING parquet")
+
+    with ThreadPool(threads) as pool:
+        for _ in pool.imap_unordered(create, wanted.toLocalIterator(), chunksize=16):
+            pass
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

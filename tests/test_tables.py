@@ -121,6 +121,20 @@ def test_run_log_key_check_reads_the_touched_months(spark, tmpdir_path):
     assert spark.table(name).count() == 3
 
 
+def test_catalog_query_lists_a_table_per_ten_suppliers(spark, tmpdir_path):
+    from checks.oracle_sql import ORACLE
+    from stratum.plans.registry import REGISTRY
+
+    keys = [(k,) for k in (0, 9, 10, 10, 57, 57, 123, None)]
+    spark.createDataFrame(keys, "s_suppkey long").write.parquet(f"{tmpdir_path}/supplier.parquet")
+    got = REGISTRY["C3_catalog_inventory"](spark, tmpdir_path)
+    assert got.columns == ["catalog", "schema", "table"]
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    want = [("spark_catalog", s, t) for s, t in (("0", "t0"), ("0", "t5"), ("1", "t1"), ("2", "t12"), (None, None))]
+    assert rows == sorted(want, key=repr)
+    assert "FROM supplier" in ORACLE["C3_catalog_inventory"]
+
+
 def test_catalog_inventory_and_schemas(spark):
     inv = tables.catalog_inventory(spark, ["spark_catalog"])
     assert set(inv.columns) == {"catalog", "schema", "table"}
