@@ -303,6 +303,9 @@ def find_dated_tables(
 
 COMMITS_SCHEMA = "version long, kind string, commit_id string, stream string, batch long"
 DELTA_PARTITION = "delta_version"
+#: Rows of a file of a delta. Readers sort the changes of a scan task by key; Spark puts at most
+#: 32 files in a scan task (``maxPartitionBytes`` over ``openCostInBytes``), however small they are.
+DELTA_FILE_ROWS = 100_000
 
 
 def _commit(spark: SparkSession, base: str, version: int, kind: str, stream: str | None = None, batch: int | None = None) -> None:
@@ -345,12 +348,13 @@ def commit_delta(
     """Record ``df`` (rows of changes) as the next delta version: written to
     ``<base>/_deltas/delta_version=<n>`` (overwrite: a retry replaces partial output), then committed,
     with the stream and batch it came from. The cost is the size of the changes, whatever
-    the size of the table."""
+    the size of the table. Files have at most ``DELTA_FILE_ROWS`` rows, so that a delta of one
+    task is read by many."""
     spark = df.sparkSession
     if version is None:
         last = latest_version(spark, base)
         version = 0 if last is None else last + 1
-    df.write.mode("overwrite").format(fmt).save(f"{base}/_deltas/{DELTA_PARTITION}={version}")
+    df.write.mode("overwrite").option("maxRecordsPerFile", DELTA_FILE_ROWS).format(fmt).save(f"{base}/_deltas/{DELTA_PARTITION}={version}")
     _commit(spark, base, version, "delta", stream, batch)
     return version
 

@@ -143,3 +143,33 @@ def test_catalog_inventory_and_schemas(spark):
     )
     got = {r.catalog: r.schemas for r in tables.catalog_schemas(demo).collect()}
     assert got == {"c1": ["a", "b"], "c2": ["x"]}
+
+
+def test_a_delta_of_one_task_is_read_by_many(spark, tmpdir_path):
+    base, n = f"{tmpdir_path}/delta", 2 * tables.DELTA_FILE_ROWS + 1
+    tables.commit_snapshot(spark.range(1), base)
+    tables.commit_delta(spark.range(n).coalesce(1), base)
+    _, deltas = tables.read_with_deltas(spark, base)
+    per_file = deltas.groupBy(F.input_file_name()).count().collect()
+    assert len(per_file) >= 3 and sum(r["count"] for r in per_file) == n
+    assert max(r["count"] for r in per_file) <= tables.DELTA_FILE_ROWS
+
+
+def test_cdc_query_streams_the_files_of_its_feed_side_by_side(spark, tmpdir_path):
+    import os
+
+    from stratum.plans.registry import REGISTRY
+    from stratum.session import shared_dir
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.repartition(4).write.parquet(f"{tmpdir_path}/orders.parquet")
+    root = shared_dir(spark).removeprefix("file:") + "/stratum"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    rows = REGISTRY["X5_cdc_stream"](spark, tmpdir_path)
+    want = REGISTRY["X5_cdc_apply"](spark, tmpdir_path)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
+    [base] = [f for f in set(os.listdir(root)) - before if f.startswith("cdc-base")]
+    deltas = sorted(os.listdir(f"{root}/{base}/_deltas"))
+    assert deltas == ["delta_version=3", "delta_version=4"]  # a batch an arrival
+    for d in deltas:
+        assert sum(f.endswith(".parquet") for f in os.listdir(f"{root}/{base}/_deltas/{d}")) > 1
