@@ -26,6 +26,8 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,45 +38,85 @@ _WORDS = 31  # each 64-bit hash fills so many sums, two lanes in each
 _HASHES = 2
 LIKE_LANES = 2 * _WORDS * _HASHES
 PIECE = 48
-_PAIR = 1 | 1 << 31  # the two bits of one hash that meet in a sum
 _LOW = (1 << 31) - 1
+_CHUNK = 127  # hashes whose ones fit a byte each, the highest without its sign
+_BYTES = 0x0101010101010101
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _shift(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftrightunsigned", x, bits)
+
+
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
+
+
+def _packed_lanes(hashes: Column) -> Column:
+    """Packed pairs of lanes of an array of hashes: word ``i`` counts bit ``i`` and bit ``i + 31``.
+    Up to ``_CHUNK`` hashes are counted in eight sums of eight one-byte counts, then spread."""
+
+    def of_chunk(chunk: Column) -> Column:
+        sums = F.transform(_numbers(8), lambda i: F.aggregate(
+            chunk, F.lit(0).cast("bigint"), lambda s, h: s + _shift(h, i).bitwiseAND(F.lit(_BYTES))
+        ))
+
+        def ones(by: Column, bit: Column) -> Column:
+            return _shift(F.get(by, bit.bitwiseAND(F.lit(7))), bit.bitwiseAND(F.lit(-8))).bitwiseAND(F.lit(255).cast("bigint"))
+
+        return _let(sums, lambda by: F.transform(_numbers(_WORDS), lambda i: ones(by, i).bitwiseOR(F.shiftleft(ones(by, i + _WORDS), _WORDS))))
+
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(hashes) / _CHUNK).cast("int")), lambda c: F.slice(hashes, c * _CHUNK + 1, _CHUNK)
+    )
+    none = F.array_repeat(F.lit(0).cast("bigint"), _WORDS)
+    return F.aggregate(chunks, none, lambda total, chunk: F.zip_with(total, of_chunk(chunk), lambda x, y: x + y))
+
+
+def paragraph_vector(body: Column) -> Column:
+    """Struct of ``exact array<bigint>``, ``like array<bigint>`` (packed pairs of lanes) and
+    ``pieces bigint``, summed over the paragraphs of one body.
+
+    Arrays inside the row: an aggregate of 79 sums is one generated method of nearly the size
+    limit of the JVM's compiler, in whose memory it shows. The row's pieces are held at once."""
+    exact = F.aggregate(
+        F.split(body, "\n"),
+        F.array_repeat(F.lit(0).cast("bigint"), EXACT_LANES),
+        lambda total, par: _let(F.sha2(par, 512), lambda d: F.zip_with(
+            total, _numbers(EXACT_LANES),
+            lambda x, i: (x + F.conv(F.substring(d, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint")).bitwiseAND(F.lit((1 << 32) - 1)),
+        )),
+    )
+    # a piece ends with its paragraph
+    pieces = F.regexp_extract_all(body, F.lit(f"[^.!?\n]{{1,{PIECE}}}"), F.lit(0))
+
+    def hashed(found: Column, seed: int) -> Column:
+        return F.transform(found, lambda x: F.xxhash64(x, F.lit(seed)))
+
+    def vector(found: Column) -> Column:
+        like = [_let(hashed(found, seed), _packed_lanes) for seed in range(_HASHES)]
+        return F.struct(exact.alias("exact"), F.concat(*like).alias("like"), F.size(found).cast("bigint").alias("pieces"))
+
+    return F.when(body.isNotNull(), _let(pieces, vector))
 
 
 def paragraph_sums(bodies: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """Per ``keys``: ``exact array<bigint>``, ``like array<bigint>`` (packed pairs of lanes)
-    and ``pieces bigint``, summed over the paragraphs of every body. Where ``keys`` hold
-    the column that the input is already partitioned by, no shuffle is needed."""
-    paragraphs = bodies.select(*keys, F.explode(F.split(F.col(body), "\n")).alias("par"))
-    pieces = paragraphs.select(
-        *keys, "par",
-        F.posexplode_outer(F.regexp_extract_all("par", F.lit(f"[^.!?]{{1,{PIECE}}}"), F.lit(0))).alias("at", "piece"),
-    )
-    hashed = pieces.select(
-        *keys,
-        F.col("piece").isNotNull().cast("bigint").alias("piece_n"),
-        # the exact lanes are added once per paragraph
-        F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, F.sha2("par", 512)).alias("digest"),
-        *[F.when(F.col("piece").isNotNull(), F.xxhash64("piece", F.lit(seed))).alias(f"h{seed}") for seed in range(_HASHES)],
+    and ``pieces bigint``, summed over the paragraphs of every body."""
+    vectors = bodies.where(F.col(body).isNotNull()).select(*keys, paragraph_vector(F.col(body)).alias("_v"))
+    lanes = vectors.select(*keys, F.posexplode(F.concat("_v.exact", "_v.like", F.array("_v.pieces"))).alias("_at", "_n"))
+    totals = lanes.groupBy(*keys, "_at").agg(F.sum("_n").alias("_n")).groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_at", "_n"))), lambda x: x["_n"]).alias("_all")  # 79 each
     )
-    exact = [F.sum(F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("bigint")) for i in range(EXACT_LANES)]
-    like = [
-        F.sum(F.shiftrightunsigned(f"h{seed}", i).bitwiseAND(F.lit(_PAIR)))
-        for seed in range(_HASHES)
-        for i in range(_WORDS)
-    ]
-    return (
-        hashed.groupBy(*keys)
-        .agg(
-            *[x.alias(f"e{i}") for i, x in enumerate(exact)],
-            *[x.alias(f"l{i}") for i, x in enumerate(like)],
-            F.sum("piece_n").alias("pieces"),
-        )
-        .select(
-            *keys,
-            F.array(*[F.col(f"e{i}").bitwiseAND(F.lit((1 << 32) - 1)) for i in range(EXACT_LANES)]).alias("exact"),
-            F.array(*[F.coalesce(f"l{i}", F.lit(0)) for i in range(_WORDS * _HASHES)]).alias("like"),
-            "pieces",
-        )
+    return totals.select(
+        *keys,
+        F.transform(F.slice("_all", 1, EXACT_LANES), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))).alias("exact"),
+        F.slice("_all", EXACT_LANES + 1, _WORDS * _HASHES).alias("like"),
+        F.element_at("_all", -1).alias("pieces"),
     )
 
 
@@ -123,8 +165,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``bucket, doc_id, text, next_text``: each row with the text of the next document in
-    descending ``doc_id`` (after the last: the first). One shuffle of the texts, by ranges of
+    """``doc_id, text, own, next_text, next``: each row with the text of the next document in
+    descending ``doc_id`` (after the last: the first), and the :func:`paragraph_vector` of both,
+    each text's computed once. One shuffle of the texts, by ranges of
     ``doc_id``; the first text of each range is copied to the end of the range before it."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("bucket", range_buckets(docs.select("doc_id"), "doc_id"))
@@ -144,9 +187,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     return (
         rows.withColumn("copied", F.lit(False))
         .unionByName(heads)
-        .withColumn("next_text", F.lead("text").over(w))
+        .repartition("bucket")
+        .withColumn("own", paragraph_vector(F.col("text")))  # after the shuffle, before the window
+        .withColumns({"next_text": F.lead("text").over(w), "next": F.lead("own").over(w)})
         .filter(~F.col("copied"))
-        .select("bucket", "doc_id", "text", "next_text")
+        .select("doc_id", "text", "own", "next_text", "next")
     )
 
 
@@ -157,25 +202,21 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     n = F.length("text").cast("bigint")
     half = F.floor(n / 2).cast("int")
     prepared = linked.select(
-        "bucket",
-        # rows of a range are in a total order, so a replayed task numbers them as before
-        F.monotonically_increasing_id().alias("row"),
         "doc_id",
         n.alias("n_chars"),
-        "text",
         F.concat(F.substring(F.col("text"), F.lit(1), n.cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"),
-        "next_text",
-    ).withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["bucket", "row", "doc_id", "n_chars", "edited_sha256"]
-    bodies = prepared.select(*keys, F.posexplode(F.array("text", "edited", "next_text")).alias("which", "body"))
-    sums = paragraph_sums(bodies, [*keys, "which"])
+        "own",
+        "next",
+    )
     return (
-        sums.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("which", "exact", "like", "pieces"))).alias("v"))  # three each
-        .select(*keys, *[
-            F.struct(*[F.col("v")[i][c].alias(c) for c in ("exact", "like", "pieces")]).alias(name)
-            for i, name in enumerate(("own", "edited", "next"))
-        ])
+        prepared.select(
+            "doc_id",
+            "n_chars",
+            F.sha2("edited", 256).alias("edited_sha256"),
+            "own",
+            paragraph_vector(F.col("edited")).alias("edited"),
+            "next",
+        )
         .select(
             "doc_id",
             "n_chars",

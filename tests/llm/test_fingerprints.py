@@ -1,4 +1,7 @@
+import contextlib
 import hashlib
+import io
+import re
 
 from pyspark.sql import functions as F
 
@@ -65,3 +68,30 @@ def test_likeness_follows_the_common_share(spark):
     first = sums.filter("id = 1").select(F.col("v").alias("a"))
     got = {r.id: r.s for r in sums.crossJoin(first).select("id", likeness(F.col("v"), F.col("a")).alias("s")).collect()}
     assert got[1] == 1.0 and abs(got[2] - 0.75) < 0.2 and abs(got[3] - 0.5) < 0.25
+
+
+def test_sums_make_no_method_near_the_compilers_limit(spark):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        spark.conf.set("spark.sql.adaptive.enabled", False)  # else the plan has no code before it runs
+        try:
+            fingerprint_documents(documents(spark)).explain("codegen")
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", True)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert sizes and max(sizes) < 4000
+
+
+def test_long_bodies_and_repeated_keys_are_summed(spark):
+    """More pieces than a byte counts, some in all lanes alike."""
+    bodies = [(1, "same words. " * 1000 + "\n"), (1, "other!\n\nlines"), (2, None), (3, "")]
+    df = spark.createDataFrame(bodies, "id long, body string")
+    got = {r.id: r for r in paragraph_sums(df, ["id"]).collect()}
+    assert set(got) == {1, 3} and got[3].pieces == 0 and set(got[3].like) == {0}
+    pieces = ["same words"] + [" same words"] * 999 + [" ", "other", "lines"]
+    hashes = spark.createDataFrame([(p,) for p in pieces], "p string").select(F.xxhash64("p", F.lit(0)), F.xxhash64("p", F.lit(1))).collect()
+    pair = 1 | 1 << 31
+    assert got[1].like == [sum(((r[seed] & (1 << 64) - 1) >> i) & pair for r in hashes) for seed in (0, 1) for i in range(31)]
+    pars = ["same words. " * 1000, "", "other!", "", "lines"]
+    digests = [hashlib.sha512(p.encode()).hexdigest() for p in pars]
+    assert got[1].exact == [sum(int(d[8 * i : 8 * i + 8], 16) for d in digests) % (1 << 32) for i in range(16)] and got[1].pieces == len(pieces)
