@@ -11,10 +11,12 @@ lower-cased words, the first 3, 4 and 5 characters of longer words, its runs of
 punctuation, and coarse steps of a few ratios (distinct
 words, upper case, symbols, word length).
 
-Fitting: at most about ``SAMPLE`` labelled texts, by the hash of ``doc_id``; their feature
-numbers (not the texts) are gathered and fitted on the driver by full gradients, with one
-text of each set of near copies. Features in fewer than ``LEAST`` texts, or that tell the grades
-apart too little (chi-square below ``CHI_SQUARE``), get no weight. The selection threshold is the tail
+Fitting: at most about ``SAMPLE`` labelled texts, by the hash of ``doc_id``, with one text of each
+set of near copies. Features in fewer than ``LEAST`` texts, or that tell the grades apart too little
+(chi-square below ``CHI_SQUARE``), get no weight. The sample's feature numbers are written
+once to the shared folder and counted there by Spark; the driver gathers a few minima of each
+text for the near copies, and of the features only those that get a weight in one of the fits,
+which it makes by full gradients. The selection threshold is the tail
 probability that ``CLEAN_RECALL`` of the good texts reach when each is scored by a model that was
 fitted without its fold, one of ``FOLDS``, or by the model if that is lower (0.5 without good texts). Scoring needs no shuffle.
 
@@ -32,10 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, release_memory, ship_package, table
+from stratum.llm.common import arrow_map, materialize, release_memory, ship_package, table
 from stratum.llm.textnp import BLANK_SEPARATED, WORD_BYTES, blocks, mix, prefix_sums, span_hashes, text_bytes, word_spans
 
 BITS = 18
@@ -50,6 +53,9 @@ DECAY = 2e-4
 CLEAN_RECALL = 0.98
 TOP_GRADE = 2
 PREFIXES = (3, 4, 5)
+MINIMA = 48  # of the hashes of a text's features
+BAND = 6
+STEP = 1 << 16  # entries that the fit sums at a time
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
 _PUNCT = BLANK_SEPARATED & ~WORD_BYTES
@@ -114,6 +120,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _sums(into: np.ndarray, value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """``np.bincount(into, value[of], n)`` without arrays of that length between."""
+    out = np.zeros(n)
+    for i in range(0, len(into), STEP):
+        np.add.at(out, into[i : i + STEP].astype(np.intp), value[of[i : i + STEP]])
+    return out
+
+
 @dataclass
 class OrdinalModel:
     """``grades`` in order, one threshold between each two, one weight a feature."""
@@ -143,6 +157,15 @@ class OrdinalModel:
         return p @ grades, p[:, grades >= TOP_GRADE].sum(axis=1)
 
 
+def telling(by_grade: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The features (columns) in enough texts that tell the grades (rows) apart; ``counts``: the
+    texts of each grade."""
+    often = by_grade.sum(axis=0)
+    expected = often * (counts / counts.sum())[:, None]
+    chi = ((by_grade - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0) / np.maximum(1 - often / counts.sum(), 1e-9)
+    return (often >= LEAST) & (chi >= CHI_SQUARE)
+
+
 def fit_ordinal(index: np.ndarray, at: np.ndarray, grade: np.ndarray) -> OrdinalModel:
     """Penalised maximum likelihood by Adam on full gradients; rare grades are weighted up
     to half the weight of the most frequent one."""
@@ -155,15 +178,14 @@ def fit_ordinal(index: np.ndarray, at: np.ndarray, grade: np.ndarray) -> Ordinal
     row_weight = np.maximum(1.0, 0.5 * counts.max() / counts)[level]
     row_weight /= row_weight.sum()
     doc = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(at))
-    of_level = level.astype(np.int8)[doc]
+    by_grade = np.zeros((len(grades), size), np.int64)
+    for i in range(0, len(doc), STEP):
+        np.add.at(by_grade.ravel(), level[doc[i : i + STEP]] * size + index[i : i + STEP], 1)
     # features that are rare, or that tell the grades apart too little, have no weight
-    by_grade = np.stack([np.bincount(index[of_level == j], minlength=size) for j in range(len(grades))])
-    often = by_grade.sum(axis=0)
-    expected = often * (counts / counts.sum())[:, None]
-    chi = ((by_grade - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0) / np.maximum(1 - often / len(grade), 1e-9)
-    use = ((often >= LEAST) & (chi >= CHI_SQUARE))[index]
-    kept, column = np.unique(index[use], return_inverse=True)
-    doc = doc[use]
+    known = telling(by_grade, counts)
+    kept, number = np.flatnonzero(known), (np.cumsum(known) - 1).astype(np.int32)
+    use = known[index]
+    doc, column = doc[use], number[index[use]]
     share = np.cumsum(counts)[:-1] / counts.sum()
     first = np.log(share / (1 - share))
     # thresholds: the first one free, the others by positive steps
@@ -173,7 +195,7 @@ def fit_ordinal(index: np.ndarray, at: np.ndarray, grade: np.ndarray) -> Ordinal
     rows = np.arange(len(grade))
     for t in range(1, ROUNDS + 1):
         cuts = np.concatenate([[theta[k]], theta[k] + np.cumsum(np.exp(theta[k + 1 :]))])
-        score = np.bincount(doc, theta[column], len(grade))
+        score = _sums(doc, theta, column, len(grade))
         below = _sigmoid(cuts[None, :] - score[:, None])
         edges = np.concatenate([np.zeros((len(grade), 1)), below, np.ones((len(grade), 1))], axis=1)
         slope = edges * (1 - edges)
@@ -184,7 +206,7 @@ def fit_ordinal(index: np.ndarray, at: np.ndarray, grade: np.ndarray) -> Ordinal
             upper, lower_ = level == j, level == j + 1
             d_cuts[j] = -(row_weight[upper] * slope[upper, j + 1] / p[upper]).sum() + (row_weight[lower_] * slope[lower_, j + 1] / p[lower_]).sum()
         grad = np.empty_like(theta)
-        grad[:k] = np.bincount(column, d_score[doc], k) + DECAY * theta[:k]
+        grad[:k] = _sums(column, d_score, doc, k) + DECAY * theta[:k]
         grad[k] = d_cuts.sum()
         tails = np.cumsum(d_cuts[::-1])[::-1]
         grad[k + 1 :] = tails[1:] * np.exp(theta[k + 1 :])
@@ -196,24 +218,34 @@ def fit_ordinal(index: np.ndarray, at: np.ndarray, grade: np.ndarray) -> Ordinal
     return OrdinalModel(grades, weights, np.concatenate([[theta[k]], theta[k] + np.cumsum(np.exp(theta[k + 1 :]))]))
 
 
-def one_of_near_copies(sets: list[np.ndarray]) -> np.ndarray:
-    """False for a set that shares six minima of hashes in a row with an earlier one."""
-    least = np.full((len(sets), 48), -1, np.int64)
-    some = [i for i, own in enumerate(sets) if len(own)]
-    if some:
-        every = np.concatenate([sets[i] for i in some]).astype(np.uint64)
-        begin = np.cumsum([0, *[len(sets[i]) for i in some[:-1]]])
-        for k in range(48):
-            least[some, k] = np.minimum.reduceat(mix(every ^ np.uint64(0xC0FFEE * (k + 1))), begin).view(np.int64)
-    out = np.ones(len(sets), bool)
+def minima(index: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``MINIMA`` minima of hashes of each set, a row for each; all -1 for an empty set."""
+    least = np.full((len(at) - 1, MINIMA), -1, np.int64)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        every = index.astype(np.uint64)
+        for k in range(MINIMA):
+            least[some, k] = np.minimum.reduceat(mix(every ^ np.uint64(0xC0FFEE * (k + 1))), at[some]).view(np.int64)
+    return least
+
+
+def first_of_near_copies(least: np.ndarray) -> np.ndarray:
+    """False for a row of ``minima`` of which ``BAND`` in a row are those of an earlier one."""
+    out = np.ones(len(least), bool)
     seen: set[tuple[int, bytes]] = set()
     for i, own in enumerate(least):
-        names = {(k, own[k : k + 6].tobytes()) for k in range(0, 48, 6)}
+        names = {(k, own[k : k + BAND].tobytes()) for k in range(0, MINIMA, BAND)}
         out[i] = not (names & seen)
         seen |= names
     return out
 
 
+def one_of_near_copies(sets: list[np.ndarray]) -> np.ndarray:
+    """False for a set that shares six minima of hashes in a row with an earlier one."""
+    at = np.cumsum([0, *[len(own) for own in sets]])
+    return first_of_near_copies(minima(np.concatenate([np.zeros(0, np.int32), *sets]), at))
+
+
 def graded_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, text, grade`` of about ``sample`` labelled rows at most, by the hash of
     ``doc_id``."""
@@ -226,28 +258,86 @@ def graded_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return docs.select("doc_id", "text").filter(draw).join(grades.filter(draw), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
+def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, grade, place, fold, f, least`` of the graded sample: the feature numbers of each
+    text and their ``minima``; ``place`` numbers the rows of a document with one grade."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
                 index, at = feature_sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("grade"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(index))],
-                    ["doc_id", "grade", "f"],
-                )
+                fold = mix(part.column("doc_id").to_numpy().astype(np.uint64) + np.uint64(77)) % np.uint64(FOLDS)
+                every = np.arange(part.num_rows + 1, dtype=np.int32)
+                columns = [
+                    part.column("doc_id"),
+                    part.column("grade"),
+                    pa.array(fold.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(index)),
+                    pa.ListArray.from_arrays(pa.array(every * MINIMA), pa.array(minima(index, at).ravel())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "grade", "fold", "f", "least"])
 
     rows = graded_sample(docs, labels, sample).select("doc_id", "text", "grade")
-    rows = arrow_map(rows, run, "doc_id long, grade int, f array<int>").orderBy("doc_id", "grade", "f").toArrow()
-    column = rows.column("f").combine_chunks()
-    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
-    grade = rows.column("grade").to_numpy().astype(np.int64)
-    sets = [x.values.to_numpy() for x in column] if len(grade) else []
-    fold = (mix(rows.column("doc_id").to_numpy().astype(np.uint64) + np.uint64(77)) % np.uint64(FOLDS)).astype(np.int64)
-    alone = one_of_near_copies(sets)
+    rows = arrow_map(rows, run, "doc_id long, grade int, fold int, f array<int>, least array<long>")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "grade").orderBy("f")))
+
+
+def telling_features(rows: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """The features of ``rows`` that :func:`telling` finds in all of them or in those of all folds
+    but one; ``counts``: the texts of each fold (row) and grade (column)."""
+    cell = F.col("fold") * counts.shape[1] + F.col("grade")
+    cells = F.array(*[F.count_if(F.col("cell") == k) for k in range(counts.size)])
+    seen = rows.select(F.explode("f").alias("feature"), cell.alias("cell")).groupBy("feature").agg(cells.alias("seen"))
+    subsets = [np.ones(len(counts), bool), *(np.arange(len(counts)) != k for k in range(len(counts)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_fold = batch.column("seen").flatten().to_numpy().reshape(-1, *counts.shape)
+            use = np.zeros(len(by_fold), bool)
+            for own in subsets:
+                if counts[own].any():
+                    use |= telling(np.ascontiguousarray(by_fold[:, own].sum(axis=1).T), counts[own].sum(axis=0))
+            yield pa.RecordBatch.from_arrays([batch.column("feature").filter(pa.array(use))], ["feature"])
+
+    return arrow_map(seen, run, "feature int").toArrow().column("feature").to_numpy()
+
+
+def only_features(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """``rows`` with the ``wanted`` ones of their feature numbers ``f``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(1 << BITS, bool)
+        known[wanted] = True
+        for batch in batches:
+            f = batch.column("f")
+            index, size = f.flatten().to_numpy(), f.value_lengths().to_numpy()
+            use = known[index]
+            at = np.concatenate([[0], use.cumsum()])[np.concatenate([[0], size.cumsum()])]
+            own = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(index[use]))
+            yield batch.set_column(batch.schema.get_field_index("f"), "f", own)
+
+    return arrow_map(rows, run, rows.schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
+    rows = materialize(sample_features(docs, labels, sample), "features")
+    key = ["doc_id", "grade", "place"]
+
+    def gathered(df: DataFrame) -> pa.Table:
+        return df.toArrow().sort_by([(c, "ascending") for c in key]).combine_chunks()
+
+    texts = gathered(rows.select(*key, "fold", "least"))
+    grade, fold = (texts.column(c).to_numpy().astype(np.int64) for c in ("grade", "fold"))
+    alone = first_of_near_copies(pc.list_flatten(texts.column("least")).to_numpy().reshape(-1, MINIMA))
+    counts = np.zeros((FOLDS, TOP_GRADE + 1), np.int64)
+    np.add.at(counts, (fold[alone], grade[alone]), 1)
+    copies = docs.sparkSession.createDataFrame(texts.select(key).filter(pa.array(~alone)))
+    wanted = telling_features(rows.join(F.broadcast(copies), key, "left_anti"), counts)
+    sets = gathered(only_features(rows.select(*key, "f"), wanted)).column("f")
+    index, size = pc.list_flatten(sets).to_numpy(), pc.list_value_length(sets).to_numpy()
 
     def pick(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [sets[i] for i in np.flatnonzero(which)]
-        return (np.concatenate(own) if own else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+        return index[np.repeat(which, size)], np.concatenate([[0], np.cumsum(size[which])]).astype(np.int64)
 
     model, good = fit_ordinal(*pick(alone), grade[alone]), grade >= TOP_GRADE
     if len(model.grades) >= 2:
@@ -260,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
                 tails.extend(own.predict(*pick(asked))[1].tolist())
         ends = [tails, model.predict(*pick(good))[1]] if good.any() else [tails]  # few labels: the folds' scale may be another
         model.keep_from = float(min(np.quantile(x, 1 - CLEAN_RECALL) for x in ends)) - 1e-9
-    del rows, column, sets
+    del texts, sets, index
     release_memory()
     return model
 

@@ -89,3 +89,25 @@ def test_awkward_rows_and_missing_grades(spark):
 def test_copies_count_once():
     sets = [np.arange(200, dtype=np.int32), np.arange(200, dtype=np.int32), np.arange(1000, 1200, dtype=np.int32)]
     assert oq.one_of_near_copies(sets).tolist() == [True, False, True]
+
+
+def test_driver_gets_only_the_features_that_tell_grades_apart(spark, monkeypatch):
+    texts, grades = synthetic()
+    ids = [i // 2 * 7 for i in range(len(texts))] + list(range(10_000, 10_060))  # two texts an id, then copies
+    texts, grades = texts + texts[:60], [*grades.tolist(), *grades[:60].tolist()]
+    docs = spark.createDataFrame([(i + 100_000 * g, t) for i, g, t in zip(ids, grades, texts, strict=True)], "doc_id long, text string")
+    labels = sorted({(i + 100_000 * g, int(g > 1), int(g < 1)) for i, g in zip(ids, grades, strict=True)})
+    whole, given = oq.fit_ordinal, []
+    monkeypatch.setattr(oq, "fit_ordinal", lambda index, at, grade: given.append(index) or whole(index, at, grade))
+    model = oq.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    index, at = oq.feature_sets(pa.array(texts))
+    sets = [index[a:b] for a, b in zip(at, at[1:], strict=False)]
+    order = sorted(range(len(texts)), key=lambda k: (ids[k] + 100_000 * grades[k], sets[k].tolist()))
+    alone = oq.one_of_near_copies([sets[k] for k in order])
+    kept = [k for k, own in zip(order, alone, strict=True) if own]
+    assert len(kept) <= len(texts) - 60
+    want = whole(np.concatenate([sets[k] for k in kept]), np.cumsum([0, *[len(sets[k]) for k in kept]]), np.array(grades)[kept])
+    assert np.array_equal(model.weights, want.weights) and np.array_equal(model.thresholds, want.thresholds)
+    assert len(given) == 1 + oq.FOLDS and (want.weights != 0).any()
+    assert max(map(len, given)) < len(index) / 10
