@@ -15,7 +15,8 @@ the next epoch that reaches the rest, so it exceeds its budget by less than one
 The prefix needs no order of the whole leaf: tokens are summed by the first three digits of
 the hash, the running sum finds the digits where the budget ends, and only documents with
 those digits are put in order. A hot leaf's documents are dealt out to several tasks where
-they meet its budget.
+they meet its budget. The leaves, their budgets and where each ends are written to the shared
+folder on the way (a row a leaf), so that no query holds the plan of another several times.
 
 Tokens are words (``[^\\x20\\x09-\\x0D]+``). All arithmetic is in integers, products in decimals. Only numbers
 are shuffled, never texts.
@@ -107,10 +108,11 @@ def select_mixture(sized: DataFrame, mix: Mix) -> DataFrame:
     """``doc_id, LEAF, n_tokens, epoch`` of what the mix takes of ``sized(doc_id, LEAF,
     n_tokens)``; a document comes once for each epoch that takes it."""
     sized = sized.filter("n_tokens > 0")
-    leaves = sized.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = materialize(sized.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     plan = leaf_budgets(leaves, mix).select(
         *LEAF, F.expr("cast(budget div tokens as int)").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest")
     )
+    plan = materialize(plan, "budgets")
     rows = salted_join(sized, plan, LEAF, "doc_id")
     columns = ["doc_id", *LEAF, "n_tokens"]
     full = rows.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), "whole"))).select(*columns, "epoch")
@@ -126,6 +128,7 @@ def select_mixture(sized: DataFrame, mix: Mix) -> DataFrame:
     digits = partial.groupBy(*LEAF, "digits", "rest").agg(F.sum("n_tokens").alias("sum"))
     running = digits.withColumn("upto", F.sum("sum").over(by_leaf.orderBy("digits")))
     last = running.filter("upto - sum < rest AND upto >= rest").select(*LEAF, F.col("digits").alias("last"), (F.col("upto") - F.col("sum")).alias("before"))
+    last = materialize(last, "last")
     near = salted_join(partial, last, LEAF, "doc_id")
     sure = near.filter(F.col("digits") < F.col("last")).select(*columns, "epoch")
     order = by_leaf.orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)

@@ -89,6 +89,15 @@ def test_prefixes_of_seeded_epochs(spark):
         assert got == brute(rows, mix, budgets)
 
 
+def test_small_plan_for_the_driver(spark):
+    """The driver plans the budgets once, not again for each part that needs them: before, one
+    query had 84 exchanges, 17 joins and 33 windows."""
+    rows = [(i, "web", "en", f"s{i % 3}", 5) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string, language string, origin string, n_tokens long")
+    plan = select_mixture(df, Mix(budget_percent=40, max_epochs=1))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 12 and plan.count("Join ") <= 5 and plan.count("Window ") <= 1
+
+
 def test_query_matches_sql(spark):
     frame = spark.read.parquet(f"{SF_SMOKE}/documents.parquet").toPandas()
     for mix in (Mix(), Mix(budget_percent=35, max_epochs=1, domains={"web": 1}, languages={"fr": 9})):
